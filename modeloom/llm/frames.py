@@ -57,7 +57,7 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def bytes_of(frame: DataFrame) -> int:
     """The optimizer's estimate of a frame's size; 0 where it has none."""
-    estimate = int(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return 0 if estimate > 1 << 60 else estimate
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm import line_dedup, quality_rules, url_filters
+from modeloom.llm import bloom_lm, line_dedup, quality_rules, url_filters
 from modeloom.llm.frames import plain_text, table
 
 
@@ -26,6 +26,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(plain_text(F.col("text")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filters, op5_quality_rules, op9_line_dedup)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_documents(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 7, 2))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filters, op5_quality_rules, op9_line_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
