@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm import bloom_lm, line_dedup, quality_rules, url_filters
+from modeloom.llm import bloom_lm, line_dedup, quality_rules, suffix_dedup, url_filters
 from modeloom.llm.frames import plain_text, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filters.fetch_day(F.col("page_id")).alias("fetched_on"))
     return url_filters.filter_urls(pages, url_filters.default_entries(spark)).select("page_id", "fetched_on", "blocked", "listed_since")
@@ -30,6 +34,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 7, 2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_url_filters, op5_quality_rules, op9_line_dedup, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op4_url_filters, op5_quality_rules, op9_line_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
