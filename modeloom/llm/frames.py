@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the checkpoint folder; shuffle files of its making are freed where Spark can do so."""
+    """The frame, written to the checkpoint folder as a table and read again; Spark then frees the shuffle files of its making."""
     spark, free = frame.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     ensure_checkpoint_dir(spark)
-    before = spark.conf.get(free, "false")
+    folder, before = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}", spark.conf.get(free, "false")
     try:
         spark.conf.set(free, "true")
-        return frame.checkpoint()
+        frame.select("*").write.parquet(folder)
     finally:
         spark.conf.set(free, before)
+    return spark.read.schema(frame.schema).parquet(folder)
 
 
 def bytes_of(frame: DataFrame) -> int:
