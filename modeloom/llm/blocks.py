@@ -19,7 +19,7 @@ from modeloom.llm.frames import parts
 from modeloom.llm.grams import U, pack, unpack
 
 #: Of a table's stored bytes; text is about twice as long.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MAX_SHARDS = 1 << 14
 ASKED = "kind int, shard int, block long, keys binary, counts binary"
 ANSWERED = "kind int, shard int, block long, totals binary"
