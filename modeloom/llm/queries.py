@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm import bloom_lm, jaccard_join, line_dedup, quality_rules, suffix_dedup, url_filters
+from modeloom.llm import bloom_lm, jaccard_join, language_id, line_dedup, pieces, quality_rules, suffix_dedup, url_filters
 from modeloom.llm.frames import plain_text, table
 
 
@@ -29,6 +29,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 5, 0))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(plain_text(F.col("text")).cast("binary"), 256).alias("kept_sha256"))
@@ -38,6 +46,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 7, 2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op4_url_filters, op5_quality_rules, op9_line_dedup, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op4_url_filters, op5_quality_rules, op6_language_id, op8_sentencepiece, op9_line_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
