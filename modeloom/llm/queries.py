@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm import bloom_lm, jaccard_join, language_id, line_dedup, pieces, quality_rules, suffix_dedup, url_filters
+from modeloom.llm import bloom_lm, decontaminate, jaccard_join, language_id, line_dedup, pieces, quality_rules, suffix_dedup, url_filters
 from modeloom.llm.frames import plain_text, table
 
 
@@ -19,6 +19,10 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", url_filters.fetch_day(F.col("page_id")).alias("fetched_on"))
     return url_filters.filter_urls(pages, url_filters.default_entries(spark)).select("page_id", "fetched_on", "blocked", "listed_since")
@@ -46,6 +50,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 7, 2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op4_url_filters, op5_quality_rules, op6_language_id, op8_sentencepiece, op9_line_dedup, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_decontamination, op4_url_filters, op5_quality_rules, op6_language_id, op8_sentencepiece, op9_line_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
