@@ -267,8 +267,7 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     tiles = F.ceil(F.col("members") / tile).cast("int")
     placed = sized.select("part", "shingle_set", tiles.alias("tiles"), F.pmod(F.xxhash64("shingle_set", F.lit(11)), tiles).cast("int").alias("tile"))
     placed = placed.join(sets.select("shingle_set", "copies", "doc"), "shingle_set").select("part", "shingle_set", "tiles", "tile", "copies", F.col("doc.doc_id").alias("rep"), F.col("doc.text_hash").alias("rep_hash"))
-    texts = keyed.dropDuplicates(["doc_id", "text_hash"]) if False else keyed
-    found = texts.join(placed, texts["doc_id"].eqNullSafe(placed["rep"]) & (texts["text_hash"] == placed["rep_hash"])).select("part", "shingle_set", "tiles", "tile", "copies", "text")
+    found = keyed.join(placed, keyed["doc_id"].eqNullSafe(placed["rep"]) & (keyed["text_hash"] == placed["rep_hash"])).select("part", "shingle_set", "tiles", "tile", "copies", "text")
     held = found.dropDuplicates(["shingle_set"]).mapInArrow(_shingle_sets, "part long, shingle_set long, tiles int, tile int, copies long, shingles binary")
     spread = held.withColumn("to", F.explode(_tile_pairs(F.col("part"), F.col("tile"), F.col("tiles")))).select("to.*", "tile", "shingle_set", "copies", "shingles")
     linked = cut(spread.repartition(parts(docs, 8 << 20), "leaf").sortWithinPartitions("leaf").mapInArrow(_link(similarity), "shingle_set long, links long, root long"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm import bloom_lm, decontaminate, jaccard_join, language_id, line_dedup, pieces, quality_rules, suffix_dedup, url_filters
+from modeloom.llm import bloom_lm, decontaminate, jaccard_join, kneser_ney, language_id, line_dedup, pieces, quality_rules, suffix_dedup, url_filters
 from modeloom.llm.frames import plain_text, table
 
 
@@ -37,6 +37,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 5, 0))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return kneser_ney.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,6 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_documents(table(spark, sf_dir, "documents"), bloom_lm.held_out_ids(F.col("doc_id"), 7, 2))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_decontamination, op4_url_filters, op5_quality_rules, op6_language_id, op8_sentencepiece, op9_line_dedup, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_decontamination, op4_url_filters, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_sentencepiece, op9_line_dedup, op10_lm_scoring)}
 
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
