@@ -14,8 +14,8 @@ gives back how many documents each set is similar to, and a forest again, whose
 
 Nulls and odd inputs: null is an empty text; a text of fewer than five words has no shingle and is similar only to
 texts with the same words; copies are similar to each other; rows with equal doc_id are rows of their own, each with
-a result; a null doc_id counts as a document, and a class with no other id has the class id null; an empty table gives
-an empty result. Of the input's columns only the id is returned.
+a result, and `keep_one` keeps one of rows with equal doc_id and text; a null doc_id sorts first; an empty table gives an
+empty result. The join returns the id only, `keep_one` all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -253,14 +253,14 @@ def _link(similarity: float):
     return link
 
 
-def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
-    """doc_id, class_id (the least id of all documents linked to it directly or over others) and n_links (documents similar to it)."""
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """Of each document: doc_id, text_hash, first (the least doc_id and text_hash of its class) and n_links."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
     all_docs = cut(keyed.mapInArrow(_describe, f"doc_id {kind}, text_hash long, {_SETS}"))
     first = F.min(F.struct("doc_id", "text_hash"))
-    sets = all_docs.groupBy("shingle_set").agg(F.count("*").alias("copies"), F.max("size").alias("size"), first.alias("doc"), F.min("doc_id").alias("least"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
+    sets = all_docs.groupBy("shingle_set").agg(F.count("*").alias("copies"), F.max("size").alias("size"), first.alias("doc"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     sets = cut(sets)
     near = components(candidates(sets, similarity, recall, leaf)).select(F.col("node").alias("shingle_set"), F.col("root").alias("part"))
     sized = near.join(near.groupBy("part").agg(F.count("*").alias("members")), "part")
@@ -272,9 +272,23 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", si
     spread = held.withColumn("to", F.explode(_tile_pairs(F.col("part"), F.col("tile"), F.col("tiles")))).select("to.*", "tile", "shingle_set", "copies", "shingles")
     linked = cut(spread.repartition(parts(docs, 8 << 20), "leaf").sortWithinPartitions("leaf").mapInArrow(_link(similarity), "shingle_set long, links long, root long"))
     root = components(linked.select(F.col("shingle_set").alias("a"), F.col("root").alias("b")))
-    least = root.join(sets.select("shingle_set", "least"), root["node"] == sets["shingle_set"]).groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = root.join(least, "root").select(F.col("node").alias("shingle_set"), "class_id")
+    least = root.join(sets.select("shingle_set", "doc"), root["node"] == sets["shingle_set"]).groupBy("root").agg(F.min("doc").alias("first"))
+    classes = root.join(least, "root").select(F.col("node").alias("shingle_set"), "first")
     links = linked.groupBy("shingle_set").agg(F.sum("links").alias("links"))
-    known = sets.select("shingle_set", "copies", "least").join(classes, "shingle_set", "left").join(links, "shingle_set", "left")
-    known = known.select("shingle_set", F.coalesce("class_id", "least").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return all_docs.select("doc_id", "shingle_set").join(known, "shingle_set").select("doc_id", "class_id", "n_links")
+    known = sets.select("shingle_set", "copies", "doc").join(classes, "shingle_set", "left").join(links, "shingle_set", "left")
+    known = known.select("shingle_set", F.coalesce("first", "doc").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return all_docs.select("doc_id", "text_hash", "shingle_set").join(known, "shingle_set").select("doc_id", "text_hash", "first", "n_links")
+
+
+def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+    """doc_id, class_id (the least id of all documents linked to it directly or over others) and n_links (documents similar to it)."""
+    return similar(docs, text, doc_id, similarity, recall, leaf, tile).select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """`docs` with one row of each class: the one with the least doc_id, and of rows with one doc_id the one with the least text hash."""
+    found = similar(docs, text, doc_id, similarity, recall)
+    heads = found.filter(F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__jj_id"), F.col("text_hash").alias("__jj_head")).distinct()
+    own = docs.withColumn("__jj_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = own.join(heads, F.col(doc_id).eqNullSafe(F.col("__jj_id")) & (F.col("__jj_hash") == F.col("__jj_head")), "left_semi")
+    return kept.dropDuplicates([doc_id, "__jj_hash"]).select(*docs.columns)
