@@ -57,6 +57,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Bounds what a Python worker gets at once; whole texts can be long, so the session's default is too much."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def bytes_of(frame: DataFrame) -> int:
     """The optimizer's estimate of a frame's size; 0 where it has none."""
     estimate = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
