@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.llm.components import components
-from modeloom.llm.frames import cut, parts, row_key
+from modeloom.llm.frames import cut, parts, small_batches
 from modeloom.llm.grams import U, buffers, counted, mix, row_ranges, word_hashes
 
 WORDS = 5
@@ -54,7 +54,7 @@ def runs(similarity: float, recall: float) -> int:
 def shingles(table: pa.Table | pa.RecordBatch, n: int = WORDS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """By ranges of rows: first, end, the distinct shingles of each text in rising order, where each text's begin, and a hash of its words."""
     data, offsets = buffers(table["text"] if isinstance(table, pa.Table) else table.column("text"))
-    for low, high in row_ranges(offsets, 2 << 20):
+    for low, high in row_ranges(offsets, 1 << 19):
         keys, counts = word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         doc = np.repeat(np.arange(high - low), counts)
         place = np.arange(len(keys)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
@@ -255,6 +255,7 @@ def _link(similarity: float):
 
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
     """Of each document: doc_id, text_hash, first (the least doc_id and text_hash of its class) and n_links."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = own.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     kind = own.schema["doc_id"].dataType.simpleString()
