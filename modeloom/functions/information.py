@@ -16,9 +16,19 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def _within(x: np.ndarray, radius: np.ndarray) -> np.ndarray:
-    """How many values, each itself included, lie within a radius."""
+    """How many values, each itself included, have a difference of at most a radius. Sums round, so ends are set by differences."""
     s = np.sort(x)
-    return np.searchsorted(s, x + radius, "right") - np.searchsorted(s, x - radius, "left")
+    n = len(s)
+    low, high = np.searchsorted(s, x - radius, "left"), np.searchsorted(s, x + radius, "right")
+    while True:
+        drop_low = (low < n) & (x - s[np.minimum(low, n - 1)] > radius)
+        take_low = (low > 0) & (x - s[np.maximum(low - 1, 0)] <= radius)
+        drop_high = (high > 0) & (s[np.maximum(high - 1, 0)] - x > radius)
+        take_high = (high < n) & (s[np.minimum(high, n - 1)] - x <= radius)
+        if not (drop_low | take_low | drop_high | take_high).any():
+            return high - low
+        low += drop_low.astype(int) - (take_low & ~drop_low)
+        high += take_high.astype(int) - (drop_high & ~take_high)
 
 
 def prepared(x: np.ndarray, rng: np.random.RandomState) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Folds as a column."""
+"""Folds as a column `fold`, which replaces any that rows already have."""
 
 from __future__ import annotations
 
@@ -19,12 +19,14 @@ def dealt(rows: DataFrame, folds: int, label: str = "label") -> DataFrame:
 
 def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
     """A fold for each group."""
+    rows = rows.drop("fold")
     names = rows.select(group).distinct().withColumn("fold", F.row_number().over(Window.orderBy(group)) - 1)
     return rows.join(names, group)
 
 
 def _on_driver(rows: DataFrame, columns: list[str], assign: Callable[..., np.ndarray]) -> DataFrame:
     """Folds that hang on the order of all rows: worked out on ids and labels, joined back."""
+    rows = rows.drop("fold")
     table = rows.select("row_id", *columns).orderBy("row_id").toPandas()
     fold = assign(*[table[c].to_numpy() for c in columns])
     pairs = rows.sparkSession.createDataFrame([(int(i), int(f)) for i, f in zip(table["row_id"], fold, strict=True)], "row_id long, fold int")
@@ -37,6 +39,7 @@ def stratified(rows: DataFrame, folds: int = 10, seed: int = 42, label: str = "l
 
 def _by_group(rows: DataFrame, group: str, label: str | None, assign) -> DataFrame:
     """Folds of whole groups hang on the counts of groups and classes only."""
+    rows = rows.drop("fold")
     counts = rows.groupBy(group, *([label] if label else [])).count().toPandas()
     names = np.repeat(counts[group].to_numpy(), counts["count"])
     y = np.repeat(counts[label].to_numpy(), counts["count"]) if label else None
