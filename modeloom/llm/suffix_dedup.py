@@ -1,4 +1,4 @@
-"""Deletion of byte strings that repeat anywhere in the corpus, by a parse into phrases.
+"""Deletion of byte strings that repeat anywhere in the corpus, by prefix-free parsing.
 
 Every string of `length` bytes has one trigger: of its 40-byte strings the one with the least rolling hash, the
 leftmost of equal ones. Triggers cut the corpus into phrases; a phrase here is all strings with one trigger at one
@@ -6,14 +6,17 @@ place, a range of starts whose bytes are known once its first start and its last
 distinct phrases and the parse the sequence of them. Two equal strings have equal triggers at equal offsets, so
 
 1. a trigger that the corpus has once has no repeated string;
-2. a phrase that the corpus has twice has only repeated strings;
-3. what is left are phrases that occur once but share their trigger with others, the edges of repeated passages. For
-   these, and for one copy of each repeated phrase with the same trigger, the strings themselves are looked up.
+2. a phrase that the corpus has twice has only repeated strings: the parse decides them;
+3. what is left are phrases that occur once but share their trigger with others, the edges of repeated passages. They,
+   and one copy of each repeated phrase with such a trigger, are the part of the dictionary whose suffixes matter.
 
-In suffix-array terms, 1 and 2 order the suffixes by dictionary and parse, where almost all ties are decided for whole
-phrases at once, and 3 compares suffixes within phrases up to `length` bytes. Corpus order itself isn't written out:
-only whether a neighbour in it shares `length` bytes matters here, and that needs the classes of equal suffixes, not
-their order. Classes are kept by 64-bit hashes of the strings.
+Dictionary phrases are dealt to shards by trigger. A shard puts theirs in suffix order by doubling: ranks of 8 bytes
+give ranks of 16, and so on to 128, and two of these the rank of `length` bytes. Suffixes of one rank are neighbours in
+corpus order that share `length` bytes, and those of a rank that two have are repeated. Phrases of a trigger that
+occurs over `HOT` times would make one shard grow with the corpus; their strings are dealt out by hash instead, each
+string once a block, and counted.
+
+A phrase and a hot string are told by 64-bit hashes, a suffix by its bytes.
 
 Nulls and odd inputs: a null or empty text, and one shorter than `length`, loses nothing; a text of any length is
 worked on in pieces; equal rows are copies of each other, so with `length` bytes or more they lose all of them; an
@@ -24,20 +27,33 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.blocks import ASKED, add_up, answered, asked, in_blocks, question, shard_bits
+from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, answered, answers, asked, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
-from modeloom.llm.grams import U, buffers, counted, mix, prefix, span
+from modeloom.llm.grams import U, buffers, counted, mix, pack, prefix, span, unpack
 
 LENGTH = 200
 GRAM = 40
 PIECE = 1 << 20
-TRIGGERS, PHRASES, STRINGS = 0, 1, 2
+HOT = 20_000
+TRIGGERS, PHRASES, STRINGS, DICTIONARY = 0, 1, 2, 3
+
+
+@dataclass(frozen=True)
+class Limits:
+    """The length of strings, the bits that tell a shard, when a trigger is hot, and how many bytes are worked on at once."""
+
+    length: int
+    bits: int
+    hot: int = HOT
+    piece: int = PIECE
 
 
 def least_in_windows(x: np.ndarray, size: int) -> np.ndarray:
@@ -52,17 +68,17 @@ def least_in_windows(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(back[: n - size + 1], forth[size - 1 : n])
 
 
-def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Byte ranges of about PIECE bytes, with the ends of the texts in them. Long texts are cut at fixed places."""
+def pieces(offsets: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Byte ranges of about `piece` bytes, with the ends of the texts in them. Long texts are cut at fixed places."""
     low, n = 0, len(offsets) - 1
     while low < n:
-        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + piece, "right")) - 1)
         a, b = int(offsets[low]), int(offsets[high])
-        if high > low + 1 or b - a <= PIECE + length:
+        if high > low + 1 or b - a <= piece + length:
             yield a, b, offsets[low : high + 1] - a
         else:
-            for x in range(a, b - length + 1, PIECE):
-                y = min(b, x + PIECE + length - 1)
+            for x in range(a, b - length + 1, piece):
+                y = min(b, x + piece + length - 1)
                 yield x, y, np.array([0, y - x])
         low = high
 
@@ -101,8 +117,8 @@ class Phrases:
         return starts, span(self.p, starts, starts + self.length)
 
 
-def parsed(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, Phrases]]:
-    for a, b, own in pieces(offsets, length):
+def parsed(data: np.ndarray, offsets: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[int, Phrases]]:
+    for a, b, own in pieces(offsets, length, piece):
         yield a, Phrases(data[a:b], own, length)
 
 
@@ -110,11 +126,11 @@ def _joined(found: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *found])
 
 
-def _ask_phrases(length: int, bits: int):
+def _ask_phrases(limits: Limits):
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        each = [(x.trigger, x.key) for _, x in parsed(*buffers(rows["text"]), length)]
+        each = [(x.trigger, x.key) for _, x in parsed(*buffers(rows["text"]), limits.length, limits.piece)]
         found = [counted(_joined([x[k] for x in each])) for k in (0, 1)]
-        return asked([question(key[0].as_py(), k, *found[k], bits) for k in (TRIGGERS, PHRASES)])
+        return asked([question(key[0].as_py(), k, *found[k], limits.bits) for k in (TRIGGERS, PHRASES)])
 
     return ask
 
@@ -127,57 +143,129 @@ class Known:
         self.of_trigger = answered(replies, TRIGGERS, len(self.triggers))[0]
         self.of_phrase, self.first = answered(replies, PHRASES, len(self.phrases))
 
-    def about(self, x: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which phrases repeat, which are looked up string by string, which stand for their copies in that."""
+    def about(self, x: Phrases, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which phrases repeat, which are open, which stand for their copies among open ones, which have a hot trigger."""
         t, p = np.searchsorted(self.triggers, x.trigger), np.searchsorted(self.phrases, x.key)
         again, others = self.of_phrase[p] > 1, self.of_trigger[t] > self.of_phrase[p]
-        return again, ~again & others, again & others & self.first[p]
-
-
-def _open_strings(rows: pa.Table, replies: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    data, offsets = buffers(rows["text"])
-    each = list(parsed(data, offsets, length))
-    known = Known(_joined([x.trigger for _, x in each]), _joined([x.key for _, x in each]), replies)
-    repeated, looked_up, hashes, standing = [], [], [], {}
-    for a, x in each:
-        again, alone, stands = known.about(x)
-        whole = np.flatnonzero(again)
-        repeated += [np.stack([x.low[whole] + a, x.high[whole] + a])]
-        starts, h = x.strings(np.flatnonzero(alone))
-        looked_up.append(starts + a)
-        hashes.append(h)
-        for i in np.flatnonzero(stands):
-            standing.setdefault(x.key[i], (x, i))
-    representatives = [x.strings(np.array([i]))[1] for x, i in standing.values()]
-    return np.concatenate([np.zeros((2, 0), np.int64), *repeated], axis=1), np.concatenate([np.zeros(0, np.int64), *looked_up]), hashes, _joined(representatives)
-
-
-def _ask_strings(length: int, bits: int):
+        return again, ~again & others, again & others & self.first[p], self.of_trigger[t] > hot
+
+
+def suffix_ranks(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the suffixes at `starts` by their first `length` bytes, which lie within the text. Equal ones have one rank."""
+    n = len(text)
+    padded, key = np.concatenate([text, np.zeros(8, np.uint8)]), np.zeros(n, np.uint64)
+    for j in range(8):
+        key = key << U(8) | padded[j : j + n]
+    rank, width = np.unique(key, return_inverse=True)[1], 8
+    while 2 * width < length:
+        after = np.zeros(n, np.int64)
+        after[: max(0, n - width)] = rank[width:] + 1
+        rank, width = np.unique(rank * (n + 1) + after, return_inverse=True)[1], 2 * width
+    return np.unique(rank[starts] * (n + 1) + rank[starts + length - width], return_inverse=True)[1]
+
+
+class Open:
+    """The open phrases of a block: ranges of starts that repeat anyhow, hot strings, and entries of the dictionary by rising key."""
+
+    def __init__(self, rows: pa.Table, replies: pa.Table, limits: Limits):
+        self.data, self.offsets = buffers(rows["text"])
+        self.length, self.bits = limits.length, limits.bits
+        each = list(parsed(self.data, self.offsets, limits.length, limits.piece))
+        known = Known(_joined([x.trigger for _, x in each]), _joined([x.key for _, x in each]), replies)
+        again, starts, hashes, entries, standing = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)], [], [], {}
+        for a, x in each:
+            repeated, alone, stands, hot = known.about(x, limits.hot)
+            again.append(np.stack([x.low[repeated], x.high[repeated]]) + a)
+            at, h = x.strings(np.flatnonzero(alone & hot))
+            starts.append(at + a)
+            hashes.append(h)
+            entries += [(x.key[i], x.trigger[i], x.low[i] + a, x.high[i] + a, True) for i in np.flatnonzero(alone & ~hot)]
+            for i in np.flatnonzero(stands):
+                standing.setdefault(x.key[i], (x, a, i, hot[i]))
+        entries += [(x.key[i], x.trigger[i], x.low[i] + a, x.high[i] + a, False) for x, a, i, hot in standing.values() if not hot]
+        self.again, self.starts, self.hashes = np.concatenate(again, axis=1), np.concatenate(starts), _joined(hashes)
+        self.standing = _joined([x.strings(np.array([i]))[1] for x, _, i, hot in standing.values() if hot])
+        entries.sort(key=lambda e: e[0])
+        self.trigger = np.array([e[1] for e in entries], np.uint64)
+        self.low, self.high = (np.array([e[k] for e in entries], np.int64) for k in (2, 3))
+        self.alone = np.array([e[4] for e in entries], bool)
+
+    def strings(self) -> np.ndarray:
+        return np.concatenate([self.hashes, self.standing])
+
+    def dictionary(self, block: int) -> dict:
+        """Columns of ASKED: by shard the entries' numbers of starts, and their bytes."""
+        shard, out = (self.trigger >> U(64 - self.bits)).astype(np.int64), {"kind": [], "shard": [], "block": [], "keys": [], "counts": []}
+        for k in np.unique(shard):
+            own = np.flatnonzero(shard == k)
+            body = b"".join(self.data[self.low[i] : self.high[i] + self.length].tobytes() for i in own)
+            for name, value in zip(out, (DICTIONARY, int(k), block, pack((self.high[own] - self.low[own] + 1).astype(np.uint64)), zstandard.ZstdCompressor(level=1).compress(body)), strict=True):
+                out[name].append(value)
+        return out
+
+    def repeated_starts(self, replies: pa.Table) -> np.ndarray:
+        """Starts of entries that occur once as phrases but whose strings do not."""
+        said, shard, found = {x["shard"]: x["totals"] for x in replies.to_pylist() if x["kind"] == DICTIONARY}, (self.trigger >> U(64 - self.bits)).astype(np.int64), [np.zeros(0, np.int64)]
+        for k in np.unique(shard):
+            own = np.flatnonzero(shard == k)
+            sizes = self.high[own] - self.low[own] + 1
+            flags = np.unpackbits(np.frombuffer(said[int(k)], np.uint8), count=int(sizes.sum())).astype(bool)
+            at = np.repeat(self.low[own] - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+            found.append(at[flags & np.repeat(self.alone[own], sizes)])
+        return np.concatenate(found)
+
+
+def _dictionary_answers(kind: int, shard: int, rows: pa.Table, length: int) -> pa.Table:
+    """To each block a bit for each start of its entries: whether another suffix of the shard has its rank."""
+    rows = rows.sort_by("block")
+    sizes = [unpack(x.as_py()).astype(np.int64) for x in rows["keys"]]
+    text = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x.as_py()) for x in rows["counts"]), np.uint8)
+    every = np.concatenate(sizes)
+    begin = np.cumsum(every + length - 1) - (every + length - 1)
+    starts = np.repeat(begin - np.cumsum(every) + every, every) + np.arange(int(every.sum()))
+    rank = suffix_ranks(text, starts, length)
+    again, out, at = np.bincount(rank)[rank] > 1, [], 0
+    for own in sizes:
+        out.append(np.packbits(again[at : at + int(own.sum())]).tobytes())
+        at += int(own.sum())
+    return pa.table({"kind": [kind] * len(sizes), "shard": [shard] * len(sizes), "block": rows["block"], "totals": out}, schema=ANSWERED_ARROW)
+
+
+def _answer(length: int):
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        kind, shard = key[0].as_py(), key[1].as_py()
+        return _dictionary_answers(kind, shard, rows, length) if kind == DICTIONARY else answers(kind, shard, *shard_totals(rows))
+
+    return answer
+
+
+def _ask_open(limits: Limits):
     def ask(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return asked([])
-        _, _, hashes, standing = _open_strings(rows, replies, length)
-        return asked([question(key[0].as_py(), STRINGS, *counted(np.concatenate([_joined(hashes), standing])), bits)])
+        block, found = key[0].as_py(), Open(rows, replies, limits)
+        return asked([question(block, STRINGS, *counted(found.strings()), limits.bits), found.dictionary(block)])
 
     return ask
 
 
-def _remove(length: int):
+def _remove(limits: Limits):
     def remove(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
-        data, offsets = buffers(rows["text"])
-        phrases, starts, hashes, standing = _open_strings(rows, replies, length)
-        own = _joined(hashes)
-        asked_for = np.unique(np.concatenate([own, standing]))
+        found = Open(rows, replies, limits)
+        data, offsets = found.data, found.offsets
+        asked_for = np.unique(found.strings())
         again = answered(replies, STRINGS, len(asked_for))[0] > 1
-        hit = starts[again[np.searchsorted(asked_for, own)]] if len(own) else starts
+        hot = found.starts[again[np.searchsorted(asked_for, found.hashes)]] if len(found.hashes) else found.starts
+        cold = found.repeated_starts(replies)
         edge = np.zeros(len(data) + 1, np.int32)
-        for low, high in ((phrases[0], phrases[1]), (hit, hit)):
+        for low, high in (found.again, (hot, hot), (cold, cold)):
             np.add.at(edge, low, 1)
-            np.add.at(edge, high + length, -1)
+            np.add.at(edge, high + limits.length, -1)
         gone = np.cumsum(edge[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
-        begins[offsets[:-1][offsets[:-1] < len(data)]] |= gone[offsets[:-1][offsets[:-1] < len(data)]]
+        first = offsets[:-1][offsets[:-1] < len(data)]
+        begins[first] |= gone[first]
         upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])[offsets]
         removed, spans = np.diff(upto(gone)), np.diff(upto(begins))
         left, at = data[~gone].tobytes(), offsets - upto(gone)
@@ -187,8 +275,8 @@ def _remove(length: int):
     return remove
 
 
-def _digest(length: int):
-    remove = _remove(length)
+def _digest(limits: Limits):
+    remove = _remove(limits)
 
     def digest(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         found = remove(key, rows, replies)
@@ -198,15 +286,16 @@ def _digest(length: int):
     return digest
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, digest: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes left as `kept`, or with `digest` their kept_sha256."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes at least")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     dealt, n_blocks = in_blocks(own, "doc_id", "text")
-    bits, by = shard_bits(n_blocks), dealt.groupBy("block")
-    first = cut(add_up(by.applyInArrow(_ask_phrases(length, bits), ASKED)))
-    second = cut(add_up(by.cogroup(first.groupBy("block")).applyInArrow(_ask_strings(length, bits), ASKED)))
+    limits, by = Limits(length, shard_bits(n_blocks), hot, piece), dealt.groupBy("block")
+    decided = lambda questions: cut(questions.groupBy("kind", "shard").applyInArrow(_answer(length), ANSWERED))
+    first = decided(by.applyInArrow(_ask_phrases(limits), ASKED))
+    second = decided(by.cogroup(first.groupBy("block")).applyInArrow(_ask_open(limits), ASKED))
     kind = own.schema["doc_id"].dataType.simpleString()
-    last, column = (_digest(length), "kept_sha256 string") if digest else (_remove(length), "kept binary")
+    last, column = (_digest(limits), "kept_sha256 string") if digest else (_remove(limits), "kept binary")
     return by.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {column}")

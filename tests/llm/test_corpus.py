@@ -31,28 +31,39 @@ def brute_repeats(texts, length):
     return out
 
 
-def test_repeats_by_definition(spark):
+def test_suffix_ranks_by_definition():
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 99, 700).astype(np.uint8)
+    text[300:500] = text[100:300]
+    starts = np.arange(0, 600, 3)
+    for length in (9, 16, 30, 100):
+        wanted = [text[i : i + length].tobytes() for i in starts]
+        order = {w: k for k, w in enumerate(sorted(set(wanted)))}
+        assert suffix_dedup.suffix_ranks(text, starts, length).tolist() == [order[w] for w in wanted]
+
+
+@pytest.mark.parametrize("hot", [20_000, 2, 0])
+def test_repeats_by_definition(spark, hot):
     passage = " ".join(f"passage{i}" for i in range(40))
     extra = [(400, "aa " + passage + " zz"), (401, passage[50:] + " other end"), (402, "bb" + passage[:260]), (403, "q" * 500), (404, passage + passage), (405, "x" * 199), (406, "x" * 199), (407, "é" * 150), (408, "a" + "é" * 150)]
     docs = odd.docs(spark, extra)
     rows = docs.select("doc_id", "text").collect()
     wanted = collections.Counter((r["doc_id"], *b) for r, b in zip(rows, brute_repeats([r["text"] for r in rows], 200), strict=True))
-    found = collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs, digest=True).collect())
+    found = collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs, digest=True, hot=hot).collect())
     assert found == wanted
     assert suffix_dedup.remove_repeats(odd.empty(spark), digest=True).count() == 0
 
 
-def test_repeats_in_texts_longer_than_a_piece(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+def test_repeats_in_texts_longer_than_a_piece(spark):
     rng = np.random.default_rng(0)
     base = "".join(rng.choice(list("abcd"), 5000))
     texts = [base, base[1500:2600] + "x" * 10 + base[4000:4300], base[:150], "y" + base[2000:2250] + "z"]
     data, offsets = grams.buffers(pa.array(texts))
-    phrases = list(suffix_dedup.parsed(data, offsets, 200))
+    phrases = list(suffix_dedup.parsed(data, offsets, 200, 1000))
     starts = sum(int((p.high - p.low + 1).sum()) for _, p in phrases)
     assert starts == sum(max(0, len(t) - 199) for t in texts), "every string starts in one phrase"
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, digest=True).collect()}
+    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs, digest=True, piece=1000).collect()}
     assert found == dict(enumerate(brute_repeats(texts, 200)))
 
 
