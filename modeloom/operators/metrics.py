@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from modeloom.operators.stats import running
+
 # Published results to compare with, and the tolerance of the comparison.
 TARGETS = {
     "DS1_Rest": {"accuracy": 1.00, "precision": 1.00, "recall": 1.00, "f1": 1.00},
@@ -61,18 +63,15 @@ def weighted_metrics(predictions: DataFrame) -> DataFrame:
 def roc_points(scores: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """(score, tp, fp, tpr, fpr) for each distinct score as a threshold, from the greatest down. Running sums go over distinct scores."""
     steps = scores.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("q"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    run = steps.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("q").over(down), "np": F.sum("p").over(all_rows), "nq": F.sum("q").over(all_rows)})
-    return run.select(score, "tp", "fp", _ratio(F.col("tp"), F.col("np")).alias("tpr"), _ratio(F.col("fp"), F.col("nq")).alias("fpr"), "p", "q", "np")
-
-
-def areas(points: DataFrame, score: str = "score") -> DataFrame:
-    """Area under the ROC curve by trapezia, and average precision."""
-    before = Window.orderBy(F.desc(score))
-    zero = lambda c: F.coalesce(F.lag(c).over(before), F.lit(0.0))
-    stepped = points.select(((F.col("fpr") - zero("fpr")) * (F.col("tpr") + zero("tpr")) / 2).alias("roc"), (_ratio(F.col("tp"), F.col("tp") + F.col("fp")) * _ratio(F.col("p"), F.col("np"))).alias("pr"))
-    return stepped.agg(F.sum("roc").alias("roc_auc"), F.sum("pr").alias("pr_auc"))
+    totals = steps.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    run = running(steps, score, {"tp": "p", "fp": "q"}, descending=True).join(F.broadcast(totals))
+    return run.select(score, "tp", "fp", _ratio(F.col("tp"), F.col("np")).alias("tpr"), _ratio(F.col("fp"), F.col("nq")).alias("fpr"), "p", "q", "np", "nq")
+
+
+def areas(points: DataFrame) -> DataFrame:
+    """Area under the ROC curve by trapezia, and average precision. A step's own counts tell where the one before ended."""
+    roc = _ratio(F.col("q"), F.col("nq")) * _ratio(2 * F.col("tp") - F.col("p"), F.col("np")) / 2
+    return points.agg(F.sum(roc).alias("roc_auc"), F.sum(_ratio(F.col("tp"), F.col("tp") + F.col("fp")) * _ratio(F.col("p"), F.col("np"))).alias("pr_auc"))
 
 
 def majority_vote(predictions: DataFrame, subject: str) -> DataFrame:

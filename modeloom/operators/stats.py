@@ -9,11 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def running(steps: DataFrame, key: str, sums: dict[str, str], descending: bool = False, ranges: int = 64) -> DataFrame:
+    """Adds running sums of columns (result to source) in the order of a numeric key whose values are distinct.
+
+    Ranges of the key are summed up apart; what lies before a range comes from a table of at most `ranges` rows, so no
+    task gets all rows."""
+    bounds = sorted(set(steps.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.001)))
+    above = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))) if bounds else F.lit(0)
+    sign = -1 if descending else 1
+    dealt = steps.withColumn("__range", above * sign)
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{out}") for out, c in sums.items()])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__range", *[F.coalesce(F.sum(f"__{out}").over(before), F.lit(0)).alias(f"__{out}") for out in sums])
+    within = Window.partitionBy("__range").orderBy(F.desc(key) if descending else key).rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(F.broadcast(offsets), "__range")
+    return joined.select(*steps.columns, *[(F.col(f"__{out}") + F.sum(c).over(within)).alias(out) for out, c in sums.items()])
+
+
 def rank_sums(values: DataFrame, group: str = "label", value: str = "v") -> DataFrame:
     """One row for two groups 0 and 1: sizes, U of group 1, and the sum of t**3 - t over ties. Ranks go over distinct values."""
     steps = values.groupBy(value).agg(F.count_if(F.col(group) == 1).alias("a"), F.count("*").alias("t"))
-    below = F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ranked = steps.withColumn("rank", below + (F.col("t") + 1) / 2)
+    ranked = running(steps, value, {"upto": "t"}).withColumn("rank", F.col("upto") - F.col("t") + (F.col("t") + 1) / 2)
     out = ranked.agg(F.sum("a").alias("n1"), F.sum("t").alias("n"), F.sum(F.col("a") * F.col("rank")).alias("r1"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     return out.select("n1", (F.col("n") - F.col("n1")).alias("n0"), (F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "ties")
 

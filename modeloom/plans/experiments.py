@@ -41,7 +41,10 @@ def features(recordings: DataFrame, keys: list[str], fs: float, seconds: float,
     found = decompose.feature_vectors(cut, own, fs, settings)
     width = cut.select((F.size("signal") * 9).alias("w")).first()
     complete = energy.complete(found.select(*own, "n_modes"), found.select(*own, "f"), own, width["w"] if width else 0)
-    return complete.withColumn("row_id", F.row_number().over(segments.Window.orderBy(*own)).cast("long"))
+    # Rows are numbered in the order of recordings and segments: what lies before a recording is summed up over recordings.
+    before = segments.Window.orderBy(*keys).rowsBetween(segments.Window.unboundedPreceding, -1)
+    offsets = complete.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return complete.join(offsets, keys).withColumn("row_id", F.col("__before") + F.col("segment_index") + 1).drop("__before")
 
 
 def evaluate(rows: DataFrame, k: int, metric: str, weights: str, keep: int | None = None, scale: bool = False, method: str = "F") -> DataFrame:

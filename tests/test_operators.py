@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from modeloom.functions.smvmd import Settings
-from modeloom.operators import classifiers, decompose, features, folds, neighbors, segments, selection, signals
+from modeloom.operators import classifiers, decompose, features, folds, neighbors, segments, selection, signals, stats
 from modeloom.plans import experiments
 from modeloom.sources import recordings, results
 from modeloom.streaming import windows
@@ -107,6 +107,19 @@ def test_end_to_end(spark):
     assert len(out) == 2 * 5 and all(len(r["f"]) == 18 and r["n_modes"] >= 2 for r in out) and sorted(r["row_id"] for r in out) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_running_sums_over_ranges(spark, descending):
+    rng = np.random.default_rng(4)
+    values = rng.permutation(500)
+    frame = spark.createDataFrame([(float(v), int(v) % 7) for v in values], "v double, n int")
+    found = {r["v"]: r["s"] for r in stats.running(frame, "v", {"s": "n"}, descending, 8).collect()}
+    total = 0
+    for v in sorted(found, reverse=descending):
+        total += int(v) % 7
+        assert found[v] == total
+    assert stats.running(frame.limit(0), "v", {"s": "n"}).count() == 0
+
+
 def test_dispatch(spark):
     rows = spark.createDataFrame([(0, [[1.0] * 64])], "seg long, signal array<array<double>>")
     assert signals.preprocess(rows, "b") is rows
