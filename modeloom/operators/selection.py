@@ -6,6 +6,9 @@ is small whatever the number of rows; the greedy choice between them runs on the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,10 +34,23 @@ def anova(matrix: DataFrame, label: str = "label") -> DataFrame:
 
 
 def correlations(matrix: DataFrame, column: str = "f") -> DataFrame:
-    """(a, b, r) for a < b: from sums over rows, so that no pair of rows meets and no row is repeated but in its own product."""
-    size = F.size(column)
-    pairs = matrix.select(F.col(column).alias("f"), F.explode(F.sequence(F.lit(0), size - 2)).alias("a")).select("a", F.get("f", F.col("a")).alias("x"), F.posexplode(F.slice("f", F.col("a") + 2, F.size("f"))).alias("d", "y"))
-    return pairs.groupBy("a", (F.col("a") + F.col("d") + 1).alias("b")).agg(F.corr("x", "y").alias("r"))
+    """(a, b, r) for a < b: each partition multiplies its centred rows, and only p * p sums of it are shuffled."""
+    means = np.array([r["m"] for r in long_features(matrix, column=column).groupBy("feat").agg(F.avg("v").alias("m")).orderBy("feat").collect()])
+
+    def products(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(means), len(means)))
+        for f in frames:
+            for i in range(0, len(f), 1024):
+                x = np.stack(f[column].iloc[i : i + 1024].to_numpy()).astype(float) - means
+                total += x.T @ x
+        at = np.triu_indices(len(means))
+        yield pd.DataFrame({"a": at[0], "b": at[1], "s": total[at]})
+
+    sums = matrix.select(column).mapInPandas(products, "a int, b int, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))
+    own = sums.filter("a = b")
+    left, right = own.select("a", F.col("s").alias("sa")), own.select("b", F.col("s").alias("sb"))
+    spread = F.sqrt(F.col("sa") * F.col("sb"))
+    return sums.filter("a < b").join(F.broadcast(left), "a").join(F.broadcast(right), "b").select("a", "b", F.when(spread > 0, F.col("s") / spread).alias("r"))
 
 
 def binned_information(matrix: DataFrame, pairs: DataFrame, bins: int = 10) -> DataFrame:
@@ -113,3 +129,24 @@ def sweep_counts(p: int) -> list[int]:
 def smallest_best(curve: DataFrame) -> DataFrame:
     """The least number of features among those of the greatest accuracy."""
     return curve.orderBy(F.desc("cv_accuracy"), "n_features").limit(1)
+
+
+@dataclass
+class Selector:
+    """Keeps the first `count` features of a fixed order, or of one that `fit` finds; with as many as there are, all stay and nothing is ranked."""
+
+    count: int
+    method: str = "F"
+    order: list[int] | None = None
+    chosen: list[int] | None = None
+
+    def fit(self, matrix: DataFrame) -> Selector:
+        first = matrix.select(F.size("f")).first()
+        if not first or self.count >= first[0]:
+            self.chosen = None
+        else:
+            self.chosen = (self.order or rank(matrix, self.method, self.count))[: self.count]
+        return self
+
+    def transform(self, matrix: DataFrame) -> DataFrame:
+        return matrix if self.chosen is None else project(matrix, self.chosen)

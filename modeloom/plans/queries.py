@@ -508,6 +508,18 @@ def _(s, d):
     return T.rounded(selection.binned_information(T.matrix(s, d), pairs))
 
 
+@query("mr10_selector_transformer", "WITH RECURSIVE " + _ANOVA.removeprefix("WITH ") + " SELECT row_id, CAST(0 AS BIGINT) AS j, round(v, 6) + 0.0 AS v FROM m WHERE feat = (SELECT feat FROM f ORDER BY f_score DESC, feat LIMIT 1)")
+def _(s, d):
+    rows = T.matrix(s, d)
+    return T.rounded(selection.Selector(1).fit(rows).transform(rows).select("row_id", F.posexplode("f").alias("j", "v")))
+
+
+@query("mr1_ranking_by_information")
+def _(s, d):
+    rows = selection.project(T.matrix(s, d), list(range(10)))
+    return s.createDataFrame([(i + 1, f) for i, f in enumerate(selection.rank(rows, "MI", 5))], "rank long, feat long")
+
+
 @query("mr2_neighbour_relevance")
 def _(s, d):
     return T.rounded(selection.neighbour_relevance(T.matrix(s, d)))

@@ -13,10 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.operators import classifiers, segments, stats
+from modeloom.operators import classifiers, decompose, folds, segments, stats
+from modeloom.plans import experiments
 from modeloom.plans import tables as T
-from modeloom.plans.queries import ORACLES, QUERIES, query
+from modeloom.plans.queries import _FEATURE_SQL, _NINE, ORACLES, QUERIES, query
 from modeloom.sources import catalog, matfile, recordings, results
+from modeloom.streaming import windows
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -153,6 +155,41 @@ def _(s, d):
     return _back(recordings.load(_zips(s, d, ""), width=4), r"v(\d+)p", "member")
 
 
+_LABELLED = "SELECT CAST(vec_id % 2 AS BIGINT) AS label, CAST(count(*) AS BIGINT) AS recordings, CAST(count(*) * 4 AS BIGINT) AS channels, CAST(count(*) * 64 AS BIGINT) AS samples FROM embeddings WHERE vec_id % 7 != 0 GROUP BY 1"
+
+
+def _labelled(s, d) -> DataFrame:
+    """(subject_id, label, signal) of archives, lazily: members that the catalog knows, with its labels."""
+    loaded = recordings.load(_zips(s, d, ""), width=4)
+    known = catalog.parse_members(loaded.select(F.col("path").alias("archive"), "member"))
+    return loaded.withColumnRenamed("path", "archive").join(known, ["archive", "member"]).select("subject_id", "label", "signal")
+
+
+@query("src14_load_all", _LABELLED)
+def _(s, d):
+    sized = _labelled(s, d).select("label", F.size("signal").alias("c"), F.aggregate("signal", F.lit(0), lambda n, c: n + F.size(c)).alias("n"))
+    return T.rounded(sized.groupBy("label").agg(F.count("*").alias("recordings"), F.sum("c").alias("channels"), F.sum("n").alias("samples")))
+
+
+@query("drv4_experiment_on_archives")
+def _(s, d):
+    cut = segments.array_windows(_labelled(s, d), 8, 4)
+    rows = decompose.feature_vectors(cut, ["subject_id", "label", "segment_index"], 128.0)
+    rows = rows.withColumn("row_id", F.regexp_extract("subject_id", r"(\d+)", 1).cast("long") * 100 + F.col("segment_index"))
+    folded = folds.grouped(rows.select("row_id", "label", "subject_id", "f"), "subject_id", 5)
+    return T.rounded(experiments.report(experiments.evaluate(folded, 2, "cosine", "squared_inverse"), "subject_id")["votes"])
+
+
+@query("str1_streamed_window_features", f"{_FEATURE_SQL} SELECT subject, w, {_NINE} FROM feat")
+def _(s, d):
+    folder = shared_folder(s)
+    source = s.readStream.schema(T.table(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    samples = source.select(F.col("user_id").alias("subject"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("value").alias("x"))
+    found = windows.window_features(samples, T.SIZE, T.STEP, T.FS)
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return T.rounded(s.read.parquet(f"{folder}/out"))
+
+
 @query("src15_dataset_report", "SELECT vec_id % 2 AS label, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS subjects FROM embeddings GROUP BY 1")
 def _(s, d):
     return T.table(s, d, "embeddings").groupBy((F.col("vec_id") % 2).alias("label")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list("vec_id")), lambda x: x.cast("string")), ",").alias("subjects"))
