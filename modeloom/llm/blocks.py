@@ -8,8 +8,6 @@ however often it occurs, and neither a block nor a shard grows with the corpus:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,15 +75,6 @@ def answers(kind: int, shard: int, keys: np.ndarray, totals: np.ndarray, owner:
     return pa.table(found, schema=ANSWERED_ARROW)
 
 
-def _add_up(key: tuple, rows: pa.Table) -> pa.Table:
-    return answers(key[0].as_py(), key[1].as_py(), *shard_totals(rows))
-
-
-def add_up(questions: DataFrame) -> DataFrame:
-    """ANSWERED for ASKED."""
-    return questions.groupBy("kind", "shard").applyInArrow(_add_up, ANSWERED)
-
-
 def answered(rows: pa.Table, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For a block's keys of a kind: totals, and whether the block is the first to have a key."""
     own = sorted(((x["shard"], x["totals"]) for x in rows.to_pylist() if x["kind"] == kind), key=lambda x: x[0])
@@ -93,7 +82,3 @@ def answered(rows: pa.Table, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]
     if len(values) != n:
         raise RuntimeError(f"a block asked for {n} keys of kind {kind} and got {len(values)} answers")
     return values >> U(1), (values & U(1)).astype(bool)
-
-
-def batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches()

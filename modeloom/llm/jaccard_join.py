@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from modeloom.llm.components import components
 from modeloom.llm.frames import cut, parts, small_batches
-from modeloom.llm.grams import U, buffers, counted, mix, row_ranges, word_hashes
+from modeloom.llm.grams import U, buffers, mix, row_ranges, word_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
