@@ -42,7 +42,8 @@ from modeloom.llm.grams import U, buffers, counted, mix, pack, prefix, span, unp
 LENGTH = 200
 GRAM = 40
 PIECE = 1 << 20
-HOT = 20_000
+HOT = 2_000
+ORDERED_AT_ONCE = 1 << 19
 TRIGGERS, PHRASES, STRINGS, DICTIONARY = 0, 1, 2, 3
 
 
@@ -194,12 +195,12 @@ class Open:
         return np.concatenate([self.hashes, self.standing])
 
     def dictionary(self, block: int) -> dict:
-        """Columns of ASKED: by shard the entries' numbers of starts, and their bytes."""
+        """Columns of ASKED: by shard the entries' numbers of starts and triggers, and their bytes."""
         shard, out = (self.trigger >> U(64 - self.bits)).astype(np.int64), {"kind": [], "shard": [], "block": [], "keys": [], "counts": []}
         for k in np.unique(shard):
             own = np.flatnonzero(shard == k)
             body = b"".join(self.data[self.low[i] : self.high[i] + self.length].tobytes() for i in own)
-            for name, value in zip(out, (DICTIONARY, int(k), block, pack((self.high[own] - self.low[own] + 1).astype(np.uint64)), zstandard.ZstdCompressor(level=1).compress(body)), strict=True):
+            for name, value in zip(out, (DICTIONARY, int(k), block, pack(np.concatenate([(self.high[own] - self.low[own] + 1).astype(np.uint64), self.trigger[own]])), zstandard.ZstdCompressor(level=1).compress(body)), strict=True):
                 out[name].append(value)
         return out
 
@@ -218,17 +219,32 @@ class Open:
 def _dictionary_answers(kind: int, shard: int, rows: pa.Table, length: int) -> pa.Table:
     """To each block a bit for each start of its entries: whether another suffix of the shard has its rank."""
     rows = rows.sort_by("block")
-    sizes = [unpack(x.as_py()).astype(np.int64) for x in rows["keys"]]
+    both = [unpack(x.as_py()).reshape(2, -1) for x in rows["keys"]]
     text = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x.as_py()) for x in rows["counts"]), np.uint8)
-    every = np.concatenate(sizes)
-    begin = np.cumsum(every + length - 1) - (every + length - 1)
-    starts = np.repeat(begin - np.cumsum(every) + every, every) + np.arange(int(every.sum()))
-    rank = suffix_ranks(text, starts, length)
-    again, out, at = np.bincount(rank)[rank] > 1, [], 0
-    for own in sizes:
-        out.append(np.packbits(again[at : at + int(own.sum())]).tobytes())
-        at += int(own.sum())
-    return pa.table({"kind": [kind] * len(sizes), "shard": [shard] * len(sizes), "block": rows["block"], "totals": out}, schema=ANSWERED_ARROW)
+    sizes, trigger = np.concatenate([x[0] for x in both]).astype(np.int64), np.concatenate([x[1] for x in both])
+    wide = sizes + length - 1
+    begin, at = np.cumsum(wide) - wide, np.cumsum(sizes) - sizes
+    again = np.zeros(int(sizes.sum()), bool)
+    order = np.argsort(trigger, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], trigger[order][1:] != trigger[order][:-1], [True]]))
+    held = np.concatenate([[0], np.cumsum(wide[order])])
+    low = 0
+    while low < len(heads) - 1:  # phrases of some triggers at a time, as equal strings have equal triggers
+        high = max(low + 1, int(np.searchsorted(held[heads], held[heads[low]] + ORDERED_AT_ONCE, "right")) - 1)
+        own = order[heads[low] : heads[high]]
+        if len(own) > 1 or sizes[own[0]] > 1:
+            part = np.concatenate([text[begin[i] : begin[i] + wide[i]] for i in own])
+            first = np.cumsum(wide[own]) - wide[own]
+            step = np.arange(int(sizes[own].sum())) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+            rank = suffix_ranks(part, np.repeat(first, sizes[own]) + step, length)
+            again[np.repeat(at[own], sizes[own]) + step] = np.bincount(rank)[rank] > 1
+        low = high
+    out, at_row = [], 0
+    for x in both:
+        n = int(x[0].sum())
+        out.append(np.packbits(again[at_row : at_row + n]).tobytes())
+        at_row += n
+    return pa.table({"kind": [kind] * len(both), "shard": [shard] * len(both), "block": rows["block"], "totals": out}, schema=ANSWERED_ARROW)
 
 
 def _answer(length: int):
