@@ -8,8 +8,8 @@ import numpy as np
 def butterworth_bandpass(low: float, high: float, fs: float, order: int = 4) -> np.ndarray:
     """Sections (b0, b1, b2, 1, a1, a2) of a Butterworth band-pass of 2 * order poles."""
     nyquist = fs / 2
-    high = nyquist - 0.5 if high >= nyquist else high
-    low = max(low, 0.1)
+    if low >= nyquist or high >= nyquist:
+        low, high = max(low, 0.1), min(high, nyquist - 0.5)
     warp = 4 * np.tan(np.pi * np.array([low, high]) / fs)
     width, centre2 = warp[1] - warp[0], warp[0] * warp[1]
     k = np.arange(1, order + 1)

@@ -45,8 +45,8 @@ def _numeric(value: object) -> bool:
 def signal_of(variables: dict[str, object], stem: str = "", width: int | None = None) -> tuple[np.ndarray, float]:
     """The signal and its rate among a file's variables: by name, in a struct with data and srate, or the only one.
 
-    With a stem its own name comes first. It is turned so that channels are rows: by `width` if that decides it, else
-    the shorter side is channels."""
+    With a stem its own name comes first. It is turned if it has more rows than columns, or `width` columns and other
+    than `width` rows."""
     rate = next((float(np.ravel(variables[k])[0]) for k in RATE_KEYS if k in variables and isinstance(variables[k], np.ndarray) and variables[k].size), RATE)
     named = [variables[k] for k in ((stem,) if stem else ()) + SIGNAL_KEYS if k in variables]
     for value in [*named, *variables.values()]:
@@ -61,7 +61,7 @@ def signal_of(variables: dict[str, object], stem: str = "", width: int | None =
             raise ValueError("no signal among the variables: " + ", ".join(sorted(variables)))
         signal = own[0]
     rows, columns = signal.shape
-    turn = columns == width and rows != width if width and (columns == width) != (rows == width) else rows > columns
+    turn = rows > columns or columns == width != rows
     return (signal.T if turn else signal).astype(float), rate
 
 
