@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from modeloom.llm.frames import parts
 from modeloom.llm.grams import U, pack, unpack
 
-#: Of a table's stored bytes; text is about twice as long.
+#: Of the stored bytes of the tables read; text is about twice as long.
 BLOCK_BYTES = 4 << 20
 MAX_SHARDS = 1 << 14
 ASKED = "kind int, shard int, block long, keys binary, counts binary"

@@ -64,9 +64,10 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> No
 
 
 def bytes_of(frame: DataFrame) -> int:
-    """The optimizer's estimate of a frame's size; 0 where it has none."""
-    estimate = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 if estimate > 1 << 60 else estimate
+    """What the tables that a frame reads have in bytes, whichever columns it takes; 0 where Spark doesn't know."""
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def parts(frame: DataFrame, each: int) -> int:

@@ -88,15 +88,14 @@ class Phrases:
     """The phrases of a byte range: low, high (first and last start), trigger, key."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
-        self.length, n = length, len(data)
-        self.p = prefix(data)
+        n, p = len(data), prefix(data)
         none = np.zeros(0, np.int64)
         self.low = self.high = none
         self.trigger = self.key = np.zeros(0, np.uint64)
         if n < length:
             return
         at = np.arange(n - GRAM + 1)
-        grams = span(self.p, at, at + GRAM)
+        grams = span(p, at, at + GRAM)
         place = least_in_windows((grams >> U(24) << U(24)) | at.astype(np.uint64), length - GRAM + 1) & U((1 << 24) - 1)
         cut_off = np.zeros(n + 1, np.int32)
         np.add.at(cut_off, np.maximum(offsets[1:] - length + 1, offsets[:-1]), 1)
@@ -108,15 +107,9 @@ class Phrases:
         new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         self.low, self.high = starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
         self.trigger = grams[own[new]]
-        body = span(self.p, self.low, self.high + length)
+        body = span(p, self.low, self.high + length)
         self.key = mix(body + (self.high - self.low).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of all strings of these phrases."""
-        sizes = self.high[which] - self.low[which] + 1
-        starts = np.repeat(self.low[which] - np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(which) else np.zeros(0, np.int64), sizes) + np.arange(int(sizes.sum()))
-        return starts, span(self.p, starts, starts + self.length)
-
 
 def parsed(data: np.ndarray, offsets: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[int, Phrases]]:
     for a, b, own in pieces(offsets, length, piece):
@@ -144,9 +137,9 @@ class Known:
         self.of_trigger = answered(replies, TRIGGERS, len(self.triggers))[0]
         self.of_phrase, self.first = answered(replies, PHRASES, len(self.phrases))
 
-    def about(self, x: Phrases, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def about(self, trigger: np.ndarray, key: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which phrases repeat, which are open, which stand for their copies among open ones, which have a hot trigger."""
-        t, p = np.searchsorted(self.triggers, x.trigger), np.searchsorted(self.phrases, x.key)
+        t, p = np.searchsorted(self.triggers, trigger), np.searchsorted(self.phrases, key)
         again, others = self.of_phrase[p] > 1, self.of_trigger[t] > self.of_phrase[p]
         return again, ~again & others, again & others & self.first[p], self.of_trigger[t] > hot
 
@@ -171,25 +164,27 @@ class Open:
     def __init__(self, rows: pa.Table, replies: pa.Table, limits: Limits):
         self.data, self.offsets = buffers(rows["text"])
         self.length, self.bits = limits.length, limits.bits
-        each = list(parsed(self.data, self.offsets, limits.length, limits.piece))
-        known = Known(_joined([x.trigger for _, x in each]), _joined([x.key for _, x in each]), replies)
-        again, starts, hashes, entries, standing = [np.zeros((2, 0), np.int64)], [np.zeros(0, np.int64)], [], [], {}
-        for a, x in each:
-            repeated, alone, stands, hot = known.about(x, limits.hot)
-            again.append(np.stack([x.low[repeated], x.high[repeated]]) + a)
-            at, h = x.strings(np.flatnonzero(alone & hot))
-            starts.append(at + a)
-            hashes.append(h)
-            entries += [(x.key[i], x.trigger[i], x.low[i] + a, x.high[i] + a, True) for i in np.flatnonzero(alone & ~hot)]
-            for i in np.flatnonzero(stands):
-                standing.setdefault(x.key[i], (x, a, i, hot[i]))
-        entries += [(x.key[i], x.trigger[i], x.low[i] + a, x.high[i] + a, False) for x, a, i, hot in standing.values() if not hot]
-        self.again, self.starts, self.hashes = np.concatenate(again, axis=1), np.concatenate(starts), _joined(hashes)
-        self.standing = _joined([x.strings(np.array([i]))[1] for x, _, i, hot in standing.values() if hot])
-        entries.sort(key=lambda e: e[0])
-        self.trigger = np.array([e[1] for e in entries], np.uint64)
-        self.low, self.high = (np.array([e[k] for e in entries], np.int64) for k in (2, 3))
-        self.alone = np.array([e[4] for e in entries], bool)
+        each = [(x.low + a, x.high + a, x.trigger, x.key) for a, x in parsed(self.data, self.offsets, limits.length, limits.piece)]
+        low, high = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in each)]) for k in (0, 1))
+        trigger, key = (_joined([x[k] for x in each]) for k in (2, 3))
+        again, alone, stands, hot = Known(trigger, key, replies).about(trigger, key, limits.hot)
+        self.again = np.stack([low[again], high[again]])
+        _, once = np.unique(key[stands], return_index=True)
+        stands = np.flatnonzero(stands)[once]
+        self.starts, self.hashes = self._hashed(low, high, np.flatnonzero(alone & hot))
+        self.standing = self._hashed(low, high, stands[hot[stands]])[1]
+        entries = np.concatenate([np.flatnonzero(alone & ~hot), stands[~hot[stands]]])
+        entries = entries[np.argsort(key[entries], kind="stable")]
+        self.trigger, self.low, self.high, self.alone = trigger[entries], low[entries], high[entries], alone[entries]
+
+    def _hashed(self, low: np.ndarray, high: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of all strings of these phrases."""
+        starts, hashes = [np.zeros(0, np.int64)], []
+        for i in which:
+            at = np.arange(high[i] - low[i] + 1)
+            starts.append(at + low[i])
+            hashes.append(span(prefix(self.data[low[i] : high[i] + self.length]), at, at + self.length))
+        return np.concatenate(starts), _joined(hashes)
 
     def strings(self) -> np.ndarray:
         return np.concatenate([self.hashes, self.standing])
