@@ -57,6 +57,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def head(frame: DataFrame, rows: int, text: str, chars: int) -> DataFrame:
+    """The first rows that Spark finds, each text up to so many characters, as a table of its own: for fits and estimates
+    that take a bounded sample. Spark reads partitions one after the other until there are enough; a limit inside a plan
+    would take as many rows from each."""
+    found = frame.withColumn(text, F.substring(F.col(text), 1, chars)).limit(rows).collect()
+    return frame.sparkSession.createDataFrame(found, frame.schema)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
     """Bounds what a Python worker gets at once; whole texts can be long, so the session's default is too much."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
