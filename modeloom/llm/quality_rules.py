@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.frames import let, plain_text, words_of
+from modeloom.llm.frames import head, let, plain_text, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
@@ -69,8 +69,9 @@ def repeated_words(words: Column, n: Column, size: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_rows: int = 256) -> list[dict]:
-    """Cost in seconds and share of rejections of each rule on the first `sample_rows` rows that Spark finds."""
-    sample = docs.select(plain_text(F.col(text)).alias("t")).limit(sample_rows)
+    """Cost in seconds and share of rejections of each rule on the first `sample_rows` rows that Spark finds, of each the
+    first 16,384 characters."""
+    sample = head(docs.select(plain_text(F.col(text)).alias("t")), sample_rows, "t", 1 << 14)
     sample = sample.select("t", F.size(words_of(F.col("t"))).alias("n")).cache()
     try:
         rows, found = sample.count(), []
