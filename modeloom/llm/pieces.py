@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import inf
 
 import ahocorasick
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from modeloom.llm.frames import small_batches
 
 MARK = "▁"
-CACHE = 1 << 18
+CACHE = 1 << 19
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -71,6 +72,7 @@ class Codec:
                 self.automaton.add_word(p, (len(p), s, i))
         self.automaton.make_automaton()
         self.byte_score = min(v.scores) - 10.0
+        self.single = frozenset(p for p, ok in zip(v.pieces, v.normal, strict=True) if ok and len(p) == 1)
         self.mark = [v.byte_ids[b] for b in MARK.encode()]
         byte_of = {i: bytes([b]) for b, i in enumerate(v.byte_ids)}
         self.spelled = [byte_of.get(i, p.replace(MARK, " ").encode()) for i, p in enumerate(v.pieces)]
@@ -78,33 +80,37 @@ class Codec:
     def best(self, unit: str) -> tuple[int, ...]:
         """The best pieces of a unit, in one pass over what the automaton reports."""
         n = len(unit)
-        score, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        score, length, piece = [0.0] + [-inf] * n, [1] * (n + 1), [-1] * (n + 1)
+        # A character that is a piece is never better spelled in bytes; others may be, wherever no piece or a worse one ends.
+        spell = not self.single.issuperset(unit)
         done = 0
-
-        def settle(upto: int) -> None:
-            """Places that no piece reaches are reached by the bytes of the character before."""
-            nonlocal done
-            while done < upto:
-                done += 1
-                spelled = score[done - 1] + len(unit[done - 1].encode()) * self.byte_score
-                if spelled > score[done]:
-                    score[done], back[done] = spelled, (1, -1)
-
-        for end, (length, value, i) in self.automaton.iter(unit):
-            settle(end)
-            total = score[end + 1 - length] + value
-            if total > score[end + 1]:
-                score[end + 1], back[end + 1] = total, (length, i)
-        settle(n)
+        for end, (size, value, i) in self.automaton.iter(unit):
+            if spell:
+                self._spell(unit, done, end, score, length, piece)
+                done = end
+            end += 1
+            total = score[end - size] + value
+            if total > score[end]:
+                score[end], length[end], piece[end] = total, size, i
+        if spell:
+            self._spell(unit, done, n, score, length, piece)
         out: list[int] = []
         while n:
-            length, i = back[n]
+            i = piece[n]
             if i >= 0:
                 out.append(i)
             else:
                 out.extend(self.vocabulary.byte_ids[b] for b in reversed(unit[n - 1].encode()))
-            n -= length
-        return tuple(reversed(out))
+            n -= length[n]
+        out.reverse()
+        return tuple(out)
+
+    def _spell(self, unit: str, low: int, high: int, score: list[float], length: list[int], piece: list[int]) -> None:
+        """Relaxes the places after `low` up to `high` by the bytes of the character before."""
+        for at in range(low + 1, high + 1):
+            spelled = score[at - 1] + len(unit[at - 1].encode()) * self.byte_score
+            if spelled > score[at]:
+                score[at], length[at], piece[at] = spelled, 1, -1
 
     def encode(self, text: str) -> list[int]:
         if not text:
