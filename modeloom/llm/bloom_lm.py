@@ -1,9 +1,10 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
 Counts of words and of word pairs are gathered from all training documents. A count c is quantised to the level
-1 + floor(log2 c); the filter holds (n-gram, 1) to (n-gram, level). A worker reads a count back by probing levels until
-one is missing. The filter is broadcast, so its size has a fixed bound: pairs that occur once are left out of the model
-(not of the counts), and more of them below a level if need be, the level being the least with which the filter fits. Its parts are built by the shards that count; the driver only joins them.
+1 + floor(log2 c); the filter holds (n-gram, 1) to (n-gram, level). A count is read back by probing levels until one is
+missing. The filter has `BITS_A_KEY` bits for each entry whatever the corpus, and all words and pairs are in it, those
+that occur once too. No machine holds it whole: each shard that counts builds its own part, probes it for the n-grams
+that blocks of documents ask about, those of held-out documents among them, and answers with the levels it read.
 
 The probability of a word w after v is l * min(1, c(v w) / c(v)) + (1 - l) * (c(w) + 1) / (N + V + 1), counts as read
 from the filter. l is the share of pairs in the training text that it would still know if it lost this one occurrence,
@@ -26,15 +27,14 @@ from modeloom.llm.blocks import ANSWERED_ARROW, ASKED, answered, answers, asked,
 from modeloom.llm.frames import cut
 from modeloom.llm.grams import U, buffers, counted, mix, pack, unpack, word_hashes
 
-MAX_BYTES = 64 << 20
 BITS_A_KEY = 12
 PROBES = 8
 LEVELS = 40
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END = mix(np.array([0xE0D], np.uint64))[0]
-WORDS, PAIRS = 0, 1
-_COUNTED = "kind int, shard int, block long, totals binary, keys binary, levels binary, tokens long, kinds long, at array<long>"
+WORDS, PAIRS, WORD_LEVELS = 0, 1, 2
+_COUNTED = "kind int, shard int, block long, totals binary, tokens long, kinds long"
 _SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -68,7 +68,7 @@ def middle(level: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Bits of the words and pairs, by shard; shards of one kind are equally long."""
+    """Bits of the words and pairs, by shard; shards of one kind are equally long. For filters that one machine holds whole."""
 
     def __init__(self, bits: int, sizes: tuple[int, int], parts: dict[tuple[int, int], np.ndarray]):
         self.bits, self.sizes = bits, sizes
@@ -99,14 +99,18 @@ class Filter:
         return np.concatenate([np.zeros(0, np.int64), *(self._level(kind, keys[i : i + slice_]) for i in range(0, len(keys), slice_))])
 
     def _level(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        found, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         size = self.sizes[kind]
-        base = self.start[kind] + (keys >> U(64 - self.bits)).astype(np.int64) * size
+        return self.probe(self.data, self.start[kind] + (keys >> U(64 - self.bits)).astype(np.int64) * size, keys, size)
+
+    @classmethod
+    def probe(cls, data: np.ndarray, base: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+        """Levels of keys, each in the shard of so many bytes that begins at its base."""
+        found, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for q in range(1, LEVELS + 1):
             if not len(open_) or not size:
                 break
-            at = self.places(keys[open_], q, size)
-            byte = self.data[base[open_] + (at >> U(3)).astype(np.int64)]
+            at = cls.places(keys[open_], q, size)
+            byte = data[base[open_] + (at >> U(3)).astype(np.int64)]
             there = ((byte >> (at & U(7)).astype(np.uint8)) & 1).all(axis=0)
             open_ = open_[there]
             found[open_] = q
@@ -119,40 +123,38 @@ def _ask(bits: int):
         keys, starts = tokens(rows)
         train = np.repeat(~rows["held_out"].to_numpy(), np.diff(starts))
         word, n = counted(keys, train.astype(np.uint64))
-        pair, m = counted(pairs(keys, starts)[train])
+        pair, m = counted(pairs(keys, starts), train.astype(np.uint64))
         return asked([question(block, WORDS, word, n, bits), question(block, PAIRS, pair, m, bits)])
 
     return ask
 
 
+def read_back(keys: np.ndarray, totals: np.ndarray, slice_: int = 1 << 16) -> np.ndarray:
+    """Levels of a shard's keys as its part of the filter gives them; keys without a count are asked about, not put in."""
+    level = levels(totals)
+    kept = level > 0
+    size = -(-int(level.sum()) * BITS_A_KEY // 8) + 64
+    data = Filter.part(keys[kept], level[kept], 1, size)
+    some = (keys[i : i + slice_] for i in range(0, len(keys), slice_))
+    return np.concatenate([np.zeros(0, np.int64), *(Filter.probe(data, np.zeros(len(x), np.int64), x, size) for x in some)])
+
+
 def _count(key: tuple, rows: pa.Table) -> pa.Table:
-    """Answers about words to the blocks; and a row with the shard's keys, their levels and their sums."""
+    """Answers to the blocks: exact counts of words, levels of words and of pairs; and a row with the shard's sums."""
     kind, shard = key[0].as_py(), key[1].as_py()
     keys, totals, owner, each, blocks = shard_totals(rows)
-    there = answers(kind, shard, keys, totals, owner, each, blocks) if kind == WORDS else ANSWERED_ARROW.empty_table()
-    kept = totals > (0 if kind == WORDS else 1)
-    level = levels(totals[kept])
-    own = {
-        "kind": [kind], "shard": [shard], "block": [-1], "totals": [None], "keys": [pack(keys[kept], rising=True)], "levels": [pack(level)],
-        "tokens": [int(totals.sum())], "kinds": [int((totals > 0).sum())], "at": [np.bincount(level, minlength=LEVELS + 1).tolist()],
-    }
-    schema = pa.schema([*ANSWERED_ARROW, ("keys", pa.binary()), ("levels", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64()), ("at", pa.list_(pa.int64()))])
-    blank = {name: pa.nulls(len(there), schema.field(name).type) for name in schema.names[4:]}
-    return pa.concat_tables([pa.table({**{n: there[n] for n in there.column_names}, **blank}, schema=schema), pa.table(own, schema=schema)])
-
-
-def _build(sizes: tuple[int, int], least: int):
-    def build(batches):
-        for batch in batches:
-            for x in batch.to_pylist():
-                part = Filter.part(unpack(x["keys"], rising=True), unpack(x["levels"]).astype(np.int64), least if x["kind"] == PAIRS else 1, sizes[x["kind"]])
-                yield pa.RecordBatch.from_pydict({"kind": [x["kind"]], "shard": [x["shard"]], "part": [part.tobytes()]}, schema=pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("part", pa.binary())]))
-
-    return build
+    level, nobody = read_back(keys, totals).astype(np.uint64), np.full(len(keys), -1)
+    there = [answers(WORD_LEVELS if kind == WORDS else PAIRS, shard, keys, level, nobody, each, blocks)]
+    if kind == WORDS:
+        there.append(answers(WORDS, shard, keys, totals, owner, each, blocks))
+    own = {"kind": [kind], "shard": [shard], "block": [-1], "totals": [None], "tokens": [int(totals.sum())], "kinds": [int((totals > 0).sum())]}
+    schema = pa.schema([*ANSWERED_ARROW, ("tokens", pa.int64()), ("kinds", pa.int64())])
+    wide = [pa.table({**{n: x[n] for n in x.column_names}, **{n: pa.nulls(len(x), pa.int64()) for n in ("tokens", "kinds")}}, schema=schema) for x in there]
+    return pa.concat_tables([*wide, pa.table(own, schema=schema)])
 
 
 def plan(at: dict[int, list[int]], bits: int, max_bytes: int) -> tuple[tuple[int, int], int]:
-    """Bytes a shard of words and of pairs, and the least level of pairs that is kept."""
+    """Of a filter held whole in at most `max_bytes`: bytes a shard of words and of pairs, and the least level of pairs that is kept."""
     entries = lambda kind, least: sum(n * q for q, n in enumerate(at.get(kind, [])) if q >= least)
     size = lambda n: -(-n * BITS_A_KEY // 8 >> bits) + 64
     word = min(size(entries(WORDS, 1)), max(64, (max_bytes >> bits) // 2))
@@ -160,7 +162,7 @@ def plan(at: dict[int, list[int]], bits: int, max_bytes: int) -> tuple[tuple[int
     return (word, size(entries(PAIRS, least))), least
 
 
-def _score(filter_, n_tokens: int, n_kinds: int, share: float, id_type: pa.DataType):
+def _score(n_tokens: int, n_kinds: int, share: float, id_type: pa.DataType):
     def score(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         keys, starts = tokens(rows)
         word, inverse = np.unique(keys, return_inverse=True)
@@ -169,10 +171,9 @@ def _score(filter_, n_tokens: int, n_kinds: int, share: float, id_type: pa.DataT
         per_doc = lambda values: np.bincount(doc, weights=values, minlength=len(starts) - 1)
         lengths, total = np.diff(starts), np.log10(n_tokens + n_kinds + 1.0)
         base = per_doc(np.log10(exact + 1)[inverse]) - lengths * total
-        f: Filter = filter_.value
-        single = middle(f.level(WORDS, word))
+        single = middle(answered(replies, WORD_LEVELS, len(word))[0].astype(np.int64))
         pair, where = np.unique(pairs(keys, starts), return_inverse=True)
-        double = middle(f.level(PAIRS, pair))[where]
+        double = middle(answered(replies, PAIRS, len(pair))[0].astype(np.int64))[where]
         before = np.empty(len(keys))
         before[1:] = single[inverse[:-1]]
         before[starts[:-1]] = single[np.searchsorted(word, _END)] if len(word) else 0
@@ -192,24 +193,19 @@ def held_out_ids(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", max_bytes: int = MAX_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Scores of all documents by what those that aren't held out hold."""
-    spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     dealt, n_blocks = in_blocks(own, "doc_id", "text")
     bits = shard_bits(n_blocks)
     made = cut(dealt.groupBy("block").applyInArrow(_ask(bits), ASKED).groupBy("kind", "shard").applyInArrow(_count, _COUNTED))
-    shards = made.filter("block = -1")
-    rows = shards.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds"), F.array(*[F.sum(F.get("at", F.lit(q))) for q in range(LEVELS + 1)]).alias("at")).collect()
+    rows = made.filter("block = -1").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect()
     found = {x["kind"]: x for x in rows}
     n_tokens, n_kinds = (found[WORDS]["tokens"], found[WORDS]["kinds"]) if found else (0, 0)
     share = 1 - found[PAIRS]["kinds"] / found[PAIRS]["tokens"] if PAIRS in found and found[PAIRS]["tokens"] else 0.0
-    sizes, least = plan({k: x["at"] for k, x in found.items()}, bits, max_bytes)
-    parts = shards.select("kind", "shard", "keys", "levels").mapInArrow(_build(sizes, least), "kind int, shard int, part binary").toLocalIterator()
-    shared = spark.sparkContext.broadcast(Filter(bits, sizes, {(x["kind"], x["shard"]): np.frombuffer(x["part"], np.uint8) for x in parts}))
     replies = made.filter("block >= 0").select("kind", "shard", "block", "totals")
     kind = own.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = _SCORED.format(id=kind.simpleString())
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(shared, n_tokens, n_kinds, share, to_arrow_type(kind)), schema)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(n_tokens, n_kinds, share, to_arrow_type(kind)), schema)

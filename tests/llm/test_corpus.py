@@ -116,6 +116,43 @@ def test_filter_has_a_bound():
     assert (sum(sizes) << 4) <= (64 << 20) + 4096 and least > 2
 
 
+def test_scores_by_definition_with_pairs_seen_once(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts + texts)]
+    out = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    tokens = lambda t: [None, *t.split(), None]
+    one, two = collections.Counter(), collections.Counter()
+    for d, t in rows:
+        if not out(d):
+            one.update(tokens(t)[1:])
+            two.update(zip(tokens(t), tokens(t)[1:]))  # noqa: B905
+    assert sum(c == 1 for c in two.values()) > 100
+    read = lambda c: (2.0 ** (c.bit_length() - 1) + 2.0 ** c.bit_length() - 1) / 2 if c else 0.0
+    share, bottom = 1 - len(two) / sum(two.values()), sum(one.values()) + len(one) + 1
+
+    def score(t):
+        total = 0.0
+        for v, w in zip(tokens(t), tokens(t)[1:]):  # noqa: B905
+            weight = share if one[v] else 0.0
+            total += math.log10(weight * min(1, read(two[v, w]) / max(read(one[v]), 1)) + (1 - weight) * (read(one[w]) + 1) / bottom)
+        return total
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = bloom_lm.score_documents(docs, bloom_lm.held_out_ids(F.col("doc_id"), 7, 2)).collect()
+    off = [abs(r["score"] / score(texts[r["doc_id"] % 60]) - 1) for r in found]
+    assert len(off) == 120 and max(off) < 0.02, max(off)
+
+
+def test_filter_keeps_its_bits_a_key_whatever_the_size():
+    rng = np.random.default_rng(6)
+    for n in (1000, 300_000):
+        keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        totals = rng.integers(0, 9, len(keys)).astype(np.uint64)
+        found, level = bloom_lm.read_back(keys, totals), bloom_lm.levels(totals)
+        assert (found >= level).all() and (found == level).mean() > 0.97
+
+
 def test_model_beats_its_base_on_held_out_text(spark):
     rng = np.random.default_rng(1)
     phrases = [" ".join(f"w{rng.integers(0, 500)}" for _ in range(6)) for _ in range(60)]
