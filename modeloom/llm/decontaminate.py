@@ -15,7 +15,8 @@ The benchmark is a stated query set: it is taken in blocks of `ITEMS` items, eac
 
 Nulls and odd inputs: null or empty texts and items match nothing, nor do items of fewer than `LEAST` words; a text of
 any length is searched whole; equal items match alike, equal documents too; empty tables give no match; a null doc_id
-is kept as it is in `matches` and never removed by `decontaminate` unless a document with a null id matches.
+is kept as it is in `matches`. `decontaminate` tells documents by id and text: of rows with one id, or none, only those
+whose own text holds an item go.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.frames import head, small_batches
+from modeloom.llm.frames import head, row_key, small_batches
 from modeloom.llm.grams import U, buffers, prefix, row_ranges, span
 
 BUCKETS = 1 << 16
@@ -332,5 +333,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """`docs` without the documents that hold a benchmark item."""
-    found = matches(docs, benchmark, text, doc_id, item_text, item_id).select(F.col("doc_id").alias("__dc_id")).distinct()
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("__dc_id")), "left_anti")
+    keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
+    found = matches(keyed, benchmark, "text", "key", item_text, item_id).select(F.col("doc_id").alias("__dc_key")).distinct()
+    return docs.join(found, row_key(F.col(doc_id), F.col(text)).eqNullSafe(F.col("__dc_key")), "left_anti")

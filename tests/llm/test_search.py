@@ -126,6 +126,15 @@ def test_decontamination_on_odd_tables(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_clean_documents_with_the_id_of_a_leak_stay(spark):
+    rng, bench = random.Random(12), items()
+    leak, clean = odd.text(rng, 90) + " " + bench[3][1], [odd.text(rng, 120) for _ in range(3)]
+    for own in (None, 7):
+        docs = spark.createDataFrame([(own, leak), (own, leak), *((own, t) for t in clean), (own, None), (8, clean[0])], "doc_id long, text string")
+        left = decontaminate.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted([(own or 0, ""), *((own or 0, t) for t in clean), (8, clean[0])])
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEMS", 5)
     bench = spark.createDataFrame(items(), "item_id long, text string")
