@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are runs of letters and digits in lower case, hashed to `BUCKETS` terms for their weights, which are folded to
-`FOLDED` for the vectors. Document frequencies are counted over all documents. Passages, of the benchmark and of a
-bounded sample of documents (`fit_docs`, of each `FIT_CHARS`), make a TF-IDF matrix; a randomised SVD finds its right
-singular vectors: each partition multiplies its rows A by a random matrix and sends A'(A X), the driver
-orthonormalises the sum, and a second pass gives the small Gram matrix of what is left. All documents are then
+`FOLDED` for the vectors. Document frequencies are counted over all documents. The passages of the larger scale of all
+documents and all items, each whole, make a TF-IDF matrix; a randomised SVD finds its right singular vectors: each
+partition multiplies its rows A by a random matrix and sends A'(A X), which is added up by slices of terms in two
+shuffles, the driver orthonormalises the sum, and a second pass gives the small Gram matrix of what is left. A passage is
+two steps of words, so both passes add up steps and then neighbouring steps. All documents are then
 searched: of each passage (16 words at every 8th, 48 at every 24th) the latent vector, of each item the cosine to the
 passages of the scale that suits its length. What comes near is decided by two exact checks on the words around the
 passage: the longest common subsequence must hold `LCS` of the item's words within a stretch of one and a half times its
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.frames import head, row_key, small_batches
+from modeloom.llm.frames import row_key, small_batches
 from modeloom.llm.grams import U, buffers, prefix, row_ranges, span
 
 BUCKETS = 1 << 16
@@ -41,7 +42,8 @@ LCS = 0.6
 ANSWER = 0.5
 LEAST = 5
 ITEMS = 4096
-FIT_CHARS = 8192
+#: Slices of terms in which partitions send their sums, and groups of partitions that are added up first.
+SLICES, GROUPS = 64, 16
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -123,38 +125,74 @@ def _passages(words: np.ndarray, at: np.ndarray, size: int, step: int) -> tuple[
     return begin, np.minimum(begin + size, np.repeat(at[1:], counts))
 
 
-def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """TF-IDF rows of unit length of a batch's passages of the larger scale: row, folded term, value."""
+@dataclass
+class Steps:
+    """Of some texts: the words' folded terms, weights and steps, where steps begin, and of each passage its first step, whether it has a second and its norm."""
+
+    term: np.ndarray
+    value: np.ndarray
+    step: np.ndarray
+    begin: np.ndarray
+    first: np.ndarray
+    double: np.ndarray
+    norm: np.ndarray
+
+    def project(self, factors: np.ndarray) -> np.ndarray:
+        """The TF-IDF rows of unit length of all passages, times factors."""
+        each = np.add.reduceat(self.value[:, None] * factors[self.term], self.begin, axis=0)
+        y = each[self.first]
+        y[self.double] += each[self.first[self.double] + 1]
+        return y / self.norm[:, None]
+
+    def back(self, y: np.ndarray, out: np.ndarray) -> None:
+        """Adds the transpose of the rows, times y, to out."""
+        y = y / self.norm[:, None]
+        each = np.zeros((len(self.begin), y.shape[1]), y.dtype)
+        each[self.first] += y
+        each[self.first[self.double] + 1] += y[self.double]
+        order = np.argsort(self.term.astype(np.uint16), kind="stable")
+        ordered = self.term[order]
+        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        out[ordered[at]] += np.add.reduceat(self.value[order, None] * each[self.step[order]], at, axis=0)
+
+
+def _steps(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[Steps]:
+    """The passages of the larger scale of a batch's texts."""
+    size, step = SCALES[1]
+    if size != 2 * step:
+        raise ValueError("a passage is two steps")
     data, offsets = buffers(batch.column("text"))
     for low, high in row_ranges(offsets, 1 << 18):
         words, at = plain_words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        begin, end = _passages(words, at, *SCALES[1])
-        row = np.repeat(np.arange(len(begin)), end - begin)
-        where = np.arange(len(row)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + np.repeat(begin, end - begin)
-        t = term(words[where])
+        if not len(words):
+            continue
+        n = np.diff(at)
+        count = -(-n // step)
+        before = np.cumsum(count) - count
+        place = np.arange(len(words)) - np.repeat(at[:-1], n)
+        own = np.repeat(before, n) + place // step
+        begin = np.flatnonzero(place % step == 0)
+        last = np.zeros(len(begin), bool)
+        last[(before + count - 1)[count > 0]] = True
+        single = np.zeros(len(begin), bool)
+        single[before[count == 1]] = True
+        first = np.flatnonzero(~last | single)
+        double = ~single[first]
+        t = term(words)
         value = idf[t]
-        norm = np.sqrt(np.bincount(row, weights=value**2, minlength=len(begin)))
-        yield row, t & (FOLDED - 1), value / np.maximum(norm, 1e-9)[row]
-
-
-def _by_row(row: np.ndarray, value: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Sums of value * factors over each row; rows rise from 0 without a gap."""
-    if not len(row):
-        return np.zeros((0, factors.shape[1]), np.float32)
-    return np.add.reduceat(value[:, None].astype(np.float32) * factors, np.searchsorted(row, np.arange(row[-1] + 1)), axis=0)
+        square = np.add.reduceat(value**2, begin)
+        norm = square[first]
+        norm[double] += square[first[double] + 1]
+        yield Steps(t & (FOLDED - 1), value.astype(np.float32), own, begin, first, double, np.maximum(np.sqrt(norm), 1e-9).astype(np.float32))
 
 
 def _range_finder(idf: np.ndarray, x: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = np.zeros_like(x)
         for batch in batches:
-            for row, t, value in _rows(batch, idf):
-                y = _by_row(row, value, x[t])
-                order = np.argsort(t, kind="stable")
-                has, first = np.unique(t[order], return_index=True)
-                if len(has):
-                    z[has] += np.add.reduceat(value[order, None].astype(np.float32) * y[row[order]], first, axis=0)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([z.tobytes()], pa.binary())})
+            for steps in _steps(batch, idf):
+                steps.back(steps.project(x), z)
+        yield from _sent(z.reshape(SLICES, -1))
 
     return run
 
@@ -163,27 +201,64 @@ def _gram(idf: np.ndarray, q: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = np.zeros((q.shape[1], q.shape[1]), np.float64)
         for batch in batches:
-            for row, t, value in _rows(batch, idf):
-                y = _by_row(row, value, q[t])
-                g += y.T.astype(np.float64) @ y
-        yield pa.RecordBatch.from_pydict({"part": pa.array([g.tobytes()], pa.binary())})
+            for steps in _steps(batch, idf):
+                y = steps.project(q)
+                g += y.T @ y
+        yield from _sent(g.reshape(1, -1))
+
+    return run
+
+
+_SENT = "slice int, part binary"
+
+
+def _sent(slices: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of a partition's sums that aren't all zero."""
+    for i, own in enumerate(slices):
+        if own.any():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "part": pa.array([own.tobytes()], pa.binary())})
+
+
+def _added(kind: type):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i, group, part in zip(batch.column("slice").to_pylist(), batch.column("owner").to_pylist(), batch.column("part"), strict=True):
+                own = np.frombuffer(part.as_buffer(), kind)
+                total[i, group] = total.get((i, group), 0.0) + own.astype(np.float64)
+        for (i, _), own in total.items():
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([i], pa.int32()), "part": pa.array([own.astype(kind).tobytes()], pa.binary())})
 
     return run
 
 
-def fit(docs: DataFrame, benchmark: DataFrame, text: str, rank: int = RANK, fit_docs: int = 2000, fit_parts: int = 4) -> Space:
+def _summed(sent: DataFrame, shape: tuple[int, int], kind: type) -> np.ndarray:
+    """What all partitions sent, added up by slice: first within groups of partitions, then over the groups."""
+    for group in (F.pmod(F.spark_partition_id(), F.lit(GROUPS)), F.lit(0)):
+        sent = sent.withColumn("owner", group).repartition("slice", "owner").mapInArrow(_added(kind), _SENT)
+    rows = {r["slice"]: np.frombuffer(r["part"], kind) for r in sent.collect()}
+    if not rows:
+        return np.zeros(shape)
+    size = len(next(iter(rows.values())))
+    total = np.zeros(shape[0] * shape[1])
+    for i, part in rows.items():
+        total[i * size : (i + 1) * size] = part
+    return total.reshape(shape)
+
+
+def fit(docs: DataFrame, benchmark: DataFrame, text: str, rank: int = RANK) -> Space:
     texts = docs.select(F.col(text).alias("text"))
     counts = texts.mapInArrow(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS)
     for r in counts:
         df[r["term"]] = r["n"]
     idf = np.log1p(max(df.max(initial=0.0), 1.0) / (1 + df))
-    sample = head(texts, fit_docs, "text", FIT_CHARS).unionByName(head(benchmark.select("text"), fit_docs, "text", FIT_CHARS)).repartition(fit_parts)
+    every = texts.unionByName(benchmark.select("text"))
     rng = np.random.default_rng(3)
     x = rng.normal(size=(FOLDED, rank + 8)).astype(np.float32)
-    z = sum((np.frombuffer(r["part"], np.float32).reshape(x.shape).astype(np.float64) for r in sample.mapInArrow(_range_finder(idf, x), "part binary").collect()), np.zeros(x.shape))
+    z = _summed(every.mapInArrow(_range_finder(idf, x), _SENT), x.shape, np.float32)
     q = np.linalg.qr(z)[0].astype(np.float32)
-    g = sum((np.frombuffer(r["part"], np.float64).reshape(rank + 8, -1) for r in sample.mapInArrow(_gram(idf, q), "part binary").collect()), np.zeros((rank + 8, rank + 8)))
+    g = _summed(every.mapInArrow(_gram(idf, q), _SENT), (rank + 8, rank + 8), np.float64)
     _, vectors = np.linalg.eigh(g)
     v = q @ vectors[:, ::-1][:, :rank].astype(np.float32)
     return Space(idf, v.astype(np.float32))
@@ -305,7 +380,7 @@ def _search(shared, item_type: pa.DataType):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", fit_docs: int = 2000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, lcs_share) for each document that holds a benchmark item, word for word or nearly."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -313,7 +388,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: s
     small_batches(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    space = fit(own, items, "text", fit_docs=fit_docs)
+    space = fit(own, items, "text")
     kinds = [own.schema["doc_id"].dataType, items.schema["id"].dataType]
     out, block = None, []
 

@@ -126,6 +126,38 @@ def test_decontamination_on_odd_tables(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_latent_vectors_cover_documents_beyond_the_first(spark):
+    rng = random.Random(13)
+    first, late = odd.text(rng, 60), [odd.text(rng, 2000), odd.text(rng, 60)]
+    docs = spark.createDataFrame([(first,)] * 2100 + [(late[0],)] + [(late[1],)] * 20, "text string")
+    space = decontaminate.fit(docs, spark.createDataFrame(items(), "item_id long, text string"), "text")
+    for own in (first, late[0], late[0][9000:], late[1]):
+        data = np.frombuffer(own.encode(), np.uint8)
+        terms = decontaminate.term(decontaminate.plain_words(data, np.array([0, len(data)]))[0]) & (decontaminate.FOLDED - 1)
+        assert (np.abs(space.vectors[terms]).max(axis=1) > 0).mean() > 0.99
+
+
+def test_passes_of_the_vectors_by_definition():
+    rng = random.Random(14)
+    texts = [odd.text(rng, n) for n in (1, 23, 24, 25, 47, 48, 49, 72, 73, 500)] + ["", None, "a a a"]
+    idf, draw = np.random.default_rng(1).uniform(0.5, 2, decontaminate.BUCKETS), np.random.default_rng(2)
+    x = draw.normal(size=(decontaminate.FOLDED, 5)).astype(np.float32)
+    words, at = decontaminate.plain_words(*decontaminate.buffers(pa.array(texts)))
+    begin, end = decontaminate._passages(words, at, *decontaminate.SCALES[1])
+    a = np.zeros((len(begin), decontaminate.FOLDED))
+    for row, (b, e) in enumerate(zip(begin, end, strict=True)):
+        t = decontaminate.term(words[b:e])
+        np.add.at(a[row], t & (decontaminate.FOLDED - 1), idf[t])
+        a[row] /= np.sqrt((idf[t] ** 2).sum())
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    sums = np.zeros_like(x)
+    for part in decontaminate._range_finder(idf, x)(iter([batch])):
+        sums.reshape(decontaminate.SLICES, -1)[part["slice"][0].as_py()] = np.frombuffer(part["part"][0].as_py(), np.float32)
+    assert np.allclose(sums, a.T @ (a @ x), atol=1e-3)
+    (gram,) = decontaminate._gram(idf, x)(iter([batch]))
+    assert np.allclose(np.frombuffer(gram["part"][0].as_py()).reshape(5, 5), (a @ x).T @ (a @ x), rtol=1e-3, atol=1e-3)
+
+
 def test_clean_documents_with_the_id_of_a_leak_stay(spark):
     rng, bench = random.Random(12), items()
     leak, clean = odd.text(rng, 90) + " " + bench[3][1], [odd.text(rng, 120) for _ in range(3)]
