@@ -18,7 +18,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without runs of lines that stand earlier."""
-    return line_dedup.dedup_lines(docs)
+    return line_dedup.dedup_lines(docs, extend=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ that is long enough for a window has the same fingerprint in both. Fingerprints
 pre-aggregated count. What is left is joined by fingerprint to the repeated ones, and each match is extended to both
 ends of its windows by comparing whole windows with the first place that has them; windows that overlap chain into
 maximal runs. Every line of a window that also stands earlier (by doc_id, then by place in the text) is deleted; the
-first copy stays.
+first copy stays. With `extend`, each line also ends a window, which reaches back for `min_words` words: a line of a shared
+run of so many words is in the window that begins with the run, or the run up to it is long enough for a window that
+ends with it, so whole maximal runs go. Without it the lines after a run's last window stay, as in the SQL.
 
 No step gathers a group: hot fingerprints and hot windows meet in a count or a minimum first, then in a join whose
 other side has one row a key, which Spark can split.
@@ -31,8 +33,10 @@ def _lines(text: Column) -> Column:
     return F.split(plain_text(text), "\n")
 
 
-def _windows(h: Column, w: Column, at: Column, least: int) -> Column:
-    """An array of windows over lines with hashes `h`, words `w` and places `at`: its lines' places, the fingerprint and its place, the content."""
+def _windows(h: Column, w: Column, at: Column, least: int, back: bool = False) -> Column:
+    """An array of windows over lines with hashes `h`, words `w` and places `at`: its lines' places, the fingerprint and its place, the content.
+    With `back` the lines come last first, so a window ends where it would begin."""
+    ahead = F.reverse if back else lambda x: x
 
     def length(i: Column) -> Column:
         def more(state: Column, x: Column) -> Column:
@@ -44,11 +48,12 @@ def _windows(h: Column, w: Column, at: Column, least: int) -> Column:
 
     def window(i: Column) -> Column:
         def described(n: Column) -> Column:
-            hashes = F.slice(h, i + 1, n)
+            hashes = ahead(F.slice(h, i + 1, n))
+            begin = F.size(h) - i - n if back else i
             return F.struct(
-                F.slice(at, i + 1, n).alias("lines"),
+                ahead(F.slice(at, i + 1, n)).alias("lines"),
                 F.array_min(hashes).alias("print"),
-                (i + F.array_position(hashes, F.array_min(hashes))).cast("int").alias("place"),
+                (begin + F.array_position(hashes, F.array_min(hashes))).cast("int").alias("place"),
                 F.xxhash64(hashes, n).alias("content"),
             )
 
@@ -57,7 +62,7 @@ def _windows(h: Column, w: Column, at: Column, least: int) -> Column:
     return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - 1), window))
 
 
-def windows_of(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataFrame:
+def windows_of(docs: DataFrame, text: str, doc_id: str, min_words: int, extend: bool = False) -> DataFrame:
     """A row (key, lines, print, place, content) for each window of each document."""
     units = F.filter(F.transform(_lines(F.col(text)), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda u: u["x"].rlike(_WORD))
     cut_up = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), units.alias("u"))
@@ -67,13 +72,16 @@ def windows_of(docs: DataFrame, text: str, doc_id: str, min_words: int) -> DataF
         F.transform("u", lambda u: F.regexp_count(u["x"], F.lit(_WORD + "+"))).alias("w"),
         F.transform("u", lambda u: u["i"]).alias("at"),
     )
-    found = let(F.col("h"), lambda h: let(F.col("w"), lambda w: let(F.col("at"), lambda at: _windows(h, w, at, min_words))))
+    over = lambda way, back: let(way(F.col("h")), lambda h: let(way(F.col("w")), lambda w: let(way(F.col("at")), lambda at: _windows(h, w, at, min_words, back))))
+    found = over(lambda x: x, False)
+    if extend:
+        found = F.array_union(found, over(F.reverse, True))
     return hashed.filter(F.size("h") > 0).select("key", F.explode(found).alias("x")).select("key", "x.*")
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
     """A row (key, gone) for each document that loses lines; gone: their places among the lines of the text, from 0."""
-    windows = windows_of(docs, text, doc_id, min_words)
+    windows = windows_of(docs, text, doc_id, min_words, extend)
     place = F.struct("key", "place")
     prints = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("print")
     shared = windows.drop("place").join(prints, "print").drop("print")
@@ -82,9 +90,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
-    """`docs` without the repeated lines; with `counts`, also n_lines (those with a word) and n_removed."""
-    gone = repeated_lines(docs, text, doc_id, min_words)
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, counts: bool = False, extend: bool = False) -> DataFrame:
+    """`docs` without the repeated lines, with `extend` of whole runs; with `counts`, also n_lines (those with a word) and n_removed."""
+    gone = repeated_lines(docs, text, doc_id, min_words, extend)
     key, other, at, body = "__ld_key", "__ld_other", "__ld_gone", F.col(text)
     keyed = docs.withColumn(key, row_key(F.col(doc_id), body))
     joined = keyed.join(gone.select(F.col("key").alias(other), F.col("gone").alias(at)), F.col(key).eqNullSafe(F.col(other)), "left")
@@ -102,7 +110,8 @@ ORACLE_TEXTS = r"""
 l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM {docs}),
 l AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS upto
-  FROM (SELECT *, len(regexp_extract_all(l, '[^ 	-]+')) AS n FROM l0) WHERE n > 0
+  FROM (SELECT *, len(regexp_extract_all(l, '[^ 	-
+]+')) AS n FROM l0) WHERE n > 0
 ),
 w AS (
   SELECT a.doc_id, a.r AS s, min(b.r) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.r >= a.r AND b.r < a.r + 50 AND b.upto >= a.upto - a.n + 50
@@ -113,7 +122,8 @@ x AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS copy
 gone AS (SELECT DISTINCT l.doc_id, l.p FROM x JOIN l ON l.doc_id = x.doc_id AND l.r BETWEEN x.s AND x.e WHERE copy > 1),
 cleaned AS (
   SELECT l0.doc_id, string_agg(l0.l, chr(10) ORDER BY l0.p) FILTER (gone.p IS NULL) AS text, count(gone.p) AS n_removed,
-    count(*) FILTER (regexp_matches(l0.l, '[^ 	-]')) AS n_lines
+    count(*) FILTER (regexp_matches(l0.l, '[^ 	-
+]')) AS n_lines
   FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.p = l0.p GROUP BY l0.doc_id
 )"""
 

@@ -32,6 +32,15 @@ def test_stages_live_with_odd_tables(spark, data):
         docs.count()
 
 
+def test_lines_of_whole_runs_go(spark, data):
+    run = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in enumerate((7, 25, 25, 3, 2))]
+    alone = [[" ".join(f"{k}y{i}x{j}" for j in range(30)) for i in range(3)] for k in range(2)]
+    texts = ["\n".join([*alone[0], *run, alone[0][0] + " a"]), "\n".join([alone[1][0], *run, "", *alone[1][1:]]), "\n".join(run[2:])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, data).collect()}
+    assert left == {0: texts[0], 1: "\n".join([alone[1][0], "", *alone[1][1:]]), 2: texts[2]}
+
+
 def test_one_query_an_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert [round(jaccard_join.SIMILARITY, 1), jaccard_join.WORDS] == [0.8, 5]
