@@ -516,8 +516,7 @@ def _(s, d):
 
 @query("mr1_ranking_by_information")
 def _(s, d):
-    rows = selection.project(T.matrix(s, d), list(range(10)))
-    return s.createDataFrame([(i + 1, f) for i, f in enumerate(selection.rank(rows, "MI", 5))], "rank long, feat long")
+    return s.createDataFrame([(i + 1, f) for i, f in enumerate(selection.rank(T.matrix(s, d), "MI"))], "rank long, feat long")
 
 
 @query("mr2_neighbour_relevance")
@@ -527,7 +526,7 @@ def _(s, d):
 
 @query("mr3_neighbour_redundancy")
 def _(s, d):
-    return T.rounded(selection.neighbour_redundancy(selection.project(T.matrix(s, d), list(range(12))), 500))
+    return T.rounded(selection.neighbour_redundancy(T.matrix(s, d)))
 
 
 @query("mr7_fold_local_selection")
@@ -538,7 +537,8 @@ def _(s, d):
 @query("mr9_accuracy_by_count")
 def _(s, d):
     rows = _folded(s, d)
-    return T.rounded(experiments.sweep(rows, selection.rank(rows, "F", 8), [1, 2, 4, 8], 2, "cityblock", "uniform"))
+    order = selection.rank(rows, "F")
+    return T.rounded(experiments.sweep(rows, order, selection.sweep_counts(len(order)), 2, "cityblock", "uniform"))
 
 
 # Signals

@@ -160,3 +160,12 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
 def test_comparison_of_classifiers(matrix):
     found = {r["classifier"]: r["accuracy"] for r in classifiers.compare(matrix, [0, 1, 2, 3], 3, "euclidean").collect()}
     assert set(found) == {"knn", "decision_tree", "rbf_svm", "bagged_trees"} and min(found.values()) > 0.6
+
+
+def test_queries_take_all_features_and_counts(spark, data):
+    from modeloom.plans.queries import QUERIES
+
+    assert sorted(r["feat"] for r in QUERIES["mr1_ranking_by_information"](spark, data).collect()) == list(range(64))
+    pairs = {(r["a"], r["b"]) for r in QUERIES["mr3_neighbour_redundancy"](spark, data).collect()}
+    assert pairs == {(a, b) for b in range(64) for a in range(b)}
+    assert sorted(r["n_features"] for r in QUERIES["mr9_accuracy_by_count"](spark, data).collect()) == selection.sweep_counts(64)
