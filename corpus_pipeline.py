@@ -32,8 +32,8 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
-    return pieces.encode(docs)
+    """The documents with the ids of their pieces, and the text that these decode to."""
+    return pieces.decode(pieces.encode(docs))
 
 
 STAGES = [("quality rules", rules), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmarks), ("SentencePiece encoding", encoding)]

@@ -41,6 +41,11 @@ def test_lines_of_whole_runs_go(spark, data):
     assert left == {0: texts[0], 1: "\n".join([alone[1][0], "", *alone[1][1:]]), 2: texts[2]}
 
 
+def test_encoded_texts_are_decoded(spark, data):
+    rows = corpus_pipeline.encoding(spark, odd.docs(spark), data).select("text", "decoded").collect()
+    assert rows and all(r["decoded"] == r["text"] for r in rows)
+
+
 def test_one_query_an_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
     assert [round(jaccard_join.SIMILARITY, 1), jaccard_join.WORDS] == [0.8, 5]
