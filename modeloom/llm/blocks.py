@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from modeloom.llm.frames import parts
@@ -18,9 +18,8 @@ from modeloom.llm.grams import U, pack, unpack
 
 #: Of the stored bytes of the tables read; text is about twice as long.
 BLOCK_BYTES = 4 << 20
-MAX_SHARDS = 1 << 14
-ASKED = "kind int, shard int, block long, keys binary, counts binary"
-ANSWERED = "kind int, shard int, block long, totals binary"
+ASKED = "kind int, shard long, block long, keys binary, counts binary"
+ANSWERED = "kind int, shard long, block long, totals binary"
 
 
 def in_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
@@ -30,7 +29,13 @@ def in_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_
 
 
 def shard_bits(n_blocks: int) -> int:
-    return max(1, min(MAX_SHARDS, n_blocks) - 1).bit_length()
+    """Of the leading bits that tell a key's shard: as many shards as blocks, so neither grows with the corpus."""
+    return max(1, n_blocks - 1).bit_length()
+
+
+def by_shard(questions: DataFrame, n_blocks: int) -> GroupedData:
+    """Grouped by kind and shard, over as many tasks as there are blocks whatever the questions' size once packed."""
+    return questions.repartition(n_blocks, "kind", "shard").groupBy("kind", "shard")
 
 
 def question(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> dict:
@@ -45,8 +50,8 @@ def question(block: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits:
     }
 
 
-ASKED_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-ANSWERED_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int64()), ("totals", pa.binary())])
+ASKED_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWERED_ARROW = pa.schema([("kind", pa.int32()), ("shard", pa.int64()), ("block", pa.int64()), ("totals", pa.binary())])
 
 
 def asked(questions: list[dict]) -> pa.Table:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.blocks import ANSWERED_ARROW, ASKED, answered, answers, asked, in_blocks, question, shard_bits, shard_totals
+from modeloom.llm.blocks import ANSWERED_ARROW, ASKED, answered, answers, asked, by_shard, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
 from modeloom.llm.grams import U, buffers, counted, mix, pack, unpack, word_hashes
 
@@ -34,7 +34,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END = mix(np.array([0xE0D], np.uint64))[0]
 WORDS, PAIRS, WORD_LEVELS = 0, 1, 2
-_COUNTED = "kind int, shard int, block long, totals binary, tokens long, kinds long"
+_COUNTED = "kind int, shard long, block long, totals binary, tokens long, kinds long"
 _SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -198,7 +198,7 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_i
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     dealt, n_blocks = in_blocks(own, "doc_id", "text")
     bits = shard_bits(n_blocks)
-    made = cut(dealt.groupBy("block").applyInArrow(_ask(bits), ASKED).groupBy("kind", "shard").applyInArrow(_count, _COUNTED))
+    made = cut(by_shard(dealt.groupBy("block").applyInArrow(_ask(bits), ASKED), n_blocks).applyInArrow(_count, _COUNTED))
     rows = made.filter("block = -1").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect()
     found = {x["kind"]: x for x in rows}
     n_tokens, n_kinds = (found[WORDS]["tokens"], found[WORDS]["kinds"]) if found else (0, 0)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.llm.frames import row_key, small_batches
-from modeloom.llm.grams import U, buffers, prefix, row_ranges, span
+from modeloom.llm.grams import U, buffers, row_ranges, string_keys
 
 BUCKETS = 1 << 16
 FOLDED = 1 << 14
@@ -62,7 +62,7 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     before[1:] |= ~inner[:-1]
     after[:-1] |= ~inner[1:]
     a, b = np.flatnonzero(before & inner), np.flatnonzero(after & inner) + 1
-    return span(prefix(data), a, b), np.searchsorted(a, offsets)
+    return string_keys(data, a, b), np.searchsorted(a, offsets)
 
 
 def term(words: np.ndarray) -> np.ndarray:

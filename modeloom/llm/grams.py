@@ -6,10 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
+#: Strings of more bytes than this are hashed one by one.
+LONG = 64
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -55,7 +60,7 @@ def row_ranges(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def prefix(data: np.ndarray) -> np.ndarray:
-    """P such that span(P, a, b) is the hash of data[a:b]."""
+    """P such that span(P, a, b) is a rolling hash of data[a:b]. Long strings can be made to collide, so it only picks triggers."""
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(max(1, len(data)))[0][: len(data)], out=out[1:])
     return out
@@ -65,6 +70,22 @@ def span(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix((p[b] - p[a]) * powers(len(p))[1][a])
 
 
+def string_keys(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A key for each data[a:b]: xxh3 of long strings; of short ones 8 bytes after the other, each mixed in before the next."""
+    n = (b - a).astype(np.int64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    keys, own, step = mix(n.astype(np.uint64) * U(_BASE) + U(0x2545F4914F6CDD1D)), np.flatnonzero((n > 0) & (n <= LONG)), 0
+    while len(own):
+        left = n[own] - step
+        keys[own] = mix((keys[own] ^ (eight[a[own] + step] & _FIRST[np.minimum(left, 8)])) * U(0xD6E8FEB86659FD93))
+        own, step = own[left > 8], step + 8
+    view = memoryview(np.ascontiguousarray(data))
+    for i in np.flatnonzero(n > LONG).tolist():
+        keys[i] = xxhash.xxh3_64_intdigest(view[a[i] : b[i]], 1)
+    return keys
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the words of all texts begin and end; no word crosses texts."""
     n = len(data)
@@ -84,7 +105,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, chunk: int = 1 << 20) ->
         part, own = data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         a, b = words(part, own)
         counts[low:high] = np.diff(np.searchsorted(a, own))
-        found += [span(prefix(part), a, b)]
+        found.append(string_keys(part, a, b))
     return np.concatenate(found), counts
 
 

@@ -6,8 +6,8 @@ labelled rows (those with the least id hashes) for each of the `max_langs` most
 each text. Every window of every text is then scored, and a text gets the language of the greatest mean log-probability.
 
 Nulls and odd inputs: a null text, or one without a letter, is `und` with score 0, as is every text if no label was
-learned; rows with a null label or text don't train; a text of any length is scored window by window; equal rows get
-equal results; an empty table gives an empty result; of the input's columns only the id is returned.
+learned; rows with a null label or text don't train; a text of any length is scored window by window; equal rows train
+as one and get equal results; an empty table gives an empty result; of the input's columns only the id is returned.
 """
 
 from __future__ import annotations
@@ -120,22 +120,25 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return x.reshape(-1, WINDOW), np.repeat(np.arange(len(sizes)), counts)
 
 
-def fit(docs: DataFrame, train_on: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = 400, max_langs: int = 64) -> Network:
-    own = docs.filter(train_on & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    ids = own.select(F.col(doc_id).alias("id"), F.col(lang).alias("label"))
-    top = ids.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_langs).select("label")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picks = ids.join(top, "label").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang)
-    length = F.char_length(text)
-    stretch = F.substring(F.col(text), (F.lit(1) + F.pmod(F.xxhash64(F.col(doc_id), F.lit(3)), F.greatest(length - STRETCH, F.lit(1)))).cast("int"), F.lit(STRETCH))
-    texts = own.select(F.col(doc_id).alias("own_id"), F.col(lang).alias("own_label"), stretch.alias("stretch"))
-    rows = texts.join(F.broadcast(picks), texts["own_id"].eqNullSafe(picks["id"]) & (texts["own_label"] == picks["label"])).select("label", "stretch", "id").limit(per_lang * max_langs).collect()
-    rows.sort(key=lambda r: (r["label"], str(r["id"]), r["stretch"]))
+def fit(docs: DataFrame, train_on: Column, text: str = "text", lang: str = "lang", per_lang: int = 400) -> Network:
+    """A network of the different texts of each label whose hashes are least. A hash under a bound that follows from the
+    label's number of texts is looked for first, so that a label costs one task a few times `per_lang` rows."""
+    stretch_at = F.pmod(F.xxhash64("text", F.lit(3)), F.greatest(F.char_length("text") - STRETCH, F.lit(1)))
+    own = docs.filter(train_on & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("label"), F.col(text).alias("text"))
+    own = own.withColumn("h", F.xxhash64("text", F.lit(1)))
+    kinds = own.groupBy("label").agg(F.approx_count_distinct("h").alias("kinds"))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.greatest("kinds", F.lit(1))) * (1 << 31)
+    near = own.join(kinds.select(F.col("label").alias("of"), bound.alias("bound")), F.col("label") == F.col("of")).filter(F.pmod("h", F.lit(1 << 31)) <= F.col("bound"))
+    texts = near.select("label", "h", F.substring("text", (stretch_at + 1).cast("int"), F.lit(STRETCH)).alias("stretch")).groupBy("label", "h").agg(F.min("stretch").alias("stretch"))
+    order = Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 31)), "h")
+    rows = texts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("label", "stretch").collect()
+    rows.sort(key=lambda r: (r["label"], r["stretch"]))
     langs = sorted({r["label"] for r in rows})
     if not langs:
         return train(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
     windows, of = cut_windows(*buffers(pa.array([r["stretch"] for r in rows], pa.string())))
-    return train(windows, np.array([langs.index(r["label"]) for r in rows])[of], langs)
+    index = {x: k for k, x in enumerate(langs)}
+    return train(windows, np.array([index[r["label"]] for r in rows])[of], langs)
 
 
 def _predict(shared):
@@ -169,10 +172,10 @@ def _predict(shared):
     return predict
 
 
-def identify(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = 400, max_langs: int = 64) -> DataFrame:
+def identify(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = 400) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document, learned from those that aren't held out."""
     small_batches(docs.sparkSession)
-    net = fit(docs, ~held_out, text, doc_id, lang, per_lang, max_langs)
+    net = fit(docs, ~held_out, text, lang, per_lang)
     own = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter"))
     kind = own.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(net)

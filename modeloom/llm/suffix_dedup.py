@@ -35,9 +35,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, answered, answers, asked, in_blocks, question, shard_bits, shard_totals
+from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, answered, answers, asked, by_shard, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
-from modeloom.llm.grams import U, buffers, counted, mix, pack, prefix, span, unpack
+from modeloom.llm.grams import U, buffers, counted, pack, prefix, span, string_keys, unpack
 
 LENGTH = 200
 GRAM = 40
@@ -107,8 +107,7 @@ class Phrases:
         new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         self.low, self.high = starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
         self.trigger = grams[own[new]]
-        body = span(p, self.low, self.high + length)
-        self.key = mix(body + (self.high - self.low).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        self.key = string_keys(data, self.low, self.high + length)
 
 
 def parsed(data: np.ndarray, offsets: np.ndarray, length: int, piece: int = PIECE) -> Iterator[tuple[int, Phrases]]:
@@ -183,7 +182,7 @@ class Open:
         for i in which:
             at = np.arange(high[i] - low[i] + 1)
             starts.append(at + low[i])
-            hashes.append(span(prefix(self.data[low[i] : high[i] + self.length]), at, at + self.length))
+            hashes.append(string_keys(self.data[low[i] : high[i] + self.length], at, at + self.length))
         return np.concatenate(starts), _joined(hashes)
 
     def strings(self) -> np.ndarray:
@@ -304,7 +303,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     dealt, n_blocks = in_blocks(own, "doc_id", "text")
     limits, by = Limits(length, shard_bits(n_blocks), hot, piece), dealt.groupBy("block")
-    decided = lambda questions: cut(questions.groupBy("kind", "shard").applyInArrow(_answer(length), ANSWERED))
+    decided = lambda questions: cut(by_shard(questions, n_blocks).applyInArrow(_answer(length), ANSWERED))
     first = decided(by.applyInArrow(_ask_phrases(limits), ASKED))
     second = decided(by.cogroup(first.groupBy("block")).applyInArrow(_ask_open(limits), ASKED))
     kind = own.schema["doc_id"].dataType.simpleString()

@@ -21,6 +21,11 @@ def docs(spark, extra=(), n=24, seed=1):
     return spark.createDataFrame([(d, t, lang, "s", 1, *tail) for d, t, lang in rows], SCHEMA)
 
 
+def thue_morse(n, other=False):
+    """A word of two letters, or the one with its letters swapped: sums of powers modulo 2**64 cannot tell them apart."""
+    return "".join("ab"[(i.bit_count() + other) % 2] for i in range(n))
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 

@@ -75,12 +75,20 @@ def test_kept_bytes(spark):
         suffix_dedup.remove_repeats(docs, length=50)
 
 
+def test_string_keys_tell_strings_apart():
+    texts = ["", "a", "a\0", "ab" * 4, "ab" * 4 + "\0", "x" * 63, "x" * 64, "x" * 65, *(odd.thue_morse(n, o) for n in (16, 64, 1024) for o in (False, True))]
+    data, at = grams.buffers(pa.array(["--" + t for t in texts] + ["+++" + t for t in texts]))
+    n = len(texts)
+    keys = grams.string_keys(data, at[:-1] + np.repeat([2, 3], n), at[1:])
+    assert len(set(keys.tolist())) == n and (keys[:n] == keys[n:]).all()
+
+
 def lowered(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
 def test_base_scores_by_definition(spark):
-    docs = odd.docs(spark, [(500, "The the THE cat"), (501, "É é cat")])
+    docs = odd.docs(spark, [(500, "The the THE cat"), (501, "É é cat"), (502, odd.thue_morse(1024)), (503, odd.thue_morse(1024, True)), (504, odd.thue_morse(32)), (506, odd.thue_morse(32, True))])
     rows = docs.select("doc_id", "text").collect()
     out = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     tokens = lambda t: [*odd.words(lowered(t)), None]

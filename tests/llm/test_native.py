@@ -91,12 +91,14 @@ def test_line_dedup_by_definition(spark):
 def test_url_intervals_and_keys(spark):
     entries = spark.createDataFrame(
         [("domain", "Bad.Example", "2024-01-10", "add"), ("domain", "bad.example", "2024-02-10", "remove"), ("domain", "bad.example", "2024-01-20", "add"), ("host", "h.example", "2024-01-01", "add"), ("host", "h.example", "2024-01-01", "remove"),
-         ("prefix", "site.example/a/b", "2024-01-01", "add"), ("host", None, "2024-01-01", "add")], "kind string, value string, since string, action string",
+         ("prefix", "site.example/a/b", "2024-01-01", "add"), ("host", None, "2024-01-01", "add"), ("host", "H6.example", "2024-01-01", "add"), ("host", "[2001:db8::1]", "2024-01-01", "add"), ("prefix", "Deep.example/" + "s/" * 40, "2024-01-01", "add")], "kind string, value string, since string, action string",
     )
     cases = [
         ("http://sub.bad.example/x", "2024-01-09", False), ("http://sub.bad.example/x", "2024-01-10", True), ("http://BAD.example:80/x?y", "2024-02-09", True), ("http://bad.example", "2024-02-10", False),
         ("http://notbad.example/", "2024-01-15", False), ("https://h.example/", "2024-01-05", False), ("https://site.example/a/b/c", "2024-03-01", True), ("https://site.example/a/bc", "2024-03-01", False),
-        ("https://user@site.example/A/b#f", "2024-03-01", True), (None, "2024-01-15", False), ("no url", "2024-01-15", False), ("http://bad.example/", None, False), ("", "2024-01-15", False), ("http://" + "a." * 50 + "bad.example/", "2024-01-15", True),
+        ("https://user@site.example/a/b#f", "2024-03-01", True), ("https://site.example/A/b", "2024-03-01", False), ("https://u:p@x@site.example/a//b/?q", "2024-03-01", True),
+        ("http://h6.example./", "2024-01-05", True), ("//h6.example/p", "2024-01-05", True), ("http://[2001:DB8::1]:8080/x", "2024-01-05", True), ("http://[2001:db8::2]/x", "2024-01-05", False), ("http://deep.example/" + "s/" * 40 + "t", "2024-01-05", True),
+        ("http://deep.example/" + "s/" * 39 + "t", "2024-01-05", False), (None, "2024-01-15", False), ("no url", "2024-01-15", False), ("http://bad.example/", None, False), ("", "2024-01-15", False), ("http://" + "a." * 50 + "bad.example/", "2024-01-15", True),
     ]
     captures = spark.createDataFrame([(i, u, d, "x", "y") for i, (u, d, _) in enumerate(cases + cases)], "i int, url string, fetched_on string, key string, blocked string")
     out = url_filters.filter_urls(captures, entries)

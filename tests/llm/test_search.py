@@ -63,6 +63,11 @@ def test_join_by_definition(spark, leaf, tile):
     assert jaccard_join.join_similar(odd.empty(spark)).count() == 0
 
 
+def test_texts_that_differ_in_one_long_word_are_no_copies(spark):
+    docs = spark.createDataFrame([(i, f"a b {odd.thue_morse(1024, bool(i))} c d") for i in (0, 1)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.join_similar(docs).collect()) == [(0, 0, 0), (1, 1, 0)]
+
+
 def test_one_of_each_group_stays(spark):
     docs = odd.docs(spark, near_copies(2, 3, 5))
     kept = jaccard_join.keep_one(docs)
@@ -213,6 +218,18 @@ def test_language_id_on_odd_tables(spark):
     assert language_id.identify(odd.empty(spark), F.lit(False)).count() == 0
 
 
+def test_copies_of_one_text_do_not_hide_languages(spark):
+    rng = random.Random(15)
+    alphabets = {f"l{k}": "".join(chr(0x61 + (5 * k + j) % 26) for j in range(4)) for k in range(3)} | {f"x{k:02}": chr(0x400 + k) * 3 for k in range(70)}
+    write = lambda lang: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(5)) for _ in range(30))
+    rows = [(0, write("l0"), "l0")] * 4000 + [(i, write(lang), lang) for i in range(100) for lang in ("l0", "l1", "l2")] + [(i, write(f"x{i:02}"), f"x{i:02}") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    net = language_id.fit(docs, F.lit(True))
+    assert net.langs == sorted(alphabets)
+    out = language_id.identify(docs.filter("lang LIKE 'l%'"), F.lit(False)).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"]: r["count"] for r in out} == {"l0": 4100, "l1": 100, "l2": 100}
+
+
 def test_every_window_counts():
     x, of = language_id.cut_windows(*grams.buffers(pa.array(["A" * 600, "", "É"])))
     assert of.tolist() == [0, 0, 0, 2] and bytes(x[0]) == b"a" * 256 and bytes(x[2]) == b"a" * 88 + b" " * 168 and bytes(x[3][:2]).decode() == "é"
