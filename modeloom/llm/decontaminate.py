@@ -2,15 +2,15 @@
 
 Words are runs of letters and digits in lower case, hashed to `BUCKETS` terms for their weights, which are folded to
 `FOLDED` for the vectors. Document frequencies are counted over all documents. The passages of the larger scale of all
-documents and all items, each whole, make a TF-IDF matrix; a randomised SVD finds its right singular vectors: each
-partition multiplies its rows A by a random matrix and sends A'(A X), which is added up by slices of terms in two
-shuffles, the driver orthonormalises the sum, and a second pass gives the small Gram matrix of what is left. A passage is
-two steps of words, so both passes add up steps and then neighbouring steps. All documents are then
-searched: of each passage (16 words at every 8th, 48 at every 24th) the latent vector, of each item the cosine to the
-passages of the scale that suits its length. What comes near is decided by two exact checks on the words around the
-passage: the longest common subsequence must hold `LCS` of the item's words within a stretch of one and a half times its
-length, and of the item's answer words, the rarest third of them or five, `ANSWER` must be there. A passage with fewer
-answer words of every item cannot pass, so only passages near enough of them are projected.
+documents and all items, each whole, are the rows of a TF-IDF matrix. Its randomised SVD takes one pass: each partition
+multiplies its rows by a random matrix that adds every row, with a random sign, to one of `SKETCH` rows, the products are
+added up by slices of terms in two shuffles, and the right singular vectors of the small sum stand for those of the matrix.
+
+All documents are then searched: every passage (16 words at every 8th, 48 at every 24th) gets its latent vector, and
+each item the passages of the scale that suits its length by their cosine. What comes near is decided by two exact
+checks on the words around the passage: of the item's answer words `ANSWER` must be there, and the longest common
+subsequence must hold `LCS` of the item's words within a stretch of one and a half times its length. The answer words are
+those of the item's answer where the benchmark has one, or else the rarest third of its words or five.
 
 The benchmark is a stated query set: it is taken in blocks of `ITEMS` items, each against all documents.
 
@@ -31,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modeloom.llm.frames import row_key, small_batches
-from modeloom.llm.grams import U, buffers, row_ranges, string_keys
+from modeloom.llm.grams import U, buffers, mix, row_ranges, string_keys
 
 BUCKETS = 1 << 16
 FOLDED = 1 << 14
 RANK = 48
+#: Rows of the sketch of all passages.
+SKETCH = 128
+#: Words and distance of the passages of two scales; all are whole steps of STEP words.
+STEP = 8
 SCALES = ((16, 8), (48, 24))
 COSINE = 0.4
 LCS = 0.6
@@ -98,6 +102,9 @@ class Space:
     idf: np.ndarray
     vectors: np.ndarray  # FOLDED x rank, float32
 
+    def of_terms(self) -> np.ndarray:
+        return self.idf.astype(np.float32)[:, None] * self.vectors[np.arange(BUCKETS) & (FOLDED - 1)]
+
     def of(self, words: np.ndarray) -> np.ndarray:
         t = term(words)
         return self.idf[t].astype(np.float32)[:, None] * self.vectors[t & (FOLDED - 1)]
@@ -125,86 +132,70 @@ def _passages(words: np.ndarray, at: np.ndarray, size: int, step: int) -> tuple[
     return begin, np.minimum(begin + size, np.repeat(at[1:], counts))
 
 
+def steps_of(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the steps of `size` words of all texts begin, and where each text's steps begin among them; a text's last may be short."""
+    n = np.diff(at)
+    count = -(-n // size)
+    first = np.concatenate([[0], np.cumsum(count)])
+    return np.repeat(at[:-1] - first[:-1] * size, count) + np.arange(first[-1]) * size, first
+
+
 @dataclass
-class Steps:
-    """Of some texts: the words' folded terms, weights and steps, where steps begin, and of each passage its first step, whether it has a second and its norm."""
+class Rows:
+    """TF-IDF rows of the passages of the larger scale of some texts: words' folded terms and weights, and the words' steps;
+    a passage is a step and, but for a text of one step, the next."""
 
     term: np.ndarray
     value: np.ndarray
     step: np.ndarray
-    begin: np.ndarray
     first: np.ndarray
     double: np.ndarray
     norm: np.ndarray
 
-    def project(self, factors: np.ndarray) -> np.ndarray:
-        """The TF-IDF rows of unit length of all passages, times factors."""
-        each = np.add.reduceat(self.value[:, None] * factors[self.term], self.begin, axis=0)
-        y = each[self.first]
-        y[self.double] += each[self.first[self.double] + 1]
-        return y / self.norm[:, None]
-
-    def back(self, y: np.ndarray, out: np.ndarray) -> None:
-        """Adds the transpose of the rows, times y, to out."""
-        y = y / self.norm[:, None]
-        each = np.zeros((len(self.begin), y.shape[1]), y.dtype)
-        each[self.first] += y
-        each[self.first[self.double] + 1] += y[self.double]
-        order = np.argsort(self.term.astype(np.uint16), kind="stable")
-        ordered = self.term[order]
-        at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        out[ordered[at]] += np.add.reduceat(self.value[order, None] * each[self.step[order]], at, axis=0)
-
-
-def _steps(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[Steps]:
-    """The passages of the larger scale of a batch's texts."""
-    size, step = SCALES[1]
-    if size != 2 * step:
-        raise ValueError("a passage is two steps")
-    data, offsets = buffers(batch.column("text"))
-    for low, high in row_ranges(offsets, 1 << 18):
-        words, at = plain_words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-        if not len(words):
-            continue
-        n = np.diff(at)
-        count = -(-n // step)
-        before = np.cumsum(count) - count
-        place = np.arange(len(words)) - np.repeat(at[:-1], n)
-        own = np.repeat(before, n) + place // step
-        begin = np.flatnonzero(place % step == 0)
-        last = np.zeros(len(begin), bool)
-        last[(before + count - 1)[count > 0]] = True
-        single = np.zeros(len(begin), bool)
-        single[before[count == 1]] = True
+    @classmethod
+    def of(cls, words: np.ndarray, at: np.ndarray, idf: np.ndarray) -> Rows:
+        size, every = SCALES[1]
+        if size != 2 * every:
+            raise ValueError("a passage is two steps")
+        begin, texts = steps_of(at, every)
+        last, single = np.zeros(len(begin), bool), np.zeros(len(begin), bool)
+        last[texts[1:][np.diff(texts) > 0] - 1] = True
+        single[texts[:-1][np.diff(texts) == 1]] = True
         first = np.flatnonzero(~last | single)
         double = ~single[first]
         t = term(words)
         value = idf[t]
-        square = np.add.reduceat(value**2, begin)
+        square = np.add.reduceat(value**2, begin) if len(begin) else np.zeros(0)
         norm = square[first]
         norm[double] += square[first[double] + 1]
-        yield Steps(t & (FOLDED - 1), value.astype(np.float32), own, begin, first, double, np.maximum(np.sqrt(norm), 1e-9).astype(np.float32))
+        step = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(words))))
+        return cls(t & (FOLDED - 1), value, step, first, double, np.maximum(np.sqrt(norm), 1e-9))
 
+    def add(self, signs: np.ndarray, buckets: np.ndarray, out: np.ndarray) -> None:
+        """Adds each row, with its sign, to its bucket of out."""
+        steps = int(self.step[-1]) + 1 if len(self.step) else 0
+        for own, at in ((np.arange(len(self.first)), self.first), (np.flatnonzero(self.double), self.first[self.double] + 1)):
+            weight, bucket = np.zeros(steps), np.zeros(steps, np.int64)
+            weight[at], bucket[at] = signs[own] / self.norm[own], buckets[own] * FOLDED
+            np.add.at(out, bucket[self.step] + self.term, (weight[self.step] * self.value).astype(np.float32))
 
-def _range_finder(idf: np.ndarray, x: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = np.zeros_like(x)
-        for batch in batches:
-            for steps in _steps(batch, idf):
-                steps.back(steps.project(x), z)
-        yield from _sent(z.reshape(SLICES, -1))
-
-    return run
 
+def _sketch(idf: np.ndarray):
+    """Of a partition: the product of a random matrix with its TF-IDF rows. The matrix has one entry, 1 or -1, for each row."""
 
-def _gram(idf: np.ndarray, q: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.zeros((q.shape[1], q.shape[1]), np.float64)
+        out, done = np.zeros(SKETCH * FOLDED, np.float32), 0
         for batch in batches:
-            for steps in _steps(batch, idf):
-                y = steps.project(q)
-                g += y.T @ y
-        yield from _sent(g.reshape(1, -1))
+            data, offsets = buffers(batch.column("text"))
+            for low, high in row_ranges(offsets, 1 << 18):
+                words, at = plain_words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                if not len(words):
+                    continue
+                rows = Rows.of(words, at, idf)
+                drawn = mix(mix(np.arange(done, done + len(rows.first), dtype=np.uint64)) ^ words[0])
+                rows.add(np.where(drawn >> U(63), 1.0, -1.0), (drawn & U(SKETCH - 1)).astype(np.int64), out)
+                done += len(rows.first)
+        yield from _sent(out.reshape(SLICES, -1))
 
     return run
 
@@ -254,14 +245,12 @@ def fit(docs: DataFrame, benchmark: DataFrame, text: str, rank: int = RANK) -> S
         df[r["term"]] = r["n"]
     idf = np.log1p(max(df.max(initial=0.0), 1.0) / (1 + df))
     every = texts.unionByName(benchmark.select("text"))
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(FOLDED, rank + 8)).astype(np.float32)
-    z = _summed(every.mapInArrow(_range_finder(idf, x), _SENT), x.shape, np.float32)
-    q = np.linalg.qr(z)[0].astype(np.float32)
-    g = _summed(every.mapInArrow(_gram(idf, q), _SENT), (rank + 8, rank + 8), np.float64)
-    _, vectors = np.linalg.eigh(g)
-    v = q @ vectors[:, ::-1][:, :rank].astype(np.float32)
-    return Space(idf, v.astype(np.float32))
+    b = _summed(every.mapInArrow(_sketch(idf), _SENT), (SKETCH, FOLDED), np.float32)
+    values, left = np.linalg.eigh(b @ b.T)
+    values, left = np.maximum(values[::-1][:rank], 0.0), left[:, ::-1][:, :rank]
+    kept = values > 1e-9 * max(values.max(initial=0.0), 1e-9)
+    vectors = (b.T @ left) * np.where(kept, 1 / np.sqrt(np.where(kept, values, 1.0)), 0.0)
+    return Space(idf, vectors.astype(np.float32))
 
 
 def items_of(rows: list, space: Space) -> list[Item]:
@@ -272,7 +261,9 @@ def items_of(rows: list, space: Space) -> list[Item]:
         own = words[a:b]
         if len(own) >= LEAST:
             kinds = np.unique(own)
-            out.append(Item(r["id"], own, kinds[np.lexsort((kinds, -space.idf[term(kinds)]))][: max(5, len(kinds) // 3)]))
+            rarest = kinds[np.lexsort((kinds, -space.idf[term(kinds)]))][: max(5, len(kinds) // 3)]
+            said = np.unique(plain_words(*buffers(pa.array([r["answer"]], pa.string())))[0])
+            out.append(Item(r["id"], own, said if len(said) else rarest))
     return out
 
 
@@ -291,37 +282,50 @@ class Search:
         self.scale = [np.array([i for i, x in enumerate(items) if (len(x.words) <= 24) == (k == 0)], np.int64) for k in (0, 1)]
         self.latent = [_unit(np.stack([space.of(items[i].words).sum(axis=0) for i in own])) if len(own) else np.zeros((0, space.vectors.shape[1]), np.float32) for own in self.scale]
         self.need = np.array([int(np.ceil(ANSWER * len(x.answer))) for x in items], np.int64)
-        self.width = np.array([_width(len(x.words)) for x in items], np.int64)
-        self.answers, self.first, self.named, self.table = [], [], [], []
-        for own in self.scale:
-            pairs = np.concatenate([np.zeros((2, 0), np.uint64), *(np.stack([items[i].answer, np.full(len(items[i].answer), i, np.uint64)]) for i in own)], axis=1)
-            pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
-            words, first = np.unique(pairs[0], return_index=True)
-            self.answers.append(words)
-            self.first.append(np.append(first, pairs.shape[1]))
-            self.named.append(pairs[1].astype(np.int64))
-            self.table.append(np.zeros(1 << 20, bool))
-            self.table[-1][(words >> U(44)).astype(np.int64)] = True
-
-    def near_answers(self, k: int, words: np.ndarray) -> np.ndarray:
-        """Which words lie where an item of a scale has as many answer words as it must, within its width; as running counts."""
-        at = np.flatnonzero(self.table[k][(words >> U(44)).astype(np.int64)])
-        which = np.searchsorted(self.answers[k], words[at])
-        true = self.answers[k][np.minimum(which, len(self.answers[k]) - 1)] == words[at]
+        self.size = np.array([len(x.words) for x in items], np.int64)
+        pairs = np.concatenate([np.zeros((2, 0), np.uint64), *(np.stack([x.answer, np.full(len(x.answer), i, np.uint64)]) for i, x in enumerate(items))], axis=1)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        self.answers, first = np.unique(pairs[0], return_index=True)
+        self.first, self.named = np.append(first, pairs.shape[1]), pairs[1].astype(np.int64)
+        self.table = np.zeros(1 << 20, bool)
+        self.table[(self.answers >> U(44)).astype(np.int64)] = True
+        self.weighed: np.ndarray | None = None
+
+    def steps(self, words: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The latent vectors of the steps of all texts, as many words at a time as caches hold, with a row of zeros after the last."""
+        if self.weighed is None:
+            self.weighed = self.space.of_terms()
+        t, ends = term(words), np.append(begin, len(words))
+        out = np.zeros((len(begin) + 1, self.weighed.shape[1]), np.float32)
+        for i in range(0, len(begin), 1 << 12):
+            own = begin[i : i + (1 << 12)]
+            out[i : i + len(own)] = np.add.reduceat(self.weighed[t[own[0] : ends[i + len(own)]]], own - own[0], axis=0)
+        return out
+
+    def near(self, k: int, words: np.ndarray, at: np.ndarray, begin: np.ndarray, texts: np.ndarray, latent: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Of the passages of a scale whose cosine to an item of that scale is high enough: text, item, begin, end."""
+        low, high = _passages(words, at, *SCALES[k])
+        text = np.repeat(np.arange(len(at) - 1), np.maximum(0, np.diff(np.searchsorted(low, at))))
+        first = texts[text] + (low - at[text]) // STEP
+        count = -(-(high - low) // STEP)
+        for i in range(0, len(low), 1 << 12):
+            own = slice(i, i + (1 << 12))
+            y = latent[first[own]]
+            for q in range(1, SCALES[k][0] // STEP):
+                y += latent[np.where(count[own] > q, first[own] + q, len(begin))]
+            row, item = np.nonzero(_unit(y) @ self.latent[k].T >= COSINE)
+            row += i
+            yield text[row], self.scale[k][item], low[row], high[row]
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Of every occurrence of an answer word: its item * (len(words) + 1) + its place, in rising order."""
+        at = np.flatnonzero(self.table[(words >> U(44)).astype(np.int64)])
+        which = np.searchsorted(self.answers, words[at])
+        true = self.answers[np.minimum(which, len(self.answers) - 1)] == words[at] if len(self.answers) else np.zeros(len(at), bool)
         at, which = at[true], which[true]
-        times = self.first[k][which + 1] - self.first[k][which]
-        place = np.repeat(at, times)
-        item = self.named[k][np.arange(len(place)) - np.repeat(np.cumsum(times) - times - self.first[k][which], times)]
-        order = np.lexsort((place, item))
-        place, item = place[order], item[order]
-        end = np.arange(len(place)) + self.need[item] - 1
-        ok = end < len(place)
-        low, high, own = place[ok], place[end[ok]], item[ok]
-        hit = (item[end[ok]] == own) & (high - low < self.width[own])
-        edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, low[hit], 1)
-        np.add.at(edge, high[hit] + 1, -1)
-        return np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
+        times = self.first[which + 1] - self.first[which]
+        item = self.named[np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times - self.first[which], times)]
+        return np.sort(item * (len(words) + 1) + np.repeat(at, times))
 
     def decide(self, item: Item, words: np.ndarray, low: int, high: int) -> float:
         """The largest share of the item in a stretch of words[low:high], or 0."""
@@ -338,29 +342,24 @@ class Search:
         return best
 
     def find(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(text, item, share) of all texts."""
+        """(text, item, share) of all texts: what is near by its latent vector, has answer words and then the common subsequence."""
         best: dict[tuple[int, int], float] = {}
-        for k, (size, step) in enumerate(SCALES):
-            if not len(self.scale[k]) or not len(words):
+        if not len(words) or not self.items:
+            return
+        begin, texts = steps_of(at, STEP)
+        latent, answers, wide = self.steps(words, begin), self.places(words), len(words) + 1
+        for k in (0, 1):
+            if not len(self.scale[k]):
                 continue
-            near = self.near_answers(k, words)
-            begin, end = _passages(words, at, size, step)
-            hits = near[end] > near[begin]
-            begin, end = begin[hits], end[hits]
-            for i in range(0, len(begin), 2048):
-                a, b = begin[i : i + 2048], end[i : i + 2048]
-                row = np.repeat(np.arange(len(a)), b - a)
-                where = np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
-                latent = _unit(np.add.reduceat(self.space.of(words[where]), np.cumsum(b - a) - (b - a), axis=0))
-                near, item = np.nonzero(latent @ self.latent[k].T >= COSINE)
-                for p, j in zip(near.tolist(), self.scale[k][item].tolist(), strict=True):
-                    doc = int(np.searchsorted(at, a[p], "right")) - 1
-                    n = len(self.items[j].words)
-                    if best.get((doc, j), 0.0) < 1:
-                        share = self.decide(self.items[j], words, max(int(at[doc]), int(a[p]) - n), min(int(at[doc + 1]), int(b[p]) + n))
+            for text, item, low, high in self.near(k, words, at, begin, texts, latent):
+                low, high = np.maximum(at[text], low - self.size[item]), np.minimum(at[text + 1], high + self.size[item])
+                enough = np.searchsorted(answers, item * wide + high) - np.searchsorted(answers, item * wide + low) >= self.need[item]
+                for d, j, a, b in zip(*(x[enough].tolist() for x in (text, item, low, high)), strict=True):
+                    if best.get((d, j), 0.0) < 1:
+                        share = self.decide(self.items[j], words, a, b)
                         if share >= LCS:
-                            best[doc, j] = max(best.get((doc, j), 0.0), share)
-        yield from ((doc, j, s) for (doc, j), s in best.items())
+                            best[d, j] = max(best.get((d, j), 0.0), share)
+        yield from ((d, j, s) for (d, j), s in best.items())
 
 
 def _search(shared, item_type: pa.DataType):
@@ -380,14 +379,14 @@ def _search(shared, item_type: pa.DataType):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", item_answer: str | None = None) -> DataFrame:
     """(doc_id, item_id, lcs_share) for each document that holds a benchmark item, word for word or nearly."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     small_batches(spark)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
+    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).alias("text"), (F.col(item_answer).cast("string") if item_answer else F.lit(None).cast("string")).alias("answer")).filter("text IS NOT NULL")
     space = fit(own, items, "text")
     kinds = [own.schema["doc_id"].dataType, items.schema["id"].dataType]
     out, block = None, []
@@ -406,8 +405,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: s
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", item_answer: str | None = None) -> DataFrame:
     """`docs` without the documents that hold a benchmark item."""
     keyed = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
-    found = matches(keyed, benchmark, "text", "key", item_text, item_id).select(F.col("doc_id").alias("__dc_key")).distinct()
+    found = matches(keyed, benchmark, "text", "key", item_text, item_id, item_answer).select(F.col("doc_id").alias("__dc_key")).distinct()
     return docs.join(found, row_key(F.col(doc_id), F.col(text)).eqNullSafe(F.col("__dc_key")), "left_anti")

@@ -142,25 +142,84 @@ def test_latent_vectors_cover_documents_beyond_the_first(spark):
         assert (np.abs(space.vectors[terms]).max(axis=1) > 0).mean() > 0.99
 
 
-def test_passes_of_the_vectors_by_definition():
-    rng = random.Random(14)
-    texts = [odd.text(rng, n) for n in (1, 23, 24, 25, 47, 48, 49, 72, 73, 500)] + ["", None, "a a a"]
-    idf, draw = np.random.default_rng(1).uniform(0.5, 2, decontaminate.BUCKETS), np.random.default_rng(2)
-    x = draw.normal(size=(decontaminate.FOLDED, 5)).astype(np.float32)
-    words, at = decontaminate.plain_words(*decontaminate.buffers(pa.array(texts)))
+def rows_by_definition(words, at, idf):
     begin, end = decontaminate._passages(words, at, *decontaminate.SCALES[1])
     a = np.zeros((len(begin), decontaminate.FOLDED))
     for row, (b, e) in enumerate(zip(begin, end, strict=True)):
         t = decontaminate.term(words[b:e])
         np.add.at(a[row], t & (decontaminate.FOLDED - 1), idf[t])
         a[row] /= np.sqrt((idf[t] ** 2).sum())
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
-    sums = np.zeros_like(x)
-    for part in decontaminate._range_finder(idf, x)(iter([batch])):
-        sums.reshape(decontaminate.SLICES, -1)[part["slice"][0].as_py()] = np.frombuffer(part["part"][0].as_py(), np.float32)
-    assert np.allclose(sums, a.T @ (a @ x), atol=1e-3)
-    (gram,) = decontaminate._gram(idf, x)(iter([batch]))
-    assert np.allclose(np.frombuffer(gram["part"][0].as_py()).reshape(5, 5), (a @ x).T @ (a @ x), rtol=1e-3, atol=1e-3)
+    return a
+
+
+def test_sketch_of_the_passages_by_definition():
+    rng = random.Random(14)
+    texts = [odd.text(rng, n) for n in (1, 23, 24, 25, 47, 48, 49, 72, 73, 500)] + ["", None, "a a a"]
+    idf = np.random.default_rng(1).uniform(0.5, 2, decontaminate.BUCKETS)
+    words, at = decontaminate.plain_words(*decontaminate.buffers(pa.array(texts)))
+    a = rows_by_definition(words, at, idf)
+    rows = decontaminate.Rows.of(words, at, idf)
+    assert len(rows.first) == len(a)
+    draw = np.random.default_rng(2)
+    signs, buckets, out = draw.choice([-1.0, 1.0], len(a)), draw.integers(0, decontaminate.SKETCH, len(a)), np.zeros(decontaminate.SKETCH * decontaminate.FOLDED, np.float32)
+    rows.add(signs, buckets, out)
+    wanted = np.zeros((decontaminate.SKETCH, decontaminate.FOLDED))
+    np.add.at(wanted, buckets, signs[:, None] * a)
+    assert np.allclose(out.reshape(wanted.shape), wanted, atol=1e-4)
+
+
+def test_vectors_of_few_passages_are_their_singular_vectors(spark):
+    """With fewer rows than the sketch has, and no two in one of its rows, nothing is lost."""
+    docs = spark.createDataFrame([(odd.text(random.Random(16), 48),), (odd.text(random.Random(17), 48),)], "text string")
+    space = decontaminate.fit(docs, spark.createDataFrame([], "text string"), "text", rank=2)
+    words, at = decontaminate.plain_words(*decontaminate.buffers(pa.array([r["text"] for r in docs.collect()])))
+    a = rows_by_definition(words, at, space.idf)
+    back = a @ space.vectors.astype(float) @ space.vectors.T.astype(float)
+    assert np.allclose(back, a, atol=1e-3)
+
+
+def brute_matches(docs, bench):
+    """Of all pairs of a document and an item: those with a stretch that has enough answer words and enough of the item in order."""
+    df = collections.Counter(w for _, t in docs for w in set(t.lower().split()))
+    out = set()
+    for i, t in bench:
+        item = t.lower().split()
+        kinds = sorted(set(item), key=lambda w: df[w])
+        edge = sorted(df[w] for w in kinds)[max(5, len(kinds) // 3) - 1]
+        answer, wide = {w for w in kinds if df[w] <= edge}, int(1.5 * len(item)) + 2
+        for d, text in docs:
+            w = text.lower().replace(",", "").replace(".", "").split()
+            for a in range(max(1, len(w) - wide + 1)):
+                part = w[a : a + wide]
+                if len(answer & set(part)) * 2 >= min(len(answer), max(5, len(kinds) // 3)):
+                    number = {x: k for k, x in enumerate(set(part) | set(item))}
+                    both = [np.array([number[x] for x in own], np.uint64) for own in (item, part)]
+                    if decontaminate.longest_common(*both) >= 0.6 * len(item):
+                        out.add((d, i))
+                        break
+    return out
+
+
+def test_latent_search_finds_what_a_search_of_all_pairs_finds(spark):
+    rng, bench = random.Random(18), items(19, 20)
+    docs = [(i, odd.text(rng, 250)) for i in range(60)]
+    for k in range(120):
+        w = bench[k % 20][1].split()
+        for _ in range(rng.randint(0, len(w) // 2)):
+            j = rng.randrange(len(w))
+            w[j : j + 1] = rng.choice([[], ["other"], [w[j], "more"]])
+        docs.append((1000 + k, " ".join([odd.text(rng, rng.randint(1, 90)), *w, odd.text(rng, rng.randint(1, 90))])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    wanted = brute_matches(docs, bench)
+    assert len(wanted) > 80 and len(found & wanted) >= 0.9 * len(wanted) and len(found - wanted) <= 0.05 * len(wanted), (len(wanted), len(found & wanted), len(found - wanted))
+
+
+def test_answers_of_the_benchmark_decide(spark):
+    rng = random.Random(20)
+    question = odd.text(rng, 30)
+    docs = spark.createDataFrame([(1, question + " so paris it is"), (2, question + " so rome it is")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, question, "Paris")], "item_id long, text string, said string")
+    assert [tuple(r)[:2] for r in decontaminate.matches(docs, bench, item_answer="said").collect()] == [(1, 5)]
 
 
 def test_clean_documents_with_the_id_of_a_leak_stay(spark):
