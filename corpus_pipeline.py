@@ -17,8 +17,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without runs of lines that stand earlier."""
-    return line_dedup.dedup_lines(docs, extend=True)
+    """The documents without the runs of lines, of 50 words or more, that stand earlier."""
+    return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
