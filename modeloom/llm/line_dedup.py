@@ -1,29 +1,34 @@
 """Line deduplication by winnowing over line hashes.
 
 The units are lines with a word. A line starts a window: itself and as many following lines as it takes to reach
-`min_words` words. The fingerprint of a window is the least of its lines' hashes, so any run that two places share and
-that is long enough for a window has the same fingerprint in both. Fingerprints that occur once are dropped after a
-pre-aggregated count. What is left is joined by fingerprint to the repeated ones, and each match is extended to both
-ends of its windows by comparing whole windows with the first place that has them; windows that overlap chain into
-maximal runs. Every line of a window that also stands earlier (by doc_id, then by place in the text) is deleted; the
-first copy stays. With `extend`, each line also ends a window, which reaches back for `min_words` words: a line of a shared
-run of so many words is in the window that begins with the run, or the run up to it is long enough for a window that
-ends with it, so whole maximal runs go. Without it the lines after a run's last window stay, as in the SQL.
+`min_words` words; and it ends one that reaches back as far. The fingerprint of a window is the least of its lines'
+hashes, with its place, so any run that two places share and that is long enough for a window has the same fingerprint in
+both. Fingerprints of one place only are dropped after a pre-aggregated count. What is left is joined by content to the
+first place that has the window (by doc_id, then by place in the text), which gives pairs of positions. Pairs of the same
+two documents at the same distance chain into runs, and a run is extended to both sides line by line while both
+documents go on alike. All lines of a later run are deleted; the first copy stays. As each line of a shared run of
+`min_words` words is in a window within the run, whole maximal runs go; the lines that a run can be extended by without
+another window are fewer than `min_words`, so no more are compared.
 
 No step gathers a group: hot fingerprints and hot windows meet in a count or a minimum first, then in a join whose
-other side has one row a key, which Spark can split.
+other side has one row a key, which Spark can split. Chains are within two documents.
 
 Nulls and odd inputs: a null or empty text has no line and stays as it is; a null doc_id sorts first; rows with equal
 doc_id and text are one document, so they don't delete each other's lines and get equal results; lines without a word
-are neither counted nor deleted; an empty table gives an empty result; other columns are kept, whatever their names.
+are neither counted nor deleted; a text of any length is taken whole, and one line that repeats thousands of times in it
+costs a window and a pair each; ties between places are broken by the text's hash; an empty table gives an empty result;
+other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from modeloom.llm.frames import let, plain_text, row_key
+from modeloom.llm.frames import cut, let, plain_text, row_key
 
 MIN_WORDS = 50
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
@@ -33,66 +38,79 @@ def _lines(text: Column) -> Column:
     return F.split(plain_text(text), "\n")
 
 
-def _windows(h: Column, w: Column, at: Column, least: int, back: bool = False) -> Column:
-    """An array of windows over lines with hashes `h`, words `w` and places `at`: its lines' places, the fingerprint and its place, the content.
-    With `back` the lines come last first, so a window ends where it would begin."""
-    ahead = F.reverse if back else lambda x: x
-
-    def length(i: Column) -> Column:
-        def more(state: Column, x: Column) -> Column:
-            short = state["words"] < least
-            return F.struct((state["words"] + F.when(short, x).otherwise(0)).alias("words"), (state["n"] + short.cast("int")).alias("n"))
-
-        walked = F.aggregate(F.slice(w, i + 1, least), F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), more, lambda s: F.when(s["words"] >= least, s["n"]).otherwise(F.lit(0)))
-        return F.when(F.get(w, i) >= least, F.lit(1)).otherwise(walked)
+def _windows(h: Column, w: Column, least: int) -> Column:
+    """An array of windows over lines with hashes `h` and words `w`: first line, number of lines, fingerprint and its line, content."""
 
-    def window(i: Column) -> Column:
-        def described(n: Column) -> Column:
-            hashes = ahead(F.slice(h, i + 1, n))
-            begin = F.size(h) - i - n if back else i
-            return F.struct(
-                ahead(F.slice(at, i + 1, n)).alias("lines"),
-                F.array_min(hashes).alias("print"),
-                (begin + F.array_position(hashes, F.array_min(hashes))).cast("int").alias("place"),
-                F.xxhash64(hashes, n).alias("content"),
-            )
+    def enough(words: Column) -> Column:
+        """How many of these it takes to reach `least`; 0 if they don't."""
+        step = lambda state, x: F.struct((state["words"] + F.when(state["words"] < least, x).otherwise(0)).alias("words"), (state["n"] + (state["words"] < least).cast("int")).alias("n"))
+        return F.aggregate(words, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), step, lambda s: F.when(s["words"] >= least, s["n"]).otherwise(F.lit(0)))
 
-        return let(length(i), lambda n: F.when(n > 0, described(n)))
+    def window(a: Column, n: Column) -> Column:
+        described = lambda hashes: F.struct(
+            a.alias("a"), n.alias("n"), F.array_min(hashes).alias("print"), (a + F.array_position(hashes, F.array_min(hashes)) - 1).cast("int").alias("place"), F.xxhash64(hashes, n).alias("content")
+        )
+        return F.when(n > 0, let(F.slice(h, a + 1, n), described))
 
-    return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - 1), window))
+    ahead = lambda i: F.when(F.get(w, i) >= least, F.lit(1)).otherwise(enough(F.slice(w, i + 1, least)))
+    # A line that is long enough by itself has one window.
+    back = lambda i: F.when(F.get(w, i) >= least, F.lit(0)).otherwise(enough(F.reverse(F.slice(w, F.greatest(i - least + 2, F.lit(1)), F.least(i + 1, F.lit(least))))))
+    places = F.sequence(F.lit(0), F.size(h) - 1)
+    begun, ended = F.transform(places, lambda i: let(ahead(i), lambda n: window(i, n))), F.transform(places, lambda i: let(back(i), lambda n: window(i - n + 1, n)))
+    return F.array_distinct(F.array_compact(F.concat(begun, ended)))
 
 
-def windows_of(docs: DataFrame, text: str, doc_id: str, min_words: int, extend: bool = False) -> DataFrame:
-    """A row (key, lines, print, place, content) for each window of each document."""
+def line_hashes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """A row for each document with lines: key, and of its lines with a word the hashes h, the numbers of words w and the places at."""
     units = F.filter(F.transform(_lines(F.col(text)), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda u: u["x"].rlike(_WORD))
     cut_up = docs.select(row_key(F.col(doc_id), F.col(text)).alias("key"), units.alias("u"))
-    hashed = cut_up.select(
-        "key",
-        F.transform("u", lambda u: F.xxhash64(u["x"])).alias("h"),
-        F.transform("u", lambda u: F.regexp_count(u["x"], F.lit(_WORD + "+"))).alias("w"),
-        F.transform("u", lambda u: u["i"]).alias("at"),
-    )
-    over = lambda way, back: let(way(F.col("h")), lambda h: let(way(F.col("w")), lambda w: let(way(F.col("at")), lambda at: _windows(h, w, at, min_words, back))))
-    found = over(lambda x: x, False)
-    if extend:
-        found = F.array_union(found, over(F.reverse, True))
-    return hashed.filter(F.size("h") > 0).select("key", F.explode(found).alias("x")).select("key", "x.*")
-
-
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, extend: bool = False) -> DataFrame:
-    """A row (key, gone) for each document that loses lines; gone: their places among the lines of the text, from 0."""
-    windows = windows_of(docs, text, doc_id, min_words, extend)
+    each = lambda f: F.transform("u", f)
+    hashed = cut_up.select("key", each(lambda u: F.xxhash64(u["x"])).alias("h"), each(lambda u: F.regexp_count(u["x"], F.lit(_WORD + "+"))).alias("w"), each(lambda u: u["i"]).alias("at"))
+    return hashed.filter(F.size("h") > 0).dropDuplicates(["key"])
+
+
+def _chained(spans: DataFrame, by: list[str]) -> DataFrame:
+    """Spans a to e (not included) that overlap or touch become one."""
+    order = Window.partitionBy(*by).orderBy("a", "e")
+    before = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("apart", F.coalesce(F.col("a") > before, F.lit(True)).cast("int")).withColumn("chain", F.sum("apart").over(order))
+    return marked.groupBy(*by, "chain").agg(F.min("a").alias("a"), F.max("e").alias("e")).drop("chain")
+
+
+def repeated_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Maximal runs that stand earlier: key, lines a to e (not included) of its lines with a word, other (the earlier document's key), shift (how much later the lines are)."""
+    windows = hashed.select("key", F.explode(let(F.col("h"), lambda h: let(F.col("w"), lambda w: _windows(h, w, min_words)))).alias("x")).select("key", "x.*")
     place = F.struct("key", "place")
-    prints = windows.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("print")
-    shared = windows.drop("place").join(prints, "print").drop("print")
-    first = shared.groupBy("content").agg(F.min(F.struct("key", "lines")).alias("first"), F.max(F.struct("key", "lines")).alias("last")).filter("first < last").select("content", "first")
-    later = shared.join(first, "content").filter(F.struct("key", "lines") > F.col("first"))
-    return later.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("gone"))
+    prints = windows.groupBy("print").agg(F.min(place).alias("one"), F.max(place).alias("two")).filter("one < two").select("print")
+    shared = windows.join(prints, "print").select("key", "a", "n", "content")
+    start = F.struct("key", "a")
+    first = shared.groupBy("content").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first < last").select("content", "first")
+    pairs = shared.join(first, "content").filter(start > F.col("first"))
+    pairs = pairs.select("key", F.col("first.key").alias("other"), (F.col("a") - F.col("first.a")).alias("shift"), "a", (F.col("a") + F.col("n")).alias("e"))
+    runs = _chained(pairs, ["key", "other", "shift"])
+    own, others = (hashed.select(F.col("key").alias(k), F.col("h").alias(h)) for k, h in (("own_key", "own_h"), ("other_key", "other_h")))
+    met = runs.join(own, F.col("key").eqNullSafe(F.col("own_key"))).join(others, F.col("other").eqNullSafe(F.col("other_key")))
+
+    def alike(side: Callable[[Column, Column], Column], at: Column) -> Column:
+        same = F.zip_with(side(F.col("own_h"), at), side(F.col("other_h"), at - F.col("shift")), lambda x, y: F.coalesce(x == y, F.lit(False)))
+        return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
+
+    after = lambda h, at: F.slice(h, at + 1, min_words)
+    before = lambda h, at: F.reverse(F.slice(h, F.greatest(at - min_words + 1, F.lit(1)), F.least(at, F.lit(min_words))))
+    return met.select("key", (F.col("a") - alike(before, F.col("a"))).alias("a"), (F.col("e") + alike(after, F.col("e"))).alias("e"), "other", "shift")
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """A row (key, gone) for each document that loses lines; gone: their places among the lines of the text, from 0."""
+    hashed = cut(line_hashes(docs, text, doc_id))
+    spans = _chained(repeated_runs(hashed, min_words).select("key", "a", "e"), ["key"])
+    lost = spans.groupBy(F.col("key").alias("lost")).agg(F.flatten(F.collect_list(F.sequence("a", F.col("e") - 1))).alias("lines"))
+    return lost.join(hashed, F.col("lost").eqNullSafe(F.col("key"))).select("key", let(F.col("at"), lambda at: F.transform("lines", lambda i: F.get(at, i))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, counts: bool = False, extend: bool = False) -> DataFrame:
-    """`docs` without the repeated lines, with `extend` of whole runs; with `counts`, also n_lines (those with a word) and n_removed."""
-    gone = repeated_lines(docs, text, doc_id, min_words, extend)
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+    """`docs` without the repeated lines; with `counts`, also n_lines (those with a word) and n_removed."""
+    gone = repeated_lines(docs, text, doc_id, min_words)
     key, other, at, body = "__ld_key", "__ld_other", "__ld_gone", F.col(text)
     keyed = docs.withColumn(key, row_key(F.col(doc_id), body))
     joined = keyed.join(gone.select(F.col("key").alias(other), F.col("gone").alias(at)), F.col(key).eqNullSafe(F.col(other)), "left")
@@ -105,7 +123,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
     return joined.select(*columns)
 
 
-#: What stays of each text, by comparing whole windows of lines.
+#: What stays of each text, by comparing whole windows of lines; every line of a run of 50 words begins or ends one within it.
 ORACLE_TEXTS = r"""
 l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM {docs}),
 l AS (
@@ -116,6 +134,9 @@ l AS (
 w AS (
   SELECT a.doc_id, a.r AS s, min(b.r) AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.r >= a.r AND b.r < a.r + 50 AND b.upto >= a.upto - a.n + 50
   GROUP BY ALL
+  UNION
+  SELECT b.doc_id, max(a.r) AS s, b.r AS e FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.r <= b.r AND a.r > b.r - 50 AND b.upto - a.upto + a.n >= 50
+  GROUP BY b.doc_id, b.r
 ),
 c AS (SELECT w.doc_id, w.s, w.e, string_agg(l.l, chr(10) ORDER BY l.r) AS body FROM w JOIN l ON l.doc_id = w.doc_id AND l.r BETWEEN w.s AND w.e GROUP BY ALL),
 x AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS copy FROM c),

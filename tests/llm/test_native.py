@@ -1,6 +1,7 @@
 """Quality rules, line dedup and URL filters: against SQL, and on odd tables."""
 
 import collections
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,21 +51,42 @@ def test_cascade_puts_rejections_per_cost_first(spark):
 
 
 def brute_lines(rows, least):
-    """What stays of each text by comparing whole windows."""
-    docs, seen, gone = {}, {}, collections.defaultdict(set)
-    for d, t in rows:
-        docs[(d is not None, d or 0, t or "")] = (d, t or "")
-    windows = []
-    for key in docs:
-        units = [(i, x, len(odd.words(x))) for i, x in enumerate(key[2].split("\n")) if odd.words(x)]
-        for a in range(len(units)):
-            total = 0
-            for b in range(a, len(units)):
-                total += units[b][2]
-                if total >= least:
-                    windows.append((key, [u[0] for u in units[a : b + 1]], tuple(u[1] for u in units[a : b + 1])))
-                    break
-    return windows, docs, seen, gone
+    """What stays of each text: for every two places, runs of equal lines of so many words go where they stand later."""
+    texts = sorted({(d is not None, d or 0, t or "") for d, t in rows})
+    units = [[(i, x, len(odd.words(x))) for i, x in enumerate(t.split("\n")) if odd.words(x)] for _, _, t in texts]
+    gone = [set() for _ in texts]
+    for p, one in enumerate(units):
+        for q, two in enumerate(units[: p + 1]):
+            for shift in range(1 if p == q else -len(two), len(one)):
+                run = []
+                for i in range(max(0, shift), len(one) + 1):
+                    if i < len(one) and i - shift < len(two) and one[i][1] == two[i - shift][1]:
+                        run.append(one[i])
+                        continue
+                    if sum(u[2] for u in run) >= least:
+                        gone[p] |= {u[0] for u in run}
+                    run = []
+    return {key: "\n".join(x for i, x in enumerate(key[2].split("\n")) if i not in gone[p]) for p, key in enumerate(texts)}
+
+
+def test_lines_against_all_pairs_of_places(spark):
+    rng = random.Random(21)
+    lines = [" ".join(f"w{i}x{j}" for j in range(rng.choice([1, 4, 9, 15, 30]))) for i in range(40)]
+    rows = [(rng.choice([None, *range(1, 30)]), None)]
+    for d in range(40):
+        own = []
+        for _ in range(rng.randint(1, 6)):
+            a = rng.randrange(40)
+            own += rng.choice([lines[a : a + rng.randint(1, 9)], [f"own {d} {rng.random()}"], ["", " "], [lines[0]] * 12])
+        rows.append((d // 2, "\n".join(own)))
+    rows += rows[3:6]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.dedup_lines(docs, min_words=20, counts=True).collect()
+    assert len(found) == len(rows)
+    order = [(i, t) for i, (_, t) in enumerate(rows)]
+    again = line_dedup.dedup_lines(spark.createDataFrame(order, "doc_id long, text string"), min_words=20).collect()
+    assert {r["doc_id"]: r["text"] or "" for r in again} == {k[1]: t for k, t in brute_lines(order, 20).items()}
+    assert sum(r["n_removed"] for r in found) > 50
 
 
 def test_line_dedup_by_definition(spark):
