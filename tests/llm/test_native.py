@@ -44,12 +44,38 @@ def test_order_of_rules_does_not_matter(spark):
 
 
 def test_cascade_puts_rejections_per_cost_first(spark):
-    heavy = quality_rules.Rule("never", lambda t, n: F.lit(False))
-    light = quality_rules.Rule("always", lambda t, n: F.lit(True))
+    heavy = quality_rules.Rule("never", lambda f: F.length(f.text) < 0)
+    light = quality_rules.Rule("always", lambda f: F.length(f.text) >= 0)
     order = quality_rules.cascade(odd.docs(spark), [heavy, light])
     assert [r.name for r in order] == ["always", "never"]
 
 
+def test_order_by_rejections_that_are_left():
+    both, first, third = (True, True, False), (True, False, False), (False, False, True)
+    assert quality_rules.by_rejections([1.0, 1.0, 1.0], [both] * 5 + [first] + [third] * 2) == [0, 2, 1]
+    assert quality_rules.by_rejections([9.0, 1.0, 1.0], [both] * 5 + [first] + [third] * 2) == [1, 2, 0]
+
+
+def test_costs_are_the_rules_own(spark):
+    dear = quality_rules.Rule("dear", lambda f: F.regexp_count(f.text, F.lit("[a-p]+ [b-z]+ [0-9]")) > 10**6)
+    cheap = quality_rules.Rule("cheap", lambda f: f.n_words < 0)
+    (a, b), verdicts = quality_rules.measured(odd.docs(spark), [dear, cheap])
+    assert a > 5 * b and not any(map(any, verdicts))
+
+
+def test_each_rule_rejects_its_own_kind(spark):
+    plain = " ".join(["The quick brown fox jumps over lazy dogs and runs away from all of them"] + [f"word{i}" for i in range(30)])
+    kinds = {
+        "symbols": plain + " #$%& <|>" * 2, "exclamations": plain + " yes!!!!!!!", "capitals": " ".join("ABCDEFGH"[i % 8] * 5 + str(i) for i in range(40)), "long_words": " ".join(f"{i}" + "x" * 30 for i in range(40)),
+        "short_words": " ".join(chr(97 + i % 26) + ("a" if i % 9 == 0 else "") for i in range(60)), "few_letters": " ".join(f"{i * 7919}" for i in range(60)),
+        "repeated_lines": "\n".join([f"line with some words {i}" for i in range(10)] + ["same line"] * 11), "list_marks": "\n".join(f"- item number {i} of many" for i in range(20)), "ellipses": "\n".join(f"read more about thing {i} here..." for i in range(20)),
+    }
+    for rule in quality_rules.RULES:
+        docs = spark.createDataFrame([(0, plain), (1, kinds[rule.name])], "doc_id long, text string")
+        rows = quality_rules.facts(docs, "text", [F.col("doc_id"), F.col("text")]).select("doc_id", rule.rejects(quality_rules.facts_of(F.col("text"))).alias("no")).collect()
+        assert {r["doc_id"]: r["no"] for r in rows} == {0: False, 1: True}, rule.name
+
+
 def brute_lines(rows, least):
     """What stays of each text: for every two places, runs of equal lines of so many words go where they stand later."""
     texts = sorted({(d is not None, d or 0, t or "") for d, t in rows})
