@@ -2,20 +2,21 @@
 
 A text is the set of its five-word shingles; texts with one set are one class, so exact copies meet in a count. Each
 run sends every set down a path: the token of a set at a coordinate is its least shingle under the coordinate's hash,
-and two sets share it with the probability of their similarity. Sets with one token share a bucket. A bucket of at most
-`LEAF` sets is compared by brute force on 64 one-byte sketches; a larger one is split again on two more coordinates
-that hang on the bucket; one that is still too large after `DEPTH` splits is compared in tiles. Runs repeat until a pair
-at the threshold is missed with a probability under 1 - `RECALL`.
+and two sets share it with the probability of their similarity. Sets with one token share a bucket. A bucket of over
+`LEAF` sets is split on two more coordinates that hang on the bucket, and its parts again; one that is still too large
+after `DEPTH` splits is dealt to tiles, so that any two of its sets meet in a leaf. Runs repeat until a pair at the
+threshold is missed with a probability under 1 - `RECALL`, whatever was split.
 
-A bucket gives back a forest over its close sets, not its pairs, so a group of thousands of near copies costs thousands
-of rows. Components of all forests hold every pair that can be similar; within a component the exact similarity of all
-pairs is taken from the shingles, in tiles of at most 2 * `TILE` sets by a matrix product over shared shingles. A tile
-gives back how many documents each set is similar to, and a forest again, whose components are the classes.
+Leaves are compared by brute force, first on sketches of a byte a coordinate; sets that have a close partner then come
+with their shingles, and the exact similarity of all pairs of the leaf is taken by a matrix product over shared shingles.
+A pair that meets in several leaves is the least one's, so links are counted once. A leaf gives back how many documents
+each of its sets is similar to, and a forest over similar sets, never its pairs; the components of all forests are the
+classes. Only true links chain, so texts that merely look alike cost what their leaves cost.
 
 Nulls and odd inputs: null is an empty text; a text of fewer than five words has no shingle and is similar only to
 texts with the same words; copies are similar to each other; rows with equal doc_id are rows of their own, each with
-a result, and `keep_one` keeps one of rows with equal doc_id and text; a null doc_id sorts first; an empty table gives an
-empty result. The join returns the id only, `keep_one` all columns, whatever their names.
+a result, and `keep_one` keeps one of rows with equal doc_id and text; a null doc_id sorts first; a text of any length
+has all its shingles; ties for the least of a class are broken by the text's hash; an empty table gives an empty result. The join returns the id only, `keep_one` all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,19 +36,21 @@ from modeloom.llm.grams import U, buffers, mix, row_ranges, word_hashes
 WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 64
-CLOSE = 32
+#: Of 64 coordinates a pair at similarity 0.8 shares fewer with a probability of 1.2e-6.
+CLOSE = 35
 RECALL = 1 - 1e-6
-LEAF = 4096
+LEAF = 2048
 DEPTH = 4
-TILE = 1024
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U(2) + U(1)
 _SETS = "shingle_set long, size long, tokens array<long>, sketch binary"
 _SETS_ARROW = [("shingle_set", pa.int64()), ("size", pa.int64()), ("tokens", pa.list_(pa.int64())), ("sketch", pa.binary())]
 
 
-def runs(similarity: float, recall: float) -> int:
-    """So many runs that a pair at the threshold is missed by all with a probability of 1 - recall at most, if its bucket is split once."""
-    met = similarity * (1 - (1 - similarity) ** 2)
+def runs(similarity: float, recall: float, splits: int = DEPTH) -> int:
+    """So many runs that a pair at the threshold is missed by all with a probability of 1 - recall at most, even if each of
+    its buckets is split so many times: a pair is in one bucket with the probability of its similarity, and after a split
+    if it shares one of two tokens."""
+    met = similarity * (1 - (1 - similarity) ** 2) ** splits
     return min(COORDINATES // 2, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -128,23 +131,39 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _close_pairs(group: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of one group whose sizes and sketches allow the similarity; groups are runs of rows."""
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    at = np.arange(len(group) - 1)
-    step = 1
+def _close_pairs(group: np.ndarray, size: np.ndarray, sketch: np.ndarray, similarity: float, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some pairs at a time of rows of one group whose sizes and sketches allow the similarity; groups are runs of rows.
+    Pairs whose rows are both among `found` by then are left out."""
+    at, step = np.arange(len(group) - 1), 1
     while len(at):
         at = at[at + step < len(group)]
         at = at[group[at] == group[at + step]]
         a, b = size[at], size[at + step]
-        likely = at[np.minimum(a, b) >= similarity * np.maximum(a, b)]
-        for i in range(0, len(likely), 1 << 16):
-            x = likely[i : i + (1 << 16)]
+        likely = at[(np.minimum(a, b) >= similarity * np.maximum(a, b)) & ~(found[at] & found[at + step])]
+        for i in range(0, len(likely), 1 << 15):
+            x = likely[i : i + (1 << 15)]
             x = x[(sketch[x] == sketch[x + step]).sum(axis=1) >= CLOSE]
-            found_a.append(x)
-            found_b.append(x + step)
+            if len(x):
+                yield x, x + step
         step += 1
-    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+def _paths_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Each row's leaves, rising; filled up with what is no leaf."""
+    array = pa.concat_arrays(column.chunks)
+    n, values = np.diff(np.asarray(array.offsets)), np.asarray(array.flatten())
+    out = np.full((len(n), int(n.max(initial=0))), np.iinfo(np.int64).max)
+    out[np.arange(out.shape[1]) < n[:, None]] = values
+    return out
+
+
+def _met_before(paths: np.ndarray, leaf: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether two rows of a leaf share a lesser leaf too; a pair is that leaf's then."""
+    out = np.zeros(len(a), bool)
+    for k in range(paths.shape[1]):
+        own = paths[a, k]
+        out |= (own < leaf[a]) & (paths[b] == own[:, None]).any(axis=1)
+    return out
 
 
 def _bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -154,48 +173,53 @@ def _bytes_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[where : where + width * len(array)].reshape(-1, width)
 
 
-def _forests(similarity: float):
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_candidates(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "leaf"):
-            leaf, sets, size = (table[c].to_numpy() for c in ("leaf", "shingle_set", "size"))
-            a, b = _close_pairs(leaf, size, _bytes_matrix(table["sketch"], COORDINATES), similarity)
-            root = roots(len(leaf), a, b)
-            own = np.flatnonzero(root != np.arange(len(root)))
-            found = np.unique(np.stack([sets[own], sets[root[own]]], axis=1), axis=0) if len(own) else np.zeros((0, 2), np.int64)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+            leaf, size, paths = table["leaf"].to_numpy(), table["size"].to_numpy(), _paths_matrix(table["paths"])
+            found = np.zeros(len(leaf), bool)
+            for a, b in _close_pairs(leaf, size, _bytes_matrix(table["sketch"], COORDINATES), similarity, found):
+                own = ~_met_before(paths, leaf, a, b)
+                found[a[own]] = found[b[own]] = True
+            yield from table.select(["leaf", "shingle_set", "paths"]).filter(pa.array(found)).combine_chunks().to_batches()
 
-    return forests
+    return run
 
 
 def _tile_pairs(key: Column, own: Column, tiles: Column) -> Column:
-    """For a row of tile `own` of `tiles`: an array of (group, low, high), one for each tile that it meets."""
-    meet = lambda j: F.struct(F.xxhash64(key, F.least(own, j), F.greatest(own, j)).alias("leaf"), F.least(own, j).alias("low"), F.greatest(own, j).alias("high"))
-    return F.transform(F.sequence(F.lit(0), tiles - 1), meet)
+    """For a row of tile `own` of `tiles`: an array of leaves, one for each tile that it meets."""
+    return F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.xxhash64(key, F.least(own, j), F.greatest(own, j)))
 
 
-def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """Edges (a, b) between sets; any two sets that are similar are in one component, up to `recall`."""
-    spark, n = sets.sparkSession, runs(similarity, recall)
+def leaves(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """(leaf, shingle_set): the small buckets at the ends of all paths. Two sets that are similar share one, up to `recall`."""
+    n = runs(similarity, recall, depth)
     paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.xxhash64(r, F.get("tokens", r))))
-    rows = sets.filter("size > 0").select(paths.alias("bucket"), "shingle_set", "size", "sketch")
-    leaves = None
+    rows = sets.filter("size > 0").select(paths.alias("bucket"), "shingle_set")
+    found = None
     for level in range(depth + 1):
         counts = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
         met = cut(rows.join(counts, "bucket"))
         last = level == depth
         small = met if last else met.filter(F.col("members") <= leaf)
         tiles = F.ceil(F.col("members") / leaf).cast("int")
-        placed = small.withColumn("to", F.explode(_tile_pairs(F.col("bucket"), F.pmod(F.xxhash64("shingle_set", F.lit(7)), tiles).cast("int"), tiles)))
-        placed = placed.select(F.col("to.leaf").alias("leaf"), "shingle_set", "size", "sketch")
-        leaves = placed if leaves is None else leaves.unionByName(placed)
+        placed = small.select("shingle_set", F.explode(_tile_pairs(F.col("bucket"), F.pmod(F.xxhash64("shingle_set", F.lit(7)), tiles).cast("int"), tiles)).alias("leaf")).select("leaf", "shingle_set")
+        found = placed if found is None else found.unionByName(placed)
         large = met.filter(F.col("members") > leaf)
         if last or large.isEmpty():
             break
         child = lambda k: F.xxhash64("bucket", F.lit(k), F.get("tokens", (F.lit(n) + F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(COORDINATES - n))).cast("int")))
-        deeper = large.select("bucket", "shingle_set").join(sets.select("shingle_set", "size", "sketch", "tokens"), "shingle_set")
-        rows = deeper.select(F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("bucket"), "shingle_set", "size", "sketch")
-    dealt = leaves.repartition(parts(sets, 16 << 20), "leaf").sortWithinPartitions("leaf")
-    return dealt.mapInArrow(_forests(similarity), "a long, b long").distinct()
+        deeper = large.select("bucket", "shingle_set").join(sets.select("shingle_set", "tokens"), "shingle_set")
+        rows = deeper.select(F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("bucket"), "shingle_set")
+    return found
+
+
+def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
+    """(leaf, shingle_set, paths): of each leaf the sets with a pair that can be similar and that no lesser leaf has; paths are all leaves of a set."""
+    paths = leaves(sets, similarity, recall, leaf, depth).groupBy("shingle_set").agg(F.array_sort(F.collect_set("leaf")).alias("paths"))
+    rows = paths.join(sets.select("shingle_set", "size", "sketch"), "shingle_set").select(F.explode("paths").alias("leaf"), "shingle_set", "size", "sketch", "paths")
+    dealt = rows.repartition(parts(sets, 16 << 20), "leaf").sortWithinPartitions("leaf")
+    return dealt.mapInArrow(_with_candidates(similarity), "leaf long, shingle_set long, paths array<long>")
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,35 +249,45 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def near_pairs(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which two sets are similar, as a matrix; some rows at a time, as it may have thousands."""
+    size, both = np.array([len(x) for x in sets], np.float64), overlaps(sets)
+    near = np.empty(both.shape, bool)
+    for i in range(0, len(sets), 256):
+        near[i : i + 256] = both[i : i + 256].astype(np.float64) * (1 + similarity) >= similarity * (size[i : i + 256, None] + size) - 1e-9
+    np.fill_diagonal(near, False)
+    return near
+
+
 def _link(similarity: float):
+    """Of each leaf the exact similarities: the links that are the leaf's own, and a forest over its similar sets."""
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "leaf"):
-            leaf, sets, copies, low, high, tile = (table[c].to_numpy() for c in ("leaf", "shingle_set", "copies", "low", "high", "tile"))
-            blobs = table["shingles"].to_pylist()
+            leaf, sets, copies, paths = *(table[c].to_numpy() for c in ("leaf", "shingle_set", "copies")), _paths_matrix(table["paths"])
+            blobs = pa.concat_arrays(table["shingles"].chunks)
             edges = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1], [True]]))
             out: list[tuple[np.ndarray, ...]] = []
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 if b - a < 2:
                     continue
-                own = [np.frombuffer(x, np.uint64) for x in blobs[a:b]]
-                size = np.array([len(x) for x in own], np.float64)
-                both = overlaps(own).astype(np.float64)
-                near = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
-                np.fill_diagonal(near, False)
-                if low[a] != high[a]:
-                    near &= tile[a:b, None] != tile[None, a:b]
-                x, y = np.nonzero(near)
-                root = roots(b - a, x, y)
-                links = near @ copies[a:b]
-                has = np.flatnonzero(links)
-                out.append((sets[a:b][has], links[has].astype(np.int64), sets[a:b][root[has]]))
+                near = near_pairs([np.frombuffer(x.as_buffer(), np.uint64) for x in blobs[a:b]], similarity)
+                label, links = np.arange(b - a), np.zeros(b - a, np.int64)
+                for i in range(0, b - a, 256):
+                    x, y = np.nonzero(near[i : i + 256])
+                    x += i
+                    own = np.concatenate([np.zeros(0, bool), *(~_met_before(paths, leaf, a + x[q : q + (1 << 15)], a + y[q : q + (1 << 15)]) for q in range(0, len(x), 1 << 15))])
+                    np.add.at(links, x[own], copies[a + y[own]])
+                    label = roots(b - a, np.concatenate([np.flatnonzero(label != np.arange(b - a)), x]), np.concatenate([label[label != np.arange(b - a)], y]))
+                has = np.flatnonzero(near.any(axis=1))
+                out.append((sets[a:b][has], links[has], sets[a:b][label[has]]))
             if out:
                 yield pa.RecordBatch.from_pydict({name: pa.array(np.concatenate([x[i] for x in out]), pa.int64()) for i, name in enumerate(("shingle_set", "links", "root"))})
 
     return link
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """Of each document: doc_id, text_hash, first (the least doc_id and text_hash of its class) and n_links."""
     small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -263,15 +297,12 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     first = F.min(F.struct("doc_id", "text_hash"))
     sets = all_docs.groupBy("shingle_set").agg(F.count("*").alias("copies"), F.max("size").alias("size"), first.alias("doc"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
     sets = cut(sets)
-    near = components(candidates(sets, similarity, recall, leaf)).select(F.col("node").alias("shingle_set"), F.col("root").alias("part"))
-    sized = near.join(near.groupBy("part").agg(F.count("*").alias("members")), "part")
-    tiles = F.ceil(F.col("members") / tile).cast("int")
-    placed = sized.select("part", "shingle_set", tiles.alias("tiles"), F.pmod(F.xxhash64("shingle_set", F.lit(11)), tiles).cast("int").alias("tile"))
-    placed = placed.join(sets.select("shingle_set", "copies", "doc"), "shingle_set").select("part", "shingle_set", "tiles", "tile", "copies", F.col("doc.doc_id").alias("rep"), F.col("doc.text_hash").alias("rep_hash"))
-    found = keyed.join(placed, keyed["doc_id"].eqNullSafe(placed["rep"]) & (keyed["text_hash"] == placed["rep_hash"])).select("part", "shingle_set", "tiles", "tile", "copies", "text")
-    held = found.dropDuplicates(["shingle_set"]).mapInArrow(_shingle_sets, "part long, shingle_set long, tiles int, tile int, copies long, shingles binary")
-    spread = held.withColumn("to", F.explode(_tile_pairs(F.col("part"), F.col("tile"), F.col("tiles")))).select("to.*", "tile", "shingle_set", "copies", "shingles")
-    linked = cut(spread.repartition(parts(docs, 8 << 20), "leaf").sortWithinPartitions("leaf").mapInArrow(_link(similarity), "shingle_set long, links long, root long"))
+    met = cut(candidates(sets, similarity, recall, leaf, depth))
+    named = met.select("shingle_set").distinct().join(sets.select("shingle_set", "copies", "doc"), "shingle_set").select("shingle_set", "copies", F.col("doc.doc_id").alias("rep"), F.col("doc.text_hash").alias("rep_hash"))
+    found = keyed.join(named, keyed["doc_id"].eqNullSafe(named["rep"]) & (keyed["text_hash"] == named["rep_hash"])).select("shingle_set", "copies", "text")
+    held = found.dropDuplicates(["shingle_set"]).mapInArrow(_shingle_sets, "shingle_set long, copies long, shingles binary")
+    placed = met.join(held, "shingle_set").select("leaf", "shingle_set", "copies", "paths", "shingles")
+    linked = cut(placed.repartition(parts(docs, 8 << 20), "leaf").sortWithinPartitions("leaf").mapInArrow(_link(similarity), "shingle_set long, links long, root long"))
     root = components(linked.select(F.col("shingle_set").alias("a"), F.col("root").alias("b")))
     least = root.join(sets.select("shingle_set", "doc"), root["node"] == sets["shingle_set"]).groupBy("root").agg(F.min("doc").alias("first"))
     classes = root.join(least, "root").select(F.col("node").alias("shingle_set"), "first")
@@ -281,9 +312,9 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar
     return all_docs.select("doc_id", "text_hash", "shingle_set").join(known, "shingle_set").select("doc_id", "text_hash", "first", "n_links")
 
 
-def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """doc_id, class_id (the least id of all documents linked to it directly or over others) and n_links (documents similar to it)."""
-    return similar(docs, text, doc_id, similarity, recall, leaf, tile).select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links")
+    return similar(docs, text, doc_id, similarity, recall, leaf, depth).select("doc_id", F.col("first.doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

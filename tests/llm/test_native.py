@@ -68,7 +68,7 @@ def test_each_rule_rejects_its_own_kind(spark):
     kinds = {
         "symbols": plain + " #$%& <|>" * 2, "exclamations": plain + " yes!!!!!!!", "capitals": " ".join("ABCDEFGH"[i % 8] * 5 + str(i) for i in range(40)), "long_words": " ".join(f"{i}" + "x" * 30 for i in range(40)),
         "short_words": " ".join(chr(97 + i % 26) + ("a" if i % 9 == 0 else "") for i in range(60)), "few_letters": " ".join(f"{i * 7919}" for i in range(60)),
-        "repeated_lines": "\n".join([f"line with some words {i}" for i in range(10)] + ["same line"] * 11), "list_marks": "\n".join(f"- item number {i} of many" for i in range(20)), "ellipses": "\n".join(f"read more about thing {i} here..." for i in range(20)),
+        "repeated_lines": "\n".join([f"line with some words {i}" for i in range(10)] + ["same line"] * 14), "list_marks": "\n".join(f"- item number {i} of many" for i in range(20)), "ellipses": "\n".join(f"read more about thing {i} here..." for i in range(20)),
     }
     for rule in quality_rules.RULES:
         docs = spark.createDataFrame([(0, plain), (1, kinds[rule.name])], "doc_id long, text string")

@@ -54,11 +54,11 @@ def near_copies(seed, groups, each, n=150, edits=3):
     return out
 
 
-@pytest.mark.parametrize("leaf, tile", [(4096, 1024), (8, 5)])
-def test_join_by_definition(spark, leaf, tile):
+@pytest.mark.parametrize("leaf, depth", [(2048, 4), (8, 4), (5, 0)])
+def test_join_by_definition(spark, leaf, depth):
     docs = odd.docs(spark, near_copies(1, 6, 12))
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    found = jaccard_join.join_similar(docs, leaf=leaf, tile=tile).collect()
+    found = jaccard_join.join_similar(docs, leaf=leaf, depth=depth).collect()
     assert collections.Counter(tuple(r) for r in found) == brute_join(rows)
     assert jaccard_join.join_similar(odd.empty(spark)).count() == 0
 
@@ -79,8 +79,32 @@ def test_one_of_each_group_stays(spark):
 
 
 def test_runs_reach_the_recall():
-    n = jaccard_join.runs(0.8, 1 - 1e-6)
-    assert (1 - 0.8 * 0.96) ** n <= 1e-6 < (1 - 0.8 * 0.96) ** (n - 1)
+    for splits in (0, 1, 4):
+        n, met = jaccard_join.runs(0.8, 1 - 1e-6, splits), 0.8 * 0.96**splits
+        assert (1 - met) ** n <= 1e-6 < (1 - met) ** (n - 1)
+
+
+def test_pairs_at_the_threshold_meet_below_deep_splits(spark):
+    """Pairs of sets at a similarity of 0.8 among many that share a bucket, so that paths are split to the end."""
+    rng = np.random.default_rng(22)
+    tokens = rng.integers(1, 1 << 62, (600, jaccard_join.COORDINATES))
+    tokens[:, :20] = np.where(rng.random((600, 20)) < 0.9, 7, tokens[:, :20])
+    tokens[:, 20:] = np.where(rng.random((600, 44)) < 0.6, 7, tokens[:, 20:])
+    twins = np.where(rng.random((600, jaccard_join.COORDINATES)) < 0.8, tokens, rng.integers(1, 1 << 62, tokens.shape))
+    rows = [(k * 1000 + i, 10, [int(x) for x in own[i]]) for k, own in enumerate((tokens, twins)) for i in range(600)]
+    sets = spark.createDataFrame(rows, "shingle_set long, size long, tokens array<long>")
+    found = collections.defaultdict(set)
+    for r in jaccard_join.leaves(sets, leaf=40).collect():
+        found[r["leaf"]].add(r["shingle_set"])
+    assert sum({i, 1000 + i} <= x for i in range(600) for x in [set().union(*[y for y in found.values() if i in y])]) == 600
+
+
+def test_a_chain_of_texts_that_look_alike_has_no_links(spark):
+    rng = random.Random(23)
+    parts = [odd.text(rng, 30) for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(parts[j % 60] for j in range(i, i + 6))) for i in range(60)] + [(100, " ".join([*parts[0:6], "end"]))], "doc_id long, text string")
+    found = {tuple(r) for r in jaccard_join.join_similar(docs, similarity=0.8).collect()}
+    assert found == {(i, i, 0) for i in range(1, 60)} | {(0, 0, 1), (100, 0, 1)}
 
 
 def test_overlaps_by_definition():
