@@ -47,7 +47,7 @@ def _run(sections: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     return y.T
 
 
-def _steady(sections: np.ndarray) -> np.ndarray:
+def steady_state(sections: np.ndarray) -> np.ndarray:
     """State of each section for a constant input of 1 to the first."""
     out, level = [], 1.0
     for b0, b1, b2, _, a1, a2 in sections:
@@ -63,7 +63,7 @@ def forward_backward(sections: np.ndarray, x: np.ndarray, pad: int) -> np.ndarra
     pad = min(pad, x.shape[1] - 1)
     if pad > 0:
         x = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -pad - 2 : -1]], axis=1)
-    steady = _steady(sections)
+    steady = steady_state(sections)
     for _ in range(2):
         x = _run(sections, x, steady[:, :, None] * x[:, 0])[:, ::-1]
     return x[:, pad : x.shape[1] - pad] if pad > 0 else x

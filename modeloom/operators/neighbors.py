@@ -1,21 +1,24 @@
 """Nearest neighbours between test and training rows: distances, weights and votes.
 
-Rows are (row_id, label, f, fold). Every test row meets the training rows of its fold. Up to `BLOCK` training rows are
-broadcast at once as a matrix; larger training sets are taken in blocks of that size, each block giving its nearest k,
-which then meet in a top k: no pair of rows ever becomes a row.
+Rows are (row_id, label, f, fold). Every test row meets the training rows of the other folds: rows are dealt to blocks of
+at most about `BLOCK`, every block meets every block in a task of its own, and gives its rows' nearest k there, which
+then meet in a top k: no pair of rows ever becomes a row, and none passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
-BLOCK = 50_000
+BLOCK = 20_000
+#: So that small tables are dealt to several tasks as well.
+LEAST_BLOCKS = 3
 METRICS = {"cityblock": "cityblock", "manhattan": "cityblock", "l1": "cityblock", "euclidean": "euclidean", "l2": "euclidean", "minkowski": "euclidean", "cosine": "cosine", "chebyshev": "chebyshev"}
 
 
@@ -53,47 +56,47 @@ def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(out) if kind == "euclidean" else out
 
 
+def _blocks_that_meet(rows: DataFrame, block: int) -> PandasCogroupedOps:
+    """Every block of rows with every block, as cogroups; columns of the right side are those of the left."""
+    n = max(LEAST_BLOCKS, -(-rows.count() // block))
+    tagged = rows.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(n)))
+    each = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # Aliases make the two sides different tables to Spark.
+    side = lambda a, b: each.select(*[F.col(c).alias(c) for c in rows.columns], (F.col(a) * n + F.col(b)).alias("pair")).groupBy("pair")
+    return side("part", "other").cogroup(side("other", "part"))
+
+
 def neighbours(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
     """(test_id, train_id, train_label, d, r): of each row the k nearest of other folds; of equal ones the least id."""
-    spark, cells = rows.sparkSession, rows.select("row_id", "label", "fold", "f")
-    n_blocks = max(1, -(-cells.count() // block))
-    tagged = cells.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)))
-    found = None
-    for b in range(n_blocks):
-        # Bounded: a block of training rows has about BLOCK rows.
-        train = tagged.filter(F.col("part") == b).drop("part").toPandas().sort_values("row_id")
-        x = np.stack(train["f"].to_numpy()).astype(float) if len(train) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((train["row_id"].to_numpy(), train["label"].to_numpy(), train["fold"].to_numpy(), x))
-
-        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, labels, folds, y = shared.value
-            for frame in frames:
-                for a in range(0, len(frame), 256):
-                    part = frame.iloc[a : a + 256]
-                    if not len(ids) or not len(part):
-                        continue
-                    d = np.round(_distances(np.stack(part["f"].to_numpy()).astype(float), y, metric), 12)
-                    d[part["fold"].to_numpy()[:, None] == folds[None, :]] = np.inf
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    at = np.repeat(np.arange(len(part)), near.shape[1])
-                    flat = near.ravel()
-                    out = pd.DataFrame({"test_id": part["row_id"].to_numpy()[at], "train_id": ids[flat], "train_label": labels[flat], "d": d[at, flat]})
-                    yield out[np.isfinite(out["d"])]
-
-        each = cells.mapInPandas(run, "test_id long, train_id long, train_label int, d double")
-        found = each if found is None else found.unionByName(each)
+    cells = rows.select("row_id", "label", "fold", "f")
+
+    def nearest(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+        train = train.sort_values("row_id")
+        ids, labels, folds, out = train["row_id"].to_numpy(), train["label"].to_numpy(), train["fold"].to_numpy(), []
+        for a in range(0, len(test) if len(train) else 0, 256):
+            part = test.iloc[a : a + 256]
+            d = np.round(_distances(np.stack(part["f"].to_numpy()).astype(float), np.stack(train["f"].to_numpy()).astype(float), metric), 12)
+            d[part["fold"].to_numpy()[:, None] == folds[None, :]] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, :k]
+            at, flat = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
+            found = pd.DataFrame({"test_id": part["row_id"].to_numpy()[at], "train_id": ids[flat], "train_label": labels[flat], "d": d[at, flat]})
+            out.append(found[np.isfinite(found["d"])])
+        return pd.concat(out) if out else pd.DataFrame({"test_id": [], "train_id": [], "train_label": [], "d": []})
+
+    found = _blocks_that_meet(cells, block).applyInPandas(nearest, "test_id long, train_id long, train_label int, d double")
     order = Window.partitionBy("test_id").orderBy("d", "train_id")
     return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
 
 
-def vote(near: DataFrame, weights: str = "uniform") -> DataFrame:
-    """(test_id, predicted): the class of the greatest weight, of equal ones the least."""
+def vote(near: DataFrame, weights: str = "uniform", by: Sequence[str] = ()) -> DataFrame:
+    """(by, test_id, predicted): the class of the greatest weight, of equal ones the least."""
+    own = [*by, "test_id"]
     w = near.withColumn("w", weight(F.col("d"), weights))
-    exact = Window.partitionBy("test_id")
+    exact = Window.partitionBy(*own)
     # With 1 / d, neighbours at distance 0 outvote all others and count alike.
     w = w.withColumn("w", F.when(F.max("w").over(exact) == float("inf"), F.when(F.col("w") == float("inf"), 1.0).otherwise(0.0)).otherwise(F.col("w")))
-    totals = w.groupBy("test_id", "train_label").agg(F.sum("w").alias("w"))
-    return totals.groupBy("test_id").agg(F.max_by("train_label", F.struct(F.round("w", 9), -F.col("train_label"))).alias("predicted"))
+    totals = w.groupBy(*own, "train_label").agg(F.sum("w").alias("w"))
+    return totals.groupBy(*own).agg(F.max_by("train_label", F.struct(F.round("w", 9), -F.col("train_label"))).alias("predicted"))
 
 
 def classify(rows: DataFrame, k: int, metric: str = "euclidean", weights: str = "uniform", block: int = BLOCK) -> DataFrame:
@@ -121,29 +124,22 @@ def standardise(rows: DataFrame, by_fold: bool = True, column: str = "f") -> Dat
     return rows.join(F.broadcast(packed)).withColumn(column, scaled).drop("stats")
 
 
-def silhouette(rows: DataFrame, group: str, column: str = "f") -> DataFrame:
-    """(row_id, s) by Euclidean distances between all rows: the stated report on at most some thousand rows."""
-    spark = rows.sparkSession
-    data = rows.select("row_id", group, column).toPandas().sort_values("row_id")
-    x, labels = np.stack(data[column].to_numpy()).astype(float), data[group].to_numpy()
-    shared = spark.sparkContext.broadcast((data["row_id"].to_numpy(), x, labels))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, y, g = shared.value
-        names, at = np.unique(g, return_inverse=True)
-        sizes = np.bincount(at)
-        for frame in frames:
-            for i in range(0, len(frame), 256):
-                part = frame.iloc[i : i + 256]
-                d = _distances(np.stack(part[column].to_numpy()).astype(float), y, "euclidean")
-                sums = np.stack([d[:, at == c].sum(axis=1) for c in range(len(names))], axis=1)
-                own = np.searchsorted(names, part[group].to_numpy())
-                row = np.arange(len(part))
-                inner = sums[row, own] / np.maximum(sizes[own] - 1, 1)
-                means = sums / sizes
-                means[row, own] = np.inf
-                outer = means.min(axis=1)
-                s = np.where(sizes[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
-                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "s": s})
-
-    return rows.select("row_id", group, column).mapInPandas(run, "row_id long, s double")
+def silhouette(rows: DataFrame, group: str, column: str = "f", block: int = BLOCK) -> DataFrame:
+    """(row_id, s) by Euclidean distances between all rows. Blocks give each row's sum of distances to each class."""
+    cells = rows.select("row_id", F.col(group).cast("string").alias("own"), F.col(column).alias("f"))
+
+    def sums(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for cls, members in other.groupby("own"):
+            y = np.stack(members["f"].to_numpy()).astype(float)
+            for a in range(0, len(one), 256):
+                part = one.iloc[a : a + 256]
+                out.append(pd.DataFrame({"row_id": part["row_id"], "own": part["own"], "cls": cls, "d": _distances(np.stack(part["f"].to_numpy()).astype(float), y, "euclidean").sum(axis=1)}))
+        return pd.concat(out) if out else pd.DataFrame({"row_id": [], "own": [], "cls": [], "d": []})
+
+    found = _blocks_that_meet(cells, block).applyInPandas(sums, "row_id long, own string, cls string, d double")
+    total = found.groupBy("row_id", "own", "cls").agg(F.sum("d").alias("d")).join(cells.groupBy(F.col("own").alias("cls")).agg(F.count("*").alias("n")), "cls")
+    same = F.col("own") == F.col("cls")
+    each = total.groupBy("row_id").agg(F.max(F.when(same, F.col("n"))).alias("n"), F.max(F.when(same, F.col("d"))).alias("inner"), F.min(F.when(~same, F.col("d") / F.col("n"))).alias("b"))
+    each = each.withColumn("a", F.col("inner") / F.greatest(F.col("n") - 1, F.lit(1)))
+    return each.select("row_id", F.when((F.col("n") > 1) & F.col("b").isNotNull(), (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(0.0).alias("s"))

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modeloom.functions import filters
 from modeloom.operators import artifacts, decompose, energy, features, folds, metrics, neighbors, segments, selection, signals, stats
 from modeloom.plans import experiments
 from modeloom.plans import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Queries whose results follow from floating-point detail or chance of another engine; they have tests instead of SQL.
 
 
 def query(name: str, sql: str | None = None):
@@ -499,12 +499,12 @@ def _(s, d):
 
 
 @query("mr6_binned_information", f"""WITH {T.MATRIX}, sp AS (SELECT feat, min(v) AS low, max(v) AS high FROM m GROUP BY feat),
-b AS (SELECT row_id, m.feat, CASE WHEN v >= high THEN 10 ELSE greatest(1, least(10, CAST(floor((v - low) / ((high - low) / 9)) AS INT) + 1)) END AS bin FROM m JOIN sp ON sp.feat = m.feat WHERE m.feat < 8),
+b AS (SELECT row_id, m.feat, CASE WHEN v >= high THEN 10 ELSE greatest(1, least(10, CAST(floor((v - low) / ((high - low) / 9)) AS INT) + 1)) END AS bin FROM m JOIN sp ON sp.feat = m.feat),
 j AS (SELECT x.feat AS a, y.feat AS b, x.bin AS i, y.bin AS j, count(*) AS n FROM b x JOIN b y ON x.row_id = y.row_id AND x.feat < y.feat GROUP BY ALL),
 c AS (SELECT *, sum(n) OVER (PARTITION BY a, b) AS t, sum(n) OVER (PARTITION BY a, b, i) AS ni, sum(n) OVER (PARTITION BY a, b, j) AS nj FROM j)
 SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(greatest(0, sum(n / t * ln(n * t / (ni * nj)))), 6) AS mi FROM c GROUP BY a, b""")
 def _(s, d):
-    pairs = s.range(64).select((F.col("id") / 8).cast("int").alias("a"), (F.col("id") % 8).cast("int").alias("b")).filter("a < b")
+    pairs = s.range(64 * 64).select((F.col("id") / 64).cast("int").alias("a"), (F.col("id") % 64).cast("int").alias("b")).filter("a < b")
     return T.rounded(selection.binned_information(T.matrix(s, d), pairs))
 
 
@@ -572,22 +572,47 @@ def _(s, d):
     return T.rounded(signals.spectrum(_coefficients(s, d).withColumnRenamed("c", "x"), ["seg", "channel"], 16))
 
 
-def _signal(name: str, run: Callable[[DataFrame], DataFrame]):
-    @query(name)
+def _recursion(sections, pad: int) -> str:
+    """SQL that filters the channels forth and back, sample by sample and section by section."""
+    n, steady = 16 + 2 * pad, filters.steady_state(sections)
+    sql = _CHANNEL.replace("WITH", "WITH RECURSIVE", 1) + f""", y0 AS MATERIALIZED (SELECT seg, channel, t + {pad} AS t, c AS y FROM c
+UNION ALL SELECT a.seg, a.channel, {pad} - b.t, 2 * a.c - b.c FROM c a JOIN c b ON a.seg = b.seg AND a.channel = b.channel AND a.t = 0 AND b.t BETWEEN 1 AND {pad}
+UNION ALL SELECT a.seg, a.channel, {pad + 30} - b.t, 2 * a.c - b.c FROM c a JOIN c b ON a.seg = b.seg AND a.channel = b.channel AND a.t = 15 AND b.t BETWEEN {15 - pad} AND 14)"""
+    made = 0
+    for _ in range(2):
+        start = made
+        for (b0, b1, b2, _, a1, a2), (s0, s1) in zip(sections.tolist(), steady.tolist(), strict=True):
+            sql += f""", r{made + 1} AS (SELECT u.seg, u.channel, u.t, {b0!r} * u.y + {s0!r} * f.y AS y, {b1!r} * u.y - {a1!r} * ({b0!r} * u.y + {s0!r} * f.y) + {s1!r} * f.y AS z0, {b2!r} * u.y - {a2!r} * ({b0!r} * u.y + {s0!r} * f.y) AS z1
+FROM y{made} u JOIN y{start} f ON f.seg = u.seg AND f.channel = u.channel AND f.t = 0 WHERE u.t = 0
+UNION ALL SELECT u.seg, u.channel, u.t, {b0!r} * u.y + z0, {b1!r} * u.y - {a1!r} * ({b0!r} * u.y + z0) + z1, {b2!r} * u.y - {a2!r} * ({b0!r} * u.y + z0) FROM r{made + 1} r JOIN y{made} u ON u.seg = r.seg AND u.channel = r.channel AND u.t = r.t + 1)"""
+            made += 1
+            sql += f", y{made} AS MATERIALIZED (SELECT seg, channel, t, y FROM r{made})"
+        made += 1
+        sql += f", y{made} AS MATERIALIZED (SELECT seg, channel, {n - 1} - t AS t, y FROM y{made - 1})"
+    return sql + f" SELECT seg, CAST(channel AS BIGINT) AS channel, CAST(t - {pad} AS BIGINT) AS t, round(y, 6) + 0.0 AS x FROM y{made} WHERE t BETWEEN {pad} AND {pad + 15}"
+
+
+_ENVELOPE = _CHANNEL + """, s AS (SELECT seg, channel, k, sum(c * cos(2 * pi() * ((k * t) % 16) / 16)) AS re, -sum(c * sin(2 * pi() * ((k * t) % 16) / 16)) AS im, CASE WHEN k % 8 = 0 THEN 1 ELSE 2 END AS g FROM c, range(9) AS r(k) GROUP BY ALL),
+a AS (SELECT seg, channel, t, sum(g * (re * cos(2 * pi() * ((k * t) % 16) / 16) - im * sin(2 * pi() * ((k * t) % 16) / 16))) / 16 AS re, sum(g * (re * sin(2 * pi() * ((k * t) % 16) / 16) + im * cos(2 * pi() * ((k * t) % 16) / 16))) / 16 AS im FROM s, range(16) AS r(t) GROUP BY ALL)
+SELECT seg, CAST(channel AS BIGINT) AS channel, CAST(t AS BIGINT) AS t, round(sqrt(re * re + im * im), 6) AS x FROM a"""
+
+
+def _signal(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None = None):
+    @query(name, sql)
     def _(s, d):
         out = run(T.multichannel(s, d)).select("seg", F.posexplode("signal").alias("channel", "v"))
         return T.rounded(out.select("seg", "channel", F.posexplode("v").alias("t", "x")))
 
 
-_signal("sig1_bandpass", lambda r: signals.bandpass(r, 0.5, 60.0))
-_signal("sig2_notch", signals.notch)
+_signal("sig1_bandpass", lambda r: signals.bandpass(r, 0.5, 60.0), _recursion(filters.butterworth_bandpass(0.5, 60.0, 128.0, 4), 15))
+_signal("sig2_notch", signals.notch, _recursion(filters.notch(50.0, 128.0), 9))
 _signal("sig3_ocular_wavelet_filter", signals.denoise)
 _signal("sig4_sure_denoise", lambda r: signals.denoise(signals.denoise(r)))
 _signal("sig6_ica_artifact_removal", signals.remove_artifacts)
 _signal("sig8_mode_a_chain", signals.clean_approximately)
 _signal("sig9_raw_chain", signals.clean_raw)
 _signal("sig10_dispatch_mode_a", lambda r: signals.preprocess(r, "A"))
-_signal("sig11_hilbert_envelope", signals.envelope)
+_signal("sig11_hilbert_envelope", signals.envelope, _ENVELOPE)
 
 # Decomposition
 

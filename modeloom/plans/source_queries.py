@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modeloom.functions.smvmd import Settings
 from modeloom.operators import classifiers, decompose, folds, segments, stats
 from modeloom.plans import experiments
 from modeloom.plans import tables as T
-from modeloom.plans.queries import _FEATURE_SQL, _NINE, ORACLES, QUERIES, query
-from modeloom.sources import catalog, matfile, recordings, results
+from modeloom.plans.queries import _DIST, _FEATURE_SQL, _NINE, _SCALED, ORACLES, QUERIES, query
+from modeloom.sources import catalog, matfile, recordings, results, settings
 from modeloom.streaming import windows
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -36,7 +37,7 @@ def _(s, d):
     return T.rounded(recordings.channels(s))
 
 
-@query("src1_file_catalog")
+@query("src1_file_catalog", "SELECT 'parquet' AS kind, CAST(count(DISTINCT table_name) AS BIGINT) AS files FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
 def _(s, d):
     return recordings.files(s, d, "*.parquet").groupBy(F.element_at(F.split("path", r"\."), -1).alias("kind")).agg(F.count("*").alias("files"))
 
@@ -259,6 +260,53 @@ def _(s, d):
     return T.rounded(stats.histogram(T.table(s, d, "embeddings").select((F.col("label") % 2).alias("label"), (F.col("vec_id") * 7 % 22 + 1).alias("v"))).drop("density"))
 
 
+_SETTINGS = """data:
+  rate: 128
+  sources: [clean, raw]
+model:
+  alpha: 1000.5
+  scale: true
+name: ds2
+"""
+
+
+@query("src17_settings", "SELECT * FROM (VALUES ('data.rate', '128'), ('data.sources', '[\"clean\", \"raw\"]'), ('model.alpha', '1000.5'), ('model.scale', 'true'), ('name', '\"ds2\"')) AS t(name, value)")
+def _(s, d):
+    folder = shared_folder(s)
+    s.createDataFrame([(_SETTINGS,)], "value string").coalesce(1).write.text(folder)
+    return settings.as_rows(s, settings.load(s, folder))
+
+
+_MARKDOWN = "SELECT CAST(n_regionkey AS BIGINT) AS region, '| ' || n_regionkey || ' | ' || count(*) || ' | ' || format('{:.2f}', avg(n_nationkey)) || ' |' AS line FROM nation GROUP BY n_regionkey"
+
+
+@query("snk11_markdown_lines", _MARKDOWN)
+def _(s, d):
+    rows = T.table(s, d, "nation").groupBy(F.col("n_regionkey").cast("long").alias("region")).agg(F.count("*").alias("n"), F.avg("n_nationkey").alias("mean"))
+    return results.markdown(rows, ["region", "n", "mean"], 2).select("region", "line")
+
+
+@query("snk9_summary_report", "SELECT CAST(quality AS BIGINT) AS quality, '| ' || quality || ' | ' || count(*) || ' | ' || format('{:.4f}', avg(n_chars)) || ' | ' || format('{:.4f}', avg(toxic)) || ' |' AS line FROM labels JOIN documents USING (doc_id) GROUP BY quality")
+def _(s, d):
+    rows = T.table(s, d, "labels").join(T.table(s, d, "documents"), "doc_id").groupBy(F.col("quality").cast("long").alias("quality"))
+    return results.markdown(rows.agg(F.count("*").alias("n"), F.avg("n_chars").alias("chars"), F.avg("toxic").alias("toxic")), ["quality", "n", "chars", "toxic"]).select("quality", "line")
+
+
+@query("drv3_experiments_from_recordings")
+def _(s, d):
+    """Recordings, windows, features, folds of whole subjects, selection and scaling in each fold, metrics: for each setting of DS1."""
+    folder = shared_folder(s)
+    rows = experiments.features(T.recordings(s, d), ["subject"], T.FS, T.SIZE, 0.5, Settings())
+    rows.select("row_id", "subject", (F.col("subject") % 2).cast("int").alias("label"), "f").write.parquet(folder)
+    folded, out = experiments.subject_independent(s.read.parquet(folder), "subject", 5), None
+    for name, e in experiments.EXPERIMENTS.items():
+        if e.dataset == "DS1":
+            found = experiments.report(experiments.evaluate(folded, e.k, e.metric, e.weights, min(e.keep, 5), e.standardise), "subject")["windows"]
+            part = found.select(F.lit(name).alias("experiment"), "*")
+            out = part if out is None else out.unionByName(part)
+    return T.rounded(out)
+
+
 def _rows(s, d):
     return T.matrix(s, d).withColumn("fold", (F.col("row_id") % 2).cast("int"))
 
@@ -275,9 +323,17 @@ def _(s, d):
     return classifiers.compare(_rows(s, d), [0, 1]).drop("ms_per_row")
 
 
-@query("clf5_neighbour_search")
+_KINDS = ("cityblock", "euclidean", "chebyshev", "cosine")
+_SEARCH = _SCALED.replace("vec_id % 5 AS fold", "vec_id % 2 AS fold") + "".join(f""",
+dist_{m} AS (SELECT a.row_id, b.row_id AS train_id, any_value(a.label) AS own, any_value(b.label) AS y, round({_DIST[m]}, 12) AS d FROM m a JOIN m b ON a.feat = b.feat AND a.fold != b.fold GROUP BY a.row_id, b.row_id),
+near_{m} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, train_id) AS r FROM dist_{m}) WHERE r <= 50),
+vote_{m} AS (SELECT k, row_id, any_value(own) AS own, y, count(*) AS n FROM near_{m} JOIN range(1, 51) AS ks(k) ON r <= k GROUP BY k, row_id, y),
+best_{m} AS (SELECT *, row_number() OVER (PARTITION BY k, row_id ORDER BY n DESC, y) AS q FROM vote_{m})""" for m in _KINDS)
+
+
+@query("clf5_neighbour_search", _SEARCH + " UNION ALL ".join(f" SELECT CAST(k AS BIGINT) AS k, '{m}' AS metric, round(avg(CAST(own = y AS INT)), 6) AS accuracy FROM best_{m} WHERE q = 1 GROUP BY k" for m in _KINDS))
 def _(s, d):
-    return T.rounded(classifiers.search_neighbours(_rows(s, d), [1, 3, 5], ["cityblock", "euclidean", "cosine"]))
+    return T.rounded(classifiers.search_neighbours(_rows(s, d), list(range(1, 51)), list(_KINDS)))
 
 
 @query("clf6_principal_components")

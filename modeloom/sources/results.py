@@ -61,3 +61,10 @@ def merge_sections(frame: DataFrame, folder: str, section: str = "section") -> N
 
 def numeric_columns(frame: DataFrame) -> list[str]:
     return [c for c, kind in frame.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")]
+
+
+def markdown(rows: DataFrame, columns: list[str], decimals: int = 4) -> DataFrame:
+    """`rows` with `line`: the columns as a line of a Markdown table, doubles with so many decimals."""
+    kinds = dict(rows.dtypes)
+    shown = [F.format_string(f"%.{decimals}f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns]
+    return rows.withColumn("line", F.concat(F.lit("| "), F.concat_ws(" | ", *shown), F.lit(" |")))
