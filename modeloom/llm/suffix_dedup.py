@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, answered, answers, asked, by_shard, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
-from modeloom.llm.grams import U, buffers, counted, pack, prefix, span, string_keys, unpack
+from modeloom.llm.grams import U, buffers, counted, mix, pack, prefix, span, string_keys, unpack
 
 LENGTH = 200
 GRAM = 40
@@ -106,7 +106,8 @@ class Phrases:
         own = place[starts].astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]))
         self.low, self.high = starts[new], starts[np.concatenate([new[1:] - 1, [len(starts) - 1]])]
-        self.trigger = grams[own[new]]
+        # The least of many hashes begins with zeros, so it is mixed again before its leading bits tell a shard.
+        self.trigger = mix(grams[own[new]])
         self.key = string_keys(data, self.low, self.high + length)
 
 

@@ -67,6 +67,13 @@ def test_repeats_in_texts_longer_than_a_piece(spark):
     assert found == dict(enumerate(brute_repeats(texts, 200)))
 
 
+def test_triggers_are_dealt_evenly():
+    data, offsets = grams.buffers(pa.array([odd.text(random.Random(k), 400) for k in range(60)]))
+    trigger = np.unique(np.concatenate([p.trigger for _, p in suffix_dedup.parsed(data, offsets, 200)]))
+    shards = np.bincount((trigger >> np.uint64(61)).astype(int), minlength=8)
+    assert len(trigger) > 500 and shards.max() < 2 * shards.mean()
+
+
 def test_kept_bytes(spark):
     docs = spark.createDataFrame([(1, "a" * 300 + "tail"), (2, "short")], "doc_id long, text string")
     found = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs).collect()}
