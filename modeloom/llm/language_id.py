@@ -128,7 +128,8 @@ def fit(docs: DataFrame, train_on: Column, text: str = "text", lang: str = "lang
     own = own.withColumn("h", F.xxhash64("text", F.lit(1)))
     kinds = own.groupBy("label").agg(F.approx_count_distinct("h").alias("kinds"))
     bound = F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.greatest("kinds", F.lit(1))) * (1 << 31)
-    near = own.join(kinds.select(F.col("label").alias("of"), bound.alias("bound")), F.col("label") == F.col("of")).filter(F.pmod("h", F.lit(1 << 31)) <= F.col("bound"))
+    # Bounded: a row for each class of the network, which has a column for each and goes to all workers itself.
+    near = own.join(F.broadcast(kinds.select(F.col("label").alias("of"), bound.alias("bound"))), F.col("label") == F.col("of")).filter(F.pmod("h", F.lit(1 << 31)) <= F.col("bound"))
     texts = near.select("label", "h", F.substring("text", (stretch_at + 1).cast("int"), F.lit(STRETCH)).alias("stretch")).groupBy("label", "h").agg(F.min("stretch").alias("stretch"))
     order = Window.partitionBy("label").orderBy(F.pmod("h", F.lit(1 << 31)), "h")
     rows = texts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_lang).select("label", "stretch").collect()
