@@ -25,6 +25,8 @@ from modeloom.llm.frames import head, let, plain_text, words_of
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
+#: Seconds by which two runs of one job differ; what costs less counts as if it cost this.
+NOISE = 0.02
 
 
 class Facts(NamedTuple):
@@ -133,7 +135,7 @@ def measured(docs: DataFrame, rules: Sequence[Rule], text: str = "text", sample_
             return min(took)
 
         empty = seconds(F.col("__qr_time") < 0)
-        return [max(seconds(rule.rejects(facts_of(F.col("t")))) - empty, 1e-4) / (repeats * max(1, len(verdicts))) for rule in rules], verdicts
+        return [max(seconds(rule.rejects(facts_of(F.col("t")))) - empty, NOISE) / (repeats * max(1, len(verdicts))) for rule in rules], verdicts
     finally:
         sample.unpersist()
 
