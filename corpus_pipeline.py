@@ -1,4 +1,10 @@
-"""From raw documents to encoded training text, one stage after the other."""
+"""From raw documents to encoded training text, one stage after the other.
+
+Nulls and odd inputs: documents with a null or empty text fail the first stage's base rule and go; a null doc_id, repeated
+ids and extra columns are kept through all stages; rows with equal id and text are one document to the later stages, of
+which one stays; texts of any length are worked on whole; ties are broken by id, then by the text's hash; an empty table
+gives an empty result, with the columns that the last stage adds.
+"""
 
 from __future__ import annotations
 
