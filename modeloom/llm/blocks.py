@@ -4,6 +4,9 @@ Documents are dealt to blocks of some megabytes by a hash. A block asks for each
 keys of a block, split into shards by their leading bits, travel as one packed array a shard. A shard adds up what all
 blocks have of a key and answers each block in the order of its question. So a key costs at most one entry a block,
 however often it occurs, and neither a block nor a shard grows with the corpus: their numbers do.
+
+Rows that are equal in all columns are one row of a block, with the number of its copies, where there are many of them;
+they are counted before they are dealt, so a row that a third of the table repeats is one row of one block.
 """
 
 from __future__ import annotations
@@ -13,19 +16,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from modeloom.llm.frames import parts
+from modeloom.llm.frames import cut, parts
 from modeloom.llm.grams import U, pack, unpack
 
 #: Of the stored bytes of the tables read; text is about twice as long.
 BLOCK_BYTES = 4 << 20
+#: A row is counted before it is dealt out if more than this many are equal to it, and more than 1 of `MOST_HOT` of all.
+COPIES = 64
+#: So at most so many keys of counted rows are broadcast, whatever the table.
+MOST_HOT = 1 << 20
 ASKED = "kind int, shard long, block long, keys binary, counts binary"
 ANSWERED = "kind int, shard long, block long, totals binary"
 
 
-def in_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """`docs` with a column `block`, dealt out by it; and the number of blocks."""
+def in_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES, copies: int = COPIES) -> tuple[DataFrame, int]:
+    """`docs` with columns `block`, dealt out by it, and `copies`, the number of equal rows that a row stands for; and the
+    number of blocks."""
     n = parts(docs, block_bytes)
-    return docs.withColumn("block", F.pmod(F.xxhash64(doc_id, text), F.lit(n))).repartition(n, "block"), n
+    keyed = docs.withColumn("row_hash", F.xxhash64(doc_id, text))
+    dealt = lambda rows: rows.withColumn("block", F.pmod("row_hash", F.lit(n))).drop("row_hash").repartition(n, "block")
+    counts = keyed.groupBy("row_hash").agg(F.count("*").alias("rows")).filter(F.col("rows") > copies)
+    hot = cut(counts.filter(F.col("rows") * MOST_HOT > docs.count()).select("row_hash"))
+    if hot.isEmpty():
+        return dealt(keyed.withColumn("copies", F.lit(1).cast("long"))), n
+    single = keyed.join(F.broadcast(hot), "row_hash", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    counted = keyed.join(F.broadcast(hot), "row_hash", "left_semi").groupBy("row_hash", *docs.columns).agg(F.count("*").alias("copies"))
+    return dealt(single.unionByName(counted)), n
+
+
+def each_copy(found: DataFrame) -> DataFrame:
+    """A result with a column `copies`, with each row as often as it says, and without the column."""
+    columns = [c for c in found.columns if c != "copies"]
+    return found.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*columns)
 
 
 def shard_bits(n_blocks: int) -> int:

@@ -11,9 +11,9 @@ from the filter. l is the share of pairs in the training text that it would stil
 sum(c - 1) / sum(c) over all pairs; it is 0 where c(v) is 0. The unigram base score uses exact counts, which come to each
 block of documents from the shards.
 
-Nulls and odd inputs: a null or empty text is one end token; a null doc_id is a training document; equal rows are
-scored alike and count as often as they occur; an empty table gives an empty result; a training set without documents
-has N = V = 0; of the input's columns only the id is returned.
+Nulls and odd inputs: a null or empty text is one end token; a null doc_id is a training document, and so is one for
+which `held_out` is null; equal rows are scored alike and count as often as they occur; an empty table gives an empty
+result; a training set without documents has N = V = 0; of the input's columns only the id is returned.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.blocks import ANSWERED_ARROW, ASKED, answered, answers, asked, by_shard, in_blocks, question, shard_bits, shard_totals
+from modeloom.llm.blocks import ANSWERED_ARROW, ASKED, COPIES, answered, answers, asked, by_shard, each_copy, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
 from modeloom.llm.grams import U, buffers, counted, mix, pack, unpack, word_hashes
 
@@ -35,7 +35,7 @@ _LOWER[65:91] += 32
 _END = mix(np.array([0xE0D], np.uint64))[0]
 WORDS, PAIRS, WORD_LEVELS = 0, 1, 2
 _COUNTED = "kind int, shard long, block long, totals binary, tokens long, kinds long"
-_SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
 
 
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +121,9 @@ def _ask(bits: int):
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
         keys, starts = tokens(rows)
-        train = np.repeat(~rows["held_out"].to_numpy(), np.diff(starts))
-        word, n = counted(keys, train.astype(np.uint64))
-        pair, m = counted(pairs(keys, starts), train.astype(np.uint64))
+        train = np.repeat(~rows["held_out"].to_numpy() * rows["copies"].to_numpy(), np.diff(starts)).astype(np.uint64)
+        word, n = counted(keys, train)
+        pair, m = counted(pairs(keys, starts), train)
         return asked([question(block, WORDS, word, n, bits), question(block, PAIRS, pair, m, bits)])
 
     return ask
@@ -182,7 +182,7 @@ def _score(n_tokens: int, n_kinds: int, share: float, id_type: pa.DataType):
         return pa.table({
             "doc_id": rows["doc_id"].cast(id_type), "held_out": rows["held_out"], "n_tokens": pa.array(lengths, pa.int64()),
             "n_known": pa.array(per_doc((exact > 0)[inverse].astype(np.float64)).astype(np.int64)), "train_tokens": pa.array(np.full(len(lengths), n_tokens, np.int64)),
-            "base_score": base, "score": per_doc(np.log10(np.minimum(p, 1))),
+            "base_score": base, "score": per_doc(np.log10(np.minimum(p, 1))), "copies": rows["copies"],
         })
 
     return score
@@ -193,10 +193,10 @@ def held_out_ids(doc_id: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", copies: int = COPIES) -> DataFrame:
     """Scores of all documents by what those that aren't held out hold."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
-    dealt, n_blocks = in_blocks(own, "doc_id", "text")
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    dealt, n_blocks = in_blocks(own, "doc_id", "text", copies=copies)
     bits = shard_bits(n_blocks)
     made = cut(by_shard(dealt.groupBy("block").applyInArrow(_ask(bits), ASKED), n_blocks).applyInArrow(_count, _COUNTED))
     rows = made.filter("block = -1").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect()
@@ -208,4 +208,4 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_i
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = _SCORED.format(id=kind.simpleString())
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(n_tokens, n_kinds, share, to_arrow_type(kind)), schema)
+    return each_copy(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(n_tokens, n_kinds, share, to_arrow_type(kind)), schema))

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, answered, answers, asked, by_shard, in_blocks, question, shard_bits, shard_totals
+from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, COPIES, answered, answers, asked, by_shard, each_copy, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
 from modeloom.llm.grams import U, buffers, counted, mix, pack, prefix, span, string_keys, unpack
 
@@ -122,8 +122,11 @@ def _joined(found: list[np.ndarray]) -> np.ndarray:
 
 def _ask_phrases(limits: Limits):
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
-        each = [(x.trigger, x.key) for _, x in parsed(*buffers(rows["text"]), limits.length, limits.piece)]
-        found = [counted(_joined([x[k] for x in each])) for k in (0, 1)]
+        data, offsets = buffers(rows["text"])
+        copies, each = rows["copies"].to_numpy().astype(np.uint64), []
+        for a, x in parsed(data, offsets, limits.length, limits.piece):
+            each.append((x.trigger, x.key, copies[np.searchsorted(offsets, x.low + a, "right") - 1]))
+        found = [counted(_joined([x[k] for x in each]), _joined([x[2] for x in each])) for k in (0, 1)]
         return asked([question(key[0].as_py(), k, *found[k], limits.bits) for k in (TRIGGERS, PHRASES)])
 
     return ask
@@ -281,7 +284,7 @@ def _remove(limits: Limits):
         removed, spans = np.diff(upto(gone)), np.diff(upto(begins))
         left, at = data[~gone].tobytes(), offsets - upto(gone)
         texts = [left[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"doc_id": rows["doc_id"], "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(texts, pa.binary())})
+        return pa.table({"doc_id": rows["doc_id"], "n_bytes": pa.array(np.diff(offsets), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "copies": rows["copies"], "kept": pa.array(texts, pa.binary())})
 
     return remove
 
@@ -297,16 +300,17 @@ def _digest(limits: Limits):
     return digest
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, digest: bool = False, hot: int = HOT, piece: int = PIECE) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, digest: bool = False, hot: int = HOT, piece: int = PIECE, copies: int = COPIES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the bytes left as `kept`, or with `digest` their kept_sha256."""
     if length < 2 * GRAM:
         raise ValueError(f"strings of {2 * GRAM} bytes at least")
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    dealt, n_blocks = in_blocks(own, "doc_id", "text")
+    dealt, n_blocks = in_blocks(own, "doc_id", "text", copies=copies)
     limits, by = Limits(length, shard_bits(n_blocks), hot, piece), dealt.groupBy("block")
     decided = lambda questions: cut(by_shard(questions, n_blocks).applyInArrow(_answer(length), ANSWERED))
     first = decided(by.applyInArrow(_ask_phrases(limits), ASKED))
     second = decided(by.cogroup(first.groupBy("block")).applyInArrow(_ask_open(limits), ASKED))
     kind = own.schema["doc_id"].dataType.simpleString()
     last, column = (_digest(limits), "kept_sha256 string") if digest else (_remove(limits), "kept binary")
-    return by.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, {column}")
+    found = by.cogroup(first.unionByName(second).groupBy("block")).applyInArrow(last, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, copies long, {column}")
+    return each_copy(found)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from modeloom.llm import bloom_lm, grams, kneser_ney, suffix_dedup
+from modeloom.llm import blocks, bloom_lm, grams, kneser_ney, suffix_dedup
 from tests.llm import odd
 
 
@@ -74,6 +74,23 @@ def test_triggers_are_dealt_evenly():
     assert len(trigger) > 500 and shards.max() < 2 * shards.mean()
 
 
+def test_copies_are_counted_before_they_are_dealt(spark):
+    rng = random.Random(3)
+    same, half = odd.text(rng, 90), odd.text(rng, 60)
+    rows = [(7, same)] * 300 + [(None, "a b c")] * 200 + [(8, None)] * 100 + [(9, half + " end"), (10, "start " + half), *((20 + i, odd.text(rng, 70)) for i in range(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, n = blocks.in_blocks(docs, "doc_id", "text")
+    counted = {(r["doc_id"], r["text"]): (r["copies"], r["n"]) for r in dealt.groupBy("doc_id", "text", "copies").agg(F.count("*").alias("n")).collect()}
+    assert counted == {k: (v if v > blocks.COPIES else 1, 1) for k, v in collections.Counter(rows).items()}
+    wanted = collections.Counter((d, *b) for (d, _), b in zip(rows, brute_repeats([t for _, t in rows], 200), strict=True))
+    rounded = lambda found: collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in found.collect())
+    scores = []
+    for copies in (0, 150, 1000):
+        assert collections.Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs, digest=True, copies=copies).collect()) == wanted
+        scores.append(rounded(bloom_lm.score_documents(docs, F.col("doc_id") == 20, copies=copies)))
+    assert scores[0] == scores[1] == scores[2] and sum(scores[0].values()) == len(rows)
+
+
 def test_kept_bytes(spark):
     docs = spark.createDataFrame([(1, "a" * 300 + "tail"), (2, "short")], "doc_id long, text string")
     found = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.remove_repeats(docs).collect()}
