@@ -5,16 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modeloom.functions import splits
 
 
-def dealt(rows: DataFrame, folds: int, label: str = "label") -> DataFrame:
+def _in_turn(rows: DataFrame, folds: int, label: str, order: Column, part: Column) -> DataFrame:
+    """Each class dealt out in turn by `order`. `part` rises with it and cuts a class into parts that are numbered apart;
+    what lies before a part is summed up over counts, so no task numbers a whole class."""
+    cut = rows.drop("fold").withColumn("__order", order).withColumn("__part", part)
+    before = Window.partitionBy(label).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(label, "__part").count().select(label, "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(label, "__part").orderBy("__order")
+    number = F.col("__before") + F.row_number().over(within) - 1
+    return cut.join(counts, [label, "__part"]).withColumn("fold", F.pmod(number, F.lit(folds))).drop("__order", "__part", "__before")
+
+
+def dealt(rows: DataFrame, folds: int, label: str = "label", ranges: int = 64) -> DataFrame:
     """Each class dealt out in turn, by row_id."""
-    return rows.withColumn("fold", F.pmod(F.row_number().over(Window.partitionBy(label).orderBy("row_id")) - 1, F.lit(folds)))
+    bounds = sorted(set(rows.approxQuantile("row_id", [i / ranges for i in range(1, ranges)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("row_id"))) if bounds else F.lit(0)
+    return _in_turn(rows, folds, label, F.col("row_id"), part)
+
+
+def shuffled(rows: DataFrame, folds: int = 10, seed: int = 42, label: str = "label") -> DataFrame:
+    """Each class dealt out in turn, in the order of a hash of seed and row_id: even class shares for tables of any size."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("row_id").cast("string")).cast("binary"))
+    return _in_turn(rows, folds, label, digest, F.substring(digest, 1, 3))
 
 
 def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
@@ -34,6 +53,7 @@ def _on_driver(rows: DataFrame, columns: list[str], assign: Callable[..., np.nda
 
 
 def stratified(rows: DataFrame, folds: int = 10, seed: int = 42, label: str = "label") -> DataFrame:
+    """The shuffle of the published runs, which hangs on one stream of random numbers; `shuffled` is for large tables."""
     return _on_driver(rows, [label], lambda y: splits.stratified(y, folds, seed))
 
 

@@ -429,12 +429,30 @@ def _(s, d):
     return T.rounded(folds.stratified(T.matrix(s, d)).select("row_id", "label", "fold"))
 
 
-@query("cv2_stratified_group_kfold")
+@query("cv1_seeded_shuffle", "SELECT vec_id AS row_id, CAST(label % 2 AS BIGINT) AS label, (row_number() OVER (PARTITION BY label % 2 ORDER BY md5('42:' || vec_id)) - 1) % 10 AS fold FROM embeddings")
+def _(s, d):
+    return T.rounded(folds.shuffled(T.matrix(s, d)).select("row_id", "label", "fold"))
+
+
+# One step a group: the loads of 5 folds, and the fold that the group joins. Of equally even folds the first of the lightest is taken.
+_BY_GROUP = "WITH RECURSIVE g AS (SELECT vec_id % 14 AS grp, count(*) AS n, list_value(count(*) FILTER (label % 2 = 0), count(*) FILTER (label % 2 = 1))::DOUBLE[] AS c FROM embeddings GROUP BY 1), "
+_FOLDED = " SELECT vec_id AS row_id, vec_id % 14 AS grp, CAST(fold - 1 AS BIGINT) AS fold FROM embeddings JOIN st ON st.grp = vec_id % 14"
+_GROUPED = _BY_GROUP + """o AS (SELECT *, row_number() OVER (ORDER BY n DESC, grp DESC) AS i FROM g),
+st(i, loads, grp, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL
+SELECT o.i, loads[:f - 1] || [loads[f] + o.n] || loads[f + 1:], o.grp, f FROM (SELECT *, CAST(list_position(loads, list_min(loads)) AS BIGINT) AS f FROM st) s JOIN o ON o.i = s.i + 1)""" + _FOLDED
+_SPREAD = "list_aggregate(a[:f - 1] || [a[f] + o.c[1]] || a[f + 1:], 'stddev_pop') / t0 + list_aggregate(b[:f - 1] || [b[f] + o.c[2]] || b[f + 1:], 'stddev_pop') / t1"
+_STRATIFIED = _BY_GROUP + f"""tt AS (SELECT sum(c[1]) AS t0, sum(c[2]) AS t1 FROM g), o AS (SELECT *, row_number() OVER (ORDER BY abs(c[1] - c[2]) DESC, grp) AS i FROM g, tt),
+st(i, a, b, grp, fold) AS (SELECT 0::BIGINT, [0, 0, 0, 0, 0]::DOUBLE[], [0, 0, 0, 0, 0]::DOUBLE[], NULL::BIGINT, NULL::BIGINT UNION ALL
+SELECT i, a[:f - 1] || [a[f] + c[1]] || a[f + 1:], b[:f - 1] || [b[f] + c[2]] || b[f + 1:], grp, f FROM (SELECT o.i, a, b, o.c, o.grp, f,
+row_number() OVER (PARTITION BY o.i ORDER BY round(({_SPREAD}) / 2, 9), a[f] + b[f], f) AS best FROM (SELECT * FROM st, range(1, 6) AS r(f)) s JOIN o ON o.i = s.i + 1) WHERE best = 1)""" + _FOLDED
+
+
+@query("cv2_stratified_group_kfold", _STRATIFIED)
 def _(s, d):
     return T.rounded(folds.stratified_grouped(T.matrix(s, d), "grp", 5).select("row_id", "grp", "fold"))
 
 
-@query("cv4_group_kfold")
+@query("cv4_group_kfold", _GROUPED)
 def _(s, d):
     return T.rounded(folds.grouped(T.matrix(s, d), "grp", 5).select("row_id", "grp", "fold"))
 
@@ -490,14 +508,21 @@ def _(s, d):
 _GREEDY_FROM = ", p AS (SELECT a, b, abs(r) AS r FROM r UNION ALL SELECT b, a, abs(r) FROM r), s0 AS (SELECT 1 AS k, [(SELECT feat FROM f ORDER BY f_score DESC, feat LIMIT 1)] AS chosen)"
 
 
-@query("mr4_greedy_selection", "WITH RECURSIVE " + _ANOVA.removeprefix("WITH ") + _CORR + _GREEDY_FROM + """, pick(k, chosen) AS (SELECT * FROM s0 UNION ALL
-SELECT k + 1, list_append(chosen, (SELECT f.feat FROM f JOIN p ON p.a = f.feat AND list_contains(chosen, p.b) WHERE NOT list_contains(chosen, f.feat) GROUP BY f.feat, f.f_score ORDER BY round(f.f_score - avg(p.r), 9) DESC, f.feat LIMIT 1)) FROM pick WHERE k < 12)
-SELECT CAST(k AS BIGINT) AS rank, CAST(chosen[k] AS BIGINT) AS feat FROM pick""")
+_GREEDY = lambda count: "WITH RECURSIVE " + _ANOVA.removeprefix("WITH ") + _CORR + _GREEDY_FROM + """, pick(k, chosen) AS (SELECT * FROM s0 UNION ALL
+SELECT k + 1, list_append(chosen, (SELECT f.feat FROM f JOIN p ON p.a = f.feat AND list_contains(chosen, p.b) WHERE NOT list_contains(chosen, f.feat) GROUP BY f.feat, f.f_score ORDER BY round(f.f_score - avg(p.r), 9) DESC, f.feat LIMIT 1)) FROM pick WHERE k < """ + str(count) + ") SELECT CAST(k AS BIGINT) AS rank, CAST(chosen[k] AS BIGINT) AS feat FROM pick"
+
+
+@query("mr4_greedy_selection", _GREEDY(12))
 def _(s, d):
     order = selection.rank(T.matrix(s, d), "F", 12)
     return s.createDataFrame([(i + 1, f) for i, f in enumerate(order)], "rank long, feat long")
 
 
+@query("mr8_global_ranking", _GREEDY(64))
+def _(s, d):
+    return s.createDataFrame([(i + 1, f) for i, f in enumerate(selection.rank(T.matrix(s, d), "F"))], "rank long, feat long")
+
+
 @query("mr6_binned_information", f"""WITH {T.MATRIX}, sp AS (SELECT feat, min(v) AS low, max(v) AS high FROM m GROUP BY feat),
 b AS (SELECT row_id, m.feat, CASE WHEN v >= high THEN 10 ELSE greatest(1, least(10, CAST(floor((v - low) / ((high - low) / 9)) AS INT) + 1)) END AS bin FROM m JOIN sp ON sp.feat = m.feat),
 j AS (SELECT x.feat AS a, y.feat AS b, x.bin AS i, y.bin AS j, count(*) AS n FROM b x JOIN b y ON x.row_id = y.row_id AND x.feat < y.feat GROUP BY ALL),

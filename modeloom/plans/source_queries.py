@@ -296,13 +296,18 @@ def _(s, d):
     return results.markdown(rows.agg(F.count("*").alias("n"), F.avg("n_chars").alias("chars"), F.avg("toxic").alias("toxic")), ["quality", "n", "chars", "toxic"]).select("quality", "line")
 
 
+def _features_of_recordings(s, d, settings: Settings) -> DataFrame:
+    """(row_id, subject, label, f), written once, as every fold reads it."""
+    folder = shared_folder(s)
+    rows = experiments.features(T.recordings(s, d), ["subject"], T.FS, T.SIZE, 0.5, settings)
+    rows.select("row_id", "subject", (F.col("subject") % 2).cast("int").alias("label"), "f").write.parquet(folder)
+    return s.read.parquet(folder)
+
+
 @query("drv3_experiments_from_recordings")
 def _(s, d):
     """Recordings, windows, features, folds of whole subjects, selection and scaling in each fold, metrics: for each setting of DS1."""
-    folder = shared_folder(s)
-    rows = experiments.features(T.recordings(s, d), ["subject"], T.FS, T.SIZE, 0.5, Settings())
-    rows.select("row_id", "subject", (F.col("subject") % 2).cast("int").alias("label"), "f").write.parquet(folder)
-    folded, out = experiments.subject_independent(s.read.parquet(folder), "subject", 5), None
+    folded, out = experiments.subject_independent(_features_of_recordings(s, d, Settings()), "subject", 5), None
     for name, e in experiments.EXPERIMENTS.items():
         if e.dataset == "DS1":
             found = experiments.report(experiments.evaluate(folded, e.k, e.metric, e.weights, min(e.keep, 5), e.standardise), "subject")["windows"]
@@ -311,6 +316,19 @@ def _(s, d):
     return T.rounded(out)
 
 
+@query("drv7_audit_of_protocols")
+def _(s, d):
+    """The settings of DS2 under folds of windows, where a subject stands on both sides, and under folds of whole subjects."""
+    e = experiments.EXPERIMENTS["DS2"]
+    rows = _features_of_recordings(s, d, Settings(alpha=e.alpha))
+    out = None
+    for name, folded in {"windows": folds.shuffled(rows, 5), "subjects": experiments.subject_independent(rows, "subject", 5)}.items():
+        found = experiments.report(experiments.evaluate(folded, e.k, e.metric, e.weights, min(e.keep, 5), e.standardise), "subject")["windows"]
+        part = found.select(F.lit(name).alias("folds"), "*")
+        out = part if out is None else out.unionByName(part)
+    return T.rounded(out)
+
+
 def _rows(s, d):
     return T.matrix(s, d).withColumn("fold", (F.col("row_id") % 2).cast("int"))
 

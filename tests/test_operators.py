@@ -169,3 +169,15 @@ def test_queries_take_all_features_and_counts(spark, data):
     pairs = {(r["a"], r["b"]) for r in QUERIES["mr3_neighbour_redundancy"](spark, data).collect()}
     assert pairs == {(a, b) for b in range(64) for a in range(b)}
     assert sorted(r["n_features"] for r in QUERIES["mr9_accuracy_by_count"](spark, data).collect()) == selection.sweep_counts(64)
+
+
+def test_shuffled_folds_are_even_and_hang_on_the_seed(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, 1).otherwise(0).alias("label"))
+    one, other = (folds.shuffled(rows, 7, seed) for seed in (1, 2))
+    for label, total in ((0, 4500), (1, 500)):
+        sizes = [r["count"] for r in one.filter(F.col("label") == label).groupBy("fold").count().collect()]
+        assert len(sizes) == 7 and sum(sizes) == total and max(sizes) - min(sizes) <= 1
+    both = one.select("row_id", "fold").join(other.select("row_id", F.col("fold").alias("f")), "row_id")
+    assert both.filter("fold = f").count() < 1500
+    assert one.exceptAll(folds.shuffled(rows.repartition(3).withColumn("fold", F.lit(9)), 7, 1).select(*one.columns)).count() == 0
+    assert folds.shuffled(rows.limit(0), 7).count() == 0 and folds.dealt(rows.limit(0), 7).count() == 0
