@@ -95,18 +95,23 @@ def _(s, d):
 
 # Features
 
-_FEATURE_SQL = f"""WITH {T.WINDOWS},
+def _features_sql(windows: str, n: int, fs: float) -> str:
+    """SQL of all features over win(subject, w, i, x), which `windows` defines, with n samples a window."""
+    return f"""WITH {windows},
 base AS (SELECT subject, w, stddev_pop(x) AS std, var_pop(x) AS var, sqrt(avg(x * x)) AS rms, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr, abs(sum(sqrt(abs(x)))) AS assr,
-  var_pop(x * (0.54 - 0.46 * cos(2 * pi() * i / 14))) * 15 / (1.0 * 8) AS ap, 1.06 * stddev_pop(x) * pow(15, -0.2) AS sigma FROM win GROUP BY ALL),
+  var_pop(x * (0.54 - 0.46 * cos(2 * pi() * i / {n - 1}))) * {n} / ({fs} * {n // 2 + 1}) AS ap, 1.06 * stddev_pop(x) * pow({n}, -0.2) AS sigma FROM win GROUP BY ALL),
 lagged AS (SELECT subject, w, i, x - lag(x) OVER (PARTITION BY subject, w ORDER BY i) AS d FROM win),
 steps AS (SELECT l.subject, l.w, sum(d * d) AS sq, avg(exp(-0.5 * (d / sigma) * (d / sigma)) / (sqrt(2 * pi()) * sigma)) AS first FROM lagged l JOIN base b ON b.subject = l.subject AND b.w = l.w WHERE d IS NOT NULL GROUP BY ALL),
 pairs AS (SELECT a.subject, a.w, sum(exp(-0.5 * ((a.x - b.x) / sigma) * ((a.x - b.x) / sigma)) / (sqrt(2 * pi()) * sigma)) AS s
   FROM win a JOIN win b ON a.subject = b.subject AND a.w = b.w JOIN base z ON z.subject = a.subject AND z.w = a.w WHERE std >= 1e-10 GROUP BY ALL),
-feat AS (SELECT base.*, CASE WHEN sq > 0 THEN log10(sqrt(sq)) ELSE 0 END AS mfl, CASE WHEN std < 1e-10 THEN 0 ELSE s / 225 END AS ip,
-  CASE WHEN std < 1e-10 THEN 0 ELSE first - (s - 15 / (sqrt(2 * pi()) * sigma)) / 450 END AS pcc, coalesce(s, 0) AS pair_sum
+feat AS (SELECT base.*, CASE WHEN sq > 0 THEN log10(sqrt(sq)) ELSE 0 END AS mfl, CASE WHEN std < 1e-10 THEN 0 ELSE s / {n * n} END AS ip,
+  CASE WHEN std < 1e-10 THEN 0 ELSE first - (s - {n} / (sqrt(2 * pi()) * sigma)) / {2 * n * n} END AS pcc, coalesce(s, 0) AS pair_sum
   FROM base JOIN steps USING (subject, w) LEFT JOIN pairs USING (subject, w))"""
 
 
+_FEATURE_SQL = _features_sql(T.WINDOWS, T.SIZE, T.FS)
+
+
 def _feature(name: str, column: str):
     @query(name, f"{_FEATURE_SQL} SELECT subject, w, round({column}, 6) + 0.0 AS {column} FROM feat")
     def _(s, d):
@@ -139,13 +144,13 @@ def _(s, d):
     return T.rounded(features.summary(T.table(s, d, "embeddings").select((F.col("vec_id") % 7 + 1).alias("n_modes"))))
 
 
-_RAW_SQL = f"WITH {T.CELLS} SELECT vec_id AS seg, p // 16 AS channel, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms, round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 6) AS iqr, round(abs(sum(sqrt(abs(v)))), 6) AS assr FROM cells GROUP BY ALL"
+_RAW_SQL = _features_sql(f"{T.CELLS}, win AS (SELECT vec_id AS subject, p // 16 AS w, p % 16 AS i, v AS x FROM cells)", 16, 128.0)
 
 
-@query("fea15_raw_channels", _RAW_SQL)
+@query("fea15_raw_channels", f"{_RAW_SQL} SELECT subject AS seg, CAST(w AS BIGINT) AS channel, {_NINE} FROM feat")
 def _(s, d):
     rows = T.multichannel(s, d).select("seg", F.posexplode("signal").alias("channel", "values"))
-    return T.rounded(features.fast(rows, ["seg", "channel"], 128.0).select("seg", "channel", "std", "rms", "iqr", "assr"))
+    return T.rounded(features.fast(rows, ["seg", "channel"], 128.0))
 
 
 # Energy
@@ -554,12 +559,34 @@ def _(s, d):
     return T.rounded(selection.neighbour_redundancy(T.matrix(s, d)))
 
 
-@query("mr7_fold_local_selection")
+# Chosen on the rows outside a fold f, for each fold by itself; the tested rows of the fold then see only those features.
+_LOCAL = f"""WITH RECURSIVE {T.MATRIX}, tr AS MATERIALIZED (SELECT CAST(r.f AS INT) AS f, m.* FROM m, range(5) AS r(f) WHERE row_id % 5 != r.f),
+g AS (SELECT f, feat, label, count(*) AS n, avg(v) AS a, var_pop(v) * count(*) AS ss FROM tr GROUP BY ALL), t AS (SELECT f, feat, sum(n * a) / sum(n) AS grand FROM g GROUP BY ALL),
+fs AS MATERIALIZED (SELECT g.f, g.feat, (sum(n * pow(a - grand, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f_score FROM g JOIN t ON t.feat = g.feat AND t.f = g.f GROUP BY g.f, g.feat),
+r AS MATERIALIZED (SELECT x.f, x.feat AS a, y.feat AS b, abs(corr(x.v, y.v)) AS r FROM tr x JOIN tr y ON x.f = y.f AND x.row_id = y.row_id AND x.feat != y.feat GROUP BY ALL),
+pick(f, k, chosen) AS (SELECT f, 1, [arg_max(feat, (f_score, -feat))] FROM fs GROUP BY f UNION ALL
+SELECT f, k + 1, list_append(chosen, feat) FROM (SELECT p.f, k, chosen, fs.feat, row_number() OVER (PARTITION BY p.f ORDER BY round(any_value(f_score) - avg(r.r), 9) DESC, fs.feat) AS best
+FROM pick p JOIN fs ON fs.f = p.f AND NOT list_contains(chosen, fs.feat) JOIN r ON r.f = p.f AND r.a = fs.feat AND list_contains(chosen, r.b) WHERE k < 8 GROUP BY p.f, k, chosen, fs.feat) WHERE best = 1),
+cho AS (SELECT f, unnest(chosen) AS feat FROM pick WHERE k = 8),
+dist AS (SELECT a.row_id, b.row_id AS train_id, any_value(b.label) AS y, round(sum(abs(a.v - b.v)), 12) AS d FROM m a JOIN cho ON cho.f = a.row_id % 5 AND cho.feat = a.feat JOIN m b ON a.feat = b.feat AND b.row_id % 5 != a.row_id % 5 GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, train_id) AS i FROM dist), votes AS (SELECT row_id, y, count(*) AS w FROM near WHERE i <= 2 GROUP BY ALL),
+best AS (SELECT row_id, y AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY w DESC, y) AS q FROM votes) WHERE q = 1)
+SELECT DISTINCT m.row_id, CAST(m.row_id % 5 AS BIGINT) AS fold, CAST(m.label AS BIGINT) AS label, CAST(predicted AS BIGINT) AS predicted FROM m JOIN best USING (row_id)"""
+# Distances over the first n features of the order are running sums along it.
+_SWEEP = _GREEDY(64).rsplit(" SELECT ", 1)[0] + """, o AS MATERIALIZED (SELECT k, chosen[k] AS feat FROM pick),
+runs AS (SELECT a.row_id, b.row_id AS train_id, b.label AS y, k, round(sum(abs(a.v - b.v)) OVER (PARTITION BY a.row_id, b.row_id ORDER BY k), 12) AS d FROM m a JOIN m b ON a.feat = b.feat AND a.row_id % 5 != b.row_id % 5 JOIN o ON o.feat = a.feat),
+near AS (SELECT *, row_number() OVER (PARTITION BY k, row_id ORDER BY d, train_id) AS i FROM runs WHERE k <= 50 OR k % 5 = 0 OR k = 64), votes AS (SELECT k, row_id, y, count(*) AS w FROM near WHERE i <= 2 GROUP BY ALL),
+best AS (SELECT k, row_id, y FROM (SELECT *, row_number() OVER (PARTITION BY k, row_id ORDER BY w DESC, y) AS q FROM votes) WHERE q = 1),
+folds AS (SELECT k, best.row_id % 5 AS fold, avg(CAST(m.label = y AS INT)) AS a FROM best JOIN m ON m.row_id = best.row_id AND m.feat = 0 GROUP BY ALL)
+SELECT CAST(k AS BIGINT) AS n_features, round(avg(a), 6) AS cv_accuracy FROM folds GROUP BY k"""
+
+
+@query("mr7_fold_local_selection", _LOCAL)
 def _(s, d):
     return T.rounded(experiments.evaluate(_folded(s, d), 2, "cityblock", "uniform", keep=8).select("row_id", "fold", "label", "predicted"))
 
 
-@query("mr9_accuracy_by_count")
+@query("mr9_accuracy_by_count", _SWEEP)
 def _(s, d):
     rows = _folded(s, d)
     order = selection.rank(rows, "F")
