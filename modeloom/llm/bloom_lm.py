@@ -6,10 +6,13 @@ missing. The filter has `BITS_A_KEY` bits for each entry whatever the corpus, an
 that occur once too. No machine holds it whole: each shard that counts builds its own part, probes it for the n-grams
 that blocks of documents ask about, those of held-out documents among them, and answers with the levels it read.
 
-The probability of a word w after v is l * min(1, c(v w) / c(v)) + (1 - l) * (c(w) + 1) / (N + V + 1), counts as read
-from the filter. l is the share of pairs in the training text that it would still know if it lost this one occurrence,
-sum(c - 1) / sum(c) over all pairs; it is 0 where c(v) is 0. The unigram base score uses exact counts, which come to each
-block of documents from the shards.
+Counts as read, q, make a smoothed distribution by absolute discounting: the probability of a word w after v is
+max(q(v w) - d, 0) / Q(v) + d * T(v) / Q(v) * p(w), with p(w) = (q(w) + 1) / (sum of all q + V + 1). Q(v) is the sum of q
+over the T(v) words seen after v in training, and d = n1 / (n1 + 2 * n2), of the numbers of pairs that occur once and
+twice; after a v not seen before a word it is p(w). Over all words and one unknown the probabilities add up to 1; only
+false positives of the filter, about one n-gram in 300, lie outside that. Q and T come from a second round of questions: of the
+blocks that hold a pair the first one adds it to its context, and shards sum up contexts as they sum up words. The
+unigram base score uses exact counts, which come to each block of documents from the shards.
 
 Nulls and odd inputs: a null or empty text is one end token; a null doc_id is a training document, and so is one for
 which `held_out` is null; equal rows are scored alike and count as often as they occur; an empty table gives an empty
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.blocks import ANSWERED_ARROW, ASKED, COPIES, answered, answers, asked, by_shard, each_copy, in_blocks, question, shard_bits, shard_totals
+from modeloom.llm.blocks import ANSWERED, ANSWERED_ARROW, ASKED, COPIES, answered, answers, asked, by_shard, each_copy, in_blocks, question, shard_bits, shard_totals
 from modeloom.llm.frames import cut
 from modeloom.llm.grams import U, buffers, counted, mix, pack, unpack, word_hashes
 
@@ -33,8 +36,10 @@ LEVELS = 40
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _END = mix(np.array([0xE0D], np.uint64))[0]
-WORDS, PAIRS, WORD_LEVELS = 0, 1, 2
-_COUNTED = "kind int, shard long, block long, totals binary, tokens long, kinds long"
+WORDS, PAIRS, WORD_LEVELS, CONTEXTS = 0, 1, 2, 3
+#: What a shard tells of its own: the sum of counts, keys counted, keys that occur once and twice, twice the sum of the counts as read.
+SUMS = ("tokens", "kinds", "once", "twice", "read")
+_COUNTED = "kind int, shard long, block long, totals binary, " + ", ".join(f"{x} long" for x in SUMS)
 _SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, copies long"
 
 
@@ -50,12 +55,17 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def pairs(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A key for each token and the one before; before the first stands an end."""
+def contexts(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The token before each token; before the first stands an end."""
     before = np.empty_like(keys)
     before[1:] = keys[:-1]
     before[starts[:-1]] = _END
-    return mix(before * U(0xD6E8FEB86659FD93) + keys)
+    return before
+
+
+def pairs(keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A key for each token and the one before; before the first stands an end."""
+    return mix(contexts(keys, starts) * U(0xD6E8FEB86659FD93) + keys)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -143,16 +153,60 @@ def _count(key: tuple, rows: pa.Table) -> pa.Table:
     """Answers to the blocks: exact counts of words, levels of words and of pairs; and a row with the shard's sums."""
     kind, shard = key[0].as_py(), key[1].as_py()
     keys, totals, owner, each, blocks = shard_totals(rows)
-    level, nobody = read_back(keys, totals).astype(np.uint64), np.full(len(keys), -1)
-    there = [answers(WORD_LEVELS if kind == WORDS else PAIRS, shard, keys, level, nobody, each, blocks)]
+    level, trained = read_back(keys, totals).astype(np.uint64), totals > 0
+    there = [answers(WORD_LEVELS if kind == WORDS else PAIRS, shard, keys, level, np.where(trained, owner, -1), each, blocks)]
     if kind == WORDS:
         there.append(answers(WORDS, shard, keys, totals, owner, each, blocks))
-    own = {"kind": [kind], "shard": [shard], "block": [-1], "totals": [None], "tokens": [int(totals.sum())], "kinds": [int((totals > 0).sum())]}
-    schema = pa.schema([*ANSWERED_ARROW, ("tokens", pa.int64()), ("kinds", pa.int64())])
-    wide = [pa.table({**{n: x[n] for n in x.column_names}, **{n: pa.nulls(len(x), pa.int64()) for n in ("tokens", "kinds")}}, schema=schema) for x in there]
+    sums = (totals.sum(), trained.sum(), (totals == 1).sum(), (totals == 2).sum(), (2 * middle(level[trained].astype(np.int64))).sum())
+    own = {"kind": [kind], "shard": [shard], "block": [-1], "totals": [None], **{name: [int(x)] for name, x in zip(SUMS, sums, strict=True)}}
+    schema = pa.schema([*ANSWERED_ARROW, *((x, pa.int64()) for x in SUMS)])
+    wide = [pa.table({**{n: x[n] for n in x.column_names}, **{n: pa.nulls(len(x), pa.int64()) for n in SUMS}}, schema=schema) for x in there]
     return pa.concat_tables([*wide, pa.table(own, schema=schema)])
 
 
+def _ask_contexts(bits: int):
+    """Each context of a block, with twice the counts of the pairs that this block is the first to have, and their number."""
+
+    def ask(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return asked([])
+        keys, starts = tokens(rows)
+        pair, at = np.unique(pairs(keys, starts), return_index=True)
+        level, first = answered(replies, PAIRS, len(pair))
+        all_before = contexts(keys, starts)
+        before = np.unique(all_before)
+        of = np.searchsorted(before, all_before[at])
+        read = np.where(first, 2 * middle(level.astype(np.int64)), 0)
+        sums = [np.bincount(of, weights=x, minlength=len(before)).astype(np.uint64) for x in (read, first)]
+        # A question has one array of counts a shard, so both sums of a shard's keys follow each other in it.
+        both = [question(key[0].as_py(), CONTEXTS, before, x, bits) for x in sums]
+        both[0]["counts"] = [pack(np.concatenate([unpack(x), unpack(y)])) for x, y in zip(both[0]["counts"], both[1]["counts"], strict=True)]
+        return asked(both[:1])
+
+    return ask
+
+
+def _sum_contexts(key: tuple, rows: pa.Table) -> pa.Table:
+    """To each block, for its contexts: all sums of counts, then all numbers of pairs."""
+    each, sums = [unpack(x.as_py(), rising=True) for x in rows["keys"]], [unpack(x.as_py()).reshape(2, -1) for x in rows["counts"]]
+    keys, where = np.unique(np.concatenate(each), return_inverse=True)
+    totals = np.zeros((2, len(keys)), np.uint64)
+    for k in (0, 1):
+        np.add.at(totals[k], where, np.concatenate([x[k] for x in sums]))
+    found = [pack(totals[:, np.searchsorted(keys, own)].ravel()) for own in each]
+    n = len(each)
+    return pa.table({"kind": [CONTEXTS] * n, "shard": [key[1].as_py()] * n, "block": rows["block"], "totals": found}, schema=ANSWERED_ARROW)
+
+
+def context_sums(replies: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Q and T of a block's contexts."""
+    own = sorted(((x["shard"], x["totals"]) for x in replies.to_pylist() if x["kind"] == CONTEXTS), key=lambda x: x[0])
+    both = np.concatenate([np.zeros((2, 0), np.uint64), *(unpack(x).reshape(2, -1) for _, x in own)], axis=1)
+    if both.shape[1] != n:
+        raise RuntimeError(f"a block asked for {n} contexts and got {both.shape[1]} answers")
+    return both[0] / 2, both[1].astype(np.float64)
+
+
 def plan(at: dict[int, list[int]], bits: int, max_bytes: int) -> tuple[tuple[int, int], int]:
     """Of a filter held whole in at most `max_bytes`: bytes a shard of words and of pairs, and the least level of pairs that is kept."""
     entries = lambda kind, least: sum(n * q for q, n in enumerate(at.get(kind, [])) if q >= least)
@@ -162,7 +216,14 @@ def plan(at: dict[int, list[int]], bits: int, max_bytes: int) -> tuple[tuple[int
     return (word, size(entries(PAIRS, least))), least
 
 
-def _score(n_tokens: int, n_kinds: int, share: float, id_type: pa.DataType):
+def discount(once: int, twice: int) -> float:
+    """What a seen pair gives to unseen ones; half a count where the counts of counts don't tell."""
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def _score(n_tokens: int, n_kinds: int, read: float, off: float, id_type: pa.DataType):
+    """Scores of a block: `read` is the sum of all words' counts as read, `off` the discount."""
+
     def score(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         keys, starts = tokens(rows)
         word, inverse = np.unique(keys, return_inverse=True)
@@ -174,11 +235,11 @@ def _score(n_tokens: int, n_kinds: int, share: float, id_type: pa.DataType):
         single = middle(answered(replies, WORD_LEVELS, len(word))[0].astype(np.int64))
         pair, where = np.unique(pairs(keys, starts), return_inverse=True)
         double = middle(answered(replies, PAIRS, len(pair))[0].astype(np.int64))[where]
-        before = np.empty(len(keys))
-        before[1:] = single[inverse[:-1]]
-        before[starts[:-1]] = single[np.searchsorted(word, _END)] if len(word) else 0
-        weight = np.where(before > 0, share, 0.0)
-        p = weight * np.minimum(1, double / np.maximum(before, 1)) + (1 - weight) * ((single + 1) / (n_tokens + n_kinds + 1))[inverse]
+        before, of = np.unique(contexts(keys, starts), return_inverse=True)
+        mass, kinds = context_sums(replies, len(before))
+        known = np.maximum(mass, 1)
+        left = np.where(mass > 0, off * kinds / known, 1.0)
+        p = np.where(mass[of] > 0, np.maximum(double - off, 0) / known[of], 0) + left[of] * ((single + 1) / (read + n_kinds + 1))[inverse]
         return pa.table({
             "doc_id": rows["doc_id"].cast(id_type), "held_out": rows["held_out"], "n_tokens": pa.array(lengths, pa.int64()),
             "n_known": pa.array(per_doc((exact > 0)[inverse].astype(np.float64)).astype(np.int64)), "train_tokens": pa.array(np.full(len(lengths), n_tokens, np.int64)),
@@ -199,13 +260,15 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_i
     dealt, n_blocks = in_blocks(own, "doc_id", "text", copies=copies)
     bits = shard_bits(n_blocks)
     made = cut(by_shard(dealt.groupBy("block").applyInArrow(_ask(bits), ASKED), n_blocks).applyInArrow(_count, _COUNTED))
-    rows = made.filter("block = -1").groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("kinds").alias("kinds")).collect()
+    rows = made.filter("block = -1").groupBy("kind").agg(*[F.sum(x).alias(x) for x in SUMS]).collect()
     found = {x["kind"]: x for x in rows}
-    n_tokens, n_kinds = (found[WORDS]["tokens"], found[WORDS]["kinds"]) if found else (0, 0)
-    share = 1 - found[PAIRS]["kinds"] / found[PAIRS]["tokens"] if PAIRS in found and found[PAIRS]["tokens"] else 0.0
+    word, pair = ({x: found[k][x] if k in found else 0 for x in SUMS} for k in (WORDS, PAIRS))
     replies = made.filter("block >= 0").select("kind", "shard", "block", "totals")
+    of_pairs = replies.filter(F.col("kind") == PAIRS).groupBy("block")
+    asked_for = dealt.groupBy("block").cogroup(of_pairs).applyInArrow(_ask_contexts(bits), ASKED)
+    replies = replies.unionByName(cut(by_shard(asked_for, n_blocks).applyInArrow(_sum_contexts, ANSWERED)))
     kind = own.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = _SCORED.format(id=kind.simpleString())
-    return each_copy(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(n_tokens, n_kinds, share, to_arrow_type(kind)), schema))
+    return each_copy(dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(word["tokens"], word["kinds"], word["read"] / 2, discount(pair["once"], pair["twice"]), to_arrow_type(kind)), schema))
