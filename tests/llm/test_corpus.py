@@ -244,11 +244,12 @@ def brute_kneser_ney(texts):
     return p
 
 
-def test_model_by_recursion(spark):
+@pytest.mark.parametrize("few", [kneser_ney.FEW_IDS, 0])
+def test_model_by_recursion(spark, few):
     rng = np.random.default_rng(2)
     texts = ["".join(rng.choice(list("abc. "), 60, p=[0.4, 0.3, 0.1, 0.1, 0.1])) for _ in range(6)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = kneser_ney.fit(docs, docs.select(F.col("doc_id").alias("id")), "text", "doc_id")
+    model = kneser_ney.fit(docs, docs.select(F.col("doc_id").alias("id")), "text", "doc_id", few)
     bits, p = model.bits(), brute_kneser_ney(texts)
     for g in [(0, 0, 0, 1), (1, 2, 1, 2), (2, 2, 2, 2), (1, 1, 29, 0), (40, 41, 42, 43), (1, 2, 3, 50)]:
         assert bits[sum(c << 6 * (3 - q) for q, c in enumerate(g))] == pytest.approx(math.log2(p(g)), abs=1e-4)
