@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.functions import filters
+from modeloom.functions import filters, wavelets
 from modeloom.operators import artifacts, decompose, energy, features, folds, metrics, neighbors, segments, selection, signals, stats
 from modeloom.plans import experiments
 from modeloom.plans import tables as T
@@ -624,24 +624,60 @@ def _(s, d):
     return T.rounded(signals.spectrum(_coefficients(s, d).withColumnRenamed("c", "x"), ["seg", "channel"], 16))
 
 
-def _recursion(sections, pad: int) -> str:
-    """SQL that filters the channels forth and back, sample by sample and section by section."""
+_RECURSIVE = _CHANNEL.replace("WITH", "WITH RECURSIVE", 1)
+_SAMPLES = " SELECT seg, CAST(channel AS BIGINT) AS channel, CAST(t AS BIGINT) AS t, round(c, 6) + 0.0 AS x FROM "
+
+
+def _filtered(source: str, name: str, sections, pad: int) -> str:
+    """Relations that end in `name`: the channels of `source` filtered forth and back, sample by sample and section by section."""
     n, steady = 16 + 2 * pad, filters.steady_state(sections)
-    sql = _CHANNEL.replace("WITH", "WITH RECURSIVE", 1) + f""", y0 AS MATERIALIZED (SELECT seg, channel, t + {pad} AS t, c AS y FROM c
-UNION ALL SELECT a.seg, a.channel, {pad} - b.t, 2 * a.c - b.c FROM c a JOIN c b ON a.seg = b.seg AND a.channel = b.channel AND a.t = 0 AND b.t BETWEEN 1 AND {pad}
-UNION ALL SELECT a.seg, a.channel, {pad + 30} - b.t, 2 * a.c - b.c FROM c a JOIN c b ON a.seg = b.seg AND a.channel = b.channel AND a.t = 15 AND b.t BETWEEN {15 - pad} AND 14)"""
+    y, r = f"{name}_y", f"{name}_r"
+    sql = f""", {y}0 AS MATERIALIZED (SELECT seg, channel, t + {pad} AS t, c AS y FROM {source}
+UNION ALL SELECT a.seg, a.channel, {pad} - b.t, 2 * a.c - b.c FROM {source} a JOIN {source} b ON a.seg = b.seg AND a.channel = b.channel AND a.t = 0 AND b.t BETWEEN 1 AND {pad}
+UNION ALL SELECT a.seg, a.channel, {pad + 30} - b.t, 2 * a.c - b.c FROM {source} a JOIN {source} b ON a.seg = b.seg AND a.channel = b.channel AND a.t = 15 AND b.t BETWEEN {15 - pad} AND 14)"""
     made = 0
     for _ in range(2):
         start = made
         for (b0, b1, b2, _, a1, a2), (s0, s1) in zip(sections.tolist(), steady.tolist(), strict=True):
-            sql += f""", r{made + 1} AS (SELECT u.seg, u.channel, u.t, {b0!r} * u.y + {s0!r} * f.y AS y, {b1!r} * u.y - {a1!r} * ({b0!r} * u.y + {s0!r} * f.y) + {s1!r} * f.y AS z0, {b2!r} * u.y - {a2!r} * ({b0!r} * u.y + {s0!r} * f.y) AS z1
-FROM y{made} u JOIN y{start} f ON f.seg = u.seg AND f.channel = u.channel AND f.t = 0 WHERE u.t = 0
-UNION ALL SELECT u.seg, u.channel, u.t, {b0!r} * u.y + z0, {b1!r} * u.y - {a1!r} * ({b0!r} * u.y + z0) + z1, {b2!r} * u.y - {a2!r} * ({b0!r} * u.y + z0) FROM r{made + 1} r JOIN y{made} u ON u.seg = r.seg AND u.channel = r.channel AND u.t = r.t + 1)"""
+            sql += f""", {r}{made + 1} AS (SELECT u.seg, u.channel, u.t, {b0!r} * u.y + {s0!r} * f.y AS y, {b1!r} * u.y - {a1!r} * ({b0!r} * u.y + {s0!r} * f.y) + {s1!r} * f.y AS z0, {b2!r} * u.y - {a2!r} * ({b0!r} * u.y + {s0!r} * f.y) AS z1
+FROM {y}{made} u JOIN {y}{start} f ON f.seg = u.seg AND f.channel = u.channel AND f.t = 0 WHERE u.t = 0
+UNION ALL SELECT u.seg, u.channel, u.t, {b0!r} * u.y + z0, {b1!r} * u.y - {a1!r} * ({b0!r} * u.y + z0) + z1, {b2!r} * u.y - {a2!r} * ({b0!r} * u.y + z0) FROM {r}{made + 1} r JOIN {y}{made} u ON u.seg = r.seg AND u.channel = r.channel AND u.t = r.t + 1)"""
             made += 1
-            sql += f", y{made} AS MATERIALIZED (SELECT seg, channel, t, y FROM r{made})"
+            sql += f", {y}{made} AS MATERIALIZED (SELECT seg, channel, t, y FROM {r}{made})"
         made += 1
-        sql += f", y{made} AS MATERIALIZED (SELECT seg, channel, {n - 1} - t AS t, y FROM y{made - 1})"
-    return sql + f" SELECT seg, CAST(channel AS BIGINT) AS channel, CAST(t - {pad} AS BIGINT) AS t, round(y, 6) + 0.0 AS x FROM y{made} WHERE t BETWEEN {pad} AND {pad + 15}"
+        sql += f", {y}{made} AS MATERIALIZED (SELECT seg, channel, {n - 1} - t AS t, y FROM {y}{made - 1})"
+    return sql + f", {name} AS MATERIALIZED (SELECT seg, channel, t - {pad} AS t, y AS c FROM {y}{made} WHERE t BETWEEN {pad} AND {pad + 15})"
+
+
+#: Matrices of one wavelet step of 16 samples, from the taps: analysis with mirrored ends, and synthesis.
+_TAPS = ", w(j, lo) AS (VALUES " + ", ".join(f"({j}, {x!r}::DOUBLE)" for j, x in enumerate(wavelets.COIF3.tolist())) + """),
+v AS (SELECT a.j, a.lo, b.lo * CASE WHEN a.j % 2 = 1 THEN 1 ELSE -1 END AS hi FROM w a JOIN w b ON b.j = 17 - a.j),
+mirrored AS (SELECT i, (2 * i + 33 - j) % 32 AS p, lo, hi FROM range(16) AS r(i), v),
+apart AS MATERIALIZED (SELECT i, CASE WHEN p < 16 THEN p ELSE 31 - p END AS t, sum(lo) AS lo, sum(hi) AS hi FROM mirrored GROUP BY ALL),
+together AS MATERIALIZED (SELECT i, t, lo, hi FROM range(16) AS r(i), range(16) AS q(t), v WHERE v.j = 1 + 2 * i - t)"""
+
+
+def _denoised(source: str, name: str, level: int = 6) -> str:
+    """Relations that end in `name`: details of each level, pulled to zero by the threshold of least estimated risk, put together again."""
+    sql = f", {name}_a0 AS (SELECT seg, channel, t, c FROM {source})"
+    for k in range(1, level + 1):
+        a, d = f"{name}_a{k}", f"{name}_d{k}"
+        sql += f""", {a} AS MATERIALIZED (SELECT seg, channel, i AS t, sum(lo * c) AS c, sum(hi * c) AS d FROM {name}_a{k - 1} JOIN apart USING (t) GROUP BY ALL),
+{d}g AS (SELECT seg, channel, median(abs(d)) / 0.6745 AS sigma, count(*) AS n FROM {a} GROUP BY ALL),
+{d}a AS (SELECT seg, channel, sigma, n, abs(d) / sigma AS a FROM {a} JOIN {d}g USING (seg, channel) WHERE sigma >= 1e-10),
+{d}r AS (SELECT *, round(n - 2 * count(*) OVER w + sum(a * a) OVER w + (n - count(*) OVER w) * a * a, 9) AS risk FROM {d}a WINDOW w AS (PARTITION BY seg, channel ORDER BY a RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+{d}t AS MATERIALIZED (SELECT seg, channel, arg_min(a, (risk, a)) * any_value(sigma) AS least FROM {d}r GROUP BY ALL),
+{d} AS MATERIALIZED (SELECT seg, channel, t, sign(d) * greatest(abs(d) - coalesce(least, 0), 0) AS d FROM {a} LEFT JOIN {d}t USING (seg, channel))"""
+    last = f"{name}_a{level}"
+    for k in range(level, 0, -1):
+        made = name if k == 1 else f"{name}_b{k - 1}"
+        sql += f""", {made} AS MATERIALIZED (SELECT b.seg, b.channel, m.t, sum(m.lo * b.c + m.hi * d.d) AS c FROM {last} b JOIN {name}_d{k} d ON d.seg = b.seg AND d.channel = b.channel AND d.t = b.t JOIN together m ON m.i = b.t GROUP BY ALL)"""
+        last = made
+    return sql
+
+
+_BAND, _LINE = filters.butterworth_bandpass(0.5, 60.0, 128.0, 4), filters.notch(50.0, 128.0)
+_TWICE = _denoised("line", "once") + _denoised("once", "twice")
 
 
 _ENVELOPE = _CHANNEL + """, s AS (SELECT seg, channel, k, sum(c * cos(2 * pi() * ((k * t) % 16) / 16)) AS re, -sum(c * sin(2 * pi() * ((k * t) % 16) / 16)) AS im, CASE WHEN k % 8 = 0 THEN 1 ELSE 2 END AS g FROM c, range(9) AS r(k) GROUP BY ALL),
@@ -656,13 +692,13 @@ def _signal(name: str, run: Callable[[DataFrame], DataFrame], sql: str | None =
         return T.rounded(out.select("seg", "channel", F.posexplode("v").alias("t", "x")))
 
 
-_signal("sig1_bandpass", lambda r: signals.bandpass(r, 0.5, 60.0), _recursion(filters.butterworth_bandpass(0.5, 60.0, 128.0, 4), 15))
-_signal("sig2_notch", signals.notch, _recursion(filters.notch(50.0, 128.0), 9))
-_signal("sig3_ocular_wavelet_filter", signals.denoise)
-_signal("sig4_sure_denoise", lambda r: signals.denoise(signals.denoise(r)))
+_signal("sig1_bandpass", lambda r: signals.bandpass(r, 0.5, 60.0), _RECURSIVE + _filtered("c", "band", _BAND, 15) + _SAMPLES + "band")
+_signal("sig2_notch", signals.notch, _RECURSIVE + _filtered("c", "line", _LINE, 9) + _SAMPLES + "line")
+_signal("sig3_ocular_wavelet_filter", signals.denoise, _CHANNEL + _TAPS + _denoised("c", "once") + _SAMPLES + "once")
+_signal("sig4_sure_denoise", lambda r: signals.denoise(signals.denoise(r)), _CHANNEL + _TAPS + _denoised("c", "once") + _denoised("once", "twice") + _SAMPLES + "twice")
 _signal("sig6_ica_artifact_removal", signals.remove_artifacts)
 _signal("sig8_mode_a_chain", signals.clean_approximately)
-_signal("sig9_raw_chain", signals.clean_raw)
+_signal("sig9_raw_chain", signals.clean_raw, _RECURSIVE + _filtered("c", "band", _BAND, 15) + _filtered("band", "line", _LINE, 9) + _TAPS + _TWICE + _SAMPLES + "twice")
 _signal("sig10_dispatch_mode_a", lambda r: signals.preprocess(r, "A"))
 _signal("sig11_hilbert_envelope", signals.envelope, _ENVELOPE)
 
