@@ -17,45 +17,47 @@ def _high(low: np.ndarray) -> np.ndarray:
 
 
 def step(x: np.ndarray, low: np.ndarray = COIF3) -> tuple[np.ndarray, np.ndarray]:
-    """Approximation and detail of one level, with the ends mirrored."""
-    n = len(low)
-    padded = x
-    while len(padded) < len(x) + 2 * (n - 1):
-        room = min(len(padded), (len(x) + 2 * (n - 1) - len(padded) + 1) // 2)
-        padded = np.concatenate([padded[:room][::-1], padded, padded[-room:][::-1]])
-    extra = (len(padded) - len(x) - 2 * (n - 1)) // 2
-    padded = padded[extra : extra + len(x) + 2 * (n - 1)]
-    return tuple(np.convolve(padded, f, "valid")[1::2] for f in (low, _high(low)))
+    """Approximation and detail of one level along the last axis, with the ends mirrored."""
+    n, m = len(low), x.shape[-1]
+    place = np.arange(1 - n, m + n - 1) % (2 * m)
+    padded = x[..., np.minimum(place, 2 * m - 1 - place)]
+    windows = np.lib.stride_tricks.sliding_window_view(padded, n, axis=-1)[..., 1::2, :]
+    return windows @ low[::-1], windows @ _high(low)[::-1]
 
 
 def unstep(approximation: np.ndarray, detail: np.ndarray, low: np.ndarray = COIF3) -> np.ndarray:
-    n, m = len(low), len(detail)
-    out = np.zeros(2 * m - n + 2)
-    for part, f in ((approximation[:m], low[::-1]), (detail, _high(low)[::-1])):
-        up = np.zeros(2 * m)
-        up[::2] = part
-        out += np.convolve(up, f)[n - 2 : n - 2 + len(out)]
+    n, m = len(low), detail.shape[-1]
+    out = 0.0
+    for part, f in ((approximation[..., :m], low), (detail, _high(low))):
+        # Every second place is zero, and one more before the first.
+        up = np.zeros((*part.shape[:-1], 2 * m + 1))
+        up[..., 1::2] = part
+        out = out + np.lib.stride_tricks.sliding_window_view(up, n, axis=-1) @ f
     return out
 
 
-def sure_threshold(c: np.ndarray) -> float:
-    """The threshold of least estimated risk for soft thresholding; the least of equal ones."""
-    sigma = np.median(np.abs(c)) / 0.6745 if len(c) else 0.0
-    if sigma < 1e-10:
-        return 0.0
-    a = np.sort(np.abs(c) / sigma)
-    upto = np.searchsorted(a, a, "right")
-    risk = len(a) - 2 * upto + np.cumsum(a**2)[upto - 1] + (len(a) - upto) * a**2
-    return float(a[np.argmin(risk)] * sigma)
+def sure_threshold(c: np.ndarray) -> np.ndarray:
+    """The threshold of least estimated risk for soft thresholding along the last axis; the least of equal ones.
+
+    Of equal magnitudes only the last counts all of them, and its risk is the least of theirs."""
+    n = c.shape[-1]
+    if not n:
+        return np.zeros(c.shape[:-1])
+    sigma = np.median(np.abs(c), axis=-1) / 0.6745
+    flat = sigma < 1e-10
+    a = np.sort(np.abs(c) / np.where(flat, 1.0, sigma)[..., None], axis=-1)
+    upto = np.arange(1, n + 1)
+    risk = n - 2 * upto + np.cumsum(a**2, axis=-1) + (n - upto) * a**2
+    least = np.take_along_axis(a, risk.argmin(axis=-1)[..., None], axis=-1)[..., 0]
+    return np.where(flat, 0.0, least * sigma)
 
 
 def denoise(x: np.ndarray, level: int = 6) -> np.ndarray:
-    """Soft-thresholds the details of each level and keeps the approximation."""
+    """Soft-thresholds the details of each level and keeps the approximation, along the last axis."""
     details, low = [], x
     for _ in range(level):
         low, d = step(low)
         details.append(d)
     for d in reversed(details):
-        t = sure_threshold(d)
-        low = unstep(low, np.sign(d) * np.maximum(np.abs(d) - t, 0))
-    return low[: len(x)]
+        low = unstep(low, np.sign(d) * np.maximum(np.abs(d) - sure_threshold(d)[..., None], 0))
+    return low[..., : x.shape[-1]]

@@ -13,32 +13,47 @@ from pyspark.sql.window import Window
 from modeloom.functions import filters, ica, wavelets
 
 
-def mapped(recordings: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray], signal: str = "signal", fs: float | str = 128.0) -> DataFrame:
-    """The recordings with kernel(signal, fs) for their signal; what isn't finite becomes 0."""
-    spread = recordings
+#: Samples of recordings of one length and rate that one call of a kernel for single channels gets.
+TOGETHER = 1 << 22
+
+
+def mapped(recordings: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray], signal: str = "signal", fs: float | str = 128.0, each_channel: bool = False) -> DataFrame:
+    """The recordings with kernel(signal, fs) for their signal; what isn't finite becomes 0.
+
+    A kernel that works on each channel by itself gets the channels of many recordings of one length and rate at once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rates = frame[fs] if isinstance(fs, str) else [fs] * len(frame)
-            out = []
-            for x, rate in zip(frame[signal], rates, strict=True):
-                y = kernel(np.stack([np.asarray(c, float) for c in x]), float(rate)) if x is not None and len(x) else np.zeros((0, 0))
-                out.append(np.where(np.isfinite(y), y, 0.0).tolist())
+            inputs = [np.stack([np.asarray(c, float) for c in x]) if x is not None and len(x) else np.zeros((0, 0)) for x in frame[signal]]
+            out, groups = [x.tolist() for x in inputs], {}
+            for k, (x, rate) in enumerate(zip(inputs, rates, strict=True)):
+                if x.size:
+                    groups.setdefault((x.shape[1], float(rate)) if each_channel else k, []).append((k, float(rate)))
+            for rows in groups.values():
+                few = max(1, TOGETHER // max(inputs[k].size for k, _ in rows))
+                for low in range(0, len(rows), few):
+                    some = [k for k, _ in rows[low : low + few]]
+                    y = kernel(np.concatenate([inputs[k] for k in some]), rows[0][1])
+                    y = np.where(np.isfinite(y), y, 0.0)
+                    ends = np.cumsum([len(inputs[k]) for k in some])
+                    for k, part in zip(some, np.split(y, ends[:-1]), strict=True):
+                        out[k] = part.tolist()
             yield frame.assign(**{signal: out})
 
-    return spread.mapInPandas(run, spread.schema)
+    return recordings.mapInPandas(run, recordings.schema)
 
 
 def bandpass(recordings: DataFrame, low: float, high: float, order: int = 4, **kw) -> DataFrame:
-    return mapped(recordings, lambda x, fs: filters.bandpass(x, fs, low, high, order), **kw)
+    return mapped(recordings, lambda x, fs: filters.bandpass(x, fs, low, high, order), each_channel=True, **kw)
 
 
 def notch(recordings: DataFrame, freq: float = 50.0, q: float = 30.0, **kw) -> DataFrame:
-    return mapped(recordings, lambda x, fs: filters.stop_band(x, fs, freq, q), **kw)
+    return mapped(recordings, lambda x, fs: filters.stop_band(x, fs, freq, q), each_channel=True, **kw)
 
 
 def denoise(recordings: DataFrame, level: int = 6, **kw) -> DataFrame:
-    return mapped(recordings, lambda x, fs: np.stack([wavelets.denoise(c, level) for c in x]), **kw)
+    return mapped(recordings, lambda x, fs: wavelets.denoise(x, level), each_channel=True, **kw)
 
 
 def remove_artifacts(recordings: DataFrame, remove: int = 2, seed: int = 42, **kw) -> DataFrame:
@@ -52,9 +67,9 @@ def clean_raw(recordings: DataFrame, low: float = 0.5, high: float = 60.0, line:
 
     def chain(x: np.ndarray, fs: float) -> np.ndarray:
         y = filters.stop_band(filters.bandpass(x, fs, low, high), fs, line)
-        return np.stack([wavelets.denoise(wavelets.denoise(c)) for c in y])
+        return wavelets.denoise(wavelets.denoise(y))
 
-    return mapped(recordings, chain, **kw)
+    return mapped(recordings, chain, each_channel=True, **kw)
 
 
 def clean_approximately(recordings: DataFrame, remove: int = 2, **kw) -> DataFrame:
@@ -77,7 +92,7 @@ def preprocess(recordings: DataFrame, mode: str = "B", **kw) -> DataFrame:
 
 
 def envelope(recordings: DataFrame, **kw) -> DataFrame:
-    return mapped(recordings, lambda x, fs: np.abs(np.stack([filters.analytic(c) for c in x])), **kw)
+    return mapped(recordings, lambda x, fs: np.abs(filters.analytic(x)), each_channel=True, **kw)
 
 
 def sure_thresholds(coefficients: DataFrame, keys: list[str], value: str = "c") -> DataFrame:

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from modeloom.functions import filters, wavelets
 from modeloom.functions.smvmd import Settings
 from modeloom.operators import classifiers, decompose, features, folds, neighbors, segments, selection, signals, stats
 from modeloom.plans import experiments
@@ -181,3 +182,18 @@ def test_shuffled_folds_are_even_and_hang_on_the_seed(spark):
     assert both.filter("fold = f").count() < 1500
     assert one.exceptAll(folds.shuffled(rows.repartition(3).withColumn("fold", F.lit(9)), 7, 1).select(*one.columns)).count() == 0
     assert folds.shuffled(rows.limit(0), 7).count() == 0 and folds.dealt(rows.limit(0), 7).count() == 0
+
+
+def test_channels_of_many_recordings_at_once(spark):
+    """Recordings of several lengths and rates, an empty and a null one: as if each were filtered alone."""
+    rng = np.random.default_rng(8)
+    sizes = [(2, 40, 128.0), (3, 40, 128.0), (2, 41, 128.0), (1, 40, 256.0), (1, 1, 128.0)]
+    rows = [(i, fs, rng.normal(size=(c, n)).tolist()) for i, (c, n, fs) in enumerate(sizes)] + [(5, 128.0, []), (6, 128.0, None), (7, 128.0, [[], []])]
+    recordings = spark.createDataFrame(rows, "id int, fs double, signal array<array<double>>")
+    found = {r["id"]: r["signal"] for r in signals.bandpass(recordings, 1.0, 30.0, fs="fs").collect()}
+    for i, fs, x in rows[:5]:
+        assert np.allclose(found[i], filters.bandpass(np.array(x), fs, 1.0, 30.0), atol=1e-12)
+    assert found[5] == [] and found[6] == [] and found[7] == [[], []]
+    calm = {r["id"]: r["signal"] for r in signals.denoise(recordings, fs="fs").collect()}
+    for i, _, x in rows[:5]:
+        assert np.allclose(calm[i], [wavelets.denoise(np.array(c)) for c in x], atol=1e-12)
