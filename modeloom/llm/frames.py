@@ -61,6 +61,15 @@ def cut(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def join_uneven(rows: DataFrame, named: DataFrame, key: str, total: int, most: int = 1 << 16, least: int = 4096) -> DataFrame:
+    """`rows` with what `named` says of their key, of which it has one row each, with the number of rows as `weight`. Keys of
+    more than `least` rows and 1 in `most` of all `total`, so fewer than `most`, are broadcast and their rows stay where they
+    are; the others meet in a shuffle."""
+    hot = F.col("weight") > max(least, total // most)
+    many = F.broadcast(named.filter(hot))
+    return rows.join(many, key).unionByName(rows.join(many.select(key), key, "left_anti").join(named.filter(~hot), key))
+
+
 def head(frame: DataFrame, rows: int, text: str, chars: int) -> DataFrame:
     """The first rows that Spark finds, each text up to so many characters, as a table of its own: for fits and estimates
     that take a bounded sample. Spark reads partitions one after the other until there are enough; a limit inside a plan

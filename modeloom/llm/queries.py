@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modeloom.llm import bloom_lm, decontaminate, filter_audit, jaccard_join, kneser_ney, language_id, line_dedup, pieces, quality_rules, suffix_dedup, url_filters
+from modeloom.llm import bloom_lm, decontaminate, filter_audit, jaccard_join, kneser_ney, language_id, line_dedup, pieces, quality_rules, simhash, suffix_dedup, token_alignment, url_filters
 from modeloom.llm.frames import plain_text, table
 
 
@@ -59,6 +59,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_decontamination, op4_url_filters, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_sentencepiece, op9_line_dedup, op10_lm_scoring, op11_filter_audit)}
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_jaccard_join, op3_decontamination, op4_url_filters, op5_quality_rules, op6_language_id, op7_quality_classifier, op8_sentencepiece, op9_line_dedup, op10_lm_scoring, op11_filter_audit, op12_simhash, op13_token_alignment)}
 
 ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op5_quality_rules": quality_rules.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
