@@ -64,6 +64,12 @@ def two_gaussians(values: np.ndarray, stop: float = 1e-4, max_iter: int = 10_000
             mean, var, prior = new_mean, new_var, new_prior
             if not (moved > stop).all():
                 break
+    return border(mean, var, prior, middle)
+
+
+def border(mean: np.ndarray, var: np.ndarray, prior: np.ndarray, middle: float) -> float:
+    """Where two Gaussians, the higher one first, are as likely; `middle` where there is no such value."""
+    with np.errstate(all="ignore"):
         a, b = (var[0] - var[1]) / 2, var[1] * mean[0] - var[0] * mean[1]
         c = np.log(prior[0] * np.sqrt(var[1]) / (prior[1] * np.sqrt(var[0]))) * var[0] * var[1] + (mean[1] ** 2 * var[0] - mean[0] ** 2 * var[1]) / 2
         root = np.sqrt(b * b - 4 * a * c)

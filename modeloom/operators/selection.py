@@ -6,15 +6,16 @@ is small whatever the number of rows; the greedy choice between them runs on the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from modeloom.functions.information import continuous, greedy, prepared, with_class
+from modeloom.functions.information import continuous, greedy, prepared
 
 
 def long_features(matrix: DataFrame, *keep: str, column: str = "f") -> DataFrame:
@@ -70,15 +71,82 @@ def binned_information(matrix: DataFrame, pairs: DataFrame, bins: int = 10) -> D
     return cells.groupBy("a", "b").agg(F.greatest(F.lit(0.0), F.sum(term)).alias("mi"))
 
 
-def neighbour_relevance(matrix: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
-    """(feat, mi): information on the class by nearest neighbours, one feature a group."""
-
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("row_id")
-        x = prepared(frame[["v"]].to_numpy(float), np.random.RandomState(seed + int(key[0])))[:, 0]
-        return pd.DataFrame({"feat": [key[0]], "mi": [with_class(x, frame[label].to_numpy())]})
-
-    return long_features(matrix, label).groupBy("feat").applyInPandas(one, "feat int, mi double")
+#: Values are whole numbers of this many parts of a deviation, so that differences are exact.
+PARTS = 1e13
+
+
+def digamma(x: Column) -> Column:
+    """Of counts: the asymptotic series six steps on, and back."""
+    y = x + 6.0
+    return F.ln(y) - 0.5 / y - 1 / (12 * y * y) + 1 / (120 * y * y * y * y) - 1 / (252 * y * y * y * y * y * y) - sum((1 / (x + float(i)) for i in range(6)), F.lit(0.0))
+
+
+def traced(matrix: DataFrame, label: str, seed: int) -> DataFrame:
+    """(feat, label, x): values by their feature's deviation, with a trace of normal noise against ties that follows from the row, as whole numbers."""
+    values = long_features(matrix, label)
+    spread = values.groupBy("feat").agg(F.stddev_pop("v").alias("sd"), F.avg(F.abs("v")).alias("size")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    digest = F.md5(F.concat_ws("|", "row_id", "feat", F.lit(seed)))
+    uniform = lambda at: (F.conv(F.substring(digest, at, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    noise = F.sqrt(-2 * F.ln(uniform(1))) * F.cos(2 * np.pi * uniform(9))
+    x = F.col("v") / F.col("sd") + 1e-10 * F.greatest(F.lit(1.0), F.col("size") / F.col("sd")) * noise
+    return values.join(F.broadcast(spread), "feat").select("feat", F.col(label).alias("label"), F.round(x * PARTS).cast("long").alias("x"))
+
+
+def in_ranges(frame: DataFrame, bounds: DataFrame, value: str) -> DataFrame:
+    """Adds `range`, how many of its feature's bounds lie below a value."""
+    return frame.join(F.broadcast(bounds), "feat").withColumn("range", F.size(F.filter("bounds", lambda b: b < F.col(value)))).drop("bounds")
+
+
+def neighbour_relevance(matrix: DataFrame, label: str = "label", k: int = 3, seed: int = 42, most_ranges: int = 256, rows_each: int = 1 << 16, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(feat, mi): information on the class by nearest neighbours; `keep` writes or caches the values, which are read several times.
+
+    A feature's values are dealt to ranges of about `rows_each` rows, at most `most_ranges` of them. Ranks within a class come
+    from ranks within a range and the counts of ranges before; blocks of ranks with a halo of k rows at each side then hold all
+    neighbours of their rows. How many rows of any class lie nearer than the k-th of the own class is a difference of two
+    running counts over the same ranges. So no task has all rows of a feature."""
+    values = traced(matrix, label, seed)
+    values = keep(values) if keep else values
+    counts = values.groupBy("feat", "label").agg(F.count("*").alias("own")).filter("own > 1")
+    totals = counts.groupBy("feat").agg(F.sum("own").alias("n"))
+    n = totals.agg(F.max("n")).first()[0]
+    if n is None:
+        return matrix.sparkSession.range(0).select(F.col("id").cast("int").alias("feat"), F.lit(0.0).alias("mi"))
+    ranges = max(1, min(most_ranges, -(-n // rows_each)))
+    cuts = [i / ranges for i in range(1, ranges)]
+    bounds = values.groupBy("feat").agg((F.percentile_approx("x", cuts) if cuts else F.array().cast("array<long>")).alias("bounds"))
+    dealt = in_ranges(values.join(F.broadcast(counts), ["feat", "label"]), bounds, "x")
+
+    before = Window.partitionBy("feat", "label").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("feat", "label", "range").agg(F.count("*").alias("c")).select("feat", "label", "range", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    rank = F.col("offset") + F.row_number().over(Window.partitionBy("feat", "label", "range").orderBy("x")) - 1
+    ranked = dealt.join(F.broadcast(offsets), ["feat", "label", "range"]).withColumn("rank", rank)
+    size = F.lit(max(rows_each, 2 * k + 1))
+    block, at = F.floor(F.col("rank") / size), F.col("rank") % size
+    homes = F.array_compact(F.array(block, F.when(at < k, block - 1), F.when(at >= size - k, block + 1)))
+    spread = ranked.select("feat", "label", "own", "x", "rank", block.alias("home"), F.explode(homes).alias("block"))
+    order = Window.partitionBy("feat", "label", "block").orderBy("rank")
+    # The k-th nearest of a sorted list is the end of one of the k + 1 runs around a value; a class of fewer rows has a nearer last one.
+    near = F.least(F.lit(k), F.col("own") - 1)
+    reach = [F.col("x") - F.lag("x", j).over(order) if j else F.lit(0).cast("long") for j in range(k + 1)], [F.lead("x", j).over(order) - F.col("x") if j else F.lit(0).cast("long") for j in range(k + 1)]
+    names = [f"__{side}{j}" for side in "lr" for j in range(k + 1)]
+    reached = spread.select("*", near.alias("near"), *[c.alias(x) for x, c in zip(names, [*reach[0], *reach[1]], strict=True)]).filter("block = home")
+    runs = [F.when((F.col("near") == m) & F.col(f"__l{j}").isNotNull() & F.col(f"__r{m - j}").isNotNull(), F.greatest(f"__l{j}", f"__r{m - j}")) for m in range(1, k + 1) for j in range(m + 1)]
+    found = reached.select("feat", "label", "own", "x", "rank", "near", F.greatest(F.lit(1), F.least(*runs, F.lit(None).cast("long"))).alias("d"))
+
+    each = F.explode(F.array(F.struct((F.col("x") + F.col("d") - 1).alias("at"), F.lit(1).alias("sign")), F.struct((F.col("x") - F.col("d")).alias("at"), F.lit(-1).alias("sign"))))
+    asked = found.select("feat", "label", "rank", "own", "near", each.alias("q")).select("feat", "label", "rank", "own", "near", F.col("q.at").alias("at"), F.col("q.sign").alias("sign"))
+    held = dealt.select("feat", F.col("x").alias("at"), F.lit(0).alias("sign"))
+    merged = in_ranges(asked.unionByName(held, allowMissingColumns=True), bounds, "at")
+    under = Window.partitionBy("feat").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    passed = dealt.groupBy("feat", "range").agg(F.count("*").alias("c"))
+    every = bounds.select("feat", F.explode(F.sequence(F.lit(0), F.size("bounds"))).alias("range")).join(passed, ["feat", "range"], "left")
+    passed = every.select("feat", "range", F.coalesce(F.sum("c").over(under), F.lit(0)).alias("passed"))
+    upto = Window.partitionBy("feat", "range").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = merged.withColumn("inside", F.count_if(F.col("sign") == 0).over(upto)).filter("sign != 0").join(F.broadcast(passed), ["feat", "range"])
+    within = placed.groupBy("feat", "label", "rank").agg(F.sum(F.col("sign") * (F.col("inside") + F.col("passed"))).alias("m"), F.first("own").alias("own"), F.first("near").alias("near"))
+    sums = within.groupBy("feat").agg(F.avg(digamma(F.col("near"))).alias("a"), F.avg(digamma(F.col("own"))).alias("b"), F.avg(digamma(F.greatest(F.lit(1), F.col("m")))).alias("c"), F.count("*").alias("n"))
+    informed = sums.select("feat", F.greatest(F.lit(0.0), digamma(F.col("n")) + F.col("a") - F.col("b") - F.col("c")).alias("mi"))
+    return values.select("feat").distinct().join(informed, "feat", "left").select("feat", F.coalesce("mi", F.lit(0.0)).alias("mi"))
 
 
 def neighbour_redundancy(matrix: DataFrame, sample_rows: int = 2000, seed: int = 42, column: str = "f") -> DataFrame:

@@ -549,11 +549,6 @@ def _(s, d):
     return s.createDataFrame([(i + 1, f) for i, f in enumerate(selection.rank(T.matrix(s, d), "MI"))], "rank long, feat long")
 
 
-@query("mr2_neighbour_relevance")
-def _(s, d):
-    return T.rounded(selection.neighbour_relevance(T.matrix(s, d)))
-
-
 @query("mr3_neighbour_redundancy")
 def _(s, d):
     return T.rounded(selection.neighbour_redundancy(T.matrix(s, d)))
@@ -805,14 +800,3 @@ def _(s, d):
 UNION SELECT ic, 'blink' FROM ft WHERE sad >= 0.01 AND l * r > 0 AND kurtosis >= 0.2 AND diff_var > 0 UNION SELECT ic, 'discontinuity' FROM ft WHERE gdsf >= 0.25 AND mev >= 1.2""")
 def _(s, d):
     return artifacts.classes(_component_features(s, d), _LIMITS)
-
-
-@query("art6_two_gaussian_thresholds")
-def _(s, d):
-    return T.rounded(s.createDataFrame(sorted(artifacts.thresholds(_component_features(s, d)).items()), "feature string, threshold double"))
-
-
-@query("art1_worst_components")
-def _(s, d):
-    found = _component_features(s, d)
-    return T.rounded(artifacts.worst(artifacts.badness(found, artifacts.thresholds(found))))

@@ -76,3 +76,19 @@ CELLS = "cells AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS p, CA
 MODES = CELLS + ", modes AS (SELECT vec_id AS seg, p // 32 AS k, (p // 16) % 2 AS channel, p % 16 AS t, v AS x FROM cells)"
 MATRIX = CELLS + ", m AS (SELECT vec_id AS row_id, label % 2 AS label, vec_id % 14 AS grp, p AS feat, v FROM cells)"
 PREDICTIONS = "pred AS (SELECT doc_id AS row_id, quality AS label, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS predicted, doc_id % 23 AS grp, doc_id % 10 AS fold FROM labels)"
+
+
+def montage(spark: SparkSession, folder: str, channels: int = 14, windows: int = 8) -> DataFrame:
+    """(subject, signal): embeddings as `channels` channels of recordings of about `windows` windows of 64 samples each. Rows go
+    to channels and windows by their id; what the last window lacks is zero."""
+    rows = table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / (channels * windows)).alias("subject"), (F.floor(F.col("vec_id") / channels) % windows).alias("w"), (F.col("vec_id") % channels).alias("c"), F.transform("embedding", lambda x: x.cast("double")).alias("v")
+    )
+    held = rows.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct((F.col("w") * channels + F.col("c")).alias("at"), "v"))).alias("held"), F.max("w").alias("last"))
+    zeros = F.array_repeat(F.lit(0.0), 64)
+    channel = lambda c: F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda w: F.coalesce(F.try_element_at("held", w * channels + c), zeros)))
+    return held.select("subject", F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), channel).alias("signal"))
+
+
+MONTAGE = CELLS + """, cut AS (SELECT vec_id // 112 AS subject, vec_id // 14 % 8 AS w, vec_id % 14 AS channel, p, v FROM cells), lens AS (SELECT subject, max(w) AS last FROM cut GROUP BY subject),
+montage AS (SELECT subject, channel, w * 64 + p AS t, coalesce(v, 0.0) AS x FROM (SELECT * FROM (SELECT subject, unnest(range(last + 1)) AS w FROM lens), range(14) c(channel), range(64) r(p)) LEFT JOIN cut USING (subject, w, channel, p))"""

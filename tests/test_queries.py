@@ -1,6 +1,6 @@
 import pytest
 
-from modeloom.plans.source_queries import ORACLES, QUERIES
+from modeloom.plans.chain_queries import ORACLES, QUERIES
 from tests.oracle import check
 
 # Results of these follow from iteration or chance; the kernels under them have tests of their own.
