@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.llm.frames import let, plain_text, words_of
+from modeloom.llm.frames import cut, let, plain_text, words_of
 
 FILTERS = "ABCDE"
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
@@ -137,7 +137,7 @@ def text_failures(docs: DataFrame, doc_id: str, text: str, part: str) -> DataFra
 
 def masks(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", part: str = "lang") -> DataFrame:
     """(part, mask, n): n documents of a text and part have the mask, E and the labels included."""
-    rows = text_failures(docs, doc_id, text, part).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("copies"))
+    rows = cut(text_failures(docs, doc_id, text, part).groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("copies")))
     said = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.when(F.col("quality") == 1, GOOD).otherwise(0)).alias("good"), F.max(F.when(F.col("toxic") == 1, TOXIC).otherwise(0)).alias("toxic"))
     label = (F.coalesce("good", F.lit(0)) + F.coalesce("toxic", F.lit(0))).alias("label")
     own = rows.filter("doc_id IS NOT NULL").join(said.filter("labelled IS NOT NULL"), F.col("doc_id") == F.col("labelled"), "left").select("doc_id", "part", "digest", "mask", "copies", label)
