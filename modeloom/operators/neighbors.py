@@ -1,13 +1,17 @@
 """Nearest neighbours between test and training rows: distances, weights and votes.
 
-Rows are (row_id, label, f, fold). Every test row meets the training rows of the other folds: rows are dealt to blocks of
-at most about `BLOCK`, every block meets every block in a task of its own, and gives its rows' nearest k there, which
-then meet in a top k: no pair of rows ever becomes a row, and none passes the driver.
+Rows are (row_id, label, f, fold). Every test row looks for its neighbours in the other folds. Some rows are pivots, and a
+row belongs to the cell of its nearest one. From the rows nearest to each pivot follows how far the k-th neighbour of any
+row of a cell can be at most; by the triangle inequality a training row goes only to cells that it can be a neighbour in.
+Cells of many rows are cut into blocks, which meet in tasks of their own and give their rows' nearest k there, which then
+meet in a top k: no pair of rows ever becomes a row, and only pivots and a few distances of each cell pass the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +21,8 @@ from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
 BLOCK = 20_000
+#: Pivots of a task, of which a row of n is one in about sqrt(n) up to this many.
+PIVOTS = 256
 #: So that small tables are dealt to several tasks as well.
 LEAST_BLOCKS = 3
 METRICS = {"cityblock": "cityblock", "manhattan": "cityblock", "l1": "cityblock", "euclidean": "euclidean", "l2": "euclidean", "minkowski": "euclidean", "cosine": "cosine", "chebyshev": "chebyshev"}
@@ -66,9 +72,149 @@ def _blocks_that_meet(rows: DataFrame, block: int) -> PandasCogroupedOps:
     return side("part", "other").cogroup(side("other", "part"))
 
 
-def neighbours(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK) -> DataFrame:
-    """(test_id, train_id, train_label, d, r): of each row the k nearest of other folds; of equal ones the least id."""
-    cells = rows.select("row_id", "label", "fold", "f")
+def _points(column: pd.Series, metric: str) -> np.ndarray:
+    """Rows in a space whose distances, those of `_bounding`, obey the triangle inequality and order neighbours as the metric does."""
+    x = np.stack(column.to_numpy()).astype(float)
+    if METRICS[metric] == "cosine":
+        length = np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.where(length > 0, length, 1)
+    return x
+
+
+def _bounding(metric: str) -> str:
+    return "euclidean" if METRICS[metric] == "cosine" else METRICS[metric]
+
+
+@dataclass
+class Cells:
+    """Of a task: its pivots; how far a training row may be from a pivot to go to its cell; blocks of tests and of training rows."""
+
+    pivots: np.ndarray
+    reach: np.ndarray
+    tests: np.ndarray
+    trains: np.ndarray
+
+
+def _limits(pivots: np.ndarray, farthest: np.ndarray, near: pd.DataFrame, k: int, metric: str, apart: bool) -> np.ndarray:
+    """Of each cell how far its pivot can be from a neighbour of its tests: twice the farthest test's distance, plus what the
+    k-th row is away from the pivot at most, the k-th outside of any fold where tests and training rows aren't `apart`; `near`
+    has some of each cell's rows (cell, fold, d)."""
+    between = _distances(pivots, pivots, _bounding(metric))
+    away = between[:, near["cell"].to_numpy(int)] + near["d"].to_numpy(float)
+    order, folds, out = np.argsort(away, axis=1, kind="stable"), near["fold"].to_numpy(), np.full(len(pivots), np.inf)
+    for i in np.flatnonzero(farthest >= 0):
+        own = folds[order[i]]
+        seen: dict = {}
+        top = 0
+        for j, f in enumerate(own):
+            seen[f] = seen.get(f, 0) + 1
+            top = max(top, seen[f])
+            if j + 1 - (0 if apart else top) >= k:
+                out[i] = 2 * farthest[i] + away[i, order[i, j]]
+                break
+    # Distances that round to the same twelve decimals count as equal; those between unit vectors are square roots of that.
+    return out * (1 + 1e-9) + (1e-5 if METRICS[metric] == "cosine" else 1e-9)
+
+
+def _meetings(rows: DataFrame, k: int, metric: str, block: int, by: str | None, apart: bool, pivots: int) -> tuple[DataFrame, DataFrame]:
+    """Tests and training rows, each with the keys of the groups in which they meet."""
+    task = F.col(by).cast("long") if by else F.lit(0).cast("long")
+    own = rows.select("row_id", "label", "fold", "f", task.alias("task"), ((F.col("fold") == F.col(by)) if apart else F.lit(True)).alias("tested"))
+    trains = own.filter("NOT tested") if apart else own
+    spark = rows.sparkSession
+    counts = {r["task"]: r["n"] for r in own.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    wanted = {t: min(pivots, math.isqrt(n) + 1) for t, n in counts.items()}
+    chance = {t: min(1.0, wanted[t] / counts[t]) for t in counts}
+    drawn = F.pmod(F.xxhash64("row_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
+    table = spark.createDataFrame([(t, float(c)) for t, c in chance.items()], "task long, chance double")
+    found = own.join(F.broadcast(table), "task").filter(drawn < F.col("chance")).select("task", "f").collect()
+    places = {t: _points(pd.Series([r["f"] for r in found if r["task"] == t]), metric) if any(r["task"] == t for r in found) else None for t in counts}
+    width = next((len(p[0]) for p in places.values() if p is not None), 0)
+    places = {t: np.zeros((1, width)) if p is None else p for t, p in places.items()}
+    shared, kind = spark.sparkContext.broadcast(places), _bounding(metric)
+
+    def each_task(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray]]:
+        for frame in frames:
+            for t, part in frame.groupby("task", sort=False):
+                for low in range(0, len(part), 4096):
+                    some = part.iloc[low : low + 4096]
+                    at = shared.value[t]
+                    yield t, some, _distances(_points(some["f"], metric), at if at.shape[1] else np.zeros((1, len(some["f"].iloc[0]))), kind)
+
+    def celled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, some, d in each_task(frames):
+            # A vector without a direction has no cosine, so nothing follows from where it is.
+            lost = ~_points(some["f"], metric).any(axis=1) if METRICS[metric] == "cosine" else False
+            yield some.drop(columns=["f", "label"]).assign(cell=d.argmin(axis=1), d=np.where(lost, np.inf, d.min(axis=1)))
+
+    id_kind, fold_kind = own.schema["row_id"].dataType.simpleString(), own.schema["fold"].dataType.simpleString()
+    cells = own.mapInPandas(celled, f"row_id {id_kind}, fold {fold_kind}, task long, tested boolean, cell int, d double")
+    extent = cells.filter("tested").groupBy("task", "cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).toPandas()
+    first = Window.partitionBy("task", "cell", "fold").orderBy("d")
+    second = Window.partitionBy("task", "cell").orderBy("d")
+    near = (cells.filter("NOT tested") if apart else cells).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
+    near = near.withColumn("r", F.row_number().over(second)).filter(F.col("r") <= 2 * k).select("task", "cell", "fold", "d").toPandas()
+    plan: dict[int, Cells] = {}
+    for t, at in places.items():
+        mine = extent[extent["task"] == t]
+        farthest, tests = np.full(len(at), -1.0), np.zeros(len(at), int)
+        farthest[mine["cell"]], tests[mine["cell"]] = mine["d"], -(-mine["n"].to_numpy() // block)
+        reach = np.where(farthest >= 0, _limits(at, farthest, near[near["task"] == t], k, metric, apart), -1.0)
+        plan[t] = Cells(at, reach, tests, np.ones(len(at), int))
+    reaching = spark.sparkContext.broadcast({t: c.reach for t, c in plan.items()})
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for t, _, d in each_task(frames):
+            total[t] = total.get(t, 0) + (d <= reaching.value[t]).sum(axis=0)
+        for t, n in total.items():
+            yield pd.DataFrame({"task": t, "cell": np.flatnonzero(n), "n": n[n > 0]})
+
+    for r in trains.mapInPandas(counted, "task long, cell int, n long").groupBy("task", "cell").agg(F.sum("n").alias("n")).collect():
+        plan[r["task"]].trains[r["cell"]] = -(-r["n"] // block)
+    dealt = spark.sparkContext.broadcast(plan)
+
+    def asking(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t, some, d in each_task(frames):
+            c, cell = dealt.value[t], d.argmin(axis=1)
+            times = c.trains[cell]
+            out = some.iloc[np.repeat(np.arange(len(some)), times)]
+            yield out.assign(cell=np.repeat(cell, times), ours=_hashes(out["row_id"]) % np.maximum(1, np.repeat(c.tests[cell], times)), theirs=np.concatenate([np.zeros(0, int), *map(np.arange, times)])).drop(columns="tested")
+
+    def answering(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t, some, d in each_task(frames):
+            c = dealt.value[t]
+            at, cell = np.nonzero(d <= c.reach)
+            times = c.tests[cell]
+            row, cell = np.repeat(at, times), np.repeat(cell, times)
+            out = some.iloc[row]
+            # The tests' hash with another turn, so that blocks of tests and of training rows are cut alike nowhere.
+            yield out.assign(cell=cell, ours=np.concatenate([np.zeros(0, int), *map(np.arange, times)]), theirs=_hashes(out["row_id"]) // 7 % c.trains[cell]).drop(columns="tested")
+
+    schema = f"row_id {id_kind}, label {own.schema['label'].dataType.simpleString()}, fold {fold_kind}, f array<double>, task long, cell int, ours long, theirs long"
+    doubled = lambda x: x.withColumn("f", F.col("f").cast("array<double>"))
+    return doubled(own.filter("tested")).mapInPandas(asking, schema), doubled(trains).mapInPandas(answering, schema)
+
+
+def _hashes(ids: pd.Series) -> np.ndarray:
+    return pd.util.hash_array(ids.to_numpy()).astype(np.int64) & 0x7FFFFFFFFFFFFFFF
+
+
+MEET = ("task", "cell", "ours", "theirs")
+
+
+def compared(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK, by: str | None = None, apart: bool = True, pivots: int = PIVOTS) -> int:
+    """How many pairs of rows are compared."""
+    tests, trains = (side.groupBy(*MEET).agg(F.count("*").alias(n)) for side, n in zip(_meetings(rows, k, metric, block, by, apart and by is not None, pivots), "ab", strict=True))
+    return tests.join(trains, list(MEET)).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
+
+
+def neighbours(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK, by: str | None = None, apart: bool = True, pivots: int = PIVOTS) -> DataFrame:
+    """(test_id, train_id, train_label, d, r): of each row the k nearest of other folds; of equal ones the least id.
+
+    With a whole number `by` a row may be there once for each, with features of its own there, and meets rows with the same
+    `by` only; the result has it as `task`. It's the tested fold if they are `apart`: then rows of that fold only are tested."""
+    tests, trains = _meetings(rows, k, metric, block, by, apart and by is not None, pivots)
 
     def nearest(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         train = train.sort_values("row_id")
@@ -79,13 +225,14 @@ def neighbours(rows: DataFrame, k: int, metric: str = "euclidean", block: int =
             d[part["fold"].to_numpy()[:, None] == folds[None, :]] = np.inf
             near = np.argsort(d, axis=1, kind="stable")[:, :k]
             at, flat = np.repeat(np.arange(len(part)), near.shape[1]), near.ravel()
-            found = pd.DataFrame({"test_id": part["row_id"].to_numpy()[at], "train_id": ids[flat], "train_label": labels[flat], "d": d[at, flat]})
+            found = pd.DataFrame({"test_id": part["row_id"].to_numpy()[at], "train_id": ids[flat], "train_label": labels[flat], "d": d[at, flat], "task": part["task"].to_numpy()[at]})
             out.append(found[np.isfinite(found["d"])])
-        return pd.concat(out) if out else pd.DataFrame({"test_id": [], "train_id": [], "train_label": [], "d": []})
+        return pd.concat(out) if out else pd.DataFrame({"test_id": [], "train_id": [], "train_label": [], "d": [], "task": []})
 
-    found = _blocks_that_meet(cells, block).applyInPandas(nearest, "test_id long, train_id long, train_label int, d double")
-    order = Window.partitionBy("test_id").orderBy("d", "train_id")
-    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    found = tests.groupBy(*MEET).cogroup(trains.groupBy(*MEET)).applyInPandas(nearest, "test_id long, train_id long, train_label int, d double, task long")
+    order = Window.partitionBy("task", "test_id").orderBy("d", "train_id")
+    ranked = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    return ranked if by else ranked.drop("task")
 
 
 def vote(near: DataFrame, weights: str = "uniform", by: Sequence[str] = ()) -> DataFrame:
@@ -99,10 +246,11 @@ def vote(near: DataFrame, weights: str = "uniform", by: Sequence[str] = ()) -> D
     return totals.groupBy(*own).agg(F.max_by("train_label", F.struct(F.round("w", 9), -F.col("train_label"))).alias("predicted"))
 
 
-def classify(rows: DataFrame, k: int, metric: str = "euclidean", weights: str = "uniform", block: int = BLOCK) -> DataFrame:
-    """`rows` (without f) with the prediction that rows of other folds make."""
-    voted = vote(neighbours(rows, k, metric, block), weights)
-    return rows.drop("f").join(voted.withColumnRenamed("test_id", "row_id"), "row_id")
+def classify(rows: DataFrame, k: int, metric: str = "euclidean", weights: str = "uniform", block: int = BLOCK, by: str | None = None) -> DataFrame:
+    """`rows` (without f) with the prediction that rows of other folds make; with `by`, of a row where it is tested."""
+    voted = vote(neighbours(rows, k, metric, block, by), weights)
+    tested = rows.filter(F.col("fold") == F.col(by)) if by else rows
+    return tested.drop("f").join(voted.withColumnRenamed("test_id", "row_id"), "row_id")
 
 
 def standardise(rows: DataFrame, by_fold: bool = True, column: str = "f") -> DataFrame:

@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import io
+import zipfile
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators import artifacts, cleaning, selection
+from modeloom.operators import artifacts, classifiers, cleaning, kernel_machine, ml, selection, trees
+from modeloom.plans import experiments, pipeline
 from modeloom.plans import tables as T
-from modeloom.plans.queries import _ALL, _component_features
-from modeloom.plans.source_queries import ORACLES, QUERIES, query, shared_folder
-from modeloom.sources import recordings
+from modeloom.plans.queries import _ALL, _LOCAL, _component_features
+from modeloom.plans.source_queries import ORACLES, QUERIES, query
+from modeloom.sources import datasource, matfile, recordings
+from modeloom.sources.shared import shared_folder, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
 FS = 128.0
-
-
-def written(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared folder and read again."""
-    folder = shared_folder(spark)
-    frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)
+#: Trees of a fold; 100 in the published comparison.
+BAGS = 20
 
 
 def _long(frame: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def _(s, d):
 @query("art1_component_chain")
 def _(s, d):
     """Filters, unmixing, features and thresholds of components, removal: each recording with what went and what is left."""
-    done = cleaning.clean_by_components(T.montage(s, d), artifacts.electrodes(s), "subject", fs=FS, epoch=64, keep=lambda x: written(s, x))
+    done = cleaning.clean_by_components(T.montage(s, d), artifacts.electrodes(s), "subject", fs=FS, epoch=64, keep=written)
     power = F.aggregate(F.flatten("signal"), F.lit(0.0), lambda a, x: a + x * x)
     return done.select("subject", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"), F.round(power, 3).alias("power"))
 
@@ -103,4 +106,138 @@ SELECT CAST(f.feat AS BIGINT) AS feat, round(coalesce(greatest(0, {_digamma('n')
 
 @query("mr2_neighbour_relevance", _RELEVANCE)
 def _(s, d):
-    return T.rounded(selection.neighbour_relevance(T.matrix(s, d), keep=lambda x: written(s, x)))
+    return T.rounded(selection.neighbour_relevance(T.matrix(s, d), keep=written))
+
+
+def _ten_folds(s, d):
+    return T.matrix(s, d).withColumn("fold", (F.col("row_id") % 10).cast("int"))
+
+
+@query("clf1_decision_tree")
+def _(s, d):
+    return T.rounded(classifiers.decision_tree(_ten_folds(s, d)))
+
+
+@query("clf2_rbf_svm")
+def _(s, d):
+    return kernel_machine.cross_predict(_ten_folds(s, d)).select("row_id", "label", "predicted", F.round("probability", 3).alias("probability"))
+
+
+@query("clf3_bagged_trees")
+def _(s, d):
+    return T.rounded(trees.bagged(_ten_folds(s, d), BAGS).drop("shares"))
+
+
+@query("clf4_comparison")
+def _(s, d):
+    return classifiers.compare(_ten_folds(s, d), bags=BAGS).drop("ms_per_row")
+
+
+# The chosen feature of the largest score, and the nearest two rows of the training part by it alone.
+_PIPELINE = f"""WITH {T.MATRIX}, tr AS (SELECT * FROM m WHERE row_id % 5 <> 0), g AS (SELECT feat, label, count(*) AS n, avg(v) AS a, var_pop(v) * count(*) AS ss FROM tr GROUP BY ALL), t AS (SELECT feat, sum(n * a) / sum(n) AS grand FROM g GROUP BY feat),
+best AS (SELECT arg_max(feat, (f, -feat)) AS feat FROM (SELECT g.feat, (sum(n * pow(a - grand, 2)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS f FROM g JOIN t USING (feat) GROUP BY g.feat)),
+d AS (SELECT x.row_id, y.label, round(abs(x.v - y.v), 12) AS d, y.row_id AS o FROM m x JOIN tr y ON x.feat = y.feat WHERE x.row_id % 5 = 0 AND x.feat = (SELECT feat FROM best)),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, o) AS r FROM d) WHERE r <= 3), votes AS (SELECT row_id, label, count(*) AS n FROM near GROUP BY ALL)
+SELECT row_id, CAST(arg_max(label, (n, -label)) AS DOUBLE) AS prediction FROM votes GROUP BY row_id"""
+
+
+@query("mr10_selector_and_neighbours_in_a_pipeline", _PIPELINE)
+def _(s, d):
+    rows = T.matrix(s, d).withColumnRenamed("f", "features")
+    stages = [ml.RelevanceSelector(count=1), ml.NeighbourClassifier(featuresCol="selected", k=3, metric="cityblock")]
+    return Pipeline(stages=stages).fit(rows.filter("row_id % 5 <> 0")).transform(rows.filter("row_id % 5 = 0")).select("row_id", "prediction")
+
+
+def _files(s, d) -> str:
+    """A folder of archives of recordings, each of whose members is a row of embeddings as 4 channels of 16 samples."""
+    folder = shared_folder(s)
+
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        store, root = datasource.opened(folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/part{key[0]}.zip") as out:
+            held = io.BytesIO()
+            with zipfile.ZipFile(held, "w") as z:
+                for i, x in sorted(zip(f["seg"], f["signal"], strict=True), key=lambda r: r[0]):
+                    z.writestr(f"v{i}p.mat", matfile.write({f"v{i}p": np.stack(x)}))
+            out.write(held.getvalue())
+        return pd.DataFrame({"n": [len(f)]})
+
+    T.multichannel(s, d).groupBy((F.col("seg") % 7).alias("part")).applyInPandas(run, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+@query("src6_data_source", f"WITH {T.CELLS} SELECT vec_id AS seg, CAST(p // 16 AS BIGINT) AS channel, CAST(p % 16 AS BIGINT) AS t, round(v, 6) + 0.0 AS x FROM cells")
+def _(s, d):
+    datasource.register(s)
+    found = s.read.format("recordings").option("partitionBytes", 1 << 16).load(_files(s, d))
+    return T.rounded(recordings.long_form(found.select(F.regexp_extract("subject", r"v(\d+)p", 1).cast("long").alias("seg"), "signal"), "seg"))
+
+
+@query("src13_members_by_subject", "SELECT 'v' || vec_id || 'p' AS subject, CAST(4 AS BIGINT) AS n_channels FROM embeddings WHERE vec_id % 10 = 3")
+def _(s, d):
+    datasource.register(s)
+    return T.rounded(s.read.format("recordings").load(_files(s, d)).filter("subject LIKE '%3p'").select("subject", "n_channels"))
+
+
+def _experiment(s, d, name: str, mode: str = "B", curve: list[int] | None = None, by: str = "F") -> pipeline.Outcome:
+    """An experiment over recordings of 14 channels in windows of 64 samples, so a window has 126 features."""
+    rows = T.montage(s, d).withColumn("label", (F.col("subject") % 2).cast("int"))
+    return pipeline.run(rows, "subject", experiments.EXPERIMENTS[name], FS, 0.5, 0.5, mode, 10, curve, by, name)
+
+
+@query("drv2_experiment")
+def _(s, d):
+    """Cleaning, windows, modes, features, ranking and scaling in each of ten folds, metrics."""
+    return T.rounded(_experiment(s, d, "DS2", "A").metrics)
+
+
+@query("drv3_experiments_from_recordings")
+def _(s, d):
+    """The settings of DS1, with as many features as published, under folds of windows."""
+    out = None
+    for name, e in experiments.EXPERIMENTS.items():
+        if e.dataset == "DS1":
+            part = _experiment(s, d, name).metrics.select(F.lit(name).alias("experiment"), "*")
+            out = part if out is None else out.unionByName(part)
+    return T.rounded(out)
+
+
+@query("drv7_audit_of_protocols")
+def _(s, d):
+    """The settings of DS1 at rest under folds of windows, where a subject stands on both sides, and under folds of whole subjects."""
+    found = _experiment(s, d, "DS1_Rest")
+    return T.rounded(found.metrics.select(F.lit("windows").alias("folds"), "*").unionByName(found.independent.select(F.lit("subjects").alias("folds"), "*")))
+
+
+# Windows of 64 samples every 32; one that would end with its recording is left out unless it is the only one.
+_LOGGED = """WITH r AS (SELECT vec_id // 112 AS subject, (max(vec_id // 14 % 8) + 1) * 64 AS n FROM embeddings GROUP BY 1), w AS (SELECT sum(greatest(1, CAST(floor((n - 65) / 32.0) AS BIGINT) + 1)) AS w FROM r)
+SELECT * FROM (SELECT 0 AS position, 'preprocess' AS stage, count(*) AS n FROM r UNION ALL SELECT k, name, w FROM w, (VALUES (1, 'windows'), (2, 'modes_and_features'), (3, 'energy_integration'), (4, 'folds'), (5, 'windows_apart'), (6, 'subjects_apart')) AS s(k, name))"""
+
+
+@query("drv9_run_log", "SELECT CAST(position AS BIGINT) AS position, stage, CAST(n AS BIGINT) AS n FROM (" + _LOGGED + ")")
+def _(s, d):
+    return T.rounded(_experiment(s, d, "DS1_Rest").log.rows(s).select("position", "stage", F.col("rows").alias("n")))
+
+
+def _selected_and_scaled(folds: int) -> str:
+    """Eight features chosen on the rows outside a fold, scaled by those rows' means and deviations, and two neighbours there."""
+    sql = _LOCAL.replace("% 5", f"% {folds}").replace("range(5)", f"range({folds})")
+    stats = "sc AS (SELECT f, feat, avg(v) AS mean, stddev_pop(v) AS sd FROM tr GROUP BY ALL),\ndist AS ("
+    sql = sql.replace("dist AS (", stats, 1).replace("round(sum(abs(a.v - b.v)), 12) AS d", "round(sum(abs((a.v - mean) / sd - (b.v - mean) / sd)), 12) AS d")
+    return sql.replace("cho.feat = a.feat JOIN m b", "cho.feat = a.feat JOIN sc ON sc.f = cho.f AND sc.feat = cho.feat JOIN m b")
+
+
+def _chain(rows: DataFrame) -> DataFrame:
+    return T.rounded(experiments.evaluate(rows, 2, "cityblock", "uniform", 8, True).select("row_id", "fold", "label", "predicted"))
+
+
+@query("cv5_selection_and_scaling_in_ten_folds", _selected_and_scaled(10))
+def _(s, d):
+    return _chain(_ten_folds(s, d))
+
+
+@query("cv6_selection_and_scaling_without_a_subject", _selected_and_scaled(14))
+def _(s, d):
+    """Each subject by all others."""
+    return _chain(T.matrix(s, d).withColumn("fold", F.col("grp").cast("int")))

@@ -50,32 +50,21 @@ def features(recordings: DataFrame, keys: list[str], fs: float, seconds: float,
 def evaluate(rows: DataFrame, k: int, metric: str, weights: str, keep: int | None = None, scale: bool = False, method: str = "F") -> DataFrame:
     """Predictions for (row_id, label, fold, f), each fold ranked, scaled and predicted by the others.
 
-    If all features are kept there is nothing to rank, and one job predicts all folds."""
+    Rankings are tables over features, one a fold; scaling and neighbours of all folds are one plan, in which a row is there
+    once for each fold. Without ranking and scaling a row is the same in all folds and is there once."""
     if not rows.take(1):
         return rows.drop("f").withColumn("predicted", F.col("label"))
     p = rows.select(F.size("f")).first()[0]
-    if keep is None or keep >= p:
-        return _predict(rows, k, metric, weights, scale)
-    out = None
-    for fold in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
-        chosen = selection.rank(rows.filter(F.col("fold") != fold), method, keep)
-        # The other folds stand together as one, so they only meet the tested one.
-        two = selection.project(rows, chosen).withColumn("fold", F.when(F.col("fold") == fold, fold).otherwise(-1))
-        part = _predict(two, k, metric, weights, scale).filter(F.col("fold") == fold)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _predict(rows: DataFrame, k: int, metric: str, weights: str, scale: bool) -> DataFrame:
-    if not scale:
+    ranked = keep is not None and keep < p
+    if not ranked and not scale:
         return neighbors.classify(rows, k, metric, weights)
-    out = None
-    scaled = neighbors.standardise(rows)
-    for fold in sorted(r["fold"] for r in rows.select("fold").distinct().collect()):
-        own = scaled.filter(F.col("in_fold") == fold).drop("in_fold").withColumn("fold", F.when(F.col("fold") == fold, fold).otherwise(-1))
-        part = neighbors.classify(own, k, metric, weights).filter(F.col("fold") == fold)
-        out = part if out is None else out.unionByName(part)
-    return out
+    folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
+    each = neighbors.standardise(rows) if scale else rows.withColumn("in_fold", F.explode(F.array(*[F.lit(f).cast(rows.schema["fold"].dataType) for f in folds])))
+    if ranked:
+        chosen = {f: selection.rank(rows.filter(F.col("fold") != f), method, keep) for f in folds}
+        table = rows.sparkSession.createDataFrame([(f, [int(i) for i in c]) for f, c in chosen.items()], "__fold long, __chosen array<int>")
+        each = each.join(F.broadcast(table), F.col("in_fold").cast("long") == F.col("__fold")).withColumn("f", F.transform("__chosen", lambda i: F.get("f", i))).drop("__fold", "__chosen")
+    return neighbors.classify(each, k, metric, weights, by="in_fold").drop("in_fold")
 
 
 def report(predictions: DataFrame, subject: str) -> dict[str, DataFrame]:
@@ -85,13 +74,12 @@ def report(predictions: DataFrame, subject: str) -> dict[str, DataFrame]:
 
 
 def sweep(rows: DataFrame, order: list[int], counts: list[int], k: int, metric: str, weights: str) -> DataFrame:
-    """(n_features, cv_accuracy) for the first n features of an order."""
-    out = None
-    for n in counts:
-        predicted = neighbors.classify(selection.project(rows, order[:n]), k, metric, weights)
-        part = metrics.fold_summary(predicted).select(F.lit(n).alias("n_features"), F.col("mean").alias("cv_accuracy"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(n_features, cv_accuracy) for the first n features of an order; all counts and folds are one plan."""
+    each = selection.project(rows.select("row_id", "label", "fold", "f"), order).withColumn("n_features", F.explode(F.array(*map(F.lit, counts)))).withColumn("f", F.slice("f", 1, F.col("n_features")))
+    voted = neighbors.vote(neighbors.neighbours(each, k, metric, by="n_features", apart=False), weights, ["task"])
+    told = rows.select("row_id", "label", "fold").join(voted.withColumnRenamed("test_id", "row_id"), "row_id")
+    folds = told.groupBy("task", "fold").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+    return folds.groupBy(F.col("task").cast("int").alias("n_features")).agg(F.avg("accuracy").alias("cv_accuracy"))
 
 
 def subject_independent(rows: DataFrame, group: str, count: int = 10) -> DataFrame:

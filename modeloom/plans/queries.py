@@ -486,9 +486,16 @@ def _(s, d):
     return T.rounded(experiments.evaluate(_folded(s, d), 2, "cityblock", "uniform").select("row_id", "fold", "label", "predicted"))
 
 
-@query("cv9_experiment_settings", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST({e.keep} AS BIGINT), CAST({e.k} AS BIGINT), '{e.metric}', '{e.weights}', {str(e.standardise).lower()})" for n, e in experiments.EXPERIMENTS.items()) + ") AS t(experiment, keep, k, metric, weights, standardise)")
+_SETTING_ROWS = ", ".join(f"('{n}', {e.keep}, {e.k}, '{e.metric}', '{e.weights}', {str(e.standardise).lower()})" for n, e in experiments.EXPERIMENTS.items())
+
+
+@query("cv9_experiment_settings", f"SELECT experiment, CAST(keep AS BIGINT) AS keep, CAST(k AS BIGINT) AS k, metric, weights, standardise, least(keep, (SELECT max(len(embedding)) FROM embeddings))::BIGINT AS kept, (k * (SELECT count(*) FROM embeddings))::BIGINT AS votes FROM (VALUES {_SETTING_ROWS}) AS t(experiment, keep, k, metric, weights, standardise)")
 def _(s, d):
-    return s.createDataFrame([(n, e.keep, e.k, e.metric, e.weights, e.standardise) for n, e in experiments.EXPERIMENTS.items()], "experiment string, keep long, k long, metric string, weights string, standardise boolean")
+    """The published settings, with how many features they keep of a table's and how many votes its rows get."""
+    rows = [(n, e.keep, e.k, e.metric, e.weights, e.standardise) for n, e in experiments.EXPERIMENTS.items()]
+    known = s.createDataFrame(rows, "experiment string, keep long, k long, metric string, weights string, standardise boolean")
+    size = T.matrix(s, d).agg(F.count("*").alias("n"), F.max(F.size("f")).alias("width"))
+    return known.join(F.broadcast(size)).select(*known.columns, F.least("keep", F.col("width").cast("long")).alias("kept"), (F.col("k") * F.col("n")).alias("votes"))
 
 
 # Feature selection
@@ -609,9 +616,11 @@ def _(s, d):
     return T.rounded(_coefficients(s, d).groupBy("seg", "channel").agg(F.kurtosis("c").alias("kurtosis")))
 
 
-@query("sig12_frequency_axis", "SELECT CAST(i AS BIGINT) AS i, round(i * 0.5 / 8, 6) AS freq FROM range(9) AS r(i)")
+@query("sig12_frequency_axis", _CHANNEL + ", z AS (SELECT seg, channel, k, sum(c * cos(-2 * pi() * ((k * t) % 16) / 16)) AS re, sum(c * sin(-2 * pi() * ((k * t) % 16) / 16)) AS im FROM c, range(9) AS r(k) GROUP BY ALL) SELECT CAST(k AS BIGINT) AS i, round(k * 0.5 / 8, 6) AS freq, round(avg(re * re + im * im), 6) AS power FROM z GROUP BY k")
 def _(s, d):
-    return T.rounded(s.range(9).select(F.col("id").alias("i"), (F.col("id") * 0.5 / 8).alias("freq")))
+    """The frequencies of a window of 16 samples, with the mean power of all windows there."""
+    sums = signals.spectrum(_coefficients(s, d).withColumnRenamed("c", "x"), ["seg", "channel"], 16)
+    return T.rounded(sums.groupBy(F.col("k").alias("i")).agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power")).select("i", (F.col("i") * 0.5 / 8).alias("freq"), "power"))
 
 
 @query("sig13_fourier_sums", _CHANNEL + " SELECT seg, CAST(channel AS BIGINT) AS channel, k, round(sum(c * cos(-2 * pi() * ((k * t) % 16) / 16)), 6) + 0.0 AS re, round(sum(c * sin(-2 * pi() * ((k * t) % 16) / 16)), 6) + 0.0 AS im FROM c, range(9) AS r(k) GROUP BY ALL")
@@ -729,14 +738,6 @@ def _(s, d):
     return T.rounded(decompose.feature_vectors(T.multichannel(s, d), ["seg"], 128.0).select("seg", "n_modes", F.posexplode("f").alias("j", "v")))
 
 
-@query("drv2_experiment")
-def _(s, d):
-    made = decompose.feature_vectors(T.multichannel(s, d), ["seg"], 128.0)
-    rows = made.join(T.matrix(s, d).select(F.col("row_id").alias("seg"), "label", "grp"), "seg").select(F.col("seg").alias("row_id"), "label", "grp", (F.col("seg") % 5).cast("int").alias("fold"), "f")
-    e = experiments.EXPERIMENTS["DS2"]
-    return T.rounded(experiments.report(experiments.evaluate(rows, e.k, e.metric, e.weights, e.keep, e.standardise), "grp")["windows"])
-
-
 # Artifacts
 
 _ELECTRODES = "el(number, name, theta, radius, x, y, z) AS (VALUES " + ", ".join(f"({n}, '{a}', {', '.join(f'{v}::DOUBLE' for v in rest)})" for n, a, *rest in artifacts.ELECTRODES) + ")"
@@ -747,17 +748,22 @@ def _weights(s, d):
     return T.matrix(s, d).select(F.col("row_id").alias("ic"), F.posexplode(F.slice("f", 1, 14)).alias("p", "w")).select("ic", (F.col("p") + 1).alias("number"), "w")
 
 
-@query("art7_electrode_table", f"WITH {_ELECTRODES} SELECT CAST(number AS BIGINT) AS number, name, round(theta, 6) AS theta, round(radius, 6) AS radius, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM el")
+@query("art7_electrode_table", f"WITH {T.CELLS}, {_IC} SELECT CAST(number AS BIGINT) AS number, name, round(theta, 6) AS theta, round(radius, 6) AS radius, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, round(avg(w), 6) + 0.0 AS weight FROM el JOIN wt USING (number) GROUP BY ALL")
 def _(s, d):
-    return T.rounded(artifacts.electrodes(s))
+    """The electrodes' places, with the mean weight of all components there."""
+    mean = _weights(s, d).groupBy("number").agg(F.avg("w").alias("weight"))
+    return T.rounded(artifacts.electrodes(s).join(mean, "number"))
 
 
 _NEAR = "nr AS (SELECT * FROM (SELECT a.number, b.number AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS d, row_number() OVER (PARTITION BY a.number ORDER BY round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 9), b.number) AS r FROM el a JOIN el b ON a.number != b.number WHERE a.number < 14) WHERE r <= 10)"
 
 
-@query("jn4_nearest_electrodes", f"WITH {_ELECTRODES}, {_NEAR} SELECT CAST(number AS BIGINT) AS number, CAST(other AS BIGINT) AS other, round(d, 6) AS d, CAST(r AS BIGINT) AS r FROM nr")
+@query("jn4_nearest_electrodes", f"WITH {T.CELLS}, {_IC}, {_NEAR} SELECT CAST(nr.number AS BIGINT) AS number, CAST(other AS BIGINT) AS other, round(d, 6) AS d, CAST(r AS BIGINT) AS r, round(avg(abs(a.w - b.w)), 6) + 0.0 AS apart FROM nr JOIN wt a ON a.number = nr.number JOIN wt b ON b.number = nr.other AND b.ic = a.ic GROUP BY ALL")
 def _(s, d):
-    return T.rounded(artifacts.nearest(artifacts.electrodes(s)))
+    """Each electrode's nearest ones, with how far apart the components' weights are there."""
+    near, w = artifacts.nearest(artifacts.electrodes(s)), _weights(s, d)
+    both = F.broadcast(near).join(w, "number").join(w.select("ic", F.col("number").alias("other"), F.col("w").alias("w2")), ["ic", "other"])
+    return T.rounded(both.groupBy("number", "other", "d", "r").agg(F.avg(F.abs(F.col("w") - F.col("w2"))).alias("apart")))
 
 
 _SPATIAL = f"""WITH {T.CELLS}, {_IC}, {_NEAR}, j AS (SELECT * FROM wt JOIN el USING (number)),

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -20,25 +17,20 @@ from modeloom.plans import experiments
 from modeloom.plans import tables as T
 from modeloom.plans.queries import _DIST, _FEATURE_SQL, _NINE, _SCALED, ORACLES, QUERIES, query
 from modeloom.sources import catalog, matfile, recordings, results, settings
+from modeloom.sources.shared import shared_folder
 from modeloom.streaming import windows
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors see."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+_CHANNEL_ROWS = ", ".join(f"('{d}', {i}, '{n}')" for d, names in recordings.CHANNELS.items() for i, n in enumerate(names))
 
 
-@query("src0_channels", "SELECT * FROM (VALUES " + ", ".join(f"('{d}', CAST({i} AS BIGINT), '{n}')" for d, names in recordings.CHANNELS.items() for i, n in enumerate(names)) + ") AS t(dataset, idx, name)")
+@query("src0_channels", f"WITH {T.MONTAGE}, ch(dataset, idx, name) AS (VALUES {_CHANNEL_ROWS}) SELECT dataset, CAST(idx AS BIGINT) AS idx, name, count(m.x) AS n, round(coalesce(avg(m.x), 0), 6) + 0.0 AS mean FROM ch LEFT JOIN montage m ON m.channel = idx GROUP BY ALL")
 def _(s, d):
-    return T.rounded(recordings.channels(s))
+    """The channels of the headsets, and what recordings of 14 channels have in those places."""
+    held = recordings.long_form(T.montage(s, d), "subject").groupBy(F.col("channel").alias("idx")).agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
+    return T.rounded(recordings.channels(s).join(held, "idx", "left").select("dataset", "idx", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(0.0)).alias("mean")))
 
 
 @query("src1_file_catalog", "SELECT 'parquet' AS kind, CAST(count(DISTINCT table_name) AS BIGINT) AS files FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations')")
@@ -231,11 +223,14 @@ def _(s, d):
     return T.rounded(results.read_cache(s, folder, "v1").select("row_id", F.size("f").alias("size")))
 
 
-@query("snk2_cache_of_other_settings", "SELECT true AS missing")
+@query("snk2_cache_of_other_settings", "SELECT CAST(r_regionkey AS BIGINT) AS region, r_regionkey <> 0 AS missing FROM region")
 def _(s, d):
-    folder = shared_folder(s)
-    results.write_cache(T.matrix(s, d), folder, "v1")
-    return s.createDataFrame([(results.read_cache(s, folder, "v2") is None,)], "missing boolean")
+    """A cache made with the first region's settings, asked for with each region's."""
+    folder, regions = shared_folder(s), T.table(s, d, "region")
+    marks = regions.select("r_regionkey", results.fingerprint({"region": F.col("r_name"), "size": F.lit(640)}).alias("mark")).collect()
+    results.write_cache(T.matrix(s, d), folder, next(r["mark"] for r in marks if r["r_regionkey"] == 0))
+    found = [(r["r_regionkey"], results.read_cache(s, folder, r["mark"]) is None) for r in marks]
+    return s.createDataFrame(found, "region long, missing boolean")
 
 
 @query("snk3_fingerprint", "SELECT s_suppkey, sha256('alpha=' || s_nationkey || '|name=' || s_name || '|size=640') AS fingerprint FROM supplier")
@@ -264,20 +259,14 @@ def _(s, d):
     return T.rounded(stats.histogram(T.table(s, d, "embeddings").select((F.col("label") % 2).alias("label"), (F.col("vec_id") * 7 % 22 + 1).alias("v"))).drop("density"))
 
 
-_SETTINGS = """data:
-  rate: 128
-  sources: [clean, raw]
-model:
-  alpha: 1000.5
-  scale: true
-name: ds2
-"""
-
-
-@query("src17_settings", "SELECT * FROM (VALUES ('data.rate', '128'), ('data.sources', '[\"clean\", \"raw\"]'), ('model.alpha', '1000.5'), ('model.scale', 'true'), ('name', '\"ds2\"')) AS t(name, value)")
+@query("src17_settings", """SELECT r_name || '.key' AS name, CAST(r_regionkey AS VARCHAR) AS value FROM region UNION ALL
+SELECT r_name || '.nations', '["' || string_agg(n_name, '", "' ORDER BY n_name) || '"]' FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name""")
 def _(s, d):
+    """A folder of settings files, a section for each region."""
     folder = shared_folder(s)
-    s.createDataFrame([(_SETTINGS,)], "value string").coalesce(1).write.text(folder)
+    nations = T.table(s, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("names"))
+    text = F.concat("r_name", F.lit(":\n  key: "), "r_regionkey", F.lit("\n  nations: ["), "names", F.lit("]"))
+    T.table(s, d, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey")).select(text.alias("value")).write.text(folder)
     return settings.as_rows(s, settings.load(s, folder))
 
 
@@ -296,55 +285,10 @@ def _(s, d):
     return results.markdown(rows.agg(F.count("*").alias("n"), F.avg("n_chars").alias("chars"), F.avg("toxic").alias("toxic")), ["quality", "n", "chars", "toxic"]).select("quality", "line")
 
 
-def _features_of_recordings(s, d, settings: Settings) -> DataFrame:
-    """(row_id, subject, label, f), written once, as every fold reads it."""
-    folder = shared_folder(s)
-    rows = experiments.features(T.recordings(s, d), ["subject"], T.FS, T.SIZE, 0.5, settings)
-    rows.select("row_id", "subject", (F.col("subject") % 2).cast("int").alias("label"), "f").write.parquet(folder)
-    return s.read.parquet(folder)
-
-
-@query("drv3_experiments_from_recordings")
-def _(s, d):
-    """Recordings, windows, features, folds of whole subjects, selection and scaling in each fold, metrics: for each setting of DS1."""
-    folded, out = experiments.subject_independent(_features_of_recordings(s, d, Settings()), "subject", 5), None
-    for name, e in experiments.EXPERIMENTS.items():
-        if e.dataset == "DS1":
-            found = experiments.report(experiments.evaluate(folded, e.k, e.metric, e.weights, min(e.keep, 5), e.standardise), "subject")["windows"]
-            part = found.select(F.lit(name).alias("experiment"), "*")
-            out = part if out is None else out.unionByName(part)
-    return T.rounded(out)
-
-
-@query("drv7_audit_of_protocols")
-def _(s, d):
-    """The settings of DS2 under folds of windows, where a subject stands on both sides, and under folds of whole subjects."""
-    e = experiments.EXPERIMENTS["DS2"]
-    rows = _features_of_recordings(s, d, Settings(alpha=e.alpha))
-    out = None
-    for name, folded in {"windows": folds.shuffled(rows, 5), "subjects": experiments.subject_independent(rows, "subject", 5)}.items():
-        found = experiments.report(experiments.evaluate(folded, e.k, e.metric, e.weights, min(e.keep, 5), e.standardise), "subject")["windows"]
-        part = found.select(F.lit(name).alias("folds"), "*")
-        out = part if out is None else out.unionByName(part)
-    return T.rounded(out)
-
-
 def _rows(s, d):
     return T.matrix(s, d).withColumn("fold", (F.col("row_id") % 2).cast("int"))
 
 
-for _name in ("decision_tree", "rbf_svm", "bagged_trees"):
-
-    @query({"decision_tree": "clf1_decision_tree", "rbf_svm": "clf2_rbf_svm", "bagged_trees": "clf3_bagged_trees"}[_name])
-    def _(s, d, name=_name):
-        return T.rounded(classifiers.cross_predict(_rows(s, d), name, [0, 1]))
-
-
-@query("clf4_comparison")
-def _(s, d):
-    return classifiers.compare(_rows(s, d), [0, 1]).drop("ms_per_row")
-
-
 _KINDS = ("cityblock", "euclidean", "chebyshev", "cosine")
 _SEARCH = _SCALED.replace("vec_id % 5 AS fold", "vec_id % 2 AS fold") + "".join(f""",
 dist_{m} AS (SELECT a.row_id, b.row_id AS train_id, any_value(a.label) AS own, any_value(b.label) AS y, round({_DIST[m]}, 12) AS d FROM m a JOIN m b ON a.feat = b.feat AND a.fold != b.fold GROUP BY a.row_id, b.row_id),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from modeloom.sources.shared import numbered
+
 
 def _has(text: Column, *words: str) -> Column:
     found = text.contains(words[0])
@@ -44,8 +46,8 @@ def parse_names(paths: DataFrame, path: str = "path") -> DataFrame:
 def parse_generic(paths: DataFrame, path: str = "path") -> DataFrame:
     """For names that tell nothing: numbered by path, label and condition from the folder or else TDC and music."""
     _, parent, _ = _name(F.col(path))
-    label, at = F.when(_has(parent, "idd", "nds"), "IDD").otherwise("TDC"), F.row_number().over(Window.orderBy(path)) - 1
-    return paths.select(F.concat(label, F.lit("_"), F.when(at < 1000, F.lpad(at.cast("string"), 3, "0")).otherwise(at.cast("string"))).alias("subject_id"), F.when(parent.contains("rest"), "rest").otherwise("music").alias("condition"), F.col(path).alias("path"))
+    label, at = F.when(_has(parent, "idd", "nds"), "IDD").otherwise("TDC"), F.col("__number")
+    return numbered(paths.select(path), path, to="__number").select(F.concat(label, F.lit("_"), F.when(at < 1000, F.lpad(at.cast("string"), 3, "0")).otherwise(at.cast("string"))).alias("subject_id"), F.when(parent.contains("rest"), "rest").otherwise("music").alias("condition"), F.col(path).alias("path"))
 
 
 def parse_members(members: DataFrame, archive: str = "archive", member: str = "member") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +18,14 @@ def write_cache(frame: DataFrame, folder: str, mark: str, by: tuple[str, ...] =
 
 
 def read_cache(spark: SparkSession, folder: str, mark: str) -> DataFrame | None:
-    """The cached frame, or None if there is none, it can't be read, or it was made with other settings."""
+    """The cached frame, or None if there is none, it has no rows, or it was made with other settings."""
     try:
         found = spark.read.parquet(folder)
-        if "fingerprint" not in found.columns or found.filter(F.col("fingerprint") != mark).limit(1).count() or not found.limit(1).count():
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
-    except Exception:  # a missing or broken cache is made again
+        raise
+    if "fingerprint" not in found.columns or found.filter(F.col("fingerprint") != mark).limit(1).count() or not found.limit(1).count():
         return None
     return found.drop("fingerprint", "saved_at")
 

@@ -159,7 +159,7 @@ def test_streamed_windows_equal_batch_windows(spark, tmp_path):
 
 
 def test_comparison_of_classifiers(matrix):
-    found = {r["classifier"]: r["accuracy"] for r in classifiers.compare(matrix, [0, 1, 2, 3], 3, "euclidean").collect()}
+    found = {r["classifier"]: r["accuracy"] for r in classifiers.compare(matrix, 3, "euclidean", bags=5).collect()}
     assert set(found) == {"knn", "decision_tree", "rbf_svm", "bagged_trees"} and min(found.values()) > 0.6
 
 
@@ -197,3 +197,55 @@ def test_channels_of_many_recordings_at_once(spark):
     calm = {r["id"]: r["signal"] for r in signals.denoise(recordings, fs="fs").collect()}
     for i, _, x in rows[:5]:
         assert np.allclose(calm[i], [wavelets.denoise(np.array(c)) for c in x], atol=1e-12)
+
+
+def clustered(spark, n=900, folds=5, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, 6)) * 30
+    rows = [(i, int(i % 3), int(i % folds), (centres[i % 12] + rng.normal(size=6)).tolist()) for i in range(n)]
+    rows += [(n + i, 0, int(i % folds), rows[i][3]) for i in range(20)]
+    return spark.createDataFrame(rows, "row_id long, label int, fold int, f array<double>").repartition(4).cache()
+
+
+def brute_neighbours(rows, k, metric):
+    x, fold, ids = np.array([r["f"] for r in rows]), np.array([r["fold"] for r in rows]), np.array([r["row_id"] for r in rows])
+    d = np.round(neighbors._distances(x, x, metric), 12)
+    out = {}
+    for i in range(len(rows)):
+        at = np.flatnonzero(fold != fold[i])
+        out[ids[i]] = [(ids[j], d[i, j]) for j in sorted(at, key=lambda j: (d[i, j], ids[j]))[:k]]
+    return out
+
+
+@pytest.mark.parametrize("metric, k, block, pivots", [("euclidean", 3, 10_000, 256), ("cityblock", 7, 50, 256), ("chebyshev", 1, 10_000, 5), ("cosine", 4, 100, 40), ("euclidean", 400, 10_000, 256)])
+def test_pruned_neighbours_are_all_neighbours(spark, metric, k, block, pivots):
+    rows = clustered(spark)
+    found = {}
+    for r in neighbors.neighbours(rows, k, metric, block, pivots=pivots).collect():
+        found.setdefault(r["test_id"], []).append((r["r"], r["train_id"], r["d"]))
+    wanted = brute_neighbours(rows.collect(), k, metric)
+    assert {i: [(t, pytest.approx(d, abs=1e-11)) for _, t, d in sorted(x)] for i, x in found.items()} == wanted
+
+
+def test_few_pairs_of_clustered_rows_are_compared(spark):
+    rows = clustered(spark)
+    assert neighbors.compared(rows, 3) < 0.2 * 920 * 920
+    assert neighbors.compared(rows.limit(0), 3) == 0
+
+
+def test_folds_in_one_plan_are_folds_apart(spark):
+    rows = clustered(spark, 200)
+    found = experiments.evaluate(rows, 3, "euclidean", "uniform", keep=3, scale=True).select("row_id", "predicted").collect()
+    wanted = {}
+    for f in range(5):
+        chosen = selection.rank(rows.filter(F.col("fold") != f), "F", 3)
+        own = neighbors.standardise(rows).filter(F.col("in_fold") == f).drop("in_fold")
+        two = selection.project(own, chosen).withColumn("fold", F.when(F.col("fold") == f, f).otherwise(-1))
+        wanted |= {r["row_id"]: r["predicted"] for r in neighbors.classify(two, 3, "euclidean").filter(F.col("fold") == f).collect()}
+    assert {r["row_id"]: r["predicted"] for r in found} == wanted and len(found) == 220
+
+
+def test_vectors_without_direction_have_no_cosine(spark):
+    rows = spark.createDataFrame([(i, 0, i % 2, [float(i % 3), 0.0 if i % 3 == 0 else 1.0 + i]) for i in range(30)], "row_id long, label int, fold int, f array<double>")
+    found = {(r["test_id"], r["train_id"]) for r in neighbors.neighbours(rows, 2, "cosine").collect()}
+    assert all(a % 3 and b % 3 for a, b in found) and len(found) == 40

@@ -36,3 +36,13 @@ def test_digamma(spark):
     rows = spark.createDataFrame([(float(i),) for i in (1, 2, 3, 10, 1000)], "x double")
     found = [r[0] for r in rows.select(selection.digamma(rows["x"])).collect()]
     assert np.allclose(found, digamma(np.array([1.0, 2, 3, 10, 1000])), atol=1e-8)
+
+
+def test_numbers_over_ranges(spark):
+    from modeloom.sources.shared import numbered
+
+    words = [f"w{(i * 7919) % 1000:04d}" for i in range(1000)] + ["w0000", "w0500"]
+    rows = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, i int").repartition(6)
+    found = {r["i"]: r["number"] for r in numbered(rows, "w", "i").collect()}
+    assert found == {i: n for n, (_, i) in enumerate(sorted((w, i) for i, w in enumerate(words)))}
+    assert numbered(rows.limit(0), "w").count() == 0
