@@ -7,6 +7,7 @@ has no seconds of its own."""
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -22,7 +23,6 @@ LOGGED = "run string, position int, stage string, rows long, seconds double, mor
 class Stage:
     name: str
     seen: Observation
-    began: float
     seconds: float | None = None
 
 
@@ -33,15 +33,15 @@ class RunLog:
 
     def watch(self, name: str, frame: DataFrame, **more: Column) -> DataFrame:
         """The frame, whose rows are counted when a job runs it; `more` are further aggregates over it, by name."""
-        stage = Stage(name, Observation(), time.perf_counter())
+        stage = Stage(name, Observation())
         self.stages.append(stage)
         return frame.observe(stage.seen, F.count(F.lit(1)).alias("rows"), *[c.cast("double").alias(k) for k, c in more.items()])
 
-    def keep(self, name: str, frame: DataFrame, **more: Column) -> DataFrame:
-        """The same, written at once."""
-        watched = self.watch(name, frame, **more)
-        out = written(watched)
-        self.stages[-1].seconds = time.perf_counter() - self.stages[-1].began
+    def keep(self, name: str, make: DataFrame | Callable[[], DataFrame], **more: Column) -> DataFrame:
+        """The same, written at once; of a function the jobs that it runs to make the frame count as well."""
+        began = time.perf_counter()
+        out = written(self.watch(name, make() if callable(make) else make, **more))
+        self.stages[-1].seconds = time.perf_counter() - began
         return out
 
     def rows(self, spark: SparkSession) -> DataFrame:

@@ -185,6 +185,50 @@ def rank(matrix: DataFrame, method: str = "MI", count: int | None = None, label:
     raise ValueError(f"method {method!r} is neither MI nor F")
 
 
+def ranks_outside(rows: DataFrame, count: int | None = None) -> dict[int, list[int]]:
+    """Of each fold of rows (row_id, label, fold, f) the order that `rank` by F gives on the rows outside it.
+
+    One pass adds up each fold's counts, sums and products; what lies outside a fold is the total less its own. The driver
+    gets a table over pairs of features for each fold."""
+    means = np.array([r["m"] for r in long_features(rows).groupBy("feat").agg(F.avg("v").alias("m")).orderBy("feat").collect()])
+    p = len(means)
+    upper = np.triu_indices(p)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        singles: dict[tuple, np.ndarray] = {}
+        products: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for (fold, label), part in frame.groupby(["fold", "label"]):
+                x = np.stack(part["f"].to_numpy()).astype(float) - means
+                singles[fold, label] = singles.get((fold, label), 0) + np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
+                products[fold] = products.get(fold, 0) + x.T @ x
+        for (fold, label), v in singles.items():
+            yield pd.DataFrame({"fold": fold, "label": label, "pairs": False, "at": np.arange(len(v)), "s": v})
+        for fold, v in products.items():
+            yield pd.DataFrame({"fold": fold, "label": 0, "pairs": True, "at": np.arange(len(upper[0])), "s": v[upper]})
+
+    table = rows.select("fold", "label", "f").mapInPandas(sums, "fold long, label long, pairs boolean, at int, s double").groupBy("fold", "label", "pairs", "at").agg(F.sum("s").alias("s")).toPandas()
+    wide = lambda part: {k: g.sort_values("at")["s"].to_numpy() for k, g in part.groupby(["fold", "label"])}
+    singles, products = wide(table[~table["pairs"]]), {k[0]: v for k, v in wide(table[table["pairs"]]).items()}
+    labels, out = sorted({k[1] for k in singles}), {}
+    every = {c: sum(v for k, v in singles.items() if k[1] == c) for c in labels}
+    for fold, own in products.items():
+        left = [v for c in labels if (v := every[c] - singles.get((fold, c), 0))[0] > 0.5]
+        n, s, q = (np.array([v[0] for v in left]), np.array([v[1 : p + 1] for v in left]).reshape(-1, p), np.array([v[p + 1 :] for v in left]).reshape(-1, p))
+        total, mean = n.sum(), s.sum(axis=0) / max(n.sum(), 1)
+        within = (q - s * s / n[:, None]).sum(axis=0)
+        between = (n[:, None] * (s / n[:, None] - mean) ** 2).sum(axis=0)
+        with np.errstate(all="ignore"):
+            score = np.where((within > 1e-12 * np.maximum(q.sum(axis=0), 1e-300)) & (len(left) > 1) & (total > len(left)), (between / (len(left) - 1)) / (within / (total - len(left))), 0.0) if total else np.zeros(p)
+            shared = np.zeros((p, p))
+            shared[upper] = sum(products.values()) - own
+            shared = shared + np.triu(shared, 1).T - total * np.outer(mean, mean)
+            spread = np.sqrt(np.outer(np.diag(shared), np.diag(shared)))
+            related = np.where(spread > 0, np.abs(shared / spread), 0.0)
+        out[int(fold)] = greedy(score, np.nan_to_num(related), count)
+    return out
+
+
 def project(matrix: DataFrame, chosen: list[int], column: str = "f") -> DataFrame:
     return matrix.withColumn(column, F.array(*[F.get(column, F.lit(int(i))) for i in chosen]))
 

@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modeloom.operators import artifacts, classifiers, cleaning, kernel_machine, ml, selection, trees
+from modeloom.operators import artifacts, classifiers, cleaning, kernel_machine, ml, runlog, selection, trees
 from modeloom.plans import experiments, pipeline
 from modeloom.plans import tables as T
 from modeloom.plans.queries import _ALL, _LOCAL, _component_features
@@ -180,25 +180,26 @@ def _(s, d):
     return T.rounded(s.read.format("recordings").load(_files(s, d)).filter("subject LIKE '%3p'").select("subject", "n_channels"))
 
 
-def _experiment(s, d, name: str, mode: str = "B", curve: list[int] | None = None, by: str = "F") -> pipeline.Outcome:
-    """An experiment over recordings of 14 channels in windows of 64 samples, so a window has 126 features."""
-    rows = T.montage(s, d).withColumn("label", (F.col("subject") % 2).cast("int"))
-    return pipeline.run(rows, "subject", experiments.EXPERIMENTS[name], FS, 0.5, 0.5, mode, 10, curve, by, name)
+def _recordings(s, d):
+    """Recordings of 14 channels: in windows of 64 samples each has 126 features."""
+    return T.montage(s, d).withColumn("label", (F.col("subject") % 2).cast("int"))
 
 
 @query("drv2_experiment")
 def _(s, d):
     """Cleaning, windows, modes, features, ranking and scaling in each of ten folds, metrics."""
-    return T.rounded(_experiment(s, d, "DS2", "A").metrics)
+    return T.rounded(pipeline.run(_recordings(s, d), "subject", experiments.EXPERIMENTS["DS2"], FS, 0.5, mode="A").metrics)
 
 
 @query("drv3_experiments_from_recordings")
 def _(s, d):
     """The settings of DS1, with as many features as published, under folds of windows."""
-    out = None
+    matrix, out = None, None
     for name, e in experiments.EXPERIMENTS.items():
         if e.dataset == "DS1":
-            part = _experiment(s, d, name).metrics.select(F.lit(name).alias("experiment"), "*")
+            log = runlog.RunLog(name)
+            matrix = matrix or pipeline.build(_recordings(s, d), "subject", FS, 0.5, 0.5, e.alpha, "B", log)
+            part = pipeline.judge(matrix, "subject", e, log).metrics.select(F.lit(name).alias("experiment"), "*")
             out = part if out is None else out.unionByName(part)
     return T.rounded(out)
 
@@ -206,7 +207,7 @@ def _(s, d):
 @query("drv7_audit_of_protocols")
 def _(s, d):
     """The settings of DS1 at rest under folds of windows, where a subject stands on both sides, and under folds of whole subjects."""
-    found = _experiment(s, d, "DS1_Rest")
+    found = pipeline.run(_recordings(s, d), "subject", experiments.EXPERIMENTS["DS1_Rest"], FS, 0.5)
     return T.rounded(found.metrics.select(F.lit("windows").alias("folds"), "*").unionByName(found.independent.select(F.lit("subjects").alias("folds"), "*")))
 
 
@@ -217,7 +218,7 @@ SELECT * FROM (SELECT 0 AS position, 'preprocess' AS stage, count(*) AS n FROM r
 
 @query("drv9_run_log", "SELECT CAST(position AS BIGINT) AS position, stage, CAST(n AS BIGINT) AS n FROM (" + _LOGGED + ")")
 def _(s, d):
-    return T.rounded(_experiment(s, d, "DS1_Rest").log.rows(s).select("position", "stage", F.col("rows").alias("n")))
+    return T.rounded(pipeline.run(_recordings(s, d), "subject", experiments.EXPERIMENTS["DS1_Rest"], FS, 0.5).log.rows(s).select("position", "stage", F.col("rows").alias("n")))
 
 
 def _selected_and_scaled(folds: int) -> str:

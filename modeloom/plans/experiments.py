@@ -61,7 +61,7 @@ def evaluate(rows: DataFrame, k: int, metric: str, weights: str, keep: int | Non
     folds = sorted(r["fold"] for r in rows.select("fold").distinct().collect())
     each = neighbors.standardise(rows) if scale else rows.withColumn("in_fold", F.explode(F.array(*[F.lit(f).cast(rows.schema["fold"].dataType) for f in folds])))
     if ranked:
-        chosen = {f: selection.rank(rows.filter(F.col("fold") != f), method, keep) for f in folds}
+        chosen = selection.ranks_outside(rows, keep) if method == "F" else {f: selection.rank(rows.filter(F.col("fold") != f), method, keep) for f in folds}
         table = rows.sparkSession.createDataFrame([(f, [int(i) for i in c]) for f, c in chosen.items()], "__fold long, __chosen array<int>")
         each = each.join(F.broadcast(table), F.col("in_fold").cast("long") == F.col("__fold")).withColumn("f", F.transform("__chosen", lambda i: F.get("f", i))).drop("__fold", "__chosen")
     return neighbors.classify(each, k, metric, weights, by="in_fold").drop("in_fold")

@@ -56,18 +56,20 @@ def build(recordings: DataFrame, key: str, fs: float, seconds: float, overlap: f
 
 
 def run(recordings: DataFrame, key: str, e: Experiment, fs: float, seconds: float = 5.0, overlap: float = 0.5, mode: str = "B", count: int = 10, curve: list[int] | None = None, method: str = "F", name: str = "run") -> Outcome:
-    """One experiment over recordings (key, label, signal): folds of windows with ranking and scaling inside each fold, folds
-    of whole subjects, how many modes windows have, and the accuracy by number of features for the counts in `curve`."""
+    """One experiment over recordings (key, label, signal)."""
     log = runlog.RunLog(name)
-    matrix = build(recordings, key, fs, seconds, overlap, e.alpha, mode, log)
+    return judge(build(recordings, key, fs, seconds, overlap, e.alpha, mode, log), key, e, log, count, curve, method)
+
+
+def judge(matrix: DataFrame, key: str, e: Experiment, log: runlog.RunLog, count: int = 10, curve: list[int] | None = None, method: str = "F") -> Outcome:
+    """An experiment over a matrix of windows: folds of windows with ranking and scaling inside each fold, folds of whole
+    subjects, how many modes windows have, and the accuracy by number of features for the counts in `curve`."""
     folded = log.keep("folds", folds.shuffled(matrix.select("row_id", key, "label", "f"), count))
-    predicted = log.keep("windows_apart", experiments.evaluate(folded, e.k, e.metric, e.weights, e.keep, e.standardise, method), right=F.count_if(F.col("label") == F.col("predicted")))
+    predicted = log.keep("windows_apart", lambda: experiments.evaluate(folded, e.k, e.metric, e.weights, e.keep, e.standardise, method), right=F.count_if(F.col("label") == F.col("predicted")))
     apart = experiments.subject_independent(matrix.select("row_id", key, "label", "f"), key, count)
-    independent = log.keep("subjects_apart", experiments.evaluate(apart, e.k, e.metric, e.weights, e.keep, e.standardise, method))
+    independent = log.keep("subjects_apart", lambda: experiments.evaluate(apart, e.k, e.metric, e.weights, e.keep, e.standardise, method))
     per_fold = predicted.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
-    curved = None
-    if curve:
-        curved = experiments.sweep(folded, selection.rank(matrix, method, max(curve)), curve, e.k, e.metric, e.weights)
+    curved = experiments.sweep(folded, selection.rank(matrix, method, max(curve)), curve, e.k, e.metric, e.weights) if curve else None
     cap = Settings(alpha=e.alpha).max_modes
     modes = matrix.agg(F.count("*").alias("windows"), F.countDistinct(key).alias("subjects"), F.avg("n_modes").alias("mean"), F.min("n_modes").alias("least"), F.max("n_modes").alias("most"), F.count_if(F.col("n_modes") >= cap).alias("at_cap"))
     measured = metrics.binary_metrics(metrics.binary_counts(predicted))

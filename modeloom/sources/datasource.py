@@ -133,7 +133,7 @@ class RecordingReader(DataSourceReader):
             with store.open_input_file(x.path) as f, zipfile.ZipFile(f) as z:
                 inside = [(i.filename, i.compress_size) for i in z.infolist() if PurePosixPath(i.filename).suffix.lower() in recordings.READERS]
         except (zipfile.BadZipFile, OSError, ValueError) as error:
-            yield Piece(x.path, error=f"{type(error).__name__}: {error}")
+            yield from self._failed(x.path, error)
             return
         some, size = [], 0
         for name, length in inside:
@@ -146,12 +146,17 @@ class RecordingReader(DataSourceReader):
         if some:
             yield Piece(x.path, some)
 
+    def _failed(self, path: str, error: Exception) -> Iterator[Piece]:
+        """A row that says why, unless a condition rules it out as well."""
+        if self._asked(path=path, member=None, subject=subject_of(path, None), first_record=None):
+            yield Piece(path, error=f"{type(error).__name__}: {error}")
+
     def _records(self, store: files.FileSystem, x: files.FileInfo) -> Iterator[Piece]:
         try:
             with store.open_input_file(x.path) as f:
                 head = EdfHead.read(f, x.size)
         except (ValueError, OSError) as error:
-            yield Piece(x.path, error=f"{type(error).__name__}: {error}")
+            yield from self._failed(x.path, error)
             return
         each = max(1, self.bytes // max(1, head.record)) if self.together is None else self.together
         for first in range(0, max(head.records, 1), each):

@@ -46,3 +46,11 @@ def test_numbers_over_ranges(spark):
     found = {r["i"]: r["number"] for r in numbered(rows, "w", "i").collect()}
     assert found == {i: n for n, (_, i) in enumerate(sorted((w, i) for i, w in enumerate(words)))}
     assert numbered(rows.limit(0), "w").count() == 0
+
+
+def test_ranks_outside_folds_are_ranks_of_the_others(spark):
+    from pyspark.sql import functions as F
+
+    rows = table(spark).filter("label < 3").withColumn("fold", (F.col("row_id") % 4).cast("int"))
+    wanted = {f: selection.rank(rows.filter(F.col("fold") != f), "F", 4) for f in range(4)}
+    assert selection.ranks_outside(rows, 4) == wanted
