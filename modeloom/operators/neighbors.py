@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 BLOCK = 20_000
 #: Pivots of a task, of which a row of n is one in about sqrt(n) up to this many.
 PIVOTS = 256
+#: Tasks of no more rows are compared in full: their cells would cost more than they save.
+SMALL, PARTS = 20_000, 8
 #: So that small tables are dealt to several tasks as well.
 LEAST_BLOCKS = 3
 METRICS = {"cityblock": "cityblock", "manhattan": "cityblock", "l1": "cityblock", "euclidean": "euclidean", "l2": "euclidean", "minkowski": "euclidean", "cosine": "cosine", "chebyshev": "chebyshev"}
@@ -116,13 +118,18 @@ def _limits(pivots: np.ndarray, farthest: np.ndarray, near: pd.DataFrame, k: int
     return out * (1 + 1e-9) + (1e-5 if METRICS[metric] == "cosine" else 1e-9)
 
 
-def _meetings(rows: DataFrame, k: int, metric: str, block: int, by: str | None, apart: bool, pivots: int) -> tuple[DataFrame, DataFrame]:
+def _meetings(rows: DataFrame, k: int, metric: str, block: int, by: str | None, apart: bool, pivots: int, small: int) -> tuple[DataFrame, DataFrame]:
     """Tests and training rows, each with the keys of the groups in which they meet."""
     task = F.col(by).cast("long") if by else F.lit(0).cast("long")
     own = rows.select("row_id", "label", "fold", "f", task.alias("task"), ((F.col("fold") == F.col(by)) if apart else F.lit(True)).alias("tested"))
     trains = own.filter("NOT tested") if apart else own
     spark = rows.sparkSession
     counts = {r["task"]: r["n"] for r in own.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    if max(counts.values(), default=0) <= small:
+        m = max(1, PARTS // max(1, len(counts)))
+        # Aliases make the two sides different tables to Spark.
+        side = lambda frame, ours: frame.select(*[F.col(c).alias(c) for c in ("row_id", "label", "fold", "f", "task")], F.lit(0).alias("cell"), ours.alias("ours"), F.lit(0).alias("theirs"))
+        return side(own.filter("tested"), F.pmod(F.xxhash64("row_id"), F.lit(m)).cast("int")), side(trains, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     wanted = {t: min(pivots, math.isqrt(n) + 1) for t, n in counts.items()}
     chance = {t: min(1.0, wanted[t] / counts[t]) for t in counts}
     drawn = F.pmod(F.xxhash64("row_id", F.lit(11)), F.lit(1 << 40)) / float(1 << 40)
@@ -203,18 +210,18 @@ def _hashes(ids: pd.Series) -> np.ndarray:
 MEET = ("task", "cell", "ours", "theirs")
 
 
-def compared(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK, by: str | None = None, apart: bool = True, pivots: int = PIVOTS) -> int:
+def compared(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK, by: str | None = None, apart: bool = True, pivots: int = PIVOTS, small: int = SMALL) -> int:
     """How many pairs of rows are compared."""
-    tests, trains = (side.groupBy(*MEET).agg(F.count("*").alias(n)) for side, n in zip(_meetings(rows, k, metric, block, by, apart and by is not None, pivots), "ab", strict=True))
+    tests, trains = (side.groupBy(*MEET).agg(F.count("*").alias(n)) for side, n in zip(_meetings(rows, k, metric, block, by, apart and by is not None, pivots, small), "ab", strict=True))
     return tests.join(trains, list(MEET)).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0
 
 
-def neighbours(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK, by: str | None = None, apart: bool = True, pivots: int = PIVOTS) -> DataFrame:
+def neighbours(rows: DataFrame, k: int, metric: str = "euclidean", block: int = BLOCK, by: str | None = None, apart: bool = True, pivots: int = PIVOTS, small: int = SMALL) -> DataFrame:
     """(test_id, train_id, train_label, d, r): of each row the k nearest of other folds; of equal ones the least id.
 
     With a whole number `by` a row may be there once for each, with features of its own there, and meets rows with the same
     `by` only; the result has it as `task`. It's the tested fold if they are `apart`: then rows of that fold only are tested."""
-    tests, trains = _meetings(rows, k, metric, block, by, apart and by is not None, pivots)
+    tests, trains = _meetings(rows, k, metric, block, by, apart and by is not None, pivots, small)
 
     def nearest(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         train = train.sort_values("row_id")

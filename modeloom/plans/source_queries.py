@@ -17,7 +17,7 @@ from modeloom.plans import experiments
 from modeloom.plans import tables as T
 from modeloom.plans.queries import _DIST, _FEATURE_SQL, _NINE, _SCALED, ORACLES, QUERIES, query
 from modeloom.sources import catalog, matfile, recordings, results, settings
-from modeloom.sources.shared import shared_folder
+from modeloom.sources.shared import shared_folder, written
 from modeloom.streaming import windows
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -173,7 +173,7 @@ def _(s, d):
     cut = segments.array_windows(_labelled(s, d), 8, 4)
     rows = decompose.feature_vectors(cut, ["subject_id", "label", "segment_index"], 128.0)
     rows = rows.withColumn("row_id", F.regexp_extract("subject_id", r"(\d+)", 1).cast("long") * 100 + F.col("segment_index"))
-    folded = folds.grouped(rows.select("row_id", "label", "subject_id", "f"), "subject_id", 5)
+    folded = folds.grouped(written(rows.select("row_id", "label", "subject_id", "f")), "subject_id", 5)
     return T.rounded(experiments.report(experiments.evaluate(folded, 2, "cosine", "squared_inverse"), "subject_id")["votes"])
 
 

@@ -217,11 +217,11 @@ def brute_neighbours(rows, k, metric):
     return out
 
 
-@pytest.mark.parametrize("metric, k, block, pivots", [("euclidean", 3, 10_000, 256), ("cityblock", 7, 50, 256), ("chebyshev", 1, 10_000, 5), ("cosine", 4, 100, 40), ("euclidean", 400, 10_000, 256)])
-def test_pruned_neighbours_are_all_neighbours(spark, metric, k, block, pivots):
+@pytest.mark.parametrize("metric, k, block, pivots, small", [("euclidean", 3, 10_000, 256, 0), ("cityblock", 7, 50, 256, 0), ("chebyshev", 1, 10_000, 5, 0), ("cosine", 4, 100, 40, 0), ("euclidean", 400, 10_000, 256, 0), ("cosine", 4, 10_000, 40, 10_000)])
+def test_pruned_neighbours_are_all_neighbours(spark, metric, k, block, pivots, small):
     rows = clustered(spark)
     found = {}
-    for r in neighbors.neighbours(rows, k, metric, block, pivots=pivots).collect():
+    for r in neighbors.neighbours(rows, k, metric, block, pivots=pivots, small=small).collect():
         found.setdefault(r["test_id"], []).append((r["r"], r["train_id"], r["d"]))
     wanted = brute_neighbours(rows.collect(), k, metric)
     assert {i: [(t, pytest.approx(d, abs=1e-11)) for _, t, d in sorted(x)] for i, x in found.items()} == wanted
@@ -229,8 +229,9 @@ def test_pruned_neighbours_are_all_neighbours(spark, metric, k, block, pivots):
 
 def test_few_pairs_of_clustered_rows_are_compared(spark):
     rows = clustered(spark)
-    assert neighbors.compared(rows, 3) < 0.2 * 920 * 920
-    assert neighbors.compared(rows.limit(0), 3) == 0
+    assert neighbors.compared(rows, 3, small=0) < 0.2 * 920 * 920
+    assert neighbors.compared(rows, 3) == 920 * 920
+    assert neighbors.compared(rows.limit(0), 3, small=0) == 0 == neighbors.compared(rows.limit(0), 3)
 
 
 def test_folds_in_one_plan_are_folds_apart(spark):
@@ -245,7 +246,16 @@ def test_folds_in_one_plan_are_folds_apart(spark):
     assert {r["row_id"]: r["predicted"] for r in found} == wanted and len(found) == 220
 
 
-def test_vectors_without_direction_have_no_cosine(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_vectors_without_direction_have_no_cosine(spark, small):
     rows = spark.createDataFrame([(i, 0, i % 2, [float(i % 3), 0.0 if i % 3 == 0 else 1.0 + i]) for i in range(30)], "row_id long, label int, fold int, f array<double>")
-    found = {(r["test_id"], r["train_id"]) for r in neighbors.neighbours(rows, 2, "cosine").collect()}
+    found = {(r["test_id"], r["train_id"]) for r in neighbors.neighbours(rows, 2, "cosine", small=small).collect()}
     assert all(a % 3 and b % 3 for a, b in found) and len(found) == 40
+
+
+def test_pruned_tasks_are_tasks_in_full(spark):
+    rows = clustered(spark, 240)
+    each = neighbors.standardise(rows)
+    of = lambda small, apart: {(r["task"], r["test_id"], r["r"]): (r["train_id"], r["d"]) for r in neighbors.neighbours(each, 3, "euclidean", by="in_fold", apart=apart, small=small).collect()}
+    for apart in (True, False):
+        assert of(0, apart) == of(10_000, apart)
