@@ -2,8 +2,7 @@
 
 Bytes are embedded; filters of widths 2, 3 and 4 run over windows of 256 bytes, the greatest response of each filter
 feeds a softmax over languages. The network is trained in numpy on the driver, from a bounded sample: at most `per_lang`
-labelled rows (those with the least id hashes) for each of the `max_langs` most frequent labels, with one stretch of
-each text. Every window of every text is then scored, and a text gets the language of the greatest mean log-probability.
+labelled rows (those with the least id hashes) for each label, with one stretch of each text. Every window of every text is then scored, and a text gets the language of the greatest mean log-probability.
 
 Nulls and odd inputs: a null text, or one without a letter, is `und` with score 0, as is every text if no label was
 learned; rows with a null label or text don't train; a text of any length is scored window by window; equal rows train

@@ -184,7 +184,8 @@ def decode(docs: DataFrame, model: str = DEFAULT_MODEL, ids: str = "piece_ids",
 
 
 def digest(docs: DataFrame, model: str = DEFAULT_MODEL, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the ids as 32-bit little-endian numbers) and round_trip, whether decoding gives the text."""
+    """doc_id, n_pieces, ids_sha256 (of the ids as 32-bit little-endian numbers) and round_trip, whether decoding gives the text; a null
+    text counts as an empty one."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
