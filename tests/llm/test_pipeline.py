@@ -25,11 +25,18 @@ def test_stages_in_order(spark, data):
 
 
 def test_stages_live_with_odd_tables(spark, data):
-    for frame in (odd.docs(spark), odd.empty(spark)):
+    """Of each text of 20 words or more, but for one that repeats a line 3,000 times, the row with the least id stays, a null one if
+    there is no other; a copy under another id has lost its lines by then, which stand in the first."""
+    least = {}
+    for d, t in (tuple(r) for r in odd.docs(spark).select("doc_id", "text").collect()):
+        if len(odd.words(t)) >= 20 and d != 108:
+            least[t] = d if least.get(t) is None else least[t] if d is None else min(d, least[t])
+    for frame, wanted in ((odd.docs(spark), least | {"": 107}), (odd.empty(spark), {})):
         docs = frame
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.cut(stage(spark, docs, data))
-        docs.count()
+        found = docs.select("doc_id", "text").collect()
+        assert {r["text"]: r["doc_id"] for r in found} == wanted and len(found) == len(wanted)
 
 
 def test_lines_of_whole_runs_go(spark, data):
@@ -47,5 +54,5 @@ def test_encoded_texts_are_decoded(spark, data):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert [round(jaccard_join.SIMILARITY, 1), jaccard_join.WORDS] == [0.8, 5]
