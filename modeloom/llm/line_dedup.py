@@ -1,36 +1,44 @@
 """Line deduplication by winnowing over line hashes.
 
 The units are lines with a word. A line starts a window: itself and as many following lines as it takes to reach
-`min_words` words; and it ends one that reaches back as far. The fingerprint of a window is the least of its lines'
-hashes, with its place, so any run that two places share and that is long enough for a window has the same fingerprint in
-both. Fingerprints of one place only are dropped after a pre-aggregated count. What is left is joined by content to the
-first place that has the window (by doc_id, then by place in the text), which gives pairs of positions. Pairs of the same
-two documents at the same distance chain into runs, and a run is extended to both sides line by line while both
-documents go on alike. All lines of a later run are deleted; the first copy stays. As each line of a shared run of
-`min_words` words is in a window within the run, whole maximal runs go; the lines that a run can be extended by without
-another window are fewer than `min_words`, so no more are compared.
-
-No step gathers a group: hot fingerprints and hot windows meet in a count or a minimum first, then in a join whose
-other side has one row a key, which Spark can split. Chains are within two documents.
+`min_words` words. The least of a window's line hashes is its fingerprint, so two places that share a run of that many
+words have a fingerprint at the same line of it. Documents are known by these few lines alone: a fingerprint carries the
+hashes of its neighbours, as many on each side as reach `min_words` words, which is as far as a run has to be followed
+before the next window has a fingerprint of its own.
+
+Places with the same fingerprint are a class. Each is paired with the first of its class (by doc_id, then by place in the
+text), and the match is extended line by line to both sides; a match of `min_words` words is a repeated run, whose lines are
+deleted in the later place. A place that goes on otherwise than the first may go on like another one: it joins the class of
+those that leave the first at the same line, before or after, and with the same next line. In the class by a line after, what
+goes beyond the first's match before is left out, as the class by a line before has it. So every match that is longer than the
+one with the first is found in a later round; classes of one place end. What `ROUNDS` rounds don't settle (texts of one line
+over and over) is compared by the content of the windows around its fingerprints, within its class.
+
+No step gathers a group: a class meets in a minimum and a count first, then in a join whose other side has one short row a
+class; the first places of the largest classes are broadcast, so their members stay where they are.
 
 Nulls and odd inputs: a null or empty text has no line and stays as it is; a null doc_id sorts first; rows with equal
 doc_id and text are one document, so they don't delete each other's lines and get equal results; lines without a word
 are neither counted nor deleted; a text of any length is taken whole, and one line that repeats thousands of times in it
-costs a window and a pair each; ties between places are broken by the text's hash; an empty table gives an empty result;
+costs a fingerprint a line; ties between places are broken by the text's hash; an empty table gives an empty result;
 other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modeloom.llm.frames import cut, let, plain_text, row_key
+from modeloom.llm.frames import cut, join_uneven, let, plain_text, row_key
 
 MIN_WORDS = 50
+#: Rounds of extension; classes that are still left are settled by windows. Results are the same at any number.
+ROUNDS = 4
+#: Of so many classes at most the first places are broadcast; one has at most 2 * MIN_WORDS hashes.
+MOST_HOT = 4096
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
@@ -38,26 +46,14 @@ def _lines(text: Column) -> Column:
     return F.split(plain_text(text), "\n")
 
 
-def _windows(h: Column, w: Column, least: int) -> Column:
-    """An array of windows over lines with hashes `h` and words `w`: first line, number of lines, fingerprint and its line, content."""
+def _reach(words: Column, least: Column | int) -> Column:
+    """How many of these it takes to reach `least`; 0 if they don't."""
+    step = lambda state, x: F.struct((state["words"] + F.when(state["words"] < least, x).otherwise(0)).alias("words"), (state["n"] + (state["words"] < least).cast("int")).alias("n"))
+    return F.aggregate(words, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), step, lambda s: F.when(s["words"] >= least, s["n"]).otherwise(F.lit(0)))
 
-    def enough(words: Column) -> Column:
-        """How many of these it takes to reach `least`; 0 if they don't."""
-        step = lambda state, x: F.struct((state["words"] + F.when(state["words"] < least, x).otherwise(0)).alias("words"), (state["n"] + (state["words"] < least).cast("int")).alias("n"))
-        return F.aggregate(words, F.struct(F.lit(0).alias("words"), F.lit(0).alias("n")), step, lambda s: F.when(s["words"] >= least, s["n"]).otherwise(F.lit(0)))
 
-    def window(a: Column, n: Column) -> Column:
-        described = lambda hashes: F.struct(
-            a.alias("a"), n.alias("n"), F.array_min(hashes).alias("print"), (a + F.array_position(hashes, F.array_min(hashes)) - 1).cast("int").alias("place"), F.xxhash64(hashes, n).alias("content")
-        )
-        return F.when(n > 0, let(F.slice(h, a + 1, n), described))
-
-    ahead = lambda i: F.when(F.get(w, i) >= least, F.lit(1)).otherwise(enough(F.slice(w, i + 1, least)))
-    # A line that is long enough by itself has one window.
-    back = lambda i: F.when(F.get(w, i) >= least, F.lit(0)).otherwise(enough(F.reverse(F.slice(w, F.greatest(i - least + 2, F.lit(1)), F.least(i + 1, F.lit(least))))))
-    places = F.sequence(F.lit(0), F.size(h) - 1)
-    begun, ended = F.transform(places, lambda i: let(ahead(i), lambda n: window(i, n))), F.transform(places, lambda i: let(back(i), lambda n: window(i - n + 1, n)))
-    return F.array_distinct(F.array_compact(F.concat(begun, ended)))
+def _least_at(hashes: Column) -> Column:
+    return F.array_position(hashes, F.array_min(hashes)).cast("int") - 1
 
 
 def line_hashes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -77,40 +73,99 @@ def _chained(spans: DataFrame, by: list[str]) -> DataFrame:
     return marked.groupBy(*by, "chain").agg(F.min("a").alias("a"), F.max("e").alias("e")).drop("chain")
 
 
-def repeated_runs(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal runs that stand earlier: key, lines a to e (not included) of its lines with a word, other (the earlier document's key), shift (how much later the lines are)."""
-    windows = hashed.select("key", F.explode(let(F.col("h"), lambda h: let(F.col("w"), lambda w: _windows(h, w, min_words)))).alias("x")).select("key", "x.*")
-    place = F.struct("key", "place")
-    prints = windows.groupBy("print").agg(F.min(place).alias("one"), F.max(place).alias("two")).filter("one < two").select("print")
-    shared = windows.join(prints, "print").select("key", "a", "n", "content")
+def fingerprints(hashed: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """A row for each line that is the least of some window: key, place, print (its hash), words, and the hashes and words of
+    its neighbours before and after, nearest first, as many as it takes to reach `min_words` words."""
+    ahead = lambda w, i: F.when(F.get(w, i) >= min_words, F.lit(1)).otherwise(_reach(F.slice(w, i + 1, min_words), min_words))
+    least = lambda h, w, i: let(ahead(w, i), lambda n: F.when(n > 0, i + _least_at(F.slice(h, i + 1, n))))
+    places = let(F.col("h"), lambda h: let(F.col("w"), lambda w: F.array_distinct(F.array_compact(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: least(h, w, i))))))
+    chosen = hashed.select("key", "h", "w", places.alias("places")).filter(F.size("places") > 0)
+    chosen = chosen.select("key", "h", "w", F.explode("places").alias("place"))
+    at, most = F.col("place"), F.lit(min_words)
+    before = lambda x: F.reverse(F.slice(F.col(x), F.greatest(at - most + 1, F.lit(1)), F.least(at, most)))
+    after = lambda x: F.slice(F.col(x), at + 2, most)
+    found = chosen.select("key", "place", F.get("h", at).alias("print"), F.get("w", at).alias("words"), *[side(x).alias(f"{x}_{name}") for x in "hw" for name, side in (("before", before), ("after", after))])
+
+    def near(name: str) -> Column:
+        few = let(_reach(F.col(f"w_{name}"), min_words), lambda n: F.when(n > 0, n).otherwise(F.size(f"w_{name}")))
+        return let(few, lambda n: F.struct(F.slice(f"h_{name}", F.lit(1), n).alias("h"), F.slice(f"w_{name}", F.lit(1), n).alias("w"))).alias(name)
+
+    return found.select("key", "place", "print", "words", near("before"), near("after"))
+
+
+def _sum(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda a, b: a + b)
+
+
+def alike(one: Column, two: Column) -> Column:
+    """How many values two arrays have in common before they differ."""
+    return (F.array_position(F.concat(F.zip_with(one, two, lambda x, y: F.coalesce(x == y, F.lit(False))), F.array(F.lit(False))), False) - 1).cast("int")
+
+
+def _extended(members: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """One round over classes of places: runs with each class's first place, and the members of the next classes."""
+    first = F.struct("key", "place", "print", F.col("before.h").alias("before"), F.col("after.h").alias("after"))
+    firsts = cut(members.groupBy("class").agg(F.min(first).alias("first"), F.count("*").alias("weight")).filter("weight > 1"))
+    total = firsts.agg(F.sum("weight")).first()[0] or 0
+    met = join_uneven(members, firsts, "class", total, MOST_HOT).filter("struct(key, place) > struct(first.key, first.place) AND print = first.print")
+    met = met.withColumn("left", alike(F.col("before.h"), F.col("first.before"))).withColumn("right", alike(F.col("after.h"), F.col("first.after")))
+    met = cut(met.drop("first", "weight"))
+    shared = F.col("words") + _sum(F.slice("before.w", F.lit(1), F.col("left"))) + _sum(F.slice("after.w", F.lit(1), F.col("right")))
+    runs = met.filter(shared >= min_words).select("key", (F.col("place") - F.col("left")).alias("a"), (F.col("place") + F.col("right") + 1).alias("e"))
+    own = ["key", "place", "print", "words"]
+    further = lambda side, n: F.xxhash64("class", F.lit(side), n, F.get(F.col(f"{side}.h"), F.col(n)))
+    clipped = F.struct(F.slice("before.h", F.lit(1), F.col("left")).alias("h"), F.slice("before.w", F.lit(1), F.col("left")).alias("w"))
+    more_before = met.filter(F.size("before.h") > F.col("left")).select(further("before", "left").alias("class"), *own, "before", "after")
+    more_after = met.filter(F.size("after.h") > F.col("right")).select(further("after", "right").alias("class"), *own, clipped.alias("before"), "after")
+    return runs, more_before.unionByName(more_after).filter(F.col("words") + _sum(F.col("before.w")) + _sum(F.col("after.w")) >= min_words)
+
+
+def _by_window(members: DataFrame, min_words: int) -> DataFrame:
+    """Runs of classes that are left after the last round, by the content of the windows that a place is the least of."""
+    lines = lambda x, own: F.concat(F.reverse(F.col(f"before.{x}")), F.array(own), F.col(f"after.{x}"))
+    rows = members.select("class", "key", "place", F.size("before.h").alias("n"), lines("h", "print").alias("h"), lines("w", "words").alias("w"))
+
+    def lengths(s: Column) -> Column:
+        """Of the windows that begin at s: the one that just reaches `min_words`, and those that would not without line s."""
+        tail = F.slice("w", s + 2, min_words)
+        longest = let(_reach(tail, min_words), lambda m: F.when(m > 0, m).otherwise(F.size(tail) + 1))
+        chosen = lambda n: (n > 0) & (s + _least_at(F.slice("h", s + 1, F.greatest(n, F.lit(1)))) == F.col("n"))
+        return let(_reach(F.slice("w", s + 1, min_words), min_words), lambda n: F.when(chosen(n), F.sequence(n, F.greatest(n, longest))).otherwise(F.array().cast("array<int>")))
+
+    windows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("s")).select("*", F.explode(lengths(F.col("s"))).alias("long"))
     start = F.struct("key", "a")
-    first = shared.groupBy("content").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first < last").select("content", "first")
-    pairs = shared.join(first, "content").filter(start > F.col("first"))
-    pairs = pairs.select("key", F.col("first.key").alias("other"), (F.col("a") - F.col("first.a")).alias("shift"), "a", (F.col("a") + F.col("n")).alias("e"))
-    runs = _chained(pairs, ["key", "other", "shift"])
-    own, others = (hashed.select(F.col("key").alias(k), F.col("h").alias(h)) for k, h in (("own_key", "own_h"), ("other_key", "other_h")))
-    met = runs.join(own, F.col("key").eqNullSafe(F.col("own_key"))).join(others, F.col("other").eqNullSafe(F.col("other_key")))
-
-    def alike(side: Callable[[Column, Column], Column], at: Column) -> Column:
-        same = F.zip_with(side(F.col("own_h"), at), side(F.col("other_h"), at - F.col("shift")), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
+    windows = cut(windows.select("class", "key", (F.col("place") - F.col("n") + F.col("s")).alias("a"), "long", F.xxhash64(F.slice("h", F.col("s") + 1, F.col("long")), "long").alias("content")))
+    first = windows.groupBy("class", "content").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter("first < last").select("class", "content", "first")
+    return windows.join(first, ["class", "content"]).filter(start > F.col("first")).select("key", "a", (F.col("a") + F.col("long")).alias("e"))
 
-    after = lambda h, at: F.slice(h, at + 1, min_words)
-    before = lambda h, at: F.reverse(F.slice(h, F.greatest(at - min_words + 1, F.lit(1)), F.least(at, F.lit(min_words))))
-    return met.select("key", (F.col("a") - alike(before, F.col("a"))).alias("a"), (F.col("e") + alike(after, F.col("e"))).alias("e"), "other", "shift")
 
-
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(hashed: DataFrame, min_words: int = MIN_WORDS, rounds: int = ROUNDS) -> DataFrame:
+    """Runs that stand earlier: key, lines a to e (not included) of its lines with a word. They may overlap."""
+    places = cut(fingerprints(hashed, min_words))
+    place = F.struct("key", "place")
+    shared = places.groupBy("print").agg(F.min(place).alias("one"), F.max(place).alias("two")).filter("one < two").select("print")
+    members, found = cut(places.join(shared, "print").withColumn("class", F.col("print"))), []
+    for _ in range(rounds):
+        if members.isEmpty():
+            break
+        runs, following = _extended(members, min_words)
+        found.append(runs)
+        several = following.groupBy("class").agg(F.count("*").alias("rows")).filter("rows > 1").select("class")
+        members = cut(following.join(several, "class"))
+    return functools.reduce(DataFrame.unionByName, [*found, _by_window(members, min_words)])
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, rounds: int = ROUNDS) -> DataFrame:
     """A row (key, gone) for each document that loses lines; gone: their places among the lines of the text, from 0."""
     hashed = cut(line_hashes(docs, text, doc_id))
-    spans = _chained(repeated_runs(hashed, min_words).select("key", "a", "e"), ["key"])
+    spans = _chained(repeated_runs(hashed, min_words, rounds), ["key"])
     lost = spans.groupBy(F.col("key").alias("lost")).agg(F.flatten(F.collect_list(F.sequence("a", F.col("e") - 1))).alias("lines"))
     return lost.join(hashed, F.col("lost").eqNullSafe(F.col("key"))).select("key", let(F.col("at"), lambda at: F.transform("lines", lambda i: F.get(at, i))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = MIN_WORDS, counts: bool = False, rounds: int = ROUNDS) -> DataFrame:
     """`docs` without the repeated lines; with `counts`, also n_lines (those with a word) and n_removed."""
-    gone = repeated_lines(docs, text, doc_id, min_words)
+    gone = repeated_lines(docs, text, doc_id, min_words, rounds)
     key, other, at, body = "__ld_key", "__ld_other", "__ld_gone", F.col(text)
     keyed = docs.withColumn(key, row_key(F.col(doc_id), body))
     joined = keyed.join(gone.select(F.col("key").alias(other), F.col("gone").alias(at)), F.col(key).eqNullSafe(F.col(other)), "left")

@@ -115,6 +115,31 @@ def test_lines_against_all_pairs_of_places(spark):
     assert sum(r["n_removed"] for r in found) > 50
 
 
+def few_kinds_of_lines(n, seed=5):
+    """Texts of a few kinds of lines over and over, so each fingerprint stands at many places with other neighbours."""
+    rng = random.Random(seed)
+    kinds = [" ".join(f"w{i}x{j}" for j in range(1 + 3 * i)) for i in range(5)]
+    return [(d, "\n".join(rng.choices(kinds, k=rng.randint(3, 14)))) for d in range(n)]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 12])
+def test_rounds_of_extension_do_not_matter(spark, rounds):
+    rows = [*few_kinds_of_lines(40), (40, "\n".join(["again and again"] * 30))]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=20, rounds=rounds).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {k[1]: t for k, t in brute_lines(rows, 20).items()}
+
+
+def test_runs_come_from_extension(spark, monkeypatch):
+    words = lambda a, b: "\n".join(" ".join(f"l{i}w{j}" for j in range(10)) for i in range(a, b))
+    docs = spark.createDataFrame([(0, words(0, 12)), (1, "own line\n" + words(2, 10) + "\nanother")], "doc_id long, text string")
+    hashed = line_dedup.line_hashes(docs)
+    runs = {(r["key"]["id"], r["a"], r["e"]) for r in line_dedup.repeated_runs(hashed, rounds=1).collect()}
+    assert min(a for _, a, _ in runs) == 1 and max(e for _, _, e in runs) == 9 and {i for i, _, _ in runs} == {1}
+    assert line_dedup.fingerprints(hashed).count() < 20, "windows share their least lines"
+    monkeypatch.setattr(line_dedup, "alike", lambda one, two: F.lit(0))
+    assert not line_dedup.repeated_runs(hashed, rounds=1).count()
+
+
 def test_line_dedup_by_definition(spark):
     rng_lines = [f"line {i} " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(8)]
     run = "\n".join(rng_lines[:4])
