@@ -3,8 +3,9 @@
 Counts of words and of word pairs are gathered from all training documents. A count c is quantised to the level
 1 + floor(log2 c); the filter holds (n-gram, 1) to (n-gram, level). A count is read back by probing levels until one is
 missing. The filter has `BITS_A_KEY` bits for each entry whatever the corpus, and all words and pairs are in it, those
-that occur once too. No machine holds it whole: each shard that counts builds its own part, probes it for the n-grams
-that blocks of documents ask about, those of held-out documents among them, and answers with the levels it read.
+that occur once too. It grows with the corpus, so no machine gets it whole: counts of training documents go to shards, each
+of which writes its part of the filter. To score, blocks of documents send the keys of their n-grams to the written parts,
+where levels come from probes of the bits alone; no count of a pair is at hand there, trained or held out.
 
 Counts as read, q, make a smoothed distribution by absolute discounting: the probability of a word w after v is
 max(q(v w) - d, 0) / Q(v) + d * T(v) / Q(v) * p(w), with p(w) = (q(w) + 1) / (sum of all q + V + 1). Q(v) is the sum of q
@@ -77,91 +78,97 @@ def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, (np.exp2(level - 1.0) + np.exp2(level) - 1) / 2, 0.0)
 
 
-class Filter:
-    """Bits of the words and pairs, by shard; shards of one kind are equally long. For filters that one machine holds whole."""
-
-    def __init__(self, bits: int, sizes: tuple[int, int], parts: dict[tuple[int, int], np.ndarray]):
-        self.bits, self.sizes = bits, sizes
-        self.start = (0, sizes[WORDS] << bits)
-        self.data = np.zeros(sum(sizes) << bits, np.uint8)
-        for (kind, shard), part in parts.items():
-            low = self.start[kind] + shard * sizes[kind]
-            self.data[low : low + len(part)] = part
-
-    @staticmethod
-    def places(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        """Bit places of (key, level) in a shard of so many bytes: PROBES rows."""
-        salts = [U(level * m % (1 << 64)) for m in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
-        a, b = mix(keys + salts[0]), mix(keys ^ salts[1]) | U(1)
-        return np.stack([(a + U(i) * b) % U(8 * size) for i in range(PROBES)])
-
-    @classmethod
-    def part(cls, keys: np.ndarray, level: np.ndarray, least: int, size: int) -> np.ndarray:
-        bits = np.zeros(8 * size, bool)
-        for q in range(1, int(level.max(initial=0)) + 1):
-            own = keys[(level >= q) & (level >= least)]
-            for i in range(0, len(own), 1 << 16):
-                bits[cls.places(own[i : i + (1 << 16)], q, size).ravel().astype(np.int64)] = True
-        return np.packbits(bits, bitorder="little")
-
-    def level(self, kind: int, keys: np.ndarray, slice_: int = 1 << 16) -> np.ndarray:
-        """Levels by repeated probes, for some keys at a time."""
-        return np.concatenate([np.zeros(0, np.int64), *(self._level(kind, keys[i : i + slice_]) for i in range(0, len(keys), slice_))])
-
-    def _level(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        size = self.sizes[kind]
-        return self.probe(self.data, self.start[kind] + (keys >> U(64 - self.bits)).astype(np.int64) * size, keys, size)
-
-    @classmethod
-    def probe(cls, data: np.ndarray, base: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
-        """Levels of keys, each in the shard of so many bytes that begins at its base."""
+def places(keys: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Bit places of (key, level) in a part of so many bytes: PROBES rows."""
+    salts = [U(level * m % (1 << 64)) for m in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
+    a, b = mix(keys + salts[0]), mix(keys ^ salts[1]) | U(1)
+    return np.stack([(a + U(i) * b) % U(8 * size) for i in range(PROBES)])
+
+
+def build(keys: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A shard's part of the filter: bytes with the bits of (key, 1) to (key, level) of all keys."""
+    bits = np.zeros(8 * (-(-int(level.sum()) * BITS_A_KEY // 8) + 64), bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        own = keys[level >= q]
+        for i in range(0, len(own), 1 << 16):
+            bits[places(own[i : i + (1 << 16)], q, len(bits) // 8).ravel().astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def probe(data: np.ndarray, keys: np.ndarray, slice_: int = 1 << 16) -> np.ndarray:
+    """Levels of keys by the bits of their shard alone, for some keys at a time: levels are probed until one is missing."""
+
+    def some(keys: np.ndarray) -> np.ndarray:
         found, open_ = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for q in range(1, LEVELS + 1):
-            if not len(open_) or not size:
+            if not len(open_):
                 break
-            at = cls.places(keys[open_], q, size)
-            byte = data[base[open_] + (at >> U(3)).astype(np.int64)]
-            there = ((byte >> (at & U(7)).astype(np.uint8)) & 1).all(axis=0)
-            open_ = open_[there]
+            at = places(keys[open_], q, len(data))
+            open_ = open_[((data[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1).all(axis=0)]
             found[open_] = q
         return found
 
+    if not len(data):
+        return np.zeros(len(keys), np.int64)
+    return np.concatenate([np.zeros(0, np.int64), *(some(keys[i : i + slice_]) for i in range(0, len(keys), slice_))])
+
+
+def _ask(bits: int, exact: bool):
+    """Questions of a block. With `exact`: its words and the pairs it trains, with their counts; else all words and pairs, with
+    a mark at those it trains, and no count."""
 
-def _ask(bits: int):
     def ask(key: tuple, rows: pa.Table) -> pa.Table:
         block = key[0].as_py()
         keys, starts = tokens(rows)
         train = np.repeat(~rows["held_out"].to_numpy() * rows["copies"].to_numpy(), np.diff(starts)).astype(np.uint64)
         word, n = counted(keys, train)
         pair, m = counted(pairs(keys, starts), train)
-        return asked([question(block, WORDS, word, n, bits), question(block, PAIRS, pair, m, bits)])
+        if exact:
+            return asked([question(block, WORDS, word, n, bits), question(block, PAIRS, pair[m > 0], m[m > 0], bits)])
+        return asked([question(block, WORDS, word, (n > 0).astype(np.uint64), bits), question(block, PAIRS, pair, (m > 0).astype(np.uint64), bits)])
 
     return ask
 
 
-def read_back(keys: np.ndarray, totals: np.ndarray, slice_: int = 1 << 16) -> np.ndarray:
-    """Levels of a shard's keys as its part of the filter gives them; keys without a count are asked about, not put in."""
-    level = levels(totals)
-    kept = level > 0
-    size = -(-int(level.sum()) * BITS_A_KEY // 8) + 64
-    data = Filter.part(keys[kept], level[kept], 1, size)
-    some = (keys[i : i + slice_] for i in range(0, len(keys), slice_))
-    return np.concatenate([np.zeros(0, np.int64), *(Filter.probe(data, np.zeros(len(x), np.int64), x, size) for x in some)])
+def _told(told: list[pa.Table], own: dict) -> pa.Table:
+    """Answers to blocks, and a row of the shard itself, whose block is -1."""
+    schema = pa.schema([*ANSWERED_ARROW, *((x, pa.int64()) for x in SUMS)])
+    wide = [pa.table({**{n: x[n] for n in x.column_names}, **{n: pa.nulls(len(x), pa.int64()) for n in SUMS}}, schema=schema) for x in told]
+    row = {"totals": None, **dict.fromkeys(SUMS, 0), **own, "block": -1}
+    return pa.concat_tables([*wide, pa.table({n: [row[n]] for n in schema.names}, schema=schema)])
 
 
 def _count(key: tuple, rows: pa.Table) -> pa.Table:
-    """Answers to the blocks: exact counts of words, levels of words and of pairs; and a row with the shard's sums."""
+    """The shard's part of the filter with its sums, and for the base score the exact counts of words to the blocks."""
     kind, shard = key[0].as_py(), key[1].as_py()
     keys, totals, owner, each, blocks = shard_totals(rows)
-    level, trained = read_back(keys, totals).astype(np.uint64), totals > 0
-    there = [answers(WORD_LEVELS if kind == WORDS else PAIRS, shard, keys, level, np.where(trained, owner, -1), each, blocks)]
-    if kind == WORDS:
-        there.append(answers(WORDS, shard, keys, totals, owner, each, blocks))
-    sums = (totals.sum(), trained.sum(), (totals == 1).sum(), (totals == 2).sum(), (2 * middle(level[trained].astype(np.int64))).sum())
-    own = {"kind": [kind], "shard": [shard], "block": [-1], "totals": [None], **{name: [int(x)] for name, x in zip(SUMS, sums, strict=True)}}
-    schema = pa.schema([*ANSWERED_ARROW, *((x, pa.int64()) for x in SUMS)])
-    wide = [pa.table({**{n: x[n] for n in x.column_names}, **{n: pa.nulls(len(x), pa.int64()) for n in SUMS}}, schema=schema) for x in there]
-    return pa.concat_tables([*wide, pa.table(own, schema=schema)])
+    kept = totals > 0
+    own = {"kind": kind, "shard": shard, "totals": build(keys[kept], levels(totals[kept])).tobytes()}
+    sums = {"tokens": int(totals.sum()), "kinds": int(kept.sum()), "once": int((totals == 1).sum()), "twice": int((totals == 2).sum())}
+    return _told([answers(WORDS, shard, keys, totals, owner, each, blocks)] if kind == WORDS else [], own | sums)
+
+
+def _read(key: tuple, rows: pa.Table, part: pa.Table) -> pa.Table:
+    """Levels to the blocks, of words or of pairs, by the shard's part of the filter; and a row with twice the sum of the counts as read."""
+    if not rows.num_rows:
+        return _told([], {"kind": part["kind"][0].as_py(), "shard": part["shard"][0].as_py()})
+    kind, shard = rows["kind"][0].as_py(), rows["shard"][0].as_py()
+    keys, marks, owner, each, blocks = shard_totals(rows)
+    data = np.frombuffer(part["totals"][0].as_py(), np.uint8) if part.num_rows else np.zeros(0, np.uint8)
+    level, trained = probe(data, keys).astype(np.uint64), marks > 0
+    found = answers(WORD_LEVELS if kind == WORDS else PAIRS, shard, keys, level, np.where(trained, owner, -1), each, blocks)
+    return _told([found], {"kind": kind, "shard": shard, "read": int((2 * middle(level[trained].astype(np.int64))).sum())})
+
+
+def filters(dealt: DataFrame, bits: int, n_blocks: int) -> DataFrame:
+    """What the training documents among the blocks hold, as a table: the filter's parts (block -1), and exact counts of words to blocks."""
+    return cut(by_shard(dealt.groupBy("block").applyInArrow(_ask(bits, True), ASKED), n_blocks).applyInArrow(_count, _COUNTED))
+
+
+def read_levels(dealt: DataFrame, made: DataFrame, bits: int, n_blocks: int) -> DataFrame:
+    """Levels of all words and pairs of the blocks, as a table: questions meet the written parts of the filter, and no count."""
+    parts = made.filter("block = -1").select("kind", "shard", "totals").repartition(n_blocks, "kind", "shard").groupBy("kind", "shard")
+    return cut(by_shard(dealt.groupBy("block").applyInArrow(_ask(bits, False), ASKED), n_blocks).cogroup(parts).applyInArrow(_read, _COUNTED))
 
 
 def _ask_contexts(bits: int):
@@ -207,15 +214,6 @@ def context_sums(replies: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0] / 2, both[1].astype(np.float64)
 
 
-def plan(at: dict[int, list[int]], bits: int, max_bytes: int) -> tuple[tuple[int, int], int]:
-    """Of a filter held whole in at most `max_bytes`: bytes a shard of words and of pairs, and the least level of pairs that is kept."""
-    entries = lambda kind, least: sum(n * q for q, n in enumerate(at.get(kind, [])) if q >= least)
-    size = lambda n: -(-n * BITS_A_KEY // 8 >> bits) + 64
-    word = min(size(entries(WORDS, 1)), max(64, (max_bytes >> bits) // 2))
-    least = next(q for q in range(2, LEVELS + 2) if size(entries(PAIRS, q)) + word <= max(max_bytes >> bits, 192) or q > LEVELS)
-    return (word, size(entries(PAIRS, least))), least
-
-
 def discount(once: int, twice: int) -> float:
     """What a seen pair gives to unseen ones; half a count where the counts of counts don't tell."""
     return once / (once + 2 * twice) if once and twice else 0.5
@@ -259,7 +257,8 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text", doc_i
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     dealt, n_blocks = in_blocks(own, "doc_id", "text", copies=copies)
     bits = shard_bits(n_blocks)
-    made = cut(by_shard(dealt.groupBy("block").applyInArrow(_ask(bits), ASKED), n_blocks).applyInArrow(_count, _COUNTED))
+    made = filters(dealt, bits, n_blocks)
+    made = made.unionByName(read_levels(dealt, made, bits, n_blocks))
     rows = made.filter("block = -1").groupBy("kind").agg(*[F.sum(x).alias(x) for x in SUMS]).collect()
     found = {x["kind"]: x for x in rows}
     word, pair = ({x: found[k][x] if k in found else 0 for x in SUMS} for k in (WORDS, PAIRS))

@@ -129,23 +129,25 @@ def test_base_scores_by_definition(spark):
 
 def test_filter_gives_back_levels():
     rng = np.random.default_rng(0)
-    keys, bits = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2)), 2
+    keys = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2))
     level = rng.integers(1, 6, len(keys))
-    at = {bloom_lm.WORDS: np.bincount(level, minlength=bloom_lm.LEVELS + 1).tolist()}
-    sizes, least = bloom_lm.plan(at, bits, 1 << 20)
-    shard = (keys >> np.uint64(62)).astype(int)
-    parts = {(bloom_lm.WORDS, s): bloom_lm.Filter.part(keys[shard == s], level[shard == s], 1, sizes[0]) for s in range(4)}
-    f = bloom_lm.Filter(bits, sizes, parts)
-    found = f.level(bloom_lm.WORDS, keys)
+    part = bloom_lm.build(keys, level)
+    found = bloom_lm.probe(part, keys)
     assert (found >= level).all() and (found == level).mean() > 0.97
-    others = f.level(bloom_lm.WORDS, rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    others = bloom_lm.probe(part, rng.integers(0, 1 << 63, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
     assert (others == 0).mean() > 0.97
 
 
-def test_filter_has_a_bound():
-    at = {0: [0, *[10**9] * 10], 1: [0, *[10**10] * 10]}
-    sizes, least = bloom_lm.plan(at, 4, 64 << 20)
-    assert (sum(sizes) << 4) <= (64 << 20) + 4096 and least > 2
+def test_levels_come_from_the_written_filter(spark):
+    docs = spark.createDataFrame([(i, f"one two three w{i} one two", i % 3 == 0) for i in range(30)], "doc_id long, text string, held_out boolean")
+    dealt, n = blocks.in_blocks(docs, "doc_id", "text")
+    bits = blocks.shard_bits(n)
+    made = bloom_lm.filters(dealt, bits, n)
+    found = lambda rows: [v for r in rows.filter("block >= 0").collect() for v in (grams.unpack(r["totals"]) >> np.uint64(1)).tolist()]
+    right = found(bloom_lm.read_levels(dealt, made, bits, n))
+    assert right.count(6) >= 2 and right.count(0) > 5, "one and two stand 40 times each, and held-out words are unknown"
+    assert not any(found(bloom_lm.read_levels(dealt, made.withColumn("totals", F.when(F.col("block") >= 0, F.col("totals")).otherwise(F.unhex(F.lit("00" * 64)))), bits, n)))
+    assert not any(found(bloom_lm.read_levels(dealt, made.filter("block >= 0"), bits, n)))
 
 
 def test_scores_by_definition_with_pairs_seen_once(spark):
@@ -199,7 +201,10 @@ def test_filter_keeps_its_bits_a_key_whatever_the_size():
     for n in (1000, 300_000):
         keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         totals = rng.integers(0, 9, len(keys)).astype(np.uint64)
-        found, level = bloom_lm.read_back(keys, totals), bloom_lm.levels(totals)
+        level = bloom_lm.levels(totals)
+        part = bloom_lm.build(keys[level > 0], level[level > 0])
+        found = bloom_lm.probe(part, keys)
+        assert 8 * len(part) <= bloom_lm.BITS_A_KEY * level.sum() + 520
         assert (found >= level).all() and (found == level).mean() > 0.97
 
 
