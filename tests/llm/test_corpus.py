@@ -1,6 +1,7 @@
 """Suffix dedup, LM scoring and the quality classifier: against brute force, and on odd tables."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -280,3 +281,82 @@ def test_classifier_on_odd_tables(spark):
     assert len(rows) == docs.count() and all(r["perplexity"] > 0 for r in rows)
     assert all(r["kept"] for r in kneser_ney.classify(docs, trusted.limit(0)).collect())
     assert kneser_ney.classify(odd.empty(spark), trusted).count() == 0
+
+
+def brute_word_model(texts):
+    """log2 of a text's probability, with its symbols, by the recursion over words and, below these, over what they are spelled with."""
+    split = lambda t: [tuple(int(kneser_ney.CLASS[b]) for b in w.encode()) for w in odd.words(t)] + [()]
+    letters = collections.Counter()
+    pairs = collections.Counter()
+    for t in texts:
+        tokens = split(t)
+        pairs.update(zip([(), *tokens], tokens, strict=False))
+        for w in tokens:
+            s = (0, 0, 0, *w, 0)
+            letters.update(s[i : i + 4] for i in range(len(s) - 3))
+    spelling = {4: letters}
+    for n in (3, 2, 1):
+        spelling[n] = collections.Counter(g[1:] for g in spelling[n + 1])
+    words = collections.Counter(w for _, w in pairs)
+    counts_of = lambda c: kneser_ney.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)])
+    off = {n: counts_of(c) for n, c in spelling.items()}
+    floor = lambda d: [max(x, kneser_ney.LEAST_OFF) for x in d]
+    pair_off, word_off = floor(counts_of(pairs)), floor(counts_of(words))
+
+    def mixed(own, key, d, below):
+        if not own:
+            return below
+        total = sum(own.values())
+        return (max(0, own[key] - d[min(own[key], 3) - 1]) if key in own else 0) / total + sum(d[min(v, 3) - 1] for v in own.values()) / total * below
+
+    @functools.cache
+    def symbol(g):
+        return mixed({k[-1]: v for k, v in spelling[len(g)].items() if k[:-1] == g[:-1]}, g[-1], off[len(g)], symbol(g[1:])) if g else 1 / 64
+
+    def bits(t):
+        total, n = 0.0, 0
+        tokens = split(t)
+        for v, w in zip([(), *tokens], tokens, strict=False):
+            s = (0, 0, 0, *w, 0)
+            p0 = math.prod(max(symbol(s[i : i + 4]), 2.0**kneser_ney.LEAST_BITS) for i in range(len(s) - 3))
+            p1 = mixed(words, w, word_off, p0)
+            total += math.log2(mixed({b: c for (a, b), c in pairs.items() if a == v}, w, pair_off, p1))
+            n += len(w) + 1
+        return total, n
+
+    return bits
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_word_perplexity_by_recursion(spark, slices, monkeypatch):
+    rng = np.random.default_rng(8)
+    vocabulary = odd.text(random.Random(8), 25).split()
+    texts = [" ".join(rng.choice(vocabulary, 30)) for _ in range(12)] + ["Not known: 12 é", "", None, " \n", vocabulary[0], f"{vocabulary[1]} new {vocabulary[2]}\n{vocabulary[1]}"]
+    texts += [texts[0], texts[12]]
+    monkeypatch.setattr(kneser_ney, "UNIT_BYTES", 300)
+    docs = spark.createDataFrame([(min(i, 18), t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    ids = spark.createDataFrame([(i,) for i in range(12)], "id long")
+    rows = kneser_ney.log_probabilities(docs, ids, "text", "doc_id", "lang", slices).collect()
+    bits = brute_word_model(texts[:12])
+    wanted = sorted((min(i, 18), *bits(t)) for i, t in enumerate(texts))
+    found = sorted((r["id"], r["bits"], r["n"]) for r in rows)
+    assert [(i, n) for i, _, n in found] == [(i, n) for i, _, n in wanted]
+    assert [b for _, b, _ in found] == pytest.approx([b for _, b, _ in wanted], abs=1e-3)
+
+
+def test_perplexity_tells_fluent_from_shuffled_words(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = odd.text(random.Random(9), 60).split()
+    after = {w: list(rng.choice(vocabulary, 2)) for w in vocabulary}
+
+    def walk(n):
+        out = [vocabulary[0]]
+        while len(out) < n:
+            out.append(after[out[-1]][rng.integers(2)])
+        return out
+
+    plain = [walk(80) for _ in range(40)]
+    rows = [(i, " ".join(x), "en") for i, x in enumerate(plain)] + [(100 + i, " ".join(rng.permutation(x)), "en") for i, x in enumerate(plain)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["perplexity"] for r in kneser_ney.classify(docs, spark.range(0, 40, 2).toDF("doc_id")).collect()}
+    assert all(found[100 + i] > 1.2 * found[i] for i in range(40))
