@@ -174,6 +174,18 @@ def test_splits_cover_and_keep_groups():
         assert all(len(set(fold[g == k])) == 1 for k in range(20)) and len(set(fold)) == 4
 
 
+def test_group_folds_of_large_tables_tell_small_spreads_apart():
+    counts = np.random.default_rng(7).binomial(51_429, 0.5, 14)
+    table = np.stack([counts, 51_429 - counts], axis=1)
+    held, total, wanted = np.zeros((5, 2)), table.sum(axis=0), {}
+    for g in sorted(range(14), key=lambda g: (-abs(int(table[g, 0]) - int(table[g, 1])), g)):
+        spread = lambda i: np.mean([np.std([*held[:i, c], held[i, c] + table[g, c], *held[i + 1 :, c]]) / total[c] for c in (0, 1)])
+        wanted[g] = min(range(5), key=lambda i: (round(spread(i), 9), held[i].sum(), i))  # noqa: B023
+        held[wanted[g]] += table[g]
+    found = splits.stratified_grouped(np.repeat(np.tile([0, 1], 14), table.ravel()), np.repeat(np.arange(14), 51_429), 5)
+    assert dict(zip(np.repeat(np.arange(14), 51_429).tolist(), found.tolist(), strict=True)) == wanted
+
+
 def test_mat_files_round_trip():
     x = RNG.normal(size=(3, 7))
     for compress in (False, True):
