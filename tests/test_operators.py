@@ -270,3 +270,43 @@ def test_a_folder_of_part_files_is_one_table(spark, tmp_path):
     assert check(spark, str(tmp_path), QUERIES["src1_file_catalog"], ORACLES["src1_file_catalog"]) == 1
     spark.range(2).coalesce(1).write.parquet(f"{tmp_path}/a.parquet/b.parquet")
     assert sorted(r["path"] for r in recordings.tables(spark, f"file://{tmp_path}/a.parquet/").collect()) == ["b.parquet"]
+
+
+def scattered(spark, n=3000, p=24):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(n, p))
+    return spark.createDataFrame([(i, int(i % 2), int(i % 5), r.tolist()) for i, r in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "row_id long, label int, fold int, f array<double>")
+
+
+@pytest.mark.parametrize("metric", ["cityblock", "cosine"])
+def test_rows_without_clusters_are_sent_to_few_groups(spark, metric):
+    rows = scattered(spark).cache()
+    tests, trains, *_ = neighbors._meetings(rows, 2, metric, 1000, None, False, 256, 0)
+    assert tests.count() + trains.count() < 3000 * 40
+    found = {}
+    for r in neighbors.neighbours(rows, 2, metric, 1000, small=0).filter("test_id < 200").collect():
+        found.setdefault(r["test_id"], []).append((r["r"], r["train_id"]))
+    x, fold = np.array([r["f"] for r in rows.orderBy("row_id").collect()]), np.arange(3000) % 5
+    d = np.round(neighbors._distances(x[:200], x, metric), 12)
+    d[fold[:200, None] == fold] = np.inf
+    assert {i: [t for _, t in sorted(v)] for i, v in found.items()} == {i: np.argsort(r, kind="stable")[:2].tolist() for i, r in enumerate(d)}
+
+
+@pytest.mark.parametrize("metric", ["cityblock", "euclidean", "chebyshev", "cosine"])
+@pytest.mark.parametrize("made", ["plain", "ties", "far", "huge", "tiny"])
+def test_nearest_of_rough_distances_are_the_nearest(metric, made):
+    from modeloom.functions.nearest import Nearest
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 6))
+    x = {"plain": x, "ties": np.round(x), "far": x + 1e4, "huge": x * 1e20, "tiny": x * 1e-20}[made]
+    fold, ids = np.arange(900) % 4, rng.permutation(900)
+    near = Nearest(x[:100], fold[:100], 3, metric, [2, 6])
+    for low in (0, 500):
+        near.meet(x[low : low + 500], ids[low : low + 500], ids[low : low + 500] % 2, fold[low : low + 500])
+    for c, n in enumerate((2, 6)):
+        with np.errstate(all="ignore"):
+            d = np.round(neighbors._distances(x[:100, :n], x[:, :n], metric), 12)
+        d[(fold[:100, None] == fold) | np.isnan(d)] = np.inf
+        wanted = [[ids[j] if np.isfinite(r[j]) else np.iinfo(np.int64).max for j in np.lexsort((ids, r))[:3]] for r in d]
+        assert near.ids[c].tolist() == np.array(wanted).tolist()
