@@ -75,8 +75,8 @@ def report(predictions: DataFrame, subject: str) -> dict[str, DataFrame]:
 
 def sweep(rows: DataFrame, order: list[int], counts: list[int], k: int, metric: str, weights: str) -> DataFrame:
     """(n_features, cv_accuracy) for the first n features of an order; all counts and folds are one plan."""
-    each = selection.project(rows.select("row_id", "label", "fold", "f"), order).withColumn("n_features", F.explode(F.array(*map(F.lit, counts)))).withColumn("f", F.slice("f", 1, F.col("n_features")))
-    voted = neighbors.vote(neighbors.neighbours(each, k, metric, by="n_features", apart=False), weights, ["task"])
+    ordered = selection.project(rows.select("row_id", "label", "fold", "f"), order)
+    voted = neighbors.vote(neighbors.neighbours_by_count(ordered, counts, k, metric), weights, ["task"])
     told = rows.select("row_id", "label", "fold").join(voted.withColumnRenamed("test_id", "row_id"), "row_id")
     folds = told.groupBy("task", "fold").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
     return folds.groupBy(F.col("task").cast("int").alias("n_features")).agg(F.avg("accuracy").alias("cv_accuracy"))

@@ -310,3 +310,14 @@ def test_nearest_of_rough_distances_are_the_nearest(metric, made):
         d[(fold[:100, None] == fold) | np.isnan(d)] = np.inf
         wanted = [[ids[j] if np.isfinite(r[j]) else np.iinfo(np.int64).max for j in np.lexsort((ids, r))[:3]] for r in d]
         assert near.ids[c].tolist() == np.array(wanted).tolist()
+
+
+def test_a_sweep_sends_rows_once_for_all_counts(spark, monkeypatch):
+    rows, sent = scattered(spark, 400, 6).cache(), []
+    monkeypatch.setattr(neighbors, "_meet", lambda tests, trains, *rest, own=neighbors._meet: sent.append((tests.count(), trains.count() / rows.sparkSession.sparkContext.defaultParallelism)) or own(tests, trains, *rest))
+    order = [3, 0, 5, 1, 2, 4]
+    found = {r["n_features"]: r["cv_accuracy"] for r in experiments.sweep(rows, order, [1, 2, 6], 2, "cityblock", "uniform").collect()}
+    assert len(sent) == 1 and sent[0][0] == 400 and sent[0][1] <= 400 * neighbors.GROUPS
+    for n in (1, 2, 6):
+        told = neighbors.classify(selection.project(rows, order[:n]), 2, "cityblock").groupBy("fold").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("a"))
+        assert found[n] == pytest.approx(told.agg(F.avg("a")).first()[0])
