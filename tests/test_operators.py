@@ -321,3 +321,13 @@ def test_a_sweep_sends_rows_once_for_all_counts(spark, monkeypatch):
     for n in (1, 2, 6):
         told = neighbors.classify(selection.project(rows, order[:n]), 2, "cityblock").groupBy("fold").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("a"))
         assert found[n] == pytest.approx(told.agg(F.avg("a")).first()[0])
+
+
+def test_silhouette_of_close_rows_far_from_the_origin(spark):
+    rng = np.random.default_rng(6)
+    x, y = 1e6 + np.repeat(rng.normal(size=(30, 3)), 2, axis=0) + 1e-7 * rng.normal(size=(60, 3)), np.arange(60) % 3
+    found = {r["row_id"]: r["s"] for r in neighbors.silhouette(spark.createDataFrame([(i, int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y, strict=True))], "row_id long, label int, f array<double>"), "label", block=17).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for i in range(60):
+        a, b = d[i, y == y[i]].sum() / 19, min(d[i, y == c].mean() for c in range(3) if c != y[i])
+        assert found[i] == pytest.approx((b - a) / max(a, b), abs=1e-7)
