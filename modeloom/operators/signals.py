@@ -17,10 +17,11 @@ from modeloom.functions import filters, ica, wavelets
 TOGETHER = 1 << 22
 
 
-def mapped(recordings: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray], signal: str = "signal", fs: float | str = 128.0, each_channel: bool = False) -> DataFrame:
+def mapped(recordings: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray], signal: str = "signal", fs: float | str = 128.0, each_channel: bool = False, stacked: bool = False) -> DataFrame:
     """The recordings with kernel(signal, fs) for their signal; what isn't finite becomes 0.
 
-    A kernel that works on each channel by itself gets the channels of many recordings of one length and rate at once."""
+    A kernel that works on each channel by itself gets the channels of many recordings of one length and rate at once; a
+    `stacked` one gets recordings of one shape and rate as recordings x channels x samples."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -29,12 +30,13 @@ def mapped(recordings: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarr
             out, groups = [x.tolist() for x in inputs], {}
             for k, (x, rate) in enumerate(zip(inputs, rates, strict=True)):
                 if x.size:
-                    groups.setdefault((x.shape[1], float(rate)) if each_channel else k, []).append((k, float(rate)))
+                    groups.setdefault((x.shape[1], float(rate)) if each_channel else (*x.shape, float(rate)) if stacked else k, []).append((k, float(rate)))
             for rows in groups.values():
                 few = max(1, TOGETHER // max(inputs[k].size for k, _ in rows))
                 for low in range(0, len(rows), few):
                     some = [k for k, _ in rows[low : low + few]]
-                    y = kernel(np.concatenate([inputs[k] for k in some]), rows[0][1])
+                    y = kernel(np.stack([inputs[k] for k in some]) if stacked else np.concatenate([inputs[k] for k in some]), rows[0][1])
+                    y = y.reshape(-1, y.shape[-1])
                     y = np.where(np.isfinite(y), y, 0.0)
                     ends = np.cumsum([len(inputs[k]) for k in some])
                     for k, part in zip(some, np.split(y, ends[:-1]), strict=True):
@@ -57,7 +59,7 @@ def denoise(recordings: DataFrame, level: int = 6, **kw) -> DataFrame:
 
 
 def remove_artifacts(recordings: DataFrame, remove: int = 2, seed: int = 42, **kw) -> DataFrame:
-    return mapped(recordings, lambda x, fs: ica.without_artifacts(x, remove, seed), **kw)
+    return mapped(recordings, lambda x, fs: ica.without_artifacts_of_many(x, remove, seed), stacked=True, **kw)
 
 
 def clean_raw(recordings: DataFrame, low: float = 0.5, high: float = 60.0, line: float = 50.0, method: str = "SURE", **kw) -> DataFrame:
@@ -76,12 +78,12 @@ def clean_approximately(recordings: DataFrame, remove: int = 2, **kw) -> DataFra
     """Band-pass 1 to 30 Hz, notches at 50 and 60 Hz, components of great kurtosis taken out."""
 
     def chain(x: np.ndarray, fs: float) -> np.ndarray:
-        y = filters.bandpass(x, fs, 1.0, 30.0)
+        y = filters.bandpass(x.reshape(-1, x.shape[2]), fs, 1.0, 30.0)
         for line in (50.0, 60.0):
             y = filters.stop_band(y, fs, line)
-        return ica.without_artifacts(y, remove)
+        return ica.without_artifacts_of_many(y.reshape(x.shape), remove)
 
-    return mapped(recordings, chain, **kw)
+    return mapped(recordings, chain, stacked=True, **kw)
 
 
 def preprocess(recordings: DataFrame, mode: str = "B", **kw) -> DataFrame:

@@ -153,6 +153,17 @@ def test_two_gaussians_border():
     assert ica.two_gaussians(np.array([1.0, 1.0])) == 1.0
 
 
+def test_components_of_many_recordings_are_those_of_each():
+    rng = np.random.default_rng(8)
+    x = rng.laplace(size=(60, 4, 16))
+    x[3], x[7, 2], x[9, 1] = 0, 0, x[9, 0]
+    together = ica.without_artifacts_of_many(x)
+    assert np.allclose(together, [ica.without_artifacts(r) for r in x], atol=1e-9) and not together[3].any()
+    for r, sources, mixing in zip(x, *ica.fast_ica_of_many(x), strict=True):
+        assert np.allclose(mixing @ sources, r - r.mean(axis=1, keepdims=True), atol=1e-9)
+        assert len(sources) == np.linalg.matrix_rank(r - r.mean(axis=1, keepdims=True)) and np.allclose(sources @ sources.T / 16, np.eye(len(sources)), atol=1e-6)
+
+
 def test_information_of_dependent_and_independent():
     x = RNG.normal(size=800)
     y = 0.9 * x + np.sqrt(1 - 0.81) * RNG.normal(size=800)
