@@ -4,7 +4,7 @@ A text is the set of its five-word shingles; texts with one set are one class, s
 run sends every set down a path: the token of a set at a coordinate is its least shingle under the coordinate's hash,
 and two sets share it with the probability of their similarity. Sets with one token share a bucket. A bucket of over
 `LEAF` sets is split on two more coordinates that hang on the bucket, and its parts again; one that is still too large
-after `DEPTH` splits is dealt to tiles, so that any two of its sets meet in a leaf. Runs repeat until a pair at the
+after `DEPTH` splits, or whose parts have no fewer pairs than it has, is dealt to tiles, so that any two of its sets meet in a leaf. Runs repeat until a pair at the
 threshold is missed with a probability under 1 - `RECALL`, whatever was split.
 
 Leaves are compared by brute force, first on sketches of a byte a coordinate; sets that have a close partner then come
@@ -195,23 +195,29 @@ def leaves(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECA
     """(leaf, shingle_set): the small buckets at the ends of all paths. Two sets that are similar share one, up to `recall`."""
     n = runs(similarity, recall, depth)
     paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: F.xxhash64(r, F.get("tokens", r))))
-    rows = sets.filter("size > 0").select(paths.alias("bucket"), "shingle_set")
-    found = None
-    for level in range(depth + 1):
-        counts = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-        met = cut(rows.join(counts, "bucket"))
-        last = level == depth
-        small = met if last else met.filter(F.col("members") <= leaf)
+    child = lambda k: F.xxhash64("parent", F.lit(k), F.get("tokens", (F.lit(n) + F.pmod(F.xxhash64("parent", F.lit(k)), F.lit(COORDINATES - n))).cast("int")))
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return cut(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "bucket"))
+
+    def placed(buckets: DataFrame) -> DataFrame:
         tiles = F.ceil(F.col("members") / leaf).cast("int")
-        placed = small.select("shingle_set", F.explode(_tile_pairs(F.col("bucket"), F.pmod(F.xxhash64("shingle_set", F.lit(7)), tiles).cast("int"), tiles)).alias("leaf")).select("leaf", "shingle_set")
-        found = placed if found is None else found.unionByName(placed)
-        large = met.filter(F.col("members") > leaf)
-        if last or large.isEmpty():
-            break
-        child = lambda k: F.xxhash64("bucket", F.lit(k), F.get("tokens", (F.lit(n) + F.pmod(F.xxhash64("bucket", F.lit(k)), F.lit(COORDINATES - n))).cast("int")))
-        deeper = large.select("bucket", "shingle_set").join(sets.select("shingle_set", "tokens"), "shingle_set")
-        rows = deeper.select(F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("bucket"), "shingle_set")
-    return found
+        return buckets.select("shingle_set", F.explode(_tile_pairs(F.col("bucket"), F.pmod(F.xxhash64("shingle_set", F.lit(7)), tiles).cast("int"), tiles)).alias("leaf")).select("leaf", "shingle_set")
+
+    met = counted(sets.filter("size > 0").select(paths.alias("bucket"), "shingle_set"))
+    found = placed(met.filter(F.col("members") <= leaf))
+    for _ in range(depth):
+        large = met.filter(F.col("members") > leaf).select("bucket", "shingle_set", "members")
+        if large.isEmpty():
+            return found
+        deeper = large.select(F.col("bucket").alias("parent"), F.col("members").alias("above"), "shingle_set").join(sets.select("shingle_set", "tokens"), "shingle_set")
+        met = counted(deeper.select("parent", "above", F.explode(F.array_distinct(F.array(child(0), child(1)))).alias("bucket"), "shingle_set"))
+        # Sets that are alike stay together on both coordinates: where the parts have no fewer pairs in all, the whole is dealt to tiles.
+        alike = met.groupBy("parent", "above").agg(F.sum("members").alias("pairs")).filter("pairs >= above * above").select("parent")
+        found = found.unionByName(placed(large.join(alike, large["bucket"] == alike["parent"], "left_semi")))
+        met = met.join(alike, "parent", "left_anti")
+        found = found.unionByName(placed(met.filter(F.col("members") <= leaf)))
+    return found.unionByName(placed(met.filter(F.col("members") > leaf)))
 
 
 def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:

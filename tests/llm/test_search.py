@@ -99,6 +99,15 @@ def test_pairs_at_the_threshold_meet_below_deep_splits(spark):
     assert sum({i, 1000 + i} <= x for i in range(600) for x in [set().union(*[y for y in found.values() if i in y])]) == 600
 
 
+def test_splits_of_sets_that_are_alike_make_no_more_pairs(spark):
+    """Sets that share most tokens share a bucket whatever it is split on; among others that splits do tell apart."""
+    rng = np.random.default_rng(24)
+    tokens = np.where(rng.random((400, jaccard_join.COORDINATES)) < 0.95, 7, rng.integers(1, 1 << 62, (400, jaccard_join.COORDINATES)))
+    sets = spark.createDataFrame([(i, 10, [int(x) for x in own]) for i, own in enumerate(tokens)], "shingle_set long, size long, tokens array<long>")
+    found = collections.Counter(r["leaf"] for r in jaccard_join.leaves(sets, leaf=40).collect())
+    assert sum(n * n for n in found.values()) < 3 * jaccard_join.runs(0.8, jaccard_join.RECALL) * 400**2
+
+
 def test_a_chain_of_texts_that_look_alike_has_no_links(spark):
     rng = random.Random(23)
     parts = [odd.text(rng, 30) for _ in range(60)]
